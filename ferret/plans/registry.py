@@ -1,0 +1,46 @@
+"""Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
+
+Every query reads the driver's tables (or tables Spark derives from them) in
+full; doubles are rounded to 6 places so results compare across engines.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ferret.operators import index as IX
+from ferret.operators import search as S
+from ferret.plans import oracle_sql as O
+from ferret.sources import tables as TB
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def r6(c):
+    return F.round(F.col(c), 6).alias(c)
+
+
+def q_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    idx = IX.build_index(TB.hits(spark, sf_dir))
+    res = S.search(TB.queries(spark, sf_dir), idx)
+    return res.select("qid", "rank", "hit_id", r6("score"), "rid", "type", "title", "url")
+
+
+def q_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    idx = IX.build_index(TB.hits(spark, sf_dir))
+    return IX.term_stats(idx).select("field", "term", "df", "n", r6("idf"))
+
+
+QUERIES: dict[str, Query] = {
+    "search": q_search,
+    "term_stats": q_term_stats,
+}
+
+ORACLE: dict[str, str] = {
+    "search": O.SEARCH,
+    "term_stats": O.TERM_STATS,
+}
+FLAGSHIP = "search"

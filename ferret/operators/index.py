@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferret.functions import text as T
+from ferret.session import spread
 
 FIELDS = ("terms", "title")
 
@@ -32,19 +33,18 @@ class Index:
 
 
 def build_index(hits: DataFrame, text_cols=("title", "description", "url", "rid", "type")) -> Index:
-    """R2: index every hit that has a title."""
+    """R2: index every hit that has a title.
+
+    Both fields are tokenized in one pass over the text: one ``explode`` of an
+    array of (field, term) structs.
+    """
     indexable = hits.filter(F.col("title").isNotNull())
-    terms = indexable.select(
-        F.lit("terms").alias("field"),
-        F.explode(T.analyze_distinct(T.hit_text(*text_cols))).alias("term"),
-        "hit_id",
-    )
-    titles = indexable.select(
-        F.lit("title").alias("field"),
-        F.explode(T.analyze_distinct("title")).alias("term"),
-        "hit_id",
+    tagged = F.concat(
+        F.transform(T.analyze_distinct(T.hit_text(*text_cols)), lambda t: F.struct(F.lit("terms").alias("field"), t.alias("term"))),
+        F.transform(T.analyze_distinct("title"), lambda t: F.struct(F.lit("title").alias("field"), t.alias("term"))),
     )
-    return Index(postings=terms.unionByName(titles), docs=indexable)
+    postings = spread(indexable, "hit_id").select(F.inline(tagged), "hit_id")
+    return Index(postings=postings, docs=indexable)
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:

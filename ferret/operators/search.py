@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ferret.functions import text as T
 from ferret.operators.index import Index, idf
-from ferret.session import broadcast_if_small
+from ferret.session import BROADCAST_MAX_ROWS
 
 # Field boosts of the reference's multi-field query and the
 # number of hits returned per search.
@@ -58,18 +58,25 @@ def _boost():
     return expr.otherwise(F.lit(0.0))
 
 
-def score_hits(queries: DataFrame, index: Index) -> DataFrame:
-    """(qid, hit_id, score) for every hit matching at least one query term."""
-    qt = query_terms(queries)
-    vocab = broadcast_if_small(qt.select("term").distinct())
-    postings = index.postings.join(vocab, "term", "left_semi")
+def score_hits(queries: DataFrame, index: Index, qt: DataFrame | None = None, small: bool | None = None) -> DataFrame:
+    """(qid, hit_id, score) for every hit matching at least one query term.
+
+    ``small`` says whether the query-term table is under the broadcast bound;
+    the weights table has at most two rows per query term, so one count of the
+    query terms proves the size of both broadcast sides.
+    """
+    qt = query_terms(queries) if qt is None else qt
+    if small is None:
+        small = qt.count() * 2 <= BROADCAST_MAX_ROWS
+    vocab = qt.select("term").distinct()
+    postings = index.postings.join(F.broadcast(vocab) if small else vocab, "term", "left_semi")
     dfs = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     n = index.n_docs()
     weights = qt.join(dfs, "term").select(
         "qid", "field", "term", (F.col("cnt") * _boost() * idf(F.col("df"), n)).alias("w")
     )
     return (
-        postings.join(broadcast_if_small(weights), ["field", "term"])
+        postings.join(F.broadcast(weights) if small else weights, ["field", "term"])
         .groupBy("qid", "hit_id")
         .agg(F.sum("w").alias("score"))
     )
@@ -84,14 +91,17 @@ def top_per_query(scored: DataFrame, k: int = TOP_K, score: str = "score", tie:
 def search(queries: DataFrame, index: Index, k: int = TOP_K, hit_cols=("rid", "type", "title", "url")) -> DataFrame:
     """Top-k hits per query with their stored columns.
 
-    The ``query`` member of a stored hit is never returned (privacy rule).
+    The ``query`` member of a stored hit is never returned (privacy rule).  The
+    top-k table has at most k rows per query term, so it is broadcast to the
+    stored hits when that bound is under the limit.
     """
-    top = top_per_query(score_hits(queries, index), k)
-    docs = index.docs.select("hit_id", *[c for c in hit_cols if c != "query"])
-    # top-k rows are bounded by k x number of queries: checked before broadcast
-    return broadcast_if_small(top).join(docs, "hit_id").select(
-        "qid", "rank", "hit_id", "score", *[c for c in hit_cols if c != "query"]
-    )
+    qt = query_terms(queries)
+    n_qt = qt.count()
+    top = top_per_query(score_hits(queries, index, qt, n_qt * 2 <= BROADCAST_MAX_ROWS), k)
+    cols = [c for c in hit_cols if c != "query"]
+    docs = index.docs.select("hit_id", *cols)
+    top = F.broadcast(top) if n_qt * k <= BROADCAST_MAX_ROWS else top
+    return top.join(docs, "hit_id").select("qid", "rank", "hit_id", "score", *cols)
 
 
 def boolean_match(queries: DataFrame, index: Index, required: DataFrame, prohibited: DataFrame) -> DataFrame:

@@ -72,3 +72,100 @@ TERM_STATS = with_(HITS, POSTINGS) + """
 SELECT field, term, count(*) AS df, (SELECT n FROM n) AS n,
        round(ln(1.0 + ((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf
 FROM p GROUP BY field, term"""
+
+RESOURCES = f"""
+docs AS (SELECT doc_id, source, lang, split_part(text, chr(10), 1) AS title FROM documents),
+rsrc AS (
+  SELECT d.source AS id, arg_min(d.title, d.doc_id) AS name,
+         array_to_string(list_sort(list_distinct(list(d.lang))), ' ') AS type,
+         avg(l.quality) * 0.1 AS prior,
+         coalesce(avg(l.toxic) > 0.25, false) AS deleted,
+         CAST(count(*) FILTER (WHERE l.quality = 1) AS INTEGER) AS requestsok,
+         CAST(count(*) FILTER (WHERE l.quality = 0) AS INTEGER) AS requestserr,
+         {UP_SINCE} AS upsince
+  FROM docs d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source),
+cat AS (
+  SELECT *, round(coalesce(prior, 0.0)
+               + requestsok / floor(greatest(date_diff('millisecond', upsince, {NOW}), 604800000) / 6000)
+               - requestserr / floor(greatest(date_diff('millisecond', upsince, {NOW}), 604800000) / 6000), 9) AS eff_prior
+  FROM rsrc)"""
+
+
+def type_match(text: str, wanted: str) -> str:
+    return f"({wanted} IS NULL OR {wanted} = '' OR ({text} IS NOT NULL AND contains({text}, {wanted})))"
+
+
+def f1_tokens(expr: str) -> str:
+    return f"list_filter(string_split_regex(lower({expr}), '[^a-z0-9]+'), lambda x: x <> '')"
+
+
+T2 = "rscore DESC, rid DESC NULLS LAST, score DESC, pos ASC NULLS LAST, hit_id ASC NULLS LAST"
+
+
+def top_resources_sql(k: int) -> str:
+    """T1 by brute force over every (query, live resource) pair."""
+    return f"""
+qtok AS (SELECT qid, unnest({f1_tokens('query')}) AS tok FROM qq WHERE query IS NOT NULL),
+rtok AS (SELECT id, unnest(list_distinct(list_concat({f1_tokens('name')}, [lower(id)]))) AS tok
+         FROM cat WHERE NOT deleted AND name IS NOT NULL),
+ns AS (SELECT qid, id, CAST(count(*) AS DOUBLE) AS name_score FROM qtok JOIN rtok USING (tok) GROUP BY qid, id),
+t1 AS (
+  SELECT qid, id AS rid, score AS top FROM (
+    SELECT qq.qid, c.id, coalesce(ns.name_score, 0.0) + c.eff_prior AS score,
+           row_number() OVER (PARTITION BY qq.qid ORDER BY coalesce(ns.name_score, 0.0) + c.eff_prior DESC, c.id DESC) AS r
+    FROM qq JOIN cat c ON NOT c.deleted AND {type_match('c.type', 'qq.qtype')}
+    LEFT JOIN ns ON ns.qid = qq.qid AND ns.id = c.id)
+  WHERE r <= {k})"""
+
+
+def selection_sql(max_: int, start: int, results: str = "res_search") -> str:
+    """R7 over ``results(qid, rank, hit_id, rid, type, score)`` and ``qq(qid, query, qtype)``."""
+    page = f"run <= {max_}" if start <= 0 else f"run BETWEEN {start + 1} AND {start + max_}"
+    return top_resources_sql(max_ + start) + f""",
+hq AS (
+  SELECT r.qid, r.rank AS pos, r.hit_id, r.rid, round(r.score, 9) AS raw, coalesce(c.eff_prior, 0.0) AS p
+  FROM {results} r JOIN qq ON r.qid = qq.qid
+  LEFT JOIN cat c ON r.rid = c.id
+  WHERE {type_match('r.type', 'qq.qtype')} AND NOT coalesce(c.deleted, false)),
+hr AS (SELECT hq.*, row_number() OVER (PARTITION BY qid, rid ORDER BY pos) AS rn FROM hq),
+hs AS (
+  SELECT hr.*, t1.top,
+         CASE WHEN hr.rid IS NULL THEN raw
+              ELSE (CASE WHEN rn = 1 AND t1.top IS NOT NULL AND t1.top > p THEN t1.top ELSE p END) + 0.05 * raw END AS score
+  FROM hr LEFT JOIN t1 ON hr.qid = t1.qid AND hr.rid = t1.rid),
+hw AS (
+  SELECT *,
+         CASE WHEN rid IS NULL THEN 0.05 * raw
+              ELSE max(score) OVER (PARTITION BY qid, rid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS rscore,
+         max(score) OVER (PARTITION BY qid, rid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_max
+  FROM hs),
+kept AS (
+  SELECT qid, pos, hit_id, rid, score, rscore FROM hw
+  WHERE rid IS NULL OR rn <= 4 OR prev_max IS NULL OR score > prev_max
+  UNION ALL
+  SELECT qid, NULL AS pos, NULL AS hit_id, rid, top AS score, top AS rscore FROM t1
+  WHERE NOT EXISTS (SELECT 1 FROM hq WHERE hq.qid = t1.qid AND hq.rid = t1.rid)),
+runs AS (
+  SELECT *, CASE WHEN rid IS NOT NULL AND (prev_rid IS NULL OR rid <> prev_rid) THEN 1 ELSE 0 END AS new_run
+  FROM (SELECT *, last_value(rid IGNORE NULLS) OVER (PARTITION BY qid ORDER BY {T2}
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_rid FROM kept)),
+runs2 AS (SELECT *, sum(new_run) OVER (PARTITION BY qid ORDER BY {T2} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+          FROM runs),
+page AS (SELECT * FROM runs2 WHERE {page})
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY {T2}) AS INTEGER) AS rank, rid, hit_id,
+       round(score, 6) AS score, round(rscore, 6) AS rscore, CAST(run AS BIGINT) AS run
+FROM page"""
+
+
+def select_resources_sql(max_: int, start: int, qtype: str | None) -> str:
+    qt = "CAST(NULL AS VARCHAR)" if qtype is None else f"'{qtype}'"
+    qq = f"qq AS (SELECT qid, query, {qt} AS qtype FROM q)"
+    res_search = "res_search AS (SELECT * FROM res)"
+    return with_(HITS, POSTINGS, QUERY_TERMS, SCORED, RESOURCES, qq, res_search) + "," + selection_sql(max_, start)
+
+
+def list_resources_sql(max_: int, start: int) -> str:
+    qq = "qq AS (SELECT row_number() OVER (ORDER BY lang) - 1 AS qid, CAST(NULL AS VARCHAR) AS query, lang AS qtype FROM (SELECT DISTINCT lang FROM documents))"
+    res_search = ("res_search AS (SELECT CAST(NULL AS BIGINT) AS qid, 0 AS rank, CAST(NULL AS VARCHAR) AS hit_id, "
+                  "CAST(NULL AS VARCHAR) AS rid, CAST(NULL AS VARCHAR) AS type, 0.0 AS score WHERE false)")
+    return with_(RESOURCES, qq, res_search) + "," + selection_sql(max_, start)

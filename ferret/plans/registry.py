@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferret.operators import index as IX
 from ferret.operators import search as S
+from ferret.operators import selection as SEL
+from ferret.session import table
 from ferret.plans import oracle_sql as O
 from ferret.sources import tables as TB
 
@@ -34,13 +36,46 @@ def q_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IX.term_stats(idx).select("field", "term", "df", "n", r6("idf"))
 
 
+def _queries(spark, sf_dir, qtype=None):
+    return TB.queries(spark, sf_dir).withColumn("qtype", F.lit(qtype).cast("string"))
+
+
+def _selection(spark, sf_dir, max_, start, qtype):
+    q = _queries(spark, sf_dir, qtype)
+    idx = IX.build_index(TB.hits(spark, sf_dir))
+    res = S.search(q, idx).select("qid", F.col("rank").alias("pos"), "hit_id", "rid", "type", "score")
+    sel = SEL.select_resources(res, q, TB.resources(spark, sf_dir), max_, start, TB.now_col())
+    return sel.select("qid", "rank", "rid", "hit_id", r6("score"), r6("rscore"), F.col("run").cast("long").alias("run"))
+
+
+def q_select_resources(spark, sf_dir):
+    return _selection(spark, sf_dir, 10, 0, None)
+
+
+def q_select_resources_typed_page(spark, sf_dir):
+    return _selection(spark, sf_dir, 5, 5, "fr")
+
+
+def q_list_resources(spark, sf_dir):
+    langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("qtype")).distinct()
+    q = langs.select((F.dense_rank().over(Window.orderBy("qtype")) - 1).cast("long").alias("qid"), "qtype")
+    sel = SEL.list_resources(q, TB.resources(spark, sf_dir), 10, 0, TB.now_col())
+    return sel.select("qid", "rank", "rid", "hit_id", r6("score"), r6("rscore"), F.col("run").cast("long").alias("run"))
+
+
 QUERIES: dict[str, Query] = {
     "search": q_search,
     "term_stats": q_term_stats,
+    "select_resources": q_select_resources,
+    "select_resources_typed_page": q_select_resources_typed_page,
+    "list_resources": q_list_resources,
 }
 
 ORACLE: dict[str, str] = {
     "search": O.SEARCH,
     "term_stats": O.TERM_STATS,
+    "select_resources": O.select_resources_sql(10, 0, None),
+    "select_resources_typed_page": O.select_resources_sql(5, 5, "fr"),
+    "list_resources": O.list_resources_sql(10, 0),
 }
-FLAGSHIP = "search"
+FLAGSHIP = "select_resources"

@@ -38,12 +38,14 @@ def build_index(hits: DataFrame, text_cols=("title", "description", "url", "rid"
     Both fields are tokenized in one pass over the text: one ``explode`` of an
     array of (field, term) structs.
     """
-    indexable = hits.filter(F.col("title").isNotNull())
+    # One (spread) copy of the indexable hits feeds the postings, N and the
+    # stored columns, so the text is read once per plan.
+    indexable = spread(hits.filter(F.col("title").isNotNull()))
     tagged = F.concat(
         F.transform(T.analyze_distinct(T.hit_text(*text_cols)), lambda t: F.struct(F.lit("terms").alias("field"), t.alias("term"))),
         F.transform(T.analyze_distinct("title"), lambda t: F.struct(F.lit("title").alias("field"), t.alias("term"))),
     )
-    postings = spread(indexable, "hit_id").select(F.inline(tagged), "hit_id")
+    postings = indexable.select(F.inline(tagged), "hit_id")
     return Index(postings=postings, docs=indexable)
 
 

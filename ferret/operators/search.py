@@ -69,7 +69,14 @@ def score_hits(queries: DataFrame, index: Index, qt: DataFrame | None = None, sm
     if small is None:
         small = qt.count() * 2 <= BROADCAST_MAX_ROWS
     vocab = qt.select("term").distinct()
-    postings = index.postings.join(F.broadcast(vocab) if small else vocab, "term", "left_semi")
+    # Postings of query terms, hash-partitioned by hit once: the df count and
+    # the scoring join both read this one exchange (Spark reuses it), and the
+    # (qid, hit_id) sum below needs no further shuffle.  Hits are unique keys,
+    # so the partitions are even however hot a term is.
+    postings = (
+        index.postings.join(F.broadcast(vocab) if small else vocab, "term", "left_semi")
+        .repartition("hit_id")
+    )
     dfs = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     n = index.n_docs()
     weights = qt.join(dfs, "term").select(

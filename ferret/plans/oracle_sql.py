@@ -169,3 +169,23 @@ def list_resources_sql(max_: int, start: int) -> str:
     res_search = ("res_search AS (SELECT CAST(NULL AS BIGINT) AS qid, 0 AS rank, CAST(NULL AS VARCHAR) AS hit_id, "
                   "CAST(NULL AS VARCHAR) AS rid, CAST(NULL AS VARCHAR) AS type, 0.0 AS score WHERE false)")
     return with_(RESOURCES, qq, res_search) + "," + selection_sql(max_, start)
+
+CONV = f"""
+conv AS (
+  SELECT conv_id AS qid, turn AS pos, 'conv/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS hit_id,
+         role AS title,
+         concat_ws(' ', role, text, 'conv/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR)) AS txt
+  FROM conversations WHERE turn > 0),
+qs AS (SELECT conv_id AS qid, list_distinct({f1_tokens('text')}) AS qterms FROM conversations WHERE turn = 0),
+sc AS (
+  SELECT c.qid, c.pos, c.hit_id,
+         CAST(0.1 AS DOUBLE) * len(list_distinct(list_intersect({f1_tokens('c.txt')}, coalesce(q.qterms, []::VARCHAR[]))))
+         + CAST(0.01 AS DOUBLE) * len(list_distinct(list_intersect({f1_tokens('c.title')}, coalesce(q.qterms, []::VARCHAR[])))) AS score,
+         len(list_distinct(list_intersect({f1_tokens('c.txt')}, coalesce(q.qterms, []::VARCHAR[])))) > 0 AS hit
+  FROM conv c LEFT JOIN qs q ON c.qid = q.qid)"""
+
+RERANK_GENERAL = with_(CONV) + """
+SELECT qid, pos, hit_id, round(score, 6) AS score FROM sc WHERE score > 0.001"""
+
+RERANK_ANYRESULT = with_(CONV) + """
+SELECT qid, pos, hit_id FROM sc WHERE qid IN (SELECT qid FROM sc WHERE hit)"""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferret.operators import index as IX
+from ferret.operators import rerank as RR
 from ferret.operators import search as S
 from ferret.operators import selection as SEL
 from ferret.session import table
@@ -63,12 +64,30 @@ def q_list_resources(spark, sf_dir):
     return sel.select("qid", "rank", "rid", "hit_id", r6("score"), r6("rscore"), F.col("run").cast("long").alias("run"))
 
 
+def _rerank(model):
+    def q(spark, sf_dir):
+        hits, qs = TB.result_lists(spark, sf_dir)
+        out = RR.rerank(hits, qs, model, seed=42)
+        cols = ["qid", "pos", "hit_id"]
+        if model not in ("random", "anyresult"):
+            cols.append(r6("score"))
+        if model in ("random", "bestrandom"):
+            cols.append("shuffle_key")
+        return out.select(*cols)
+
+    return q
+
+
 QUERIES: dict[str, Query] = {
     "search": q_search,
     "term_stats": q_term_stats,
     "select_resources": q_select_resources,
     "select_resources_typed_page": q_select_resources_typed_page,
     "list_resources": q_list_resources,
+    "rerank_general": _rerank("or"),
+    "rerank_anyresult": _rerank("anyresult"),
+    "rerank_bestrandom": _rerank("bestrandom"),
+    "rerank_random": _rerank("random"),
 }
 
 ORACLE: dict[str, str] = {
@@ -77,5 +96,7 @@ ORACLE: dict[str, str] = {
     "select_resources": O.select_resources_sql(10, 0, None),
     "select_resources_typed_page": O.select_resources_sql(5, 5, "fr"),
     "list_resources": O.list_resources_sql(10, 0),
+    "rerank_general": O.RERANK_GENERAL,
+    "rerank_anyresult": O.RERANK_ANYRESULT,
 }
 FLAGSHIP = "select_resources"

@@ -109,3 +109,26 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type"),
         F.col("props").alias("message"),
     )
+
+
+def result_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Result lists for re-ranking, from conversations.
+
+    One list per conversation: the later turns are the hits (pos = turn,
+    title = role, F6 text = role + text + url); the opening turn's whole text is
+    the list's query.
+    """
+    c = table(spark, sf_dir, "conversations")
+    url = F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    hits = c.filter(F.col("turn") > 0).select(
+        F.col("conv_id").alias("qid"),
+        F.col("turn").alias("pos"),
+        url.alias("hit_id"),
+        F.lit(None).cast("string").alias("rid"),
+        F.col("role").alias("title"),
+        T.hit_text("role", "text", url).alias("text"),
+        F.lit(0.0).alias("score"),
+        F.lit(None).cast("double").alias("rscore"),
+    )
+    queries = c.filter(F.col("turn") == 0).select(F.col("conv_id").alias("qid"), F.col("text").alias("query"))
+    return hits, queries

@@ -189,3 +189,103 @@ SELECT qid, pos, hit_id, round(score, 6) AS score FROM sc WHERE score > 0.001"""
 
 RERANK_ANYRESULT = with_(CONV) + """
 SELECT qid, pos, hit_id FROM sc WHERE qid IN (SELECT qid FROM sc WHERE hit)"""
+
+LOG = """
+log AS (
+  SELECT event_id, 'u' || CAST(user_id AS VARCHAR) AS rid, ts, event_type = 'error' AS error,
+         CASE WHEN event_type = 'error' THEN 0 ELSE CAST(floor(value) AS INTEGER) END AS hits,
+         CASE WHEN event_type = 'error' THEN props END AS message, event_type AS query
+  FROM events)"""
+
+HEALTH = LOG + """,
+health AS (
+  SELECT rid,
+         CAST(count(*) FILTER (WHERE NOT error AND hits >= 1) AS INTEGER) AS requestsok,
+         CAST(count(*) FILTER (WHERE error) AS INTEGER) AS requestserr,
+         max(ts) FILTER (WHERE NOT error AND hits >= 1) AS lastsuccess,
+         max(ts) FILTER (WHERE error) AS lasterror,
+         arg_max(message, ts) FILTER (WHERE error) AS lastmessage,
+         max(ts) AS lastused
+  FROM log GROUP BY rid)"""
+
+RESOURCE_HEALTH = with_(HEALTH) + """
+SELECT * FROM health"""
+
+HEALTH_SUMMARY = with_(HEALTH) + """,
+hh AS (SELECT *, (coalesce(lastsuccess, TIMESTAMP '1970-01-01') >= coalesce(lasterror, TIMESTAMP '1970-01-01'))
+                 OR coalesce(requestserr, 0) = 0 AS ok FROM health)
+SELECT count(*) FILTER (WHERE ok) AS enginesok, count(*) FILTER (WHERE NOT ok) AS engineserr,
+       coalesce(arg_max(rid || ': ' || coalesce(lastmessage, 'null'), rid) FILTER (WHERE NOT ok),
+                arg_min(rid || ': ' || coalesce(lastmessage, 'null'), rid) FILTER (WHERE lastmessage IS NOT NULL)) AS lastmessage
+FROM hh"""
+
+QUERY_COUNTERS = with_(LOG) + """
+SELECT count(*) FILTER (WHERE NOT error) AS requestsok, count(*) FILTER (WHERE error) AS requestserr, min(ts) AS upsince
+FROM log"""
+
+UPTIME_REPORT = with_(HEALTH) + """,
+r AS (SELECT 'u' || CAST(c_custkey AS VARCHAR) AS rid FROM customer)
+SELECT r.rid,
+       CASE WHEN h.requestsok IS NULL THEN 'No health'
+            WHEN strftime(h.lastsuccess, '%Y-%m-%d %H:%M:%S') > strftime(h.lasterror, '%Y-%m-%d %H:%M:%S') THEN 'Ok'
+            ELSE 'Error' END AS conclusion,
+       round(100.0 * h.requestsok / (h.requestsok + h.requestserr + 0.01), 6) AS uptime
+FROM r LEFT JOIN health h ON r.rid = h.rid"""
+
+SECONDS_SINCE_USE = with_(HEALTH) + f"""
+SELECT rid, CASE WHEN ago < 0 OR ago > 8640000 OR ago IS NULL THEN 8640000 ELSE ago END AS seconds_ago
+FROM (SELECT rid, 1 + CAST(trunc(date_diff('millisecond', lastused, {NOW}) / 1000) AS BIGINT) AS ago FROM health)"""
+
+MAX_PRIOR = with_(RESOURCES.lstrip()) + """
+SELECT round(greatest(max(eff_prior), 0.0), 6) AS max_prior FROM cat"""
+
+API = "https://api.example.org/search/"
+
+CATALOG = f"""
+sn AS (SELECT s.*, lower(n.n_name) AS ntype FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey),
+old AS (
+  SELECT 's' || CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, ntype AS type, s_acctbal / 10000.0 AS prior,
+         '{API}s' || CAST(s_suppkey AS VARCHAR) || '?q={{searchTerms}}&page={{startPage?}}&key={{apikey}}' AS apitemplate,
+         md5(s_name) AS apikey, false AS deleted,
+         CAST(s_nationkey AS INTEGER) AS requestsok, 0 AS requestserr,
+         {UP_SINCE} AS lastupdated, {UP_SINCE} AS upsince, CAST(NULL AS VARCHAR) AS lastmessage
+  FROM sn),
+upd AS (
+  SELECT 's' || CAST(s_suppkey AS VARCHAR) AS id,
+         CASE WHEN s_acctbal >= 0 THEN s_name END AS name,
+         CASE WHEN s_acctbal >= 0 THEN ntype END AS type,
+         CASE WHEN s_acctbal >= 0 THEN round(s_acctbal / 10000.0, 2) END AS prior,
+         CASE WHEN s_acctbal >= 0 THEN '{API}s' || CAST(s_suppkey AS VARCHAR) || '?q={{searchTerms}}&page={{startPage?}}&key={{apikey}}' END AS apitemplate,
+         CASE WHEN s_acctbal >= 0 THEN md5(s_name || '/2') END AS apikey,
+         s_acctbal < 0 AS deleted
+  FROM sn
+  UNION ALL
+  SELECT 'c' || CAST(c_custkey AS VARCHAR), c_name, lower(c_mktsegment), c_acctbal / 10000.0,
+         '{API}c' || CAST(c_custkey AS VARCHAR) || '?q={{searchTerms}}', NULL, false
+  FROM customer)"""
+
+MERGE_RESOURCES = with_(CATALOG) + f""",
+j AS (
+  SELECT o.id AS o_id, u.id AS n_id, o.name AS o_name, u.name AS n_name, o.type AS o_type, u.type AS n_type,
+         o.prior AS o_prior, u.prior AS n_prior, o.apitemplate AS o_api, u.apitemplate AS n_api,
+         o.apikey AS o_key, u.apikey AS n_key, o.deleted AS o_del, u.deleted AS n_del,
+         o.requestsok, o.requestserr, o.lastupdated, o.upsince, o.lastmessage
+  FROM old o FULL OUTER JOIN upd u ON o.id = u.id),
+k AS (
+  SELECT *, n_id IS NOT NULL AND (o_id IS NULL OR
+              o_name IS DISTINCT FROM n_name OR o_type IS DISTINCT FROM n_type OR o_api IS DISTINCT FROM n_api
+              OR o_del IS DISTINCT FROM n_del OR abs(coalesce(o_prior, 0.0) - coalesce(n_prior, 0.0)) > 0.001) AS take_new
+  FROM j)
+SELECT CASE WHEN take_new THEN n_id ELSE o_id END AS id,
+       CASE WHEN take_new THEN n_name ELSE o_name END AS name,
+       CASE WHEN take_new THEN n_type ELSE o_type END AS type,
+       round(CASE WHEN take_new THEN n_prior ELSE o_prior END, 6) AS prior,
+       CASE WHEN take_new THEN n_del ELSE o_del END AS deleted,
+       CASE WHEN take_new THEN n_api ELSE o_api END AS apitemplate,
+       CASE WHEN take_new THEN n_key ELSE o_key END AS apikey,
+       CASE WHEN take_new THEN 0 ELSE requestsok END AS requestsok,
+       CASE WHEN take_new THEN 0 ELSE requestserr END AS requestserr,
+       CASE WHEN n_id IS NULL THEN lastupdated ELSE {NOW} END AS lastupdated,
+       CASE WHEN take_new THEN {NOW} ELSE upsince END AS upsince,
+       CASE WHEN take_new THEN NULL ELSE lastmessage END AS lastmessage
+FROM k"""

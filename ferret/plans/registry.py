@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferret.operators import index as IX
+from ferret.operators import catalog as CAT
+from ferret.operators import health as HL
 from ferret.operators import rerank as RR
 from ferret.operators import search as S
 from ferret.operators import selection as SEL
@@ -78,6 +80,41 @@ def _rerank(model):
     return q
 
 
+def q_resource_health(spark, sf_dir):
+    return HL.resource_counters(TB.request_log(spark, sf_dir))
+
+
+def q_health_summary(spark, sf_dir):
+    return HL.health_summary(HL.resource_counters(TB.request_log(spark, sf_dir)))
+
+
+def q_query_counters(spark, sf_dir):
+    return HL.query_counters(TB.request_log(spark, sf_dir))
+
+
+def q_uptime_report(spark, sf_dir):
+    res = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("id"))
+    rep = HL.uptime_report(res, HL.resource_counters(TB.request_log(spark, sf_dir)))
+    return rep.select("rid", "conclusion", F.when(~F.isnan("uptime"), F.round("uptime", 6)).alias("uptime"))
+
+
+def q_seconds_since_use(spark, sf_dir):
+    return HL.seconds_since_use(HL.resource_counters(TB.request_log(spark, sf_dir)), TB.now_col())
+
+
+def q_max_prior(spark, sf_dir):
+    return HL.max_prior(TB.resources(spark, sf_dir), TB.now_col()).select(r6("max_prior"))
+
+
+def q_merge_resources(spark, sf_dir):
+    m = CAT.merge_resources(TB.catalog_base(spark, sf_dir), TB.catalog_updates(spark, sf_dir), TB.now_col())
+    return m.select(
+        "id", "name", "type", r6("prior"), "deleted", "apitemplate",
+        F.col("privateparameters")["apikey"].alias("apikey"),
+        "requestsok", "requestserr", "lastupdated", "upsince", "lastmessage",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "search": q_search,
     "term_stats": q_term_stats,
@@ -88,6 +125,13 @@ QUERIES: dict[str, Query] = {
     "rerank_anyresult": _rerank("anyresult"),
     "rerank_bestrandom": _rerank("bestrandom"),
     "rerank_random": _rerank("random"),
+    "resource_health": q_resource_health,
+    "health_summary": q_health_summary,
+    "query_counters": q_query_counters,
+    "uptime_report": q_uptime_report,
+    "seconds_since_use": q_seconds_since_use,
+    "max_prior": q_max_prior,
+    "merge_resources": q_merge_resources,
 }
 
 ORACLE: dict[str, str] = {
@@ -98,5 +142,12 @@ ORACLE: dict[str, str] = {
     "list_resources": O.list_resources_sql(10, 0),
     "rerank_general": O.RERANK_GENERAL,
     "rerank_anyresult": O.RERANK_ANYRESULT,
+    "resource_health": O.RESOURCE_HEALTH,
+    "health_summary": O.HEALTH_SUMMARY,
+    "query_counters": O.QUERY_COUNTERS,
+    "uptime_report": O.UPTIME_REPORT,
+    "seconds_since_use": O.SECONDS_SINCE_USE,
+    "max_prior": O.MAX_PRIOR,
+    "merge_resources": O.MERGE_RESOURCES,
 }
 FLAGSHIP = "select_resources"

@@ -99,15 +99,22 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of resources: rid, ts, ok (bool), hits (count), message."""
+    """Answers of resources, from events.
+
+    rid = 'u'||user_id; an ``error`` event is a failed answer with ``props`` as
+    its message; any other event is an answer with floor(value) hits (so values
+    under 1 are answers without hits); query = event_type.
+    """
     e = table(spark, sf_dir, "events")
+    err = F.col("event_type") == F.lit("error")
     return e.select(
         F.col("event_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("rid"),
         F.col("ts"),
-        (F.col("event_type") != F.lit("error")).alias("ok"),
-        F.col("event_type"),
-        F.col("props").alias("message"),
+        err.alias("error"),
+        F.when(err, F.lit(0)).otherwise(F.floor("value").cast("int")).alias("hits"),
+        F.when(err, F.col("props")).alias("message"),
+        F.col("event_type").alias("query"),
     )
 
 
@@ -132,3 +139,66 @@ def result_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     )
     queries = c.filter(F.col("turn") == 0).select(F.col("conv_id").alias("qid"), F.col("text").alias("query"))
     return hits, queries
+
+
+API = "https://api.example.org/search/"
+
+
+def catalog_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored catalogue: one resource per supplier.
+
+    id = 's'||s_suppkey, name = s_name, type = lower(nation name), prior =
+    s_acctbal / 10000, api template with a private key slot, private key =
+    md5(name); health: s_nationkey answers, no errors, up and updated since
+    2024-01-01.
+    """
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("type"))
+    sid = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    return s.join(n, s["s_nationkey"] == n["n_nationkey"], "left").select(
+        sid.alias("id"),
+        F.col("s_name").alias("name"),
+        F.col("type"),
+        (F.col("s_acctbal") / F.lit(10000.0)).alias("prior"),
+        F.concat(F.lit(API), sid, F.lit("?q={searchTerms}&page={startPage?}&key={apikey}")).alias("apitemplate"),
+        F.create_map(F.lit("apikey"), F.md5("s_name")).alias("privateparameters"),
+        F.col("s_nationkey").cast("int").alias("requestsok"),
+        F.lit(0).alias("requestserr"),
+        F.to_timestamp(F.lit(UP_SINCE)).alias("lastupdated"),
+        F.to_timestamp(F.lit(UP_SINCE)).alias("upsince"),
+    )
+
+
+def catalog_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of resource versions.
+
+    Every supplier is announced again with its prior rounded to 2 places (a
+    change only when that moves it by more than 0.001) and a new private key
+    (never a change); suppliers with a negative balance are tombstoned; every
+    customer is a new resource (id 'c'||c_custkey, type = lower(segment)).
+    """
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("type"))
+    sid = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    gone = F.col("s_acctbal") < 0
+    sup = s.join(n, s["s_nationkey"] == n["n_nationkey"], "left").select(
+        sid.alias("id"),
+        F.when(~gone, F.col("s_name")).alias("name"),
+        F.when(~gone, F.col("type")).alias("type"),
+        F.when(~gone, F.round(F.col("s_acctbal") / F.lit(10000.0), 2)).alias("prior"),
+        F.when(~gone, F.concat(F.lit(API), sid, F.lit("?q={searchTerms}&page={startPage?}&key={apikey}"))).alias("apitemplate"),
+        F.when(~gone, F.create_map(F.lit("apikey"), F.md5(F.concat("s_name", F.lit("/2"))))).alias("privateparameters"),
+        gone.alias("deleted"),
+    )
+    c = table(spark, sf_dir, "customer")
+    cid = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    cus = c.select(
+        cid.alias("id"),
+        F.col("c_name").alias("name"),
+        F.lower("c_mktsegment").alias("type"),
+        (F.col("c_acctbal") / F.lit(10000.0)).alias("prior"),
+        F.concat(F.lit(API), cid, F.lit("?q={searchTerms}")).alias("apitemplate"),
+        F.lit(None).cast("map<string,string>").alias("privateparameters"),
+        F.lit(False).alias("deleted"),
+    )
+    return sup.unionByName(cus)

@@ -289,3 +289,90 @@ SELECT CASE WHEN take_new THEN n_id ELSE o_id END AS id,
        CASE WHEN take_new THEN {NOW} ELSE upsince END AS upsince,
        CASE WHEN take_new THEN NULL ELSE lastmessage END AS lastmessage
 FROM k"""
+
+
+def rate_limit_sql(src: str, rate: float) -> str:
+    """ST2 by a recursive walk over each resource's requests in time order.
+
+    ``src`` yields (req_id, rid, ts)."""
+    return f"""
+rq AS (SELECT req_id, rid, ts, epoch_us(ts) // 1000 AS ms,
+              row_number() OVER (PARTITION BY rid ORDER BY ts, req_id) AS n FROM ({src})),
+walk AS (
+  SELECT rid, n, req_id, ts, ms, b > 1 AS accepted, CASE WHEN b > 1 THEN b - 1 ELSE b END AS allowance
+  FROM (SELECT *, least(CAST({rate} AS DOUBLE), CAST(500 AS DOUBLE)) AS b FROM rq WHERE n = 1)
+  UNION ALL
+  SELECT rid, n, req_id, ts, ms, b > 1, CASE WHEN b > 1 THEN b - 1 ELSE b END
+  FROM (SELECT r.rid, r.n, r.req_id, r.ts, r.ms,
+               least(CAST({rate} AS DOUBLE), w.allowance + (CAST(r.ms - w.ms AS DOUBLE) / CAST(86400000 AS DOUBLE)) * CAST({rate} AS DOUBLE)) AS b
+        FROM walk w JOIN rq r ON r.rid = w.rid AND r.n = w.n + 1))"""
+
+
+RATE_LIMIT = "WITH RECURSIVE " + rate_limit_sql(
+    "SELECT event_id AS req_id, 'u' || CAST(user_id AS VARCHAR) AS rid, ts FROM events", 2.0
+) + """
+SELECT req_id, rid, ts, floor(allowance * CAST(1000000 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS allowance, accepted FROM walk"""
+
+ENC = "replace(replace(replace(url_encode({x}), '%20', '+'), '%2A', '*'), '~', '%7E')"
+
+
+def fill_sql(t: str, q: str, page: str, key: str) -> str:
+    x = f"replace(replace({t}, '{{apikey}}', coalesce({key}, '{{apikey}}')), '{{apikey?}}', coalesce({key}, '{{apikey?}}'))"
+    x = f"replace(replace({x}, '{{searchTerms}}', {q}), '{{searchTerms?}}', {q})"
+    x = f"replace(replace({x}, '{{q}}', {q}), '{{q?}}', {q})"
+    x = (f"CASE WHEN {page} IS NULL THEN replace({x}, '{{startPage}}', '1') "
+         f"ELSE replace(replace({x}, '{{startPage}}', CAST({page} AS VARCHAR)), '{{startPage?}}', CAST({page} AS VARCHAR)) END")
+    return f"regexp_replace({x}, '\\{{[0-9A-Za-z\\-_]+\\?\\}}', '', 'g')"
+
+
+PLAN_REQUESTS = "WITH RECURSIVE " + rate_limit_sql(
+    "SELECT event_id AS req_id, 's' || CAST(user_id AS VARCHAR) AS rid, ts FROM events", 2.0
+) + f""",
+{CATALOG.strip()},
+cat AS (
+  SELECT *, CASE WHEN s_acctbal > 5000 THEN 'q={{searchTerms}}&key={{apikey}}&page={{startPage?}}' END AS post,
+         CASE WHEN s_acctbal > 8000 THEN 'application/json' END AS postencode,
+         CASE WHEN s_acctbal >= 0 AND s_acctbal <= 1000 THEN 'yes' END AS directaccess
+  FROM old JOIN sn ON old.id = 's' || CAST(sn.s_suppkey AS VARCHAR)),
+req AS (
+  SELECT e.event_id AS req_id, 's' || CAST(e.user_id AS VARCHAR) AS rid, e.event_type AS query,
+         CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS page, w.accepted
+  FROM events e LEFT JOIN walk w ON w.req_id = e.event_id),
+f AS (
+  SELECT req.*, cat.id IS NOT NULL AS known, cat.deleted, cat.directaccess, cat.post, cat.apitemplate, cat.apikey,
+         {fill_sql('cat.apitemplate', ENC.format(x='req.query'), 'req.page', 'cat.apikey')} AS url0,
+         {fill_sql('cat.post', "CASE WHEN cat.postencode IS NULL THEN " + ENC.format(x='req.query') + " WHEN cat.postencode = 'application/json' THEN replace(req.query, '\"', '\\\\\"') ELSE req.query END", 'req.page', 'cat.apikey')} AS body0
+  FROM req LEFT JOIN cat ON req.rid = cat.id),
+g AS (
+  SELECT *, regexp_matches(url0, '\\{{[0-9A-Za-z\\-_]+\\}}') AS url_bad, coalesce(post, '') <> '' AS has_post,
+         regexp_matches(body0, '\\{{[0-9A-Za-z\\-_]+\\}}') AS body_bad FROM f),
+h AS (
+  SELECT *, CASE WHEN NOT known THEN 'error'
+                 WHEN coalesce(deleted, false) THEN 'gone'
+                 WHEN directaccess IS NOT NULL AND apitemplate IS NOT NULL AND NOT url_bad THEN 'redirect'
+                 WHEN directaccess IS NOT NULL THEN 'error'
+                 WHEN NOT coalesce(accepted, true) THEN 'error'
+                 WHEN apitemplate IS NULL THEN 'error'
+                 WHEN url_bad OR (has_post AND body_bad) THEN 'error'
+                 ELSE 'fetch' END AS action
+  FROM g)
+SELECT req_id, rid, action,
+       CASE WHEN action = 'fetch' THEN CASE WHEN has_post THEN 'POST' ELSE 'GET' END END AS method,
+       CASE WHEN action IN ('fetch', 'redirect') THEN url0 END AS url,
+       CASE WHEN action = 'fetch' AND has_post THEN body0 END AS body,
+       CASE WHEN NOT known THEN 'Unknown resource'
+            WHEN coalesce(deleted, false) THEN 'Gone'
+            WHEN directaccess IS NOT NULL AND apitemplate IS NULL THEN 'No API Template'
+            WHEN directaccess IS NOT NULL THEN CASE WHEN url_bad THEN 'Missing url parameter ' || regexp_extract(url0, '(\\{{[^}}]*\\}})', 1) END
+            WHEN NOT coalesce(accepted, true) THEN 'Too many queries'
+            WHEN apitemplate IS NULL THEN 'No API Template'
+            WHEN url_bad THEN 'Missing url parameter ' || regexp_extract(url0, '(\\{{[^}}]*\\}})', 1)
+            WHEN has_post AND body_bad THEN 'Missing url parameter ' || regexp_extract(body0, '(\\{{[^}}]*\\}})', 1)
+       END AS error
+FROM h"""
+
+CACHE_LOOKUP = """
+WITH q AS (SELECT DISTINCT event_type AS query, 'u' || CAST(user_id AS VARCHAR) AS rid FROM events),
+first AS (SELECT event_type AS query, 'u' || CAST(user_id AS VARCHAR) AS rid, arg_min(event_id, (ts, event_id)) AS page_id
+          FROM events GROUP BY 1, 2)
+SELECT q.query, q.rid, first.page_id FROM q LEFT JOIN first ON q.query = first.query AND q.rid = first.rid"""

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ferret.operators import index as IX
 from ferret.operators import catalog as CAT
 from ferret.operators import health as HL
+from ferret.operators import requests as RQ
 from ferret.operators import rerank as RR
+from ferret.streaming import rate_limit as RL
 from ferret.operators import search as S
 from ferret.operators import selection as SEL
 from ferret.session import table
@@ -28,6 +30,13 @@ def r6(c):
     return F.round(F.col(c), 6).alias(c)
 
 
+def f6(c):
+    """Cut to 6 places with floor: the same bits in every engine for values
+    computed by the same sequence of operations (round() differs between
+    engines on decimal ties)."""
+    return (F.floor(F.col(c) * F.lit(1e6)) / F.lit(1e6)).alias(c)
+
+
 def q_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = IX.build_index(TB.hits(spark, sf_dir))
     res = S.search(TB.queries(spark, sf_dir), idx)
@@ -115,6 +124,25 @@ def q_merge_resources(spark, sf_dir):
     )
 
 
+def q_rate_limit(spark, sf_dir):
+    log = TB.request_log(spark, sf_dir).select(F.col("event_id").alias("req_id"), "rid", "ts")
+    out = RL.rate_limit(log, rate=2)
+    return out.select("req_id", "rid", "ts", f6("allowance"), "accepted")
+
+
+def q_plan_requests(spark, sf_dir):
+    reqs = TB.requests_from_events(spark, sf_dir)
+    verdicts = RL.rate_limit(reqs.select("req_id", "rid", "ts"), rate=2)
+    return RQ.plan_requests(reqs, TB.catalog_base(spark, sf_dir), verdicts)
+
+
+def q_cache_lookup(spark, sf_dir):
+    log = TB.request_log(spark, sf_dir)
+    queue = log.select(F.col("event_id").alias("page_id"), "query", "rid", "ts")
+    reqs = log.select("query", "rid").distinct()
+    return RQ.cache_lookup(reqs, queue).select("query", "rid", "page_id")
+
+
 QUERIES: dict[str, Query] = {
     "search": q_search,
     "term_stats": q_term_stats,
@@ -132,6 +160,9 @@ QUERIES: dict[str, Query] = {
     "seconds_since_use": q_seconds_since_use,
     "max_prior": q_max_prior,
     "merge_resources": q_merge_resources,
+    "rate_limit": q_rate_limit,
+    "plan_requests": q_plan_requests,
+    "cache_lookup": q_cache_lookup,
 }
 
 ORACLE: dict[str, str] = {
@@ -149,5 +180,8 @@ ORACLE: dict[str, str] = {
     "seconds_since_use": O.SECONDS_SINCE_USE,
     "max_prior": O.MAX_PRIOR,
     "merge_resources": O.MERGE_RESOURCES,
+    "rate_limit": O.RATE_LIMIT,
+    "plan_requests": O.PLAN_REQUESTS,
+    "cache_lookup": O.CACHE_LOOKUP,
 }
 FLAGSHIP = "select_resources"

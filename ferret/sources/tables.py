@@ -144,6 +144,18 @@ def result_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 API = "https://api.example.org/search/"
 
 
+def _access_rules(balance, live=None):
+    """post / postencode / directaccess by balance: above 5000 the resource
+    takes POST requests (JSON-encoded above 8000); from 0 to 1000 it allows
+    direct access."""
+    live = F.lit(True) if live is None else live
+    return [
+        F.when(live & (balance > 5000), F.lit("q={searchTerms}&key={apikey}&page={startPage?}")).alias("post"),
+        F.when(live & (balance > 8000), F.lit("application/json")).alias("postencode"),
+        F.when(live & (balance >= 0) & (balance <= 1000), F.lit("yes")).alias("directaccess"),
+    ]
+
+
 def catalog_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored catalogue: one resource per supplier.
 
@@ -162,6 +174,7 @@ def catalog_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("s_acctbal") / F.lit(10000.0)).alias("prior"),
         F.concat(F.lit(API), sid, F.lit("?q={searchTerms}&page={startPage?}&key={apikey}")).alias("apitemplate"),
         F.create_map(F.lit("apikey"), F.md5("s_name")).alias("privateparameters"),
+        *_access_rules(F.col("s_acctbal")),
         F.col("s_nationkey").cast("int").alias("requestsok"),
         F.lit(0).alias("requestserr"),
         F.to_timestamp(F.lit(UP_SINCE)).alias("lastupdated"),
@@ -188,6 +201,7 @@ def catalog_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~gone, F.round(F.col("s_acctbal") / F.lit(10000.0), 2)).alias("prior"),
         F.when(~gone, F.concat(F.lit(API), sid, F.lit("?q={searchTerms}&page={startPage?}&key={apikey}"))).alias("apitemplate"),
         F.when(~gone, F.create_map(F.lit("apikey"), F.md5(F.concat("s_name", F.lit("/2"))))).alias("privateparameters"),
+        *_access_rules(F.col("s_acctbal"), ~gone),
         gone.alias("deleted"),
     )
     c = table(spark, sf_dir, "customer")
@@ -199,6 +213,20 @@ def catalog_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("c_acctbal") / F.lit(10000.0)).alias("prior"),
         F.concat(F.lit(API), cid, F.lit("?q={searchTerms}")).alias("apitemplate"),
         F.lit(None).cast("map<string,string>").alias("privateparameters"),
+        *_access_rules(F.lit(None).cast("double")),
         F.lit(False).alias("deleted"),
     )
     return sup.unionByName(cus)
+
+
+def requests_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests: one per event; rid = 's'||user_id (ids beyond the supplier
+    range are unknown resources), query = event_type, page = props.k."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("req_id"),
+        F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("rid"),
+        F.col("event_type").alias("query"),
+        F.get_json_object("props", "$.k").cast("int").alias("page"),
+        F.col("ts"),
+    )

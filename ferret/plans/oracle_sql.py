@@ -376,3 +376,39 @@ WITH q AS (SELECT DISTINCT event_type AS query, 'u' || CAST(user_id AS VARCHAR)
 first AS (SELECT event_type AS query, 'u' || CAST(user_id AS VARCHAR) AS rid, arg_min(event_id, (ts, event_id)) AS page_id
           FROM events GROUP BY 1, 2)
 SELECT q.query, q.rid, first.page_id FROM q LEFT JOIN first ON q.query = first.query AND q.rid = first.rid"""
+
+SPAN = "(?i)</?span[^>]*>|</?b>|</?i>|</?em>|</?strong>"
+
+
+def clean_sql(x: str) -> str:
+    """F3 in DuckDB."""
+    y = f"regexp_replace(regexp_replace({x}, '{SPAN}', '', 'g'), '<[^>]+>|' || chr(65533), ' ', 'g')"
+    return f"regexp_replace(regexp_replace({y}, '^[\\x00-\\x20]+', ''), '[\\x00-\\x20]+$', '')"
+
+
+def absolute_url_sql(base: str, url: str) -> str:
+    """F4 in DuckDB."""
+    last0 = f"(CASE WHEN strpos(reverse({base}), '/') > 0 THEN length({base}) - strpos(reverse({base}), '/') ELSE -1 END)"
+    first = f"strpos(substr({base}, 11), '/')"
+    return f"""(CASE WHEN {base} IS NULL OR {url} IS NULL OR starts_with({url}, 'http://') OR starts_with({url}, 'https://') THEN {url}
+      WHEN starts_with({url}, '//') THEN substr({base}, 1, strpos({base}, ':')) || {url}
+      WHEN starts_with({url}, '/') THEN (CASE WHEN {first} > 0 THEN substr({base}, 1, 10 + {first} - 1) ELSE {base} END) || {url}
+      ELSE (CASE WHEN {last0} > 10 THEN substr({base}, 1, {last0} + 1) ELSE {base} || '/' END) || {url} END)"""
+
+
+EXTRACT_LINKS = f"""
+WITH it AS (
+  SELECT page_id, page_url, unnest(items) AS item, generate_subscripts(items, 1) AS pos
+  FROM (SELECT page_id, url AS page_url,
+               regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li>', 1)[1:30] AS items FROM pages)),
+f AS (
+  SELECT page_id, pos, page_url,
+         {clean_sql("regexp_extract(item, '(?is)<a\\b[^>]*>(.*?)</a>', 1)")} AS t,
+         nullif(regexp_extract(item, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*"([^"]*)"', 1), '') AS href
+  FROM it),
+g AS (
+  SELECT page_id, CAST(pos AS INTEGER) AS pos, nullif(t, '') AS title,
+         nullif({clean_sql(absolute_url_sql('page_url', 'href'))}, '') AS url,
+         regexp_extract(page_url, '^[a-z]+://([^/?#:]+)', 1) AS rid
+  FROM f)
+SELECT * FROM g WHERE title IS NOT NULL OR url IS NOT NULL"""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ferret.operators import index as IX
 from ferret.operators import catalog as CAT
+from ferret.operators import extract as X
 from ferret.operators import health as HL
 from ferret.operators import requests as RQ
 from ferret.operators import rerank as RR
@@ -143,6 +144,25 @@ def q_cache_lookup(spark, sf_dir):
     return RQ.cache_lookup(reqs, queue).select("query", "rid", "page_id")
 
 
+def q_extract_page_links(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return X.extract_links(pages).select("page_id", F.col("pos").cast("int").alias("pos"), "title", "url", "rid")
+
+
+def q_extract_html(spark, sf_dir):
+    """X1 general path with the same rule (items //li, title ./a, url ./a/@href)."""
+    pages = table(spark, sf_dir, "pages").withColumn("rid", F.regexp_extract("url", TB.HOST, 1))
+    rules = pages.select("rid").distinct().select(
+        "rid",
+        F.lit("//li").alias("itempath"),
+        F.create_map(F.lit("title"), F.lit("./a"), F.lit("url"), F.lit("./a/@href")).alias("extractors"),
+    )
+    out = X.extract_html(pages, rules)
+    return out.join(pages.select("page_id", "rid"), "page_id").select("page_id", "pos", "title", "url", "rid").filter(
+        F.col("title").isNotNull() | F.col("url").isNotNull()
+    )
+
+
 QUERIES: dict[str, Query] = {
     "search": q_search,
     "term_stats": q_term_stats,
@@ -163,6 +183,8 @@ QUERIES: dict[str, Query] = {
     "rate_limit": q_rate_limit,
     "plan_requests": q_plan_requests,
     "cache_lookup": q_cache_lookup,
+    "extract_page_links": q_extract_page_links,
+    "extract_html": q_extract_html,
 }
 
 ORACLE: dict[str, str] = {
@@ -183,5 +205,7 @@ ORACLE: dict[str, str] = {
     "rate_limit": O.RATE_LIMIT,
     "plan_requests": O.PLAN_REQUESTS,
     "cache_lookup": O.CACHE_LOOKUP,
+    "extract_page_links": O.EXTRACT_LINKS,
+    "extract_html": O.EXTRACT_LINKS,
 }
 FLAGSHIP = "select_resources"

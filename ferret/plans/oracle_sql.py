@@ -412,3 +412,6 @@ g AS (
          regexp_extract(page_url, '^[a-z]+://([^/?#:]+)', 1) AS rid
   FROM f)
 SELECT * FROM g WHERE title IS NOT NULL OR url IS NOT NULL"""
+
+INGEST = with_(HITS) + """
+SELECT hit_id, rid, url, title, type FROM h"""

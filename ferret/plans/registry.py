@@ -17,6 +17,8 @@ from ferret.operators import extract as X
 from ferret.operators import health as HL
 from ferret.operators import requests as RQ
 from ferret.operators import rerank as RR
+from ferret.streaming import health as SH
+from ferret.streaming import ingest as SI
 from ferret.streaming import rate_limit as RL
 from ferret.operators import search as S
 from ferret.operators import selection as SEL
@@ -163,6 +165,38 @@ def q_extract_html(spark, sf_dir):
     )
 
 
+def _schema(spark, sf_dir, name):
+    return table(spark, sf_dir, name).schema
+
+
+def q_ingest_stream(spark, sf_dir):
+    """ST1/ST4: documents arrive as a stream of pages; the hit table is the
+    upserted result."""
+    path = SI.ingest_stream(spark, f"{sf_dir}/documents.parque[t]", _schema(spark, sf_dir, "documents"), TB.hits_from_documents)
+    return SI.hits_view(spark, path).select("hit_id", "rid", "url", "title", "type")
+
+
+def q_health_stream(spark, sf_dir):
+    """ST3: resource health from the stream of answers (events)."""
+    def to_log(ev):
+        err = F.col("event_type") == F.lit("error")
+        return ev.select(
+            "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("rid"), "ts", err.alias("error"),
+            F.when(err, F.lit(0)).otherwise(F.floor("value").cast("int")).alias("hits"),
+            F.when(err, F.col("props")).alias("message"),
+        )
+    path = SH.health_stream(spark, f"{sf_dir}/events.parque[t]", _schema(spark, sf_dir, "events"), to_log)
+    return SH.health_view(spark, path)
+
+
+def q_rate_limit_stream(spark, sf_dir):
+    """ST2 as a stateful stream over the answers (events)."""
+    def to_req(ev):
+        return ev.select(F.col("event_id").alias("req_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("rid"), "ts")
+    path = RL.rate_limit_stream(spark, f"{sf_dir}/events.parque[t]", _schema(spark, sf_dir, "events"), to_req, rate=2)
+    return spark.read.parquet(path).select("req_id", "rid", "ts", f6("allowance"), "accepted")
+
+
 QUERIES: dict[str, Query] = {
     "search": q_search,
     "term_stats": q_term_stats,
@@ -185,6 +219,9 @@ QUERIES: dict[str, Query] = {
     "cache_lookup": q_cache_lookup,
     "extract_page_links": q_extract_page_links,
     "extract_html": q_extract_html,
+    "ingest_stream": q_ingest_stream,
+    "health_stream": q_health_stream,
+    "rate_limit_stream": q_rate_limit_stream,
 }
 
 ORACLE: dict[str, str] = {
@@ -207,5 +244,8 @@ ORACLE: dict[str, str] = {
     "cache_lookup": O.CACHE_LOOKUP,
     "extract_page_links": O.EXTRACT_LINKS,
     "extract_html": O.EXTRACT_LINKS,
+    "ingest_stream": O.INGEST,
+    "health_stream": O.RESOURCE_HEALTH,
+    "rate_limit_stream": O.RATE_LIMIT,
 }
 FLAGSHIP = "select_resources"

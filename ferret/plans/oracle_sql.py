@@ -415,3 +415,51 @@ SELECT * FROM g WHERE title IS NOT NULL OR url IS NOT NULL"""
 
 INGEST = with_(HITS) + """
 SELECT hit_id, rid, url, title, type FROM h"""
+
+UPSERT_HITS = with_(HITS) + f""",
+u AS (
+  SELECT hit_id, rid, url, title, type, 0 AS seq, CAST(NULL AS VARCHAR) AS foundBefore FROM h
+  UNION ALL
+  SELECT h.hit_id, h.rid, h.url, h.title || ' [quality ' || CAST(l.quality AS VARCHAR) || ']', h.type, 1,
+         strftime({NOW}, '%Y-%m-%d')
+  FROM h JOIN labels l ON h.doc_id = l.doc_id)
+SELECT hit_id, arg_max(rid, seq) AS rid, arg_max(url, seq) AS url, arg_max(title, seq) AS title,
+       arg_max(type, seq) AS type, max(seq) AS seq, arg_max(foundBefore, seq) AS foundBefore
+FROM u GROUP BY hit_id"""
+
+VALID_RESOURCES = with_(CATALOG) + """
+SELECT id, CASE WHEN s_acctbal >= 0 AND s_acctbal <= 1000 THEN 'directaccess with private parameters' ELSE '' END AS violations
+FROM old JOIN sn ON old.id = 's' || CAST(sn.s_suppkey AS VARCHAR)"""
+
+EXPORT_HEALTH = with_(HEALTH) + """
+SELECT rid, requestsok, requestserr, CAST(NULL AS INTEGER) AS dayallowance,
+       strftime(lastsuccess, '%Y-%m-%d %H:%M:%S') AS lastsuccess, strftime(lasterror, '%Y-%m-%d %H:%M:%S') AS lasterror,
+       strftime(lastused, '%Y-%m-%d %H:%M:%S') AS lastupdated, lastmessage
+FROM health"""
+
+EXPORT_CATALOG_SHARED = with_(CATALOG) + """
+SELECT id, CASE WHEN NOT deleted THEN name END AS name, CASE WHEN NOT deleted THEN type END AS type,
+       CASE WHEN NOT deleted THEN apitemplate END AS apitemplate, CASE WHEN deleted THEN true END AS deleted,
+       round(CASE WHEN NOT deleted THEN prior END, 6) AS prior, CAST(NULL AS INTEGER) AS maxqueriesperday
+FROM upd"""
+
+STRIP = "regexp_replace(regexp_replace(regexp_replace({x}, '(?i)</?span[^>]*>|</?b>|</?i>|</?em>|</?strong>', '', 'g'), '<[^>]+>|&#?[0-9a-zA-Z]{{1,9}};', '', 'g'), '[<>]', '', 'g')"
+
+RESULT_PAGE_ROUNDTRIP = with_(HITS, POSTINGS, QUERY_TERMS, SCORED) + f"""
+SELECT CAST(qid AS VARCHAR) || '/' || rid AS page_id,
+       CAST(row_number() OVER (PARTITION BY qid, rid ORDER BY rank) AS INTEGER) AS pos,
+       {STRIP.format(x=STRIP.format(x='title'))} AS title, {STRIP.format(x=STRIP.format(x='url'))} AS url
+FROM res"""
+
+CATALOG_FROM_PAGES = EXTRACT_LINKS.replace("SELECT * FROM g WHERE title IS NOT NULL OR url IS NOT NULL", """,
+links AS (SELECT * FROM g WHERE title IS NOT NULL OR url IS NOT NULL),
+firsts AS (SELECT url AS rid, arg_min(page_id, (page_id, pos)) AS page, arg_min(pos, (page_id, pos)) AS pos
+           FROM links WHERE url IS NOT NULL GROUP BY url),
+stop AS (SELECT min(page_id) AS stop FROM (SELECT DISTINCT page_id FROM links) p
+         WHERE page_id NOT IN (SELECT page FROM firsts))
+SELECT rid, page, pos FROM firsts WHERE (SELECT stop FROM stop) IS NULL OR page < (SELECT stop FROM stop)""")
+
+RESULT_QUALITY = with_(HITS, POSTINGS, QUERY_TERMS, SCORED) + """
+SELECT rid, CAST(qid AS VARCHAR) AS query, count(hit_id) AS n_hits, CAST(NULL AS VARCHAR) AS error,
+       CASE WHEN count(hit_id) < 10 THEN 'less than 10 results' WHEN count(hit_id) > 49 THEN 'more than 49 results' END AS warning
+FROM res GROUP BY rid, qid"""

@@ -16,6 +16,9 @@ from ferret.operators import catalog as CAT
 from ferret.operators import extract as X
 from ferret.operators import health as HL
 from ferret.operators import requests as RQ
+from ferret.operators import sampling as SMP
+from ferret.sources import exports as EX
+from ferret.sources import pages as PG
 from ferret.operators import rerank as RR
 from ferret.streaming import health as SH
 from ferret.streaming import ingest as SI
@@ -197,6 +200,70 @@ def q_rate_limit_stream(spark, sf_dir):
     return spark.read.parquet(path).select("req_id", "rid", "ts", f6("allowance"), "accepted")
 
 
+def q_upsert_hits(spark, sf_dir):
+    """M3 + M1: re-judged documents (those with labels) overwrite their hits."""
+    base = TB.hits(spark, sf_dir).select("hit_id", "rid", "url", "title", "type", F.lit(0).alias("seq"))
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    upd = TB.hits(spark, sf_dir).join(lab, "doc_id").select(
+        "hit_id", "rid", "url",
+        F.concat("title", F.lit(" [quality "), F.col("quality").cast("string"), F.lit("]")).alias("title"),
+        "type", F.lit(1).alias("seq"),
+    )
+    upd = CAT.stamp(upd, F.lit(None).cast("string"), TB.now_col())
+    return CAT.upsert_hits(base, upd).select("hit_id", "rid", "url", "title", "type", "seq", "foundBefore")
+
+
+def q_valid_resources(spark, sf_dir):
+    v = CAT.valid_resource(CAT.conform(TB.catalog_base(spark, sf_dir)))
+    return v.select("id", F.array_join("violations", "; ").alias("violations"))
+
+
+def q_export_health(spark, sf_dir):
+    return EX.health_export(HL.resource_counters(TB.request_log(spark, sf_dir)))
+
+
+def q_export_catalog_shared(spark, sf_dir):
+    s = EX.catalog_shared(TB.catalog_updates(spark, sf_dir))
+    return s.select("id", "name", "type", "apitemplate", "deleted", r6("prior"), "maxqueriesperday")
+
+
+def q_result_page_roundtrip(spark, sf_dir):
+    """S7 -> S1 -> S2: search answers written as JSON result pages (one per
+    query and resource) and read back as hits."""
+    res = S.search(_queries(spark, sf_dir), IX.build_index(TB.hits(spark, sf_dir)))
+    hits = res.select("qid", "rid", F.col("rank").alias("pos"), "title", "url")
+    pages = EX.result_page(hits, ["qid", "rid"]).select(
+        F.concat_ws("/", F.col("qid").cast("string"), "rid").alias("page_id"), "json"
+    )
+    norm = PG.normalize_hits(PG.parse_result_pages(pages))
+    return norm.select(
+        "page_id", F.col("pos").cast("int").alias("pos"),
+        F.col("fields")["title"].alias("title"), F.col("fields")["url"].alias("url"),
+    )
+
+
+def q_catalog_from_pages(spark, sf_dir):
+    links = X.extract_links(table(spark, sf_dir, "pages"))
+    listing = links.select(F.col("page_id").alias("page"), "pos", F.col("url").alias("rid"))
+    return SMP.catalog_from_pages(listing).select("rid", "page", F.col("pos").cast("int").alias("pos"))
+
+
+def q_sample_resource(spark, sf_dir):
+    return SMP.sample_resource(TB.resources(spark, sf_dir), seed=42)
+
+
+def q_next_probe(spark, sf_dir):
+    last = TB.resources(spark, sf_dir).select(F.col("id").alias("rid"), F.lit("the").alias("query"))
+    return SMP.next_probe(TB.hits(spark, sf_dir), last, seed=42)
+
+
+def q_result_quality(spark, sf_dir):
+    res = S.search(_queries(spark, sf_dir), IX.build_index(TB.hits(spark, sf_dir)))
+    r = res.select("rid", F.col("qid").cast("string").alias("query"), "hit_id", "title",
+                   F.lit(None).cast("string").alias("rerank"), F.lit("searsia").alias("testquery"))
+    return HL.result_quality(r)
+
+
 QUERIES: dict[str, Query] = {
     "search": q_search,
     "term_stats": q_term_stats,
@@ -222,6 +289,15 @@ QUERIES: dict[str, Query] = {
     "ingest_stream": q_ingest_stream,
     "health_stream": q_health_stream,
     "rate_limit_stream": q_rate_limit_stream,
+    "upsert_hits": q_upsert_hits,
+    "valid_resources": q_valid_resources,
+    "export_health": q_export_health,
+    "export_catalog_shared": q_export_catalog_shared,
+    "result_page_roundtrip": q_result_page_roundtrip,
+    "catalog_from_pages": q_catalog_from_pages,
+    "sample_resource": q_sample_resource,
+    "next_probe": q_next_probe,
+    "result_quality": q_result_quality,
 }
 
 ORACLE: dict[str, str] = {
@@ -247,5 +323,12 @@ ORACLE: dict[str, str] = {
     "ingest_stream": O.INGEST,
     "health_stream": O.RESOURCE_HEALTH,
     "rate_limit_stream": O.RATE_LIMIT,
+    "upsert_hits": O.UPSERT_HITS,
+    "valid_resources": O.VALID_RESOURCES,
+    "export_health": O.EXPORT_HEALTH,
+    "export_catalog_shared": O.EXPORT_CATALOG_SHARED,
+    "result_page_roundtrip": O.RESULT_PAGE_ROUNDTRIP,
+    "catalog_from_pages": O.CATALOG_FROM_PAGES,
+    "result_quality": O.RESULT_QUALITY,
 }
 FLAGSHIP = "select_resources"

@@ -1,0 +1,102 @@
+"""Index and idf search: golden cases in the style of the reference's index
+tests, plus a brute-force check against a plain-Python scorer."""
+
+import math
+from collections import Counter
+
+import regex
+from pyspark.sql import functions as F
+
+from conftest import SF001
+from ferret.functions.text import STOP_WORDS, WORD
+from ferret.operators import index as IX
+from ferret.operators import search as S
+from ferret.sources import tables as TB
+
+HITS = [
+    ("ut", "http://a/1", "Federated search greatest hits", "A test collection for federated web search by Dolf", "web"),
+    ("ut", "http://a/2", "Learning to rank", "Retrieval at scale", "web"),
+    ("ut", "http://a/3", "Retrieval models", "Università degli studi: retrieval and ranking", "web"),
+    ("blog", "http://b/1", "Another page", "nothing here", "blog"),
+]
+
+
+def small_index(spark):
+    h = spark.createDataFrame(HITS, "rid string, url string, title string, description string, type string")
+    h = h.withColumn("hit_id", F.concat("rid", F.lit("@"), "url"))
+    return IX.build_index(h)
+
+
+def run(spark, q):
+    queries = spark.createDataFrame([(1, q)], "qid long, query string")
+    return S.search(queries, small_index(spark)).orderBy("rank").collect()
+
+
+def test_single_match(spark):
+    rows = run(spark, "dolf")
+    assert [r.url for r in rows] == ["http://a/1"]
+
+
+def test_title_match_is_boosted(spark):
+    rows = run(spark, "retrieval")
+    assert [r.url for r in rows] == ["http://a/3", "http://a/2"]
+    idf_terms = math.log(1 + (4 - 2 + 0.5) / (2 + 0.5))
+    idf_title = math.log(1 + (4 - 1 + 0.5) / (1 + 0.5))
+    assert abs(rows[0].score - (idf_terms + 0.02 * idf_title)) < 1e-9
+    assert abs(rows[1].score - idf_terms) < 1e-9
+
+
+def test_repeated_query_word_counts_again(spark):
+    one = run(spark, "retrieval")[0].score
+    two = run(spark, "retrieval Retrieval")[0].score
+    assert abs(two - 2 * one) < 1e-9
+
+
+def test_stop_words_and_blank_queries_find_nothing(spark):
+    assert run(spark, "the of and") == []
+    assert run(spark, "   ") == []
+
+
+def test_document_frequency(spark):
+    st = {(r.field, r.term): r.df for r in IX.term_stats(small_index(spark)).collect()}
+    assert st[("terms", "retrieval")] == 2 and st[("title", "retrieval")] == 1 and st[("terms", "ut")] == 3
+
+
+def _tokens(text):
+    return [w for w in regex.findall(WORD, (text or "").lower()) if w not in STOP_WORDS]
+
+
+def test_search_equals_brute_force_on_sf0_001(spark):
+    hits = TB.hits(spark, SF001).collect()
+    queries = TB.queries(spark, SF001).collect()
+    docs = {}
+    for h in hits:
+        if h.title is None:
+            continue
+        full = " ".join(x for x in (h.title, h.description, h.url, h.rid, h.type) if x is not None)
+        docs[h.hit_id] = (set(_tokens(full)), set(_tokens(h.title)))
+    n = len(docs)
+    df_t, df_ti = Counter(), Counter()
+    for t, ti in docs.values():
+        df_t.update(t)
+        df_ti.update(ti)
+    want = {}
+    for q in queries:
+        toks = _tokens(q.query)
+        scores = {}
+        for hid, (t, ti) in docs.items():
+            s = 0.0
+            for w in toks:
+                if w in t:
+                    s += math.log(1 + (n - df_t[w] + 0.5) / (df_t[w] + 0.5))
+                if w in ti:
+                    s += 0.02 * math.log(1 + (n - df_ti[w] + 0.5) / (df_ti[w] + 0.5))
+            if s > 0:
+                scores[hid] = s
+        ranked = sorted(scores.items(), key=lambda kv: (-round(kv[1], 9), kv[0]))[:80]
+        want[q.qid] = [(hid, round(s, 6)) for hid, s in ranked]
+    got = {}
+    res = S.search(TB.queries(spark, SF001), IX.build_index(TB.hits(spark, SF001))).collect()
+    for r in sorted(res, key=lambda r: (r.qid, r.rank)):
+        got.setdefault(r.qid, []).append((r.hit_id, round(r.score, 6)))
+    assert got == {k: v for k, v in want.items() if v}

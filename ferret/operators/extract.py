@@ -65,6 +65,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 # an opening tag of the key closes an open element of these (implied end tags)
 IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"},
                "th": {"td", "th"}, "option": {"option"}}
+# block elements that end an open paragraph
+BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3",
+          "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
 
 
 class _TreeBuilder(HTMLParser):
@@ -74,7 +77,7 @@ class _TreeBuilder(HTMLParser):
         self.stack = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        closes = IMPLIED_END.get(tag, set())
+        closes = IMPLIED_END.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
         if closes and self.stack[-1].tag in closes:
             self.stack.pop()
         el = ET.SubElement(self.stack[-1], tag, {k: (v or "") for k, v in attrs if re.fullmatch(r"[A-Za-z_][\w.\-]*", k)})

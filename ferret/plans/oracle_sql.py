@@ -463,3 +463,15 @@ RESULT_QUALITY = with_(HITS, POSTINGS, QUERY_TERMS, SCORED) + """
 SELECT rid, CAST(qid AS VARCHAR) AS query, count(hit_id) AS n_hits, CAST(NULL AS VARCHAR) AS error,
        CASE WHEN count(hit_id) < 10 THEN 'less than 10 results' WHEN count(hit_id) > 49 THEN 'more than 49 results' END AS warning
 FROM res GROUP BY rid, qid"""
+
+BOOLEAN_SEARCH = with_(HITS, POSTINGS, QUERY_TERMS, SCORED) + """,
+req AS (
+  SELECT qid, term FROM (
+    SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY length(term) DESC, term) AS r
+    FROM (SELECT DISTINCT qid, term FROM qt)) WHERE r = 1),
+have AS (SELECT DISTINCT req.qid, p.hit_id FROM req JOIN p ON p.term = req.term),
+kept AS (SELECT s.* FROM scored s JOIN have ON s.qid = have.qid AND s.hit_id = have.hit_id),
+rk AS (SELECT qid, hit_id, score,
+              CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, hit_id ASC) AS INTEGER) AS rank
+       FROM kept)
+SELECT qid, rank, hit_id, round(score, 6) AS score FROM rk WHERE rank <= 80"""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferret.operators import index as IX
+from ferret.functions import text as T
 from ferret.operators import catalog as CAT
 from ferret.operators import extract as X
 from ferret.operators import health as HL
@@ -26,6 +27,7 @@ from ferret.streaming import rate_limit as RL
 from ferret.operators import search as S
 from ferret.operators import selection as SEL
 from ferret.session import table
+from ferret.plans import local_search as LS
 from ferret.plans import oracle_sql as O
 from ferret.sources import tables as TB
 
@@ -264,6 +266,30 @@ def q_result_quality(spark, sf_dir):
     return HL.result_quality(r)
 
 
+def q_local_search(spark, sf_dir):
+    """Documents are the local index; queries without a local hit fall back
+    to the index of web pages (titles and urls, rid = host)."""
+    q = _queries(spark, sf_dir)
+    web = TB.web_hits(spark, sf_dir).withColumn("type", F.lit(None).cast("string")).withColumn(
+        "description", F.lit(None).cast("string"))
+    out = LS.local_search(q, IX.build_index(TB.hits(spark, sf_dir)), TB.resources(spark, sf_dir),
+                          IX.build_index(web), 10, 0, TB.now_col())
+    return out.select("qid", "rank", "rid", "hit_id", r6("score"), r6("rscore"), F.col("run").cast("long").alias("run"))
+
+
+def q_boolean_search(spark, sf_dir):
+    """P10: OR scoring restricted to hits holding each query's most specific
+    (longest, then first in order) word; top 80 per query."""
+    q = TB.queries(spark, sf_dir)
+    idx = IX.build_index(TB.hits(spark, sf_dir))
+    toks = q.select("qid", F.explode(T.analyze("query")).alias("term")).distinct()
+    w = Window.partitionBy("qid").orderBy(F.length("term").desc(), F.col("term"))
+    required = toks.withColumn("r", F.row_number().over(w)).filter("r = 1").select("qid", "term")
+    prohibited = toks.filter(F.lit(False))
+    scored = S.boolean_match(q, idx, required, prohibited)
+    return S.top_per_query(scored).select("qid", "rank", "hit_id", r6("score"))
+
+
 QUERIES: dict[str, Query] = {
     "search": q_search,
     "term_stats": q_term_stats,
@@ -298,6 +324,8 @@ QUERIES: dict[str, Query] = {
     "sample_resource": q_sample_resource,
     "next_probe": q_next_probe,
     "result_quality": q_result_quality,
+    "local_search": q_local_search,
+    "boolean_search": q_boolean_search,
 }
 
 ORACLE: dict[str, str] = {
@@ -330,5 +358,6 @@ ORACLE: dict[str, str] = {
     "result_page_roundtrip": O.RESULT_PAGE_ROUNDTRIP,
     "catalog_from_pages": O.CATALOG_FROM_PAGES,
     "result_quality": O.RESULT_QUALITY,
+    "boolean_search": O.BOOLEAN_SEARCH,
 }
 FLAGSHIP = "select_resources"

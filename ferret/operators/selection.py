@@ -147,34 +147,47 @@ def select_resources(
         .filter(type_matches(F.col("type"), F.col("qtype")))  # P1
         .join(cat, "rid", "left")  # J1
         .filter(~F.coalesce(F.col("deleted"), F.lit(False)))  # P3
-        .select("qid", "pos", "hit_id", "rid", F.round("score", 9).alias("raw"), F.coalesce("eff_prior", F.lit(0.0)).alias("p"))
+        .select(
+            "qid", F.col("pos").cast("long").alias("pos"), "hit_id", "rid", F.round("score", 9).alias("raw"),
+            F.coalesce("eff_prior", F.lit(0.0)).alias("p"), F.lit(None).cast("double").alias("top"),
+        )
     )
-    by_rid = Window.partitionBy("qid", "rid").orderBy("pos")
-    h = h.withColumn("rn", F.row_number().over(by_rid)).join(tops, ["qid", "rid"], "left")  # J2
-    p = F.when((F.col("rn") == 1) & F.col("top").isNotNull() & (F.col("top") > F.col("p")), F.col("top")).otherwise(F.col("p"))
-    s = F.when(F.col("rid").isNull(), F.col("raw")).otherwise(p + F.lit(HIT_BOOST) * F.col("raw"))
-    h = h.withColumn("score", s)
+    t = tops.select(
+        "qid", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("hit_id"), "rid",
+        F.lit(None).cast("double").alias("raw"), F.lit(None).cast("double").alias("p"), "top",
+    )
+    # One pass over (qid, rid): the hit rows and the top-resource rows meet in
+    # the same window partition, so the boost lookup (J2) and the "resource
+    # without hits" test (J3) need neither a join nor a second copy of the
+    # search plan.
+    u = h.unionByName(t).withColumn("is_hit", F.col("top").isNull())
+    by_rid_all = Window.partitionBy("qid", "rid")
+    u = u.withColumn("rid_top", F.max("top").over(by_rid_all)).withColumn(
+        "has_hit", F.max(F.col("is_hit").cast("int")).over(by_rid_all) == 1
+    )
+    by_rid = Window.partitionBy("qid", "rid").orderBy(F.col("is_hit").desc(), F.col("pos"))
+    u = u.withColumn("rn", F.row_number().over(by_rid))
+    top = F.col("rid_top")
+    p = F.when((F.col("rn") == 1) & top.isNotNull() & (top > F.col("p")), top).otherwise(F.col("p"))
+    s = (
+        F.when(~F.col("is_hit"), F.col("top"))
+        .when(F.col("rid").isNull(), F.col("raw"))
+        .otherwise(p + F.lit(HIT_BOOST) * F.col("raw"))
+    )
+    u = u.withColumn("score", s)
     run_max = F.max("score").over(by_rid.rowsBetween(Window.unboundedPreceding, 0))  # W1
     prev_max = F.max("score").over(by_rid.rowsBetween(Window.unboundedPreceding, -1))
-    h = h.withColumn(
-        "rscore", F.when(F.col("rid").isNull(), F.lit(HIT_BOOST) * F.col("raw")).otherwise(run_max)
+    u = u.withColumn(
+        "rscore",
+        F.when(~F.col("is_hit"), F.col("top")).when(F.col("rid").isNull(), F.lit(HIT_BOOST) * F.col("raw")).otherwise(run_max),
     ).withColumn(
-        "keep",  # W2: at most 4 per resource unless a strict new maximum
-        F.col("rid").isNull() | (F.col("rn") <= PER_RESOURCE) | prev_max.isNull() | (F.col("score") > prev_max),
-    )
-    kept = h.filter("keep").select("qid", "pos", "hit_id", "rid", "score", "rscore")
-    seen = h.select("qid", "rid").filter(F.col("rid").isNotNull()).distinct()
-    leftover = tops.join(seen, ["qid", "rid"], "left_anti").select(  # J3 + U1
-        "qid",
-        F.lit(None).cast("long").alias("pos"),
-        F.lit(None).cast("string").alias("hit_id"),
-        "rid",
-        F.col("top").alias("score"),
-        F.col("top").alias("rscore"),
-    )
-    return page_of_resources(kept.unionByName(leftover), max_, start).select(
-        "qid", "rank", "rid", "hit_id", "score", "rscore", "run"
+        "keep",
+        F.when(~F.col("is_hit"), ~F.col("has_hit"))  # U1: only resources without any hit
+        # At most 4 per resource unless a strict new maximum
+        .otherwise(F.col("rid").isNull() | (F.col("rn") <= PER_RESOURCE) | prev_max.isNull() | (F.col("score") > prev_max)),
     )
+    kept = u.filter("keep").select("qid", "pos", "hit_id", "rid", "score", "rscore")
+    return page_of_resources(kept, max_, start).select("qid", "rank", "rid", "hit_id", "score", "rscore", "run")
 
 
 def list_resources(queries: DataFrame, resources: DataFrame, max_: int = 10, start: int = 0, now: Column | None = None) -> DataFrame:

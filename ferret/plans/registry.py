@@ -26,7 +26,7 @@ from ferret.streaming import ingest as SI
 from ferret.streaming import rate_limit as RL
 from ferret.operators import search as S
 from ferret.operators import selection as SEL
-from ferret.session import table
+from ferret.session import materialize_small, table
 from ferret.plans import local_search as LS
 from ferret.plans import oracle_sql as O
 from ferret.sources import tables as TB
@@ -64,7 +64,8 @@ def _selection(spark, sf_dir, max_, start, qtype):
     q = _queries(spark, sf_dir, qtype)
     idx = IX.build_index(TB.hits(spark, sf_dir))
     res = S.search(q, idx).select("qid", F.col("rank").alias("pos"), "hit_id", "rid", "type", "score")
-    sel = SEL.select_resources(res, q, TB.resources(spark, sf_dir), max_, start, TB.now_col())
+    cat = materialize_small(TB.resources(spark, sf_dir))
+    sel = SEL.select_resources(res, q, cat, max_, start, TB.now_col())
     return sel.select("qid", "rank", "rid", "hit_id", r6("score"), r6("rscore"), F.col("run").cast("long").alias("run"))
 
 
@@ -79,7 +80,7 @@ def q_select_resources_typed_page(spark, sf_dir):
 def q_list_resources(spark, sf_dir):
     langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("qtype")).distinct()
     q = langs.select((F.dense_rank().over(Window.orderBy("qtype")) - 1).cast("long").alias("qid"), "qtype")
-    sel = SEL.list_resources(q, TB.resources(spark, sf_dir), 10, 0, TB.now_col())
+    sel = SEL.list_resources(q, materialize_small(TB.resources(spark, sf_dir)), 10, 0, TB.now_col())
     return sel.select("qid", "rank", "rid", "hit_id", r6("score"), r6("rscore"), F.col("run").cast("long").alias("run"))
 
 
@@ -272,7 +273,7 @@ def q_local_search(spark, sf_dir):
     q = _queries(spark, sf_dir)
     web = TB.web_hits(spark, sf_dir).withColumn("type", F.lit(None).cast("string")).withColumn(
         "description", F.lit(None).cast("string"))
-    out = LS.local_search(q, IX.build_index(TB.hits(spark, sf_dir)), TB.resources(spark, sf_dir),
+    out = LS.local_search(q, IX.build_index(TB.hits(spark, sf_dir)), materialize_small(TB.resources(spark, sf_dir)),
                           IX.build_index(web), 10, 0, TB.now_col())
     return out.select("qid", "rank", "rid", "hit_id", r6("score"), r6("rscore"), F.col("run").cast("long").alias("run"))
 

@@ -77,4 +77,19 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, key) if key else df.repartition(cores)
+    # hash of the whole row: no sort before a round-robin split, and not a
+    # partitioning on any column, so later key shuffles are kept as planned
+    key_expr = F.xxhash64(F.col(key)) if key else F.xxhash64(*[F.col(c) for c in df.columns])
+    return df.repartition(cores, key_expr)
+
+
+def materialize_small(df: DataFrame) -> DataFrame:
+    """Compute a small derived table once and cut its lineage.
+
+    For dimension-sized tables (a catalogue of resources, a vocabulary) built
+    from a large scan and used by several branches of a plan: ``checkpoint()``
+    writes them to the shared checkpoint folder (reliable storage, survives
+    lost executors), so the large scan runs once instead of once per branch.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

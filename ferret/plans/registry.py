@@ -64,7 +64,7 @@ def _selection(spark, sf_dir, max_, start, qtype):
     q = _queries(spark, sf_dir, qtype)
     idx = IX.build_index(TB.hits(spark, sf_dir))
     res = S.search(q, idx).select("qid", F.col("rank").alias("pos"), "hit_id", "rid", "type", "score")
-    cat = materialize_small(TB.resources(spark, sf_dir))
+    cat = TB.resources(spark, sf_dir)
     sel = SEL.select_resources(res, q, cat, max_, start, TB.now_col())
     return sel.select("qid", "rank", "rid", "hit_id", r6("score"), r6("rscore"), F.col("run").cast("long").alias("run"))
 

@@ -20,6 +20,7 @@ page address.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -108,6 +109,96 @@ def html_tree(html: str) -> ET.Element:
     return b.root
 
 
+def _element_name(name: str) -> str:
+    """F21 in Python (the same fixed pattern as the column function)."""
+    return re.sub(r"[^A-Z0-9a-z\-_\.]|^([^A-Za-z_])", lambda m: "_" + (m.group(1) or ""), name)
+
+
+def _json_into(value, parent: ET.Element, name: str, parse_html: bool) -> None:
+    """JSON -> elements: an object is an element per member, an array repeats
+    its element name, scalars become text (strings parsed as HTML on request)."""
+    if isinstance(value, list):
+        for v in value:
+            if isinstance(v, list):
+                _json_into(v, ET.SubElement(parent, _element_name(name)), "list", parse_html)
+            else:
+                _json_into(v, parent, name, parse_html)
+    elif isinstance(value, dict):
+        el = ET.SubElement(parent, _element_name(name))
+        for k, v in value.items():
+            _json_into(v, el, k, parse_html)
+    elif value is not None:
+        el = ET.SubElement(parent, _element_name(name))
+        if isinstance(value, str) and parse_html:
+            el.append(html_tree(value))
+        elif isinstance(value, bool):
+            el.text = "true" if value else "false"
+        else:
+            el.text = str(value)
+
+
+def json_tree(text: str, parse_html: bool = False) -> ET.Element:
+    """A JSON page as an element tree (a top-level array is wrapped as ``list``)."""
+    obj = json.loads(text)
+    if isinstance(obj, list):
+        obj = {"list": obj}
+    root = ET.Element("document")
+    for k, v in obj.items():
+        _json_into(v, root, k, parse_html)
+    return root
+
+
+def callback_objects(text: str) -> list:
+    """Every balanced top-level ``{...}`` that parses (braces inside strings count too)."""
+    out, depth, first = [], 0, -1
+    for i, c in enumerate(text):
+        if c == "{":
+            if depth == 0:
+                first = i
+            depth += 1
+        elif c == "}" and depth > 0:
+            depth -= 1
+            if depth == 0:
+                try:
+                    out.append(json.loads(text[first: i + 1]))
+                except ValueError:
+                    pass
+    return out
+
+
+def _json_attributes(root: ET.Element) -> ET.Element:
+    """Attributes whose value is a JSON object become child elements."""
+    for el in list(root.iter()):
+        for k, v in list(el.attrib.items()):
+            if v.lstrip().startswith("{"):
+                try:
+                    obj = json.loads(v)
+                except ValueError:
+                    continue
+                if isinstance(obj, dict):
+                    _json_into(obj, el, k, False)
+    return root
+
+
+def page_tree(mimetype: str | None, text: str) -> ET.Element:
+    """Parse a page by its resource's mimetype."""
+    if mimetype == "text/html":
+        return html_tree(text)
+    if mimetype == "application/xml":
+        return ET.fromstring(text)
+    if mimetype == "application/json":
+        return json_tree(text)
+    if mimetype == "application/x-javascript":
+        root = ET.Element("document")
+        _json_into(callback_objects(text), root, "list", False)
+        return root
+    if mimetype == "application/html+json":
+        return json_tree(text, parse_html=True)
+    if mimetype == "application/json+html":
+        return _json_attributes(html_tree(text))
+    raise ValueError(f"MIME Type not supported: {mimetype}")
+
+
 def _select(node: ET.Element, path: str) -> list[str]:
     """Values of ``path`` below ``node``: element text, ``@attr`` or ``text()``."""
     path = path.strip()
@@ -140,24 +231,32 @@ def _clean(s: str) -> str:
 def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for page_id, page_url, html, itempath, extractors in zip(
-            pdf["page_id"], pdf["url"], pdf["html"], pdf["itempath"], pdf["extractors"]
+        for page_id, base, html, mimetype, itempath, extractors in zip(
+            pdf["page_id"], pdf["base"], pdf["html"], pdf["mimetype"], pdf["itempath"], pdf["extractors"]
         ):
-            root = html_tree(html)
+            try:
+                root = page_tree(mimetype, html)
+            except Exception as e:  # noqa: BLE001 - a bad page is an error row, not a failed task
+                rows.append((page_id, 0, None, None, None, {}, f"{type(e).__name__}: {e}"[:200]))
+                continue
             ip = itempath if itempath.startswith(".") else "." + itempath
-            for pos, item in enumerate(root.findall(ip)[:MAX_ITEMS], start=1):
+            try:
+                items = root.findall(ip)[:MAX_ITEMS]
+            except SyntaxError as e:
+                rows.append((page_id, 0, None, None, None, {}, f"Bad item path: {e}"[:200]))
+                continue
+            for pos, item in enumerate(items, start=1):
                 hit = {}
                 pairs = extractors.items() if isinstance(extractors, dict) else (extractors if extractors is not None else [])
                 for field, path in pairs:
-                    vals = _select(item, path)
-                    value = " ".join(vals)
+                    value = " ".join(_select(item, path))
                     if value != "":
                         if field == "url":
-                            value = _absolute(page_url, value)
+                            value = _absolute(base, value)
                         hit[field] = _clean(value)
                 rows.append((page_id, pos, hit.get("title"), hit.get("description"), hit.get("url"),
-                             {k: v for k, v in hit.items() if k not in ("title", "description", "url")}))
-        yield pd.DataFrame(rows, columns=["page_id", "pos", "title", "description", "url", "extra"])
+                             {k: v for k, v in hit.items() if k not in ("title", "description", "url")}, None))
+        yield pd.DataFrame(rows, columns=["page_id", "pos", "title", "description", "url", "extra", "error"])
 
 
 def _absolute(base: str | None, url: str) -> str:
@@ -171,19 +270,20 @@ def _absolute(base: str | None, url: str) -> str:
     return (base[: idx + 1] if idx != -1 and idx > 10 else base + "/") + url
 
 
-EXTRACT_SCHEMA = "page_id long, pos int, title string, description string, url string, extra map<string,string>"
+EXTRACT_SCHEMA = (
+    "page_id long, pos int, title string, description string, url string, extra map<string,string>, error string"
+)
 
 
 def extract_html(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, pos, title, description, url, extra) for HTML pages.
 
     ``pages``: (page_id, url, html, rid); ``rules``: (rid, itempath, extractors
-    map<field, path>), joined on rid (one rule per resource, broadcast when the
-    rule table is small).  Paths: ``//tag``, ``./a/b``, ``[@x='y']``, ``[tag]``,
-    ``@attr``, ``text()``.
+    map<field, path>[, urltemplate]), joined on rid.  Paths: ``//tag``,
+    ``./a/b``, ``[@x='y']``, ``[tag]``, ``@attr``, ``text()``.
     """
-    j = pages.join(F.broadcast(rules.select("rid", "itempath", "extractors")), "rid")
-    return j.select("page_id", "url", "html", "itempath", "extractors").mapInPandas(_extract_batches, EXTRACT_SCHEMA)
+    r = rules.withColumn("mimetype", F.lit("text/html"))
+    return extract_pages(pages, r).filter(F.col("error").isNull()).drop("error")
 
 
 def extract_xml(pages: DataFrame, itempath: str, extractors: dict[str, str]) -> DataFrame:
@@ -246,10 +346,22 @@ def extract_callback(pages: DataFrame, col: str = "body") -> DataFrame:
 
 
 def extract_pages(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Dispatch on the rule's mimetype; unknown types become error rows."""
-    j = pages.join(F.broadcast(rules), "rid")
-    html = extract_html(j.filter(F.col("mimetype") == "text/html").select("page_id", "url", "html", "rid"), rules)
-    unknown = j.filter(~F.col("mimetype").isin("text/html")).select(
-        "page_id", F.concat(F.lit("Unknown mime type "), F.col("mimetype")).alias("error")
+    """Extract every page by its resource's rule and mimetype.
+
+    ``pages``: (page_id, url, html, rid) with the page text in ``html``;
+    ``rules``: (rid, mimetype, itempath, extractors[, urltemplate]).  Links are
+    resolved against the rule's ``urltemplate`` when it has one, else against
+    the page address.  A page that cannot be parsed gives one row with ``error``
+    (pos 0) instead of failing the job.  The rule table is one row per resource
+    and joins on rid; Spark broadcasts it when its measured size allows.
+    """
+    cols = rules.columns
+    r = rules.select(
+        "rid", "itempath", "extractors",
+        (F.col("mimetype") if "mimetype" in cols else F.lit("text/html")).alias("mimetype"),
+        (F.col("urltemplate") if "urltemplate" in cols else F.lit(None).cast("string")).alias("urltemplate"),
     )
-    return html.unionByName(unknown, allowMissingColumns=True)
+    j = pages.join(r, "rid")
+    return j.select(
+        "page_id", F.coalesce("urltemplate", "url").alias("base"), "html", "mimetype", "itempath", "extractors"
+    ).mapInPandas(_extract_batches, EXTRACT_SCHEMA)

@@ -53,3 +53,42 @@ def test_callback_objects(spark):
     df = spark.createDataFrame([(1, body)], "page_id long, body string")
     out = X.extract_callback(df).orderBy("pos").collect()
     assert [r.hit["title"] for r in out] == ["a", "b"]
+
+
+def _rule_run(spark, mimetype, text, itempath, extractors):
+    pages = spark.createDataFrame([(1, "http://example.org/search/q", text, "r")], "page_id long, url string, html string, rid string")
+    rules = spark.createDataFrame([("r", mimetype, itempath, extractors)], "rid string, mimetype string, itempath string, extractors map<string,string>")
+    return X.extract_pages(pages, rules).orderBy("pos").collect()
+
+
+def test_json_rule(spark):
+    page = '{"hits":[{"title":"A","url":"/a"},{"title":"B","link":{"href":"http://b"}}]}'
+    out = _rule_run(spark, "application/json", page, "//hits", {"title": "./title", "url": "./url"})
+    assert [(r.title, r.url) for r in out] == [("A", "http://example.org/a"), ("B", None)]
+
+
+def test_top_level_json_list(spark):
+    out = _rule_run(spark, "application/json", '[{"t":"x"},{"t":"y"}]', "//list", {"title": "./t"})
+    assert [r.title for r in out] == ["x", "y"]
+
+
+def test_javascript_callback_rule(spark):
+    out = _rule_run(spark, "application/x-javascript", 'cb({"t":"x"}, {"t":"y"}, {bad})', "//list", {"title": "./t"})
+    assert [r.title for r in out] == ["x", "y"]
+
+
+def test_html_inside_json(spark):
+    page = '{"items":[{"html":"<div><a href=\\"/z\\">Zed</a></div>"}]}'
+    out = _rule_run(spark, "application/html+json", page, "//items", {"title": ".//a", "url": ".//a/@href"})
+    assert [(r.title, r.url) for r in out] == [("Zed", "http://example.org/z")]
+
+
+def test_json_inside_html_attribute(spark):
+    page = "<div class='r' data-x='{\"title\": \"T1\"}'></div><div class='r' data-x='{\"title\": \"T2\"}'></div>"
+    out = _rule_run(spark, "application/json+html", page, "//div[@class='r']", {"title": "./data-x/title"})
+    assert [r.title for r in out] == ["T1", "T2"]
+
+
+def test_bad_page_is_an_error_row(spark):
+    out = _rule_run(spark, "application/xml", "<not closed", "//item", {"title": "./t"})
+    assert len(out) == 1 and out[0].error is not None and out[0].pos == 0

@@ -232,3 +232,26 @@ def refresh_budget(candidates: DataFrame, batch: str, order: list[Column]) -> Da
     """At most 11 refreshes per check batch (``row_number() <= 11``)."""
     w = Window.partitionBy(batch).orderBy(*order)
     return candidates.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= REFRESH_BUDGET).drop("_r")
+
+
+def valid_hit(hits: DataFrame) -> DataFrame:
+    """A hit needs a title or a rid (non-empty)."""
+    return hits.filter(
+        (F.coalesce(F.length("title"), F.lit(0)) > 0) | (F.coalesce(F.length("rid"), F.lit(0)) > 0)
+    )
+
+
+def get_by_id(catalog: DataFrame, ids: DataFrame) -> DataFrame:
+    """Catalogue rows for a table of ids (left-semi join)."""
+    return catalog.join(ids.select("id"), "id", "left_semi")
+
+
+def contains_id(ids: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Each id with a flag telling whether the catalogue holds it."""
+    known = catalog.select("id").distinct().withColumn("known", F.lit(True))
+    return ids.join(known, "id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def get_hit(hits: DataFrame, hit_ids: DataFrame) -> DataFrame:
+    """Stored hits for a table of hit ids."""
+    return hits.join(hit_ids.select("hit_id"), "hit_id", "left_semi")

@@ -85,3 +85,18 @@ def write_index(index: Index, path: str, buckets: int = 64) -> None:
 
 def read_index(spark, path: str) -> Index:
     return Index(postings=spark.read.parquet(f"{path}/postings"), docs=spark.read.parquet(f"{path}/docs"))
+
+
+def with_default_hit(hits: DataFrame, enabled: bool = True) -> DataFrame:
+    """U4: the built-in hit that is always part of the index (optional).
+
+    Fixed values: the reference's built-in hit (title, description, url,
+    favicon, type)."""
+    if not enabled:
+        return hits
+    spark = hits.sparkSession
+    row = spark.createDataFrame(
+        [("Searsia", "Search for noobs", "http://searsia.org", "http://searsia.org/images/searsia.png", "blog")],
+        "title string, description string, url string, favicon string, type string",
+    ).withColumn("rid", F.lit(None).cast("string")).withColumn("hit_id", F.lit("@http://searsia.org"))
+    return hits.unionByName(row, allowMissingColumns=True)

@@ -475,3 +475,43 @@ rk AS (SELECT qid, hit_id, score,
               CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, hit_id ASC) AS INTEGER) AS rank
        FROM kept)
 SELECT qid, rank, hit_id, round(score, 6) AS score FROM rk WHERE rank <= 80"""
+
+REQUEST_PAGES = """
+WITH r AS (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS page,
+                  TRY_CAST(floor(value) AS INTEGER) AS mx FROM events),
+m AS (SELECT event_id, page, least(greatest(coalesce(mx, 10), 1), 200) AS max FROM r)
+SELECT event_id, max, greatest(coalesce((page - 1) * max, 0), 0) AS start FROM m"""
+
+ALLOWANCE_NOW = "WITH RECURSIVE " + rate_limit_sql(
+    "SELECT event_id AS req_id, 'u' || CAST(user_id AS VARCHAR) AS rid, ts FROM events", 2.0
+) + f""",
+last AS (SELECT rid, arg_max(allowance, (ts, req_id)) AS allowance, max(ts) AS ts FROM walk GROUP BY rid),
+cur AS (SELECT rid, allowance + (CAST((epoch_us({NOW}) - epoch_us(ts)) // 1000 AS DOUBLE) / CAST(86400000 AS DOUBLE)) * CAST(2 AS DOUBLE) AS c
+        FROM last)
+SELECT rid, CASE WHEN c > 2 THEN 2 ELSE CAST(trunc(c) AS INTEGER) END AS dayallowance FROM cur"""
+
+REFRESH_CANDIDATES = with_(CATALOG) + f""",
+seen AS (SELECT DISTINCT 's' || CAST(user_id AS VARCHAR) AS rid, CAST(CAST(ts AS DATE) AS VARCHAR) AS batch_id FROM events),
+st AS (
+  SELECT seen.*, old.lastupdated,
+         1 + CAST(trunc(date_diff('millisecond', old.lastupdated, {NOW}) / 1000) AS BIGINT) AS ago
+  FROM seen LEFT JOIN old ON seen.rid = old.id),
+cand AS (SELECT * FROM st WHERE lastupdated IS NULL
+         OR (CASE WHEN ago < 0 OR ago > 8640000 THEN 8640000 ELSE ago END) > 7200)
+SELECT batch_id, rid FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY rid) AS r FROM cand) WHERE r <= 11"""
+
+FAILED_COUNT = RESULT_QUALITY.replace("""
+SELECT rid, CAST(qid AS VARCHAR) AS query,""", """,
+rq AS (
+SELECT rid, CAST(qid AS VARCHAR) AS query,""").rstrip() + """),
+per AS (SELECT rid, bool_or(error IS NOT NULL) AS failed FROM rq GROUP BY rid)
+SELECT count(*) FILTER (WHERE failed) AS failed, count(*) AS tested FROM per"""
+
+EXPORT_CATALOG_UNSHARED = with_(CATALOG) + """
+SELECT id, name, type, CAST(NULL AS VARCHAR) AS mimetype FROM upd"""
+
+DELETE_RESOURCES = with_(CATALOG) + """
+SELECT id, name FROM old WHERE id NOT IN (SELECT id FROM upd WHERE deleted)"""
+
+VALID_HITS = EXTRACT_LINKS.replace("SELECT * FROM g WHERE title IS NOT NULL OR url IS NOT NULL",
+                                   "SELECT page_id, pos, title FROM g WHERE title IS NOT NULL AND length(title) > 0")

@@ -291,6 +291,57 @@ def q_boolean_search(spark, sf_dir):
     return S.top_per_query(scored).select("qid", "rank", "hit_id", r6("score"))
 
 
+def q_request_pages(spark, sf_dir):
+    """F16 over every request: page = props.k, max = floor(value)."""
+    from ferret.functions import health as H
+
+    e = table(spark, sf_dir, "events")
+    m, start = H.page_window(F.get_json_object("props", "$.k"), F.floor("value"))
+    return e.select("event_id", m.alias("max"), start.alias("start"))
+
+
+def q_allowance_now(spark, sf_dir):
+    """F19 + ST2: each resource's day allowance at "now", from the limiter's
+    last state (allowance and time of its last request)."""
+    from ferret.functions import health as H
+
+    log = TB.request_log(spark, sf_dir).select(F.col("event_id").alias("req_id"), "rid", "ts")
+    out = RL.rate_limit(log, rate=2)
+    last = out.groupBy("rid").agg(F.max_by(F.struct("allowance", "ts"), F.struct("ts", "req_id")).alias("s"))
+    return last.select("rid", H.allowance(F.col("s.allowance"), F.col("s.ts"), F.lit(2), TB.now_col()).alias("dayallowance"))
+
+
+def q_refresh_candidates(spark, sf_dir):
+    """ST5 (P5 + T10): per day of events, the resource ids seen that are
+    unknown or stale in the stored catalogue, at most 11 per day."""
+    e = table(spark, sf_dir, "events")
+    seen = e.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("rid"),
+                    F.to_date("ts").cast("string").alias("batch_id"))
+    return SI.refresh_candidates(seen, TB.catalog_base(spark, sf_dir), TB.now_col()).select("batch_id", "rid")
+
+
+def q_failed_count(spark, sf_dir):
+    return HL.failed_count(q_result_quality(spark, sf_dir))
+
+
+def q_export_catalog_unshared(spark, sf_dir):
+    return EX.catalog_unshared(TB.catalog_updates(spark, sf_dir)).select("id", "name", "type", "mimetype")
+
+
+def q_delete_resources(spark, sf_dir):
+    """M8: hard delete of the suppliers tombstoned in the change batch, and of
+    ids that are not in the catalogue (reported as unknown)."""
+    gone = TB.catalog_updates(spark, sf_dir).filter("deleted").select("id")
+    kept, unknown = CAT.delete_resource(TB.catalog_base(spark, sf_dir), gone)
+    return kept.select("id", "name")
+
+
+def q_valid_hits(spark, sf_dir):
+    """P8 over extracted page items."""
+    items = X.extract_links(table(spark, sf_dir, "pages")).withColumn("rid", F.lit(None).cast("string"))
+    return CAT.valid_hit(items).select("page_id", F.col("pos").cast("int").alias("pos"), "title")
+
+
 QUERIES: dict[str, Query] = {
     "search": q_search,
     "term_stats": q_term_stats,
@@ -327,6 +378,13 @@ QUERIES: dict[str, Query] = {
     "result_quality": q_result_quality,
     "local_search": q_local_search,
     "boolean_search": q_boolean_search,
+    "request_pages": q_request_pages,
+    "allowance_now": q_allowance_now,
+    "refresh_candidates": q_refresh_candidates,
+    "failed_count": q_failed_count,
+    "export_catalog_unshared": q_export_catalog_unshared,
+    "delete_resources": q_delete_resources,
+    "valid_hits": q_valid_hits,
 }
 
 ORACLE: dict[str, str] = {
@@ -360,5 +418,12 @@ ORACLE: dict[str, str] = {
     "catalog_from_pages": O.CATALOG_FROM_PAGES,
     "result_quality": O.RESULT_QUALITY,
     "boolean_search": O.BOOLEAN_SEARCH,
+    "request_pages": O.REQUEST_PAGES,
+    "allowance_now": O.ALLOWANCE_NOW,
+    "refresh_candidates": O.REFRESH_CANDIDATES,
+    "failed_count": O.FAILED_COUNT,
+    "export_catalog_unshared": O.EXPORT_CATALOG_UNSHARED,
+    "delete_resources": O.DELETE_RESOURCES,
+    "valid_hits": O.VALID_HITS,
 }
 FLAGSHIP = "select_resources"

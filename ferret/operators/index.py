@@ -40,7 +40,9 @@ def build_index(hits: DataFrame, text_cols=("title", "description", "url", "rid"
     """
     # One (spread) copy of the indexable hits feeds the postings, N and the
     # stored columns, so the text is read once per plan.
-    indexable = spread(hits.filter(F.col("title").isNotNull()))
+    # (hit_id is never null; saying so up front keeps the filter Spark would
+    # infer for a later join on hit_id out of the shared subplan)
+    indexable = spread(hits.filter(F.col("title").isNotNull() & F.col("hit_id").isNotNull()))
     tagged = F.concat(
         F.transform(T.analyze_distinct(T.hit_text(*text_cols)), lambda t: F.struct(F.lit("terms").alias("field"), t.alias("term"))),
         F.transform(T.analyze_distinct("title"), lambda t: F.struct(F.lit("title").alias("field"), t.alias("term"))),

@@ -56,20 +56,22 @@ COLUMNS = [f.name for f in CATALOG_SCHEMA.fields]
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Give a resource table every catalogue column, with the reference's defaults."""
-    cols = []
+    """Give a resource table every catalogue column, with the reference's defaults.
+
+    Built as SQL expression text (one call per column) because the projection
+    is wide; the plan is the same as with column objects.
+    """
+    have = set(df.columns)
+    defaults = {"mimetype": f"'{DEFAULT_MIMETYPE}'", "testquery": f"'{DEFAULT_TESTQUERY}'",
+                "deleted": "false", "maxqueriesperday": str(DEFAULT_RATE)}
+    exprs = []
     for f in CATALOG_SCHEMA.fields:
-        c = F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)
-        if f.name == "mimetype":
-            c = F.coalesce(c, F.lit(DEFAULT_MIMETYPE))
-        elif f.name == "testquery":
-            c = F.coalesce(c, F.lit(DEFAULT_TESTQUERY))
-        elif f.name == "deleted":
-            c = F.coalesce(c, F.lit(False))
-        elif f.name == "maxqueriesperday":
-            c = F.coalesce(c, F.lit(DEFAULT_RATE))
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+        t = f.dataType.simpleString()
+        c = f"CAST(`{f.name}` AS {t})" if f.name in have else f"CAST(NULL AS {t})"
+        if f.name in defaults:
+            c = f"coalesce({c}, {defaults[f.name]})"
+        exprs.append(f"{c} AS `{f.name}`")
+    return df.selectExpr(*exprs)
 
 
 def _map_equal(a: Column, b: Column) -> Column:
@@ -79,6 +81,17 @@ def _map_equal(a: Column, b: Column) -> Column:
     return (a.isNull() & b.isNull()) | (a.isNotNull() & b.isNotNull() & (sa == sb))
 
 
+def _changed_sql(a: str, b: str) -> str:
+    def map_eq(c):
+        return (f"(({a}{c} IS NULL AND {b}{c} IS NULL) OR ({a}{c} IS NOT NULL AND {b}{c} IS NOT NULL AND "
+                f"array_sort(map_entries({a}{c})) = array_sort(map_entries({b}{c}))))")
+
+    same = [f"{a}{c} <=> {b}{c}" for c in COMPARED_STRINGS + ["deleted", "maxqueriesperday"]]
+    same.append(f"abs(coalesce({a}prior, 0D) - coalesce({b}prior, 0D)) <= {PRIOR_TOLERANCE}D")
+    same += [map_eq("extractors"), map_eq("headers")]
+    return "NOT (" + " AND ".join(same) + ")"
+
+
 def resource_changed(a: str, b: str) -> Column:
     """M5: do versions ``a`` and ``b`` (column prefixes) differ?
 
@@ -86,17 +99,7 @@ def resource_changed(a: str, b: str) -> Column:
     prior within 0.001 (null = 0), extractors and headers.  Private parameters
     are not compared.
     """
-    same = F.lit(True)
-    for c in COMPARED_STRINGS:
-        same = same & F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}"))
-    same = same & F.col(f"{a}deleted").eqNullSafe(F.col(f"{b}deleted"))
-    same = same & F.col(f"{a}maxqueriesperday").eqNullSafe(F.col(f"{b}maxqueriesperday"))
-    pa = F.coalesce(F.col(f"{a}prior"), F.lit(0.0))
-    pb = F.coalesce(F.col(f"{b}prior"), F.lit(0.0))
-    same = same & (F.abs(pa - pb) <= F.lit(PRIOR_TOLERANCE))
-    same = same & _map_equal(F.col(f"{a}extractors"), F.col(f"{b}extractors"))
-    same = same & _map_equal(F.col(f"{a}headers"), F.col(f"{b}headers"))
-    return ~same
+    return F.expr(_changed_sql(a, b))
 
 
 def merge_resources(catalog: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
@@ -108,28 +111,22 @@ def merge_resources(catalog: DataFrame, updates: DataFrame, now: Column) -> Data
     everything else is kept.  Ids of untouched rows are kept as they are.
     One version per id is expected in ``updates`` (see :func:`last_version`).
     """
-    old = conform(catalog).select(*[F.col(c).alias(f"o_{c}") for c in COLUMNS])
-    new = conform(updates).select(*[F.col(c).alias(f"n_{c}") for c in COLUMNS])
-    j = old.join(new, old["o_id"] == new["n_id"], "full_outer")
-    only_old = F.col("n_id").isNull()
-    only_new = F.col("o_id").isNull()
-    changed = resource_changed("o_", "n_")
-    take_new = only_new | (~only_old & changed)
-    out = []
-    for c in CONFIG_COLUMNS:
-        out.append(F.when(take_new, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")).alias(c))
-    reset = take_new
+    old = conform(catalog).selectExpr(*[f"`{c}` AS o_{c}" for c in COLUMNS])
+    new = conform(updates).selectExpr(*[f"`{c}` AS n_{c}" for c in COLUMNS])
+    j = old.join(new, old["o_id"] == new["n_id"], "full_outer").withColumn("_now", now)
+    j = j.selectExpr("*", f"(o_id IS NULL OR (n_id IS NOT NULL AND {_changed_sql('o_', 'n_')})) AS _take")
+    out = [f"CASE WHEN _take THEN n_{c} ELSE o_{c} END AS `{c}`" for c in CONFIG_COLUMNS]
     out += [
-        F.when(reset, F.lit(0)).otherwise(F.col("o_requestsok")).alias("requestsok"),
-        F.when(reset, F.lit(0)).otherwise(F.col("o_requestserr")).alias("requestserr"),
-        F.when(reset, F.lit(None)).otherwise(F.col("o_lastsuccess")).alias("lastsuccess"),
-        F.when(reset, F.lit(None)).otherwise(F.col("o_lasterror")).alias("lasterror"),
-        F.when(only_old, F.col("o_lastupdated")).otherwise(now).alias("lastupdated"),
-        F.when(reset, now).otherwise(F.col("o_upsince")).alias("upsince"),
-        F.when(reset, F.lit(None).cast("string")).otherwise(F.col("o_lastmessage")).alias("lastmessage"),
-        F.when(only_new, F.col("n_dayallowance")).otherwise(F.col("o_dayallowance")).alias("dayallowance"),
+        "CASE WHEN _take THEN 0 ELSE o_requestsok END AS requestsok",
+        "CASE WHEN _take THEN 0 ELSE o_requestserr END AS requestserr",
+        "CASE WHEN _take THEN NULL ELSE o_lastsuccess END AS lastsuccess",
+        "CASE WHEN _take THEN NULL ELSE o_lasterror END AS lasterror",
+        "CASE WHEN n_id IS NULL THEN o_lastupdated ELSE _now END AS lastupdated",
+        "CASE WHEN _take THEN _now ELSE o_upsince END AS upsince",
+        "CASE WHEN _take THEN CAST(NULL AS STRING) ELSE o_lastmessage END AS lastmessage",
+        "CASE WHEN o_id IS NULL THEN n_dayallowance ELSE o_dayallowance END AS dayallowance",
     ]
-    return j.select(*out)
+    return j.selectExpr(*out)
 
 
 def last_version(updates: DataFrame, seq: str) -> DataFrame:

@@ -19,6 +19,9 @@ from ferret.session import BROADCAST_MAX_ROWS
 # Fixed values of the reference's selection rule.
 HIT_BOOST = 0.05
 PER_RESOURCE = 4
+# distinct wanted types up to which the type list is broadcast for the
+# "contains" match; beyond it an exact equi-join on type substrings is used
+MAX_BROADCAST_TYPES = 10_000
 
 
 def type_matches(text: Column, wanted: Column) -> Column:
@@ -75,14 +78,32 @@ def top_resources(queries: DataFrame, resources: DataFrame, k: int, now: Column,
     )
     types = queries.select("qtype").distinct()
     by_prior = Window.partitionBy("qtype").orderBy(F.col("eff_prior").desc(), F.col("id").desc())
+    n_types = types.count()
+    few_types = n_types <= MAX_BROADCAST_TYPES
+    if few_types:
+        # few distinct wanted types (the usual case): a broadcast of the type list
+        matched = F.broadcast(types).join(cat, type_matches(cat["type"], types["qtype"]))
+    else:
+        # many: exact equi-join on the substrings of each resource's type
+        # (``contains`` is equality with one of them), plus the untyped queries
+        subs = cat.select("*", F.explode(F.array_distinct(F.flatten(F.expr(
+            "transform(sequence(1, greatest(length(type), 1)), i -> "
+            "transform(sequence(i, greatest(length(type), 1)), j -> substring(type, i, j - i + 1)))"
+        )))).alias("qtype")).filter(F.col("type").isNotNull())
+        typed = types.filter(F.col("qtype").isNotNull() & (F.col("qtype") != "")).join(subs, "qtype")
+        # no wanted type (null or empty) matches every resource: one copy of
+        # the catalogue per such value, no join needed
+        untyped = cat.select(F.lit(None).cast("string").alias("qtype"), *cat.columns).unionByName(
+            cat.select(F.lit("").alias("qtype"), *cat.columns))
+        matched = typed.unionByName(untyped)
     per_type = (
-        F.broadcast(types)
-        .join(cat, type_matches(cat["type"], types["qtype"]))
-        .withColumn("r", F.row_number().over(by_prior))
+        matched.withColumn("r", F.row_number().over(by_prior))
         .filter(F.col("r") <= k)
         .select("qtype", "id", F.col("eff_prior").alias("score"))
     )
-    prior_only = qtypes.join(F.broadcast(per_type), qtypes["qtype"].eqNullSafe(per_type["qtype"])).select(
+    # per_type has at most k rows per distinct wanted type
+    per_type = F.broadcast(per_type) if k * n_types <= BROADCAST_MAX_ROWS else per_type
+    prior_only = qtypes.join(per_type, qtypes["qtype"].eqNullSafe(per_type["qtype"])).select(
         "qid", "id", "score"
     )
     cand = overlap.unionByName(prior_only).groupBy("qid", "id").agg(F.max("score").alias("score"))

@@ -69,24 +69,45 @@ def term_stats(index: Index) -> DataFrame:
     )
 
 
-def write_index(index: Index, path: str, buckets: int = 64) -> None:
-    """Store postings partitioned by field and clustered by term.
+@dataclass
+class StoredIndex:
+    """An index written by :func:`write_index`: postings clustered by term,
+    document frequencies and N stored next to them (like an index's own
+    statistics), so a search needs no df pass over the postings."""
+
+    postings: DataFrame  # field, term, hit_id  (files sorted by term)
+    stats: DataFrame  # field, term, df
+    n: DataFrame  # one row: n
+    docs: DataFrame
+
 
-    Rows are range-partitioned on term and sorted within files, so a later scan
-    with a term filter prunes row groups by min/max statistics.
+def write_index(index: Index, path: str, files: int = 64) -> None:
+    """Store an index as tables under ``path``.
+
+    Postings are range-partitioned on (field, term) and sorted inside each
+    file, so parquet min/max statistics let a scan for a few terms skip most
+    row groups; document frequencies are computed once here (partial
+    aggregation) and stored with N.
     """
     (
-        index.postings.repartitionByRange(buckets, "field", "term")
+        index.postings.repartitionByRange(files, "field", "term")
         .sortWithinPartitions("field", "term")
         .write.mode("overwrite")
         .partitionBy("field")
         .parquet(f"{path}/postings")
     )
+    document_frequency(index.postings).write.mode("overwrite").parquet(f"{path}/stats")
+    index.docs.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/n")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
 
-def read_index(spark, path: str) -> Index:
-    return Index(postings=spark.read.parquet(f"{path}/postings"), docs=spark.read.parquet(f"{path}/docs"))
+def read_index(spark, path: str) -> StoredIndex:
+    return StoredIndex(
+        postings=spark.read.parquet(f"{path}/postings"),
+        stats=spark.read.parquet(f"{path}/stats"),
+        n=spark.read.parquet(f"{path}/n"),
+        docs=spark.read.parquet(f"{path}/docs"),
+    )
 
 
 def with_default_hit(hits: DataFrame, enabled: bool = True) -> DataFrame:

@@ -100,3 +100,15 @@ def test_search_equals_brute_force_on_sf0_001(spark):
     for r in sorted(res, key=lambda r: (r.qid, r.rank)):
         got.setdefault(r.qid, []).append((r.hit_id, round(r.score, 6)))
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_stored_index_gives_the_same_answers(spark, tmp_path):
+    idx = IX.build_index(TB.hits(spark, SF001))
+    IX.write_index(idx, str(tmp_path / "idx"), files=4)
+    stored = IX.read_index(spark, str(tmp_path / "idx"))
+    q = TB.queries(spark, SF001)
+    a = sorted((r.qid, r.rank, r.hit_id, round(r.score, 6)) for r in S.search(q, idx).collect())
+    b = sorted((r.qid, r.rank, r.hit_id, round(r.score, 6)) for r in S.search_stored(q, stored).collect())
+    assert a == b and len(a) > 0
+    plan = S.search_stored(q, stored)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan

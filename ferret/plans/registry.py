@@ -342,6 +342,17 @@ def q_valid_hits(spark, sf_dir):
     return CAT.valid_hit(items).select("page_id", F.col("pos").cast("int").alias("pos"), "title")
 
 
+def q_search_stored(spark, sf_dir):
+    """R2 written as tables (under the shared checkpoint folder), then R4 over
+    the stored index: the same answers as ``search``."""
+    from ferret.streaming.common import job_dir
+
+    path = job_dir(spark, "index")
+    IX.write_index(IX.build_index(TB.hits(spark, sf_dir)), path, files=16)
+    res = S.search_stored(TB.queries(spark, sf_dir), IX.read_index(spark, path))
+    return res.select("qid", "rank", "hit_id", r6("score"), "rid", "type", "title", "url")
+
+
 QUERIES: dict[str, Query] = {
     "search": q_search,
     "term_stats": q_term_stats,
@@ -385,6 +396,7 @@ QUERIES: dict[str, Query] = {
     "export_catalog_unshared": q_export_catalog_unshared,
     "delete_resources": q_delete_resources,
     "valid_hits": q_valid_hits,
+    "search_stored": q_search_stored,
 }
 
 ORACLE: dict[str, str] = {
@@ -425,5 +437,6 @@ ORACLE: dict[str, str] = {
     "export_catalog_unshared": O.EXPORT_CATALOG_UNSHARED,
     "delete_resources": O.DELETE_RESOURCES,
     "valid_hits": O.VALID_HITS,
+    "search_stored": O.SEARCH,
 }
 FLAGSHIP = "select_resources"

@@ -29,9 +29,14 @@ def ingest_stream(
     to_hits: Callable[[DataFrame], DataFrame],
     files_per_trigger: int = 16,
     name: str = "ingest",
+    base: str | None = None,
 ) -> str:
-    """Run the ingest stream until the source is drained; returns the hit-log path."""
-    base = job_dir(spark, name)
+    """Run the ingest stream until the source is drained; returns the hit-log path.
+
+    Pass the ``base`` of an earlier run to resume it: the checkpoint skips the
+    files already ingested, so only new pages are read.
+    """
+    base = base or job_dir(spark, name)
     log_path = f"{base}/hits"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_path)
     q = (

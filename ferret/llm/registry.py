@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from ferret.llm.bpe import op3_bpe
+from ferret.llm.langid import op4_langid
+from ferret.llm.quality import op7_quality
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op4_langid": op4_langid,
+    "op7_quality": op7_quality,
 }
 ORACLE: dict[str, str] = {}

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from ferret.llm.bpe import op3_bpe
+from ferret.llm.decontam import OP1_SQL, op1_decontam
 from ferret.llm.langid import op4_langid
 from ferret.llm.quality import op7_quality
 
 QUERIES = {
+    "op1_decontam": op1_decontam,
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
     "op7_quality": op7_quality,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_decontam": OP1_SQL,
+}

@@ -48,6 +48,16 @@ def byte_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
+# Rows of ids (at most two longs each, so 16 MB) up to which a stored table is
+# shipped to every task; beyond it the same join is a shuffle join.
+SHIPPED_ROWS = 1_000_000
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """Mark a stored table of ids for broadcast if its counted rows are within the bound."""
+    return F.broadcast(df) if df.limit(SHIPPED_ROWS + 1).count() <= SHIPPED_ROWS else df
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ferret.llm.bpe import op3_bpe
 from ferret.llm.decontam import OP1_SQL, op1_decontam
+from ferret.llm.jaccard import OP5_SQL, op5_jaccard
 from ferret.llm.langid import op4_langid
 from ferret.llm.quality import op7_quality
 
@@ -11,8 +12,10 @@ QUERIES = {
     "op1_decontam": op1_decontam,
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
+    "op5_jaccard": op5_jaccard,
     "op7_quality": op7_quality,
 }
 ORACLE: dict[str, str] = {
     "op1_decontam": OP1_SQL,
+    "op5_jaccard": OP5_SQL,
 }

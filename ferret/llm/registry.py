@@ -7,12 +7,14 @@ from ferret.llm.decontam import OP1_SQL, op1_decontam
 from ferret.llm.jaccard import OP5_SQL, op5_jaccard
 from ferret.llm.langid import op4_langid
 from ferret.llm.quality import op7_quality
+from ferret.llm.vectors import op6_vectors
 
 QUERIES = {
     "op1_decontam": op1_decontam,
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
     "op5_jaccard": op5_jaccard,
+    "op6_vectors": op6_vectors,
     "op7_quality": op7_quality,
 }
 ORACLE: dict[str, str] = {

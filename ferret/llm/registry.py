@@ -6,6 +6,7 @@ from ferret.llm.bpe import op3_bpe
 from ferret.llm.decontam import OP1_SQL, op1_decontam
 from ferret.llm.jaccard import OP5_SQL, op5_jaccard
 from ferret.llm.langid import op4_langid
+from ferret.llm.lm import op8_lm
 from ferret.llm.quality import op7_quality
 from ferret.llm.vectors import op6_vectors
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_jaccard": op5_jaccard,
     "op6_vectors": op6_vectors,
     "op7_quality": op7_quality,
+    "op8_lm": op8_lm,
 }
 ORACLE: dict[str, str] = {
     "op1_decontam": OP1_SQL,

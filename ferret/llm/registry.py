@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from ferret.llm.bpe import op3_bpe
+from ferret.llm.chat import op9_chat
 from ferret.llm.decontam import OP1_SQL, op1_decontam
 from ferret.llm.jaccard import OP5_SQL, op5_jaccard
 from ferret.llm.langid import op4_langid
 from ferret.llm.lm import op8_lm
 from ferret.llm.quality import op7_quality
+from ferret.llm.secrets import op2_secrets
 from ferret.llm.vectors import op6_vectors
 
 QUERIES = {
     "op1_decontam": op1_decontam,
+    "op2_secrets": op2_secrets,
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
     "op5_jaccard": op5_jaccard,
     "op6_vectors": op6_vectors,
     "op7_quality": op7_quality,
     "op8_lm": op8_lm,
+    "op9_chat": op9_chat,
 }
 ORACLE: dict[str, str] = {
     "op1_decontam": OP1_SQL,

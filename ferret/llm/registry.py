@@ -9,6 +9,7 @@ from ferret.llm.jaccard import OP5_SQL, op5_jaccard
 from ferret.llm.langid import op4_langid
 from ferret.llm.lm import op8_lm
 from ferret.llm.quality import op7_quality
+from ferret.llm.repeats import op10_repeats
 from ferret.llm.secrets import op2_secrets
 from ferret.llm.vectors import op6_vectors
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_lm": op8_lm,
     "op9_chat": op9_chat,
+    "op10_repeats": op10_repeats,
 }
 ORACLE: dict[str, str] = {
     "op1_decontam": OP1_SQL,

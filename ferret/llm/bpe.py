@@ -1,34 +1,40 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Documents are split into words once, in blocks.  A block writes each of its
-distinct words as one dictionary row and each document as the positions of its
-words in that dictionary.  The dictionary rows of all blocks meet in one table
-of distinct words: every word is encoded once, decoded once through a join of
-its ids with the table of pieces, and joined back to the blocks by position.
-A word has at most one row per block, so even a word that fills a third of the
-corpus is a tiny share of any shuffle.
+Documents are split into words once, in blocks.  A block writes its distinct
+words as sorted dictionary pages, one per hash bucket of words, and each
+document as the positions of its words in that dictionary.  The pages of a
+bucket meet in one task, where every distinct word of the corpus is encoded
+once; its ids go back to the blocks by position.  Ids become text through a
+join with the table of pieces.  A word has at most one place per block, so even
+a word that fills a third of the corpus is a tiny share of any shuffle.  The
+blocks are a table bucketed by block, so the documents are never shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from ferret.llm.common import BIN, INT, LONG, STR, byte_batches, schema, stored, table, text_or_empty
+from ferret.llm.common import BIN, INT, LONG, STR, byte_batches, schema, table, text_or_empty
 
 # Distinct words after which a block is closed: bounds a worker's dictionary.
 BLOCK_WORDS = 400_000
 # Characters after which a block is closed: bounds the texts of one group.
 BLOCK_CHARS = 24_000_000
+# Hash buckets of words: one task holds the distinct words of one bucket.
+BUCKETS = 1024
 
 # The word pattern and the space class of the tokenizer file.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -82,16 +88,24 @@ class Splitter:
 def _blocks(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     split = Splitter(path)
     block, words, docs, chars = TaskContext.get().partitionId() << 32, {}, [], 0
+    names = ["block", "doc_id", "bucket", "data"]
 
     def flush():
-        n, m = len(docs), len(words)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([block] * (n + m), pa.int64()),
-            pa.array([d for d, _ in docs] + [None] * m, pa.int64()),
-            pa.array([x.tobytes() for _, x in docs] + [None] * m, pa.binary()),
-            pa.array([None] * n + list(range(m)), pa.int32()),
-            pa.array([None] * n + list(words), pa.string()),
-        ], names=["block", "doc_id", "idx", "pos", "word"])
+        order = sorted(words, key=lambda w: (zlib.crc32(w.encode("utf-8")) % BUCKETS, w))
+        place = np.empty(len(words), np.int32)
+        place[[words[w] for w in order]] = np.arange(len(words))
+        bucket = np.array([zlib.crc32(w.encode("utf-8")) % BUCKETS for w in order], np.int32)
+        used, first = np.unique(bucket, return_index=True)
+        ends = np.append(first[1:], len(order))
+        # no word holds white space, so a line break parts them
+        pages = [zstandard.compress("\n".join(order[i:j]).encode("utf-8")) for i, j in zip(first, ends)]
+        for i in range(0, len(docs), 500):
+            some = docs[i:i + 500]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([block] * len(some), pa.int64()), pa.array([d for d, _ in some], pa.int64()),
+                pa.nulls(len(some), pa.int32()), pa.array([place[x].tobytes() for _, x in some], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(pages), pa.int64()), pa.nulls(len(pages), pa.int64()),
+                                          pa.array(used, pa.int32()), pa.array(pages, pa.binary())], names=names)
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -105,28 +119,39 @@ def _blocks(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def split_words(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """(block, doc_id, idx) rows for documents, (block, pos, word) rows for dictionary entries."""
+    """Rows of documents (block, doc_id, data = word positions) and of dictionary pages (block, bucket, data = words)."""
     byte_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
-        lambda it: _blocks(path, it), schema(block=LONG, doc_id=LONG, idx=BIN, pos=INT, word=STR))
+        lambda it: _blocks(path, it), schema(block=LONG, doc_id=LONG, bucket=INT, data=BIN))
 
 
-def _encode_words(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode_pages(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tok = Tokenizer.from_file(path)
     special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
     chars = byte_chars()
+    now, known = None, {}
     for batch in batches:
-        words = batch.column(0).to_pylist()
-        ids = [[special[w]] if w in special else
-               [t.id for t in tok.model.tokenize("".join(chars[b] for b in w.encode("utf-8")))] for w in words]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(ids, pa.list_(pa.int32()))],
-                                         names=["word", "ids"])
-
-
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word) distinct -> (word, ids)."""
-    return words.mapInArrow(lambda it: _encode_words(path, it),
-                            schema(word=STR, ids=T.ArrayType(INT)))
+        pages = []
+        for bucket, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if bucket != now:
+                now, known = bucket, {}
+            flat, counts = [], []
+            for w in zstandard.decompress(page).decode("utf-8").split("\n"):
+                ids = known.get(w)
+                if ids is None:
+                    ids = known[w] = [special[w]] if w in special else [
+                        t.id for t in tok.model.tokenize("".join([chars[b] for b in w.encode("utf-8")]))]
+                flat += ids
+                counts.append(len(ids))
+            pages.append(zstandard.compress(np.array([len(counts), *counts, *flat], np.int32).tobytes()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pages, pa.binary())],
+                                         names=["block", "bucket", "ids"])
+
+
+def encode_pages(pages: DataFrame, path: str) -> DataFrame:
+    """(block, bucket, data) -> (block, bucket, ids): each distinct word of a bucket is encoded once."""
+    return (pages.select("block", "bucket", "data").repartition("bucket").sortWithinPartitions("bucket")
+            .mapInArrow(lambda it: _encode_pages(path, it), schema(block=LONG, bucket=INT, ids=BIN)))
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -152,21 +177,23 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
             .select(F.col("k").alias(key), "decoded"))
 
 
-def _assemble(words: pa.Table, docs: pa.Table) -> pa.Table:
-    words = words.sort_by("pos")
-    texts = np.array(words["decoded"].to_pylist(), object)
-    lists = words["ids"].combine_chunks()
-    counts = np.asarray(lists.value_lengths()).astype(np.int64)
-    flat = np.asarray(lists.flatten())
+def _assemble(piece: np.ndarray, pages: pa.Table, docs: pa.Table) -> pa.Table:
+    """Ids and text of the documents of one block; ``piece`` is the table of pieces by id."""
+    parts = [np.frombuffer(zstandard.decompress(x.as_py()), np.int32) for x in pages.sort_by("bucket")["ids"]]
+    counts = np.concatenate([np.empty(0, np.int64), *[p[1:1 + p[0]] for p in parts]]).astype(np.int64)
+    flat = np.concatenate([np.empty(0, np.int32), *[p[1 + p[0]:] for p in parts]])
     starts = np.cumsum(counts) - counts
-    ids, decoded = [], []
-    for raw in docs["idx"].to_pylist():
-        idx = np.frombuffer(raw, np.int32)
+    sizes, values, decoded = [0], [], []
+    for raw in docs["data"]:
+        idx = np.frombuffer(raw.as_buffer(), np.int32)
         n = counts[idx]
-        ids.append(flat[np.repeat(starts[idx] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        decoded.append(" ".join(texts[idx]))
-    return pa.table({"doc_id": docs["doc_id"], "ids": pa.array(ids, pa.list_(pa.int32())),
-                     "decoded": pa.array(decoded, pa.string())})
+        ids = flat[np.repeat(starts[idx] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        sizes.append(len(ids))
+        values.append(ids)
+        decoded.append(" ".join(piece[ids]))
+    # offsets of a list column are 32 bits: a block holds far fewer ids
+    ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *values])))
+    return pa.table({"doc_id": docs["doc_id"], "ids": ids, "decoded": pa.array(decoded, pa.string())})
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,16 +203,20 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     and ``decode(ids, skip_special_tokens=False)``.  Null and empty texts give
     no ids and an empty text; repeated rows and null ids are kept as they are;
     only ``id_col`` and ``text_col`` are read, so other columns cannot clash.
+    The table of pieces is joined map-side: the vocabulary file bounds it.
     """
-    path = path or default_tokenizer()
-    cut = stored(split_words(docs, path, id_col, text_col), "bpe-blocks")
-    entries = cut.where("word is not null").select("block", "pos", "word")
-    words = stored(encode_words(entries.select("word").distinct(), path), "bpe-words")
-    words = words.join(decode(words, path, key="word"), "word")
-    back = entries.join(words, "word").select("block", "pos", "ids", "decoded")
-    texts = cut.where("word is null").select(F.col("block").alias("of"), "doc_id", "idx")
+    spark, path = docs.sparkSession, path or default_tokenizer()
+    name = f"ferret_bpe_blocks_{uuid.uuid4().hex}"
+    (split_words(docs, path, id_col, text_col).write.format("parquet").option("compression", "zstd")
+     .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name))
+    back = encode_pages(spark.table(name).where("bucket is not null"), path)
+    texts = spark.table(name).where("bucket is null").select(F.col("block").alias("of"), "doc_id", "data")
+    rows = pieces(spark, path).collect()
+    by_id = np.empty(max(r.id for r in rows) + 1, object)
+    by_id[[r.id for r in rows]] = [r.piece for r in rows]
+    piece = spark.sparkContext.broadcast(by_id)
     return (back.groupBy("block").cogroup(texts.groupBy("of"))
-            .applyInArrow(_assemble, schema(doc_id=LONG, ids=T.ArrayType(INT), decoded=STR)))
+            .applyInArrow(lambda w, d: _assemble(piece.value, w, d), schema(doc_id=LONG, ids=T.ArrayType(INT), decoded=STR)))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 The catalogue is a table with one row per resource id.  Updates arrive as a
 table of resource versions; merging is a full outer join on ``id`` (J7), never
-a per-row loop.  Hit upserts keep the last writer per hit id with a grouped
-``max_by`` (partial aggregation per task), so a hit id repeated a million
-times costs one partial row per task.
+a per-row loop.  The last writer of a key is ``row_number() = 1`` in a total
+order (sequence, then a hash of the row), which Spark limits to one row per key
+and task before the shuffle; a stored table is only probed by the updates'
+keys, never sorted.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from pyspark.sql import types as Ty
 
 from ferret.functions import health as H
 
-DEFAULT_MIMETYPE = "application/searsia+json"
-DEFAULT_TESTQUERY = "searsia"
+# Neutral defaults; a catalogue with other ones passes them to ``conform``.
+DEFAULT_MIMETYPE = "application/result-page+json"
+DEFAULT_TESTQUERY = "test"
 DEFAULT_RATE = 1000
 PRIOR_TOLERANCE = 0.001
-REFRESH_BUDGET = 11  # updates per check: the reference stops after the 11th
+REFRESH_BUDGET = 11  # updates per check
 STALE_REFRESH_SECONDS = 7200
 STALE_LOOKUP_SECONDS = 9600
 
@@ -55,14 +57,14 @@ CONFIG_COLUMNS = STRING_FIELDS + ["deleted", "prior", "maxqueriesperday"] + MAP_
 COLUMNS = [f.name for f in CATALOG_SCHEMA.fields]
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """Give a resource table every catalogue column, with the reference's defaults.
+def conform(df: DataFrame, mimetype: str = DEFAULT_MIMETYPE, testquery: str = DEFAULT_TESTQUERY) -> DataFrame:
+    """Give a resource table every catalogue column, with defaults.
 
     Built as SQL expression text (one call per column) because the projection
     is wide; the plan is the same as with column objects.
     """
     have = set(df.columns)
-    defaults = {"mimetype": f"'{DEFAULT_MIMETYPE}'", "testquery": f"'{DEFAULT_TESTQUERY}'",
+    defaults = {"mimetype": f"'{mimetype}'", "testquery": f"'{testquery}'",
                 "deleted": "false", "maxqueriesperday": str(DEFAULT_RATE)}
     exprs = []
     for f in CATALOG_SCHEMA.fields:
@@ -74,17 +76,19 @@ def conform(df: DataFrame) -> DataFrame:
     return df.selectExpr(*exprs)
 
 
-def _map_equal(a: Column, b: Column) -> Column:
-    """Null-safe map equality (same keys, same values)."""
-    sa = F.array_sort(F.map_entries(a))
-    sb = F.array_sort(F.map_entries(b))
-    return (a.isNull() & b.isNull()) | (a.isNotNull() & b.isNotNull() & (sa == sb))
+def last_row(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The last row per key in a total order: ``order`` columns, then a hash of
+    the whole row, so equal sequence numbers give the same winner on every run."""
+    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in order], F.col("_tie").desc(), F.col("_row").desc())
+    row = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
+    return (df.withColumn("_row", row).withColumn("_tie", F.xxhash64("_row"))
+            .withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_tie", "_row"))
 
 
 def _changed_sql(a: str, b: str) -> str:
+    # no map and an empty map are the same configuration
     def map_eq(c):
-        return (f"(({a}{c} IS NULL AND {b}{c} IS NULL) OR ({a}{c} IS NOT NULL AND {b}{c} IS NOT NULL AND "
-                f"array_sort(map_entries({a}{c})) = array_sort(map_entries({b}{c}))))")
+        return (f"array_sort(map_entries(coalesce({a}{c}, map()))) = array_sort(map_entries(coalesce({b}{c}, map())))")
 
     same = [f"{a}{c} <=> {b}{c}" for c in COMPARED_STRINGS + ["deleted", "maxqueriesperday"]]
     same.append(f"abs(coalesce({a}prior, 0D) - coalesce({b}prior, 0D)) <= {PRIOR_TOLERANCE}D")
@@ -96,31 +100,32 @@ def resource_changed(a: str, b: str) -> Column:
     """M5: do versions ``a`` and ``b`` (column prefixes) differ?
 
     Compares the 16 configured strings (null equals null), tombstone flag, rate,
-    prior within 0.001 (null = 0), extractors and headers.  Private parameters
-    are not compared.
+    prior within 0.001 (null = 0), extractors and headers (null equals empty).
+    Private parameters are not compared.
     """
     return F.expr(_changed_sql(a, b))
 
 
-def merge_resources(catalog: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
+def merge_resources(catalog: DataFrame, updates: DataFrame, now: Column, seq: str | None = None) -> DataFrame:
     """M4 (J7): apply a table of resource versions to the catalogue.
 
     New id: inserted (up since now, counters 0).  Known id: ``lastupdated`` =
     now; if changed, every configured member (private parameters too) is
-    overwritten, ``upsince`` = now, counters 0, message cleared; if unchanged,
-    everything else is kept.  Ids of untouched rows are kept as they are.
-    One version per id is expected in ``updates`` (see :func:`last_version`).
+    overwritten, ``upsince`` = now, counters 0, message cleared, and the times
+    of the last success and error stay; if unchanged, everything else is kept.
+    Rows of untouched ids are kept as they are.  Of several versions of one id
+    in ``updates`` the last by ``seq`` counts.
     """
     old = conform(catalog).selectExpr(*[f"`{c}` AS o_{c}" for c in COLUMNS])
-    new = conform(updates).selectExpr(*[f"`{c}` AS n_{c}" for c in COLUMNS])
+    new = conform(last_version(updates, seq)).selectExpr(*[f"`{c}` AS n_{c}" for c in COLUMNS])
     j = old.join(new, old["o_id"] == new["n_id"], "full_outer").withColumn("_now", now)
     j = j.selectExpr("*", f"(o_id IS NULL OR (n_id IS NOT NULL AND {_changed_sql('o_', 'n_')})) AS _take")
     out = [f"CASE WHEN _take THEN n_{c} ELSE o_{c} END AS `{c}`" for c in CONFIG_COLUMNS]
     out += [
         "CASE WHEN _take THEN 0 ELSE o_requestsok END AS requestsok",
         "CASE WHEN _take THEN 0 ELSE o_requestserr END AS requestserr",
-        "CASE WHEN _take THEN NULL ELSE o_lastsuccess END AS lastsuccess",
-        "CASE WHEN _take THEN NULL ELSE o_lasterror END AS lasterror",
+        "o_lastsuccess AS lastsuccess",
+        "o_lasterror AS lasterror",
         "CASE WHEN n_id IS NULL THEN o_lastupdated ELSE _now END AS lastupdated",
         "CASE WHEN _take THEN _now ELSE o_upsince END AS upsince",
         "CASE WHEN _take THEN CAST(NULL AS STRING) ELSE o_lastmessage END AS lastmessage",
@@ -129,10 +134,9 @@ def merge_resources(catalog: DataFrame, updates: DataFrame, now: Column) -> Data
     return j.selectExpr(*out)
 
 
-def last_version(updates: DataFrame, seq: str) -> DataFrame:
-    """Keep the last version per id (by ``seq``), as a grouped ``max_by``."""
-    cols = [c for c in updates.columns if c != "id"]
-    return updates.groupBy("id").agg(F.max_by(F.struct(*cols), F.col(seq)).alias("_v")).select("id", "_v.*")
+def last_version(updates: DataFrame, seq: str | None = None) -> DataFrame:
+    """One version per id: the last by ``seq`` (see :func:`last_row` for ties)."""
+    return last_row(updates, ["id"], [seq] if seq else [])
 
 
 def check_ids(updates: DataFrame, catalog: DataFrame, mother_id: str | None, me_id: str | None) -> DataFrame:
@@ -193,12 +197,14 @@ def strip_provenance(hits: DataFrame, trusted: Column) -> DataFrame:
 def upsert_hits(base: DataFrame, updates: DataFrame, seq: str = "seq") -> DataFrame:
     """M3: replace by hit id, last writer (highest ``seq``) wins.
 
-    Both inputs carry ``seq``; the result has one row per hit id.  Grouped
-    ``max_by`` rather than a window: the per-key reduction runs map-side.
+    ``base`` holds one row per hit id and is older than ``updates``; its rows
+    are only probed by the keys of the updates (anti join), never sorted or
+    aggregated.  Of several updates of one hit the last in the total order
+    (seq, row) counts.
     """
-    allc = base.unionByName(updates, allowMissingColumns=True)
-    cols = [c for c in allc.columns if c != "hit_id"]
-    return allc.groupBy("hit_id").agg(F.max_by(F.struct(*cols), F.col(seq)).alias("_v")).select("hit_id", "_v.*")
+    last = last_row(updates, ["hit_id"], [seq])
+    kept = base.join(updates.select("hit_id").distinct(), "hit_id", "left_anti")
+    return kept.unionByName(last, allowMissingColumns=True)
 
 
 def stale(requests: DataFrame, catalog: DataFrame, seconds: int, now: Column) -> DataFrame:
@@ -210,13 +216,16 @@ def stale(requests: DataFrame, catalog: DataFrame, seconds: int, now: Column) ->
 
 
 def valid_resource(df: DataFrame) -> DataFrame:
-    """List rule violations per resource (empty list = valid)."""
+    """List rule violations per resource (empty list = valid).
+
+    Any ``directaccess`` value and any headers or private parameters member,
+    an empty one too, count as present.
+    """
     direct = F.col("directaccess").isNotNull()
-    nonempty_map = lambda c: F.col(c).isNotNull() & (F.size(c) > 0)
     checks = F.array_compact(F.array(
         F.when(F.col("id").isNull(), F.lit("Missing Identifier")),
-        F.when(direct & nonempty_map("headers"), F.lit("directaccess with headers")),
-        F.when(direct & nonempty_map("privateparameters"), F.lit("directaccess with private parameters")),
+        F.when(direct & F.col("headers").isNotNull(), F.lit("directaccess with headers")),
+        F.when(direct & F.col("privateparameters").isNotNull(), F.lit("directaccess with private parameters")),
         F.when(direct & F.col("post").isNotNull(), F.lit("directaccess with post")),
         F.when(direct & (F.coalesce("mimetype", F.lit(DEFAULT_MIMETYPE)) != F.lit(DEFAULT_MIMETYPE)),
                F.lit("directaccess with mimetype")),
@@ -225,10 +234,10 @@ def valid_resource(df: DataFrame) -> DataFrame:
     return df.withColumn("violations", checks)
 
 
-def refresh_budget(candidates: DataFrame, batch: str, order: list[Column]) -> DataFrame:
-    """At most 11 refreshes per check batch (``row_number() <= 11``)."""
+def refresh_budget(candidates: DataFrame, batch: str, order: list[Column], budget: int = REFRESH_BUDGET) -> DataFrame:
+    """At most ``budget`` refreshes per check batch."""
     w = Window.partitionBy(batch).orderBy(*order)
-    return candidates.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= REFRESH_BUDGET).drop("_r")
+    return candidates.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= budget).drop("_r")
 
 
 def valid_hit(hits: DataFrame) -> DataFrame:

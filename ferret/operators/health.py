@@ -49,23 +49,30 @@ def healthy(health: DataFrame) -> Column:
     )
 
 
-def health_summary(health: DataFrame, order_col: str = "rid") -> DataFrame:
+def health_summary(health: DataFrame, order_col: str = "rid", mother: DataFrame | None = None) -> DataFrame:
     """A1: counts of healthy / unhealthy live resources and a last message.
 
-    lastmessage = ``rid: message`` of the last unhealthy resource (in
-    ``order_col`` order), else of the first resource with a message.
+    ``mother``: one health row of the parent resource, counted too.  lastmessage
+    = ``rid (mother): message`` if the parent is unhealthy, else ``rid: message``
+    of the last unhealthy resource (in ``order_col`` order), else of the first
+    resource with a message.
     """
     h = health
     if "deleted" in h.columns:
         h = h.filter(~F.coalesce("deleted", F.lit(False)))
-    ok = healthy(h)
-    msg = F.concat(F.col("rid"), F.lit(": "), F.coalesce(F.col("lastmessage"), F.lit("null")))
+    h = h.select("rid", F.col(order_col).alias("_order"), "lastmessage", healthy(h).alias("ok"), F.lit(False).alias("top"))
+    if mother is not None:
+        h = h.unionByName(mother.select("rid", F.lit(None).cast(h.schema["_order"].dataType).alias("_order"), "lastmessage",
+                                        healthy(mother).alias("ok"), F.lit(True).alias("top")))
+    msg = F.concat(F.col("rid"), F.when(F.col("top"), F.lit(" (mother): ")).otherwise(F.lit(": ")), F.coalesce("lastmessage", F.lit("null")))
+    bad, peer = ~F.col("ok"), ~F.col("top")
     return h.agg(
-        F.count_if(ok).alias("enginesok"),
-        F.count_if(~ok).alias("engineserr"),
+        F.count_if("ok").alias("enginesok"),
+        F.count_if(bad).alias("engineserr"),
         F.coalesce(
-            F.max_by(msg, F.when(~ok, F.col(order_col))),
-            F.min_by(msg, F.when(F.col("lastmessage").isNotNull(), F.col(order_col))),
+            F.max(F.when(bad & F.col("top"), msg)),
+            F.max_by(msg, F.when(bad & peer, F.col("_order"))),
+            F.min_by(msg, F.when(peer & F.col("lastmessage").isNotNull(), F.col("_order"))),
         ).alias("lastmessage"),
     )
 
@@ -77,14 +84,18 @@ def max_prior(resources: DataFrame, now: Column) -> DataFrame:
 
 
 def uptime_report(resources: DataFrame, health: DataFrame) -> DataFrame:
-    """A5: per resource ``Ok`` / ``Error`` / ``No health`` and uptime percent."""
+    """A5: per resource ``Ok`` / ``Error`` / ``No health`` and uptime percent.
+
+    Both times start together, so a resource that succeeded and never failed is
+    ``Ok``; one that did neither is ``Error``.
+    """
     j = resources.select(F.col("id").alias("rid")).join(health, "rid", "left")
     has = F.col("requestsok").isNotNull()
-    fmt_ok = F.date_format("lastsuccess", TS_FORMAT)
-    fmt_err = F.date_format("lasterror", TS_FORMAT)
+    fmt_ok = F.coalesce(F.date_format("lastsuccess", TS_FORMAT), F.lit(""))
+    fmt_err = F.coalesce(F.date_format("lasterror", TS_FORMAT), F.lit(""))
     status = (
         F.when(~has, F.lit("No health"))
-        .when(fmt_ok.isNotNull() & fmt_err.isNotNull() & (fmt_ok > fmt_err), F.lit("Ok"))
+        .when(fmt_ok > fmt_err, F.lit("Ok"))
         .otherwise(F.lit("Error"))
     )
     uptime = F.when(
@@ -98,26 +109,43 @@ def seconds_since_use(health: DataFrame, now: Column) -> DataFrame:
     return health.select("rid", H.seconds_ago(F.col("lastused"), now).alias("seconds_ago"))
 
 
-def result_quality(results: DataFrame, test_query: Column | None = None) -> DataFrame:
-    """Test verdicts per (rid, query) result list.
+def result_quality(results: DataFrame) -> DataFrame:
+    """Test verdicts per (rid, query) answer.
+
+    ``results``: (rid, query, testquery, rerank, hit_id, title, hit_rid), one row
+    per hit and one row with a null hit_id for an empty answer.  Optional
+    columns directaccess, apitemplate and page_id, page_apitemplate,
+    page_directaccess (the resource as its own answer describes it) add the
+    check that a direct-access resource names itself.
 
-    ``results``: (rid, query, hit_id, title, rerank).  Errors: no hit for the
-    test query (hint when a rerank model is set), a hit with neither title nor
-    rid.  Warnings: fewer than 10 or more than 49 hits.
+    Errors, the first that holds: an inconsistent direct-access description;
+    for the test query only, no hit (with a hint when a rerank model is set) or
+    a hit with neither title nor rid.  Warnings: fewer than 10 or more than 49 hits.
     """
     has_hit = F.col("hit_id").isNotNull()
+    empty = lambda c: F.coalesce(F.length(c), F.lit(0)) == 0
+    direct = [c for c in ("directaccess", "apitemplate", "page_id", "page_apitemplate", "page_directaccess") if c in results.columns]
     g = results.groupBy("rid", "query").agg(
         F.count_if(has_hit).alias("n_hits"),
-        F.bool_or(has_hit & F.coalesce(F.length("title"), F.lit(0)).__eq__(0) & F.coalesce(F.length("rid"), F.lit(0)).__eq__(0)).alias("bad_hit"),
+        F.bool_or(has_hit & empty("title") & empty("hit_rid")).alias("bad_hit"),
         F.max("rerank").alias("rerank"),
         F.max("testquery").alias("testquery"),
+        *[F.max(c).alias(c) for c in direct],
     )
     is_test = F.col("query") == F.col("testquery")
     no_results = F.concat(F.lit("No results for test query: "), F.col("query"))
+    error = F.when(F.lit(False), F.lit(None).cast("string"))
+    if len(direct) == 5:
+        has = F.col("directaccess").isNotNull()
+        error = (
+            error.when(has & ~F.col("rid").eqNullSafe(F.col("page_id")), F.lit("DirectAccess engine must have resource with same Id."))
+            .when(has & ~F.col("apitemplate").eqNullSafe(F.col("page_apitemplate")), F.lit("DirectAccess engine must have same APItemplate."))
+            .when(has & F.col("page_directaccess").isNull(), F.lit("DirectAccess engine must also have 'directaccess'."))
+        )
     error = (
-        F.when(is_test & (F.col("n_hits") == 0),
-               F.when(F.col("rerank").isNotNull(), F.concat(no_results, F.lit("; Try removing rerank."))).otherwise(no_results))
-        .when(F.col("bad_hit"), F.lit("Search result must have a title or a rid."))
+        error.when(is_test & (F.col("n_hits") == 0),
+                   F.when(F.col("rerank").isNotNull(), F.concat(no_results, F.lit("; Try removing rerank."))).otherwise(no_results))
+        .when(is_test & F.col("bad_hit"), F.lit("Search result must have a title or a rid."))
     )
     warning = (
         F.when(F.col("n_hits") < 10, F.lit("less than 10 results"))

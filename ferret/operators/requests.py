@@ -15,54 +15,69 @@ from ferret.functions import urls as U
 from ferret.operators.catalog import conform
 
 
-def plan_requests(requests: DataFrame, catalog: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+def plan_requests(requests: DataFrame, catalog: DataFrame, verdicts: DataFrame | None = None,
+                  cached: DataFrame | None = None) -> DataFrame:
     """(req_id, rid, action, method, url, body, error) per request.
 
     ``requests``: (req_id, rid, query, page).  ``catalog``: resources with
     apitemplate, post, postencode, directaccess, deleted, privateparameters.
-    ``verdicts``: optional (req_id, accepted) from the rate limiter (ST2).
-    Order of checks: unknown resource, tombstone (gone), direct access
-    (redirect), rate limit, missing template, template errors.  Error texts go
+    ``verdicts``: optional (req_id, accepted) from the rate limiter (ST2);
+    ``cached``: optional (req_id) of requests that the cache answers (J6), which
+    need no allowance and are no request to the limiter.
+    Order of checks: unknown resource, tombstone (gone), ``directaccess`` =
+    'yes' (redirect, to the first page), cached, rate limit, missing template,
+    template errors, signed resource (signing is not built).  Error texts go
     through F12, so private values never show.
     """
     cat = conform(catalog).select(
         F.col("id").alias("rid"), "apitemplate", "post", "postencode", "directaccess", "deleted", "privateparameters",
-        F.lit(True).alias("_known"),
+        "signature", F.lit(True).alias("_known"),
     )
     r = requests.join(cat, "rid", "left")
     if verdicts is not None:
         r = r.join(verdicts.select("req_id", "accepted"), "req_id", "left")
     else:
         r = r.withColumn("accepted", F.lit(True))
+    if cached is not None:
+        r = r.join(cached.select("req_id", F.lit(True).alias("_cached")).distinct(), "req_id", "left")
+    else:
+        r = r.withColumn("_cached", F.lit(False))
+    r = r.withColumn("_first", F.lit(None).cast("int"))
     q = U.form_encode("query")
     url, url_err = U.fill_template("apitemplate", q, "page", "privateparameters")
     has_post = F.col("post").isNotNull() & (F.col("post") != F.lit(""))
     body, body_err = U.fill_template("post", U.encode_query("query", "postencode"), "page", "privateparameters")
-    direct = F.col("directaccess").isNotNull()
+    to, to_err = U.fill_template("apitemplate", q, "_first", "privateparameters")
+    direct = F.coalesce(F.col("directaccess") == F.lit("yes"), F.lit(False))
+    in_cache = F.coalesce(F.col("_cached"), F.lit(False))
+    signed = F.coalesce(F.length("signature") > 0, F.lit(False))
     action = (
         F.when(F.col("_known").isNull(), F.lit("error"))
         .when(F.coalesce("deleted", F.lit(False)), F.lit("gone"))
-        .when(direct & F.col("apitemplate").isNotNull() & url_err.isNull(), F.lit("redirect"))
+        .when(direct & F.col("apitemplate").isNotNull() & to_err.isNull(), F.lit("redirect"))
         .when(direct, F.lit("error"))
+        .when(in_cache, F.lit("cached"))
         .when(~F.coalesce("accepted", F.lit(True)), F.lit("error"))
         .when(F.col("apitemplate").isNull(), F.lit("error"))
-        .when(url_err.isNotNull() | (has_post & body_err.isNotNull()), F.lit("error"))
+        .when(url_err.isNotNull() | (has_post & body_err.isNotNull()) | signed, F.lit("error"))
         .otherwise(F.lit("fetch"))
     )
     error = (
         F.when(F.col("_known").isNull(), F.lit("Unknown resource"))
         .when(F.coalesce("deleted", F.lit(False)), F.lit("Gone"))
         .when(direct & F.col("apitemplate").isNull(), F.lit("No API Template"))
-        .when(direct, url_err)
+        .when(direct, to_err)
+        .when(in_cache, F.lit(None).cast("string"))
         .when(~F.coalesce("accepted", F.lit(True)), F.lit("Too many queries"))
         .when(F.col("apitemplate").isNull(), F.lit("No API Template"))
         .when(url_err.isNotNull(), url_err)
-        .when(has_post, body_err)
+        .when(has_post & body_err.isNotNull(), body_err)
+        .when(signed, F.lit("Signed resources are not supported"))
     )
     out = r.select(
         "req_id", "rid", action.alias("action"),
         F.when(action == F.lit("fetch"), F.when(has_post, F.lit("POST")).otherwise(F.lit("GET"))).alias("method"),
-        F.when(action.isin("fetch", "redirect"), url).alias("url"),
+        F.when(action == F.lit("redirect"), to).when(action == F.lit("fetch"), url).alias("url"),
         F.when((action == F.lit("fetch")) & has_post, body).alias("body"),
         U.redact(error, F.col("privateparameters")).alias("error"),
     )

@@ -6,6 +6,7 @@ Shared pieces are composed as CTE text.  Patterns are RE2-compatible.
 from __future__ import annotations
 
 from ferret.functions.text import STOP_WORDS
+from ferret.operators.catalog import DEFAULT_MIMETYPE
 
 WORD = r"[\p{L}\p{N}_]+(?:['.][\p{L}\p{N}_]+)*".replace("'", "''")
 STOP_LIST = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -219,18 +220,31 @@ SELECT count(*) FILTER (WHERE ok) AS enginesok, count(*) FILTER (WHERE NOT ok) A
                 arg_min(rid || ': ' || coalesce(lastmessage, 'null'), rid) FILTER (WHERE lastmessage IS NOT NULL)) AS lastmessage
 FROM hh"""
 
+HEALTH_SUMMARY_MOTHER = with_(HEALTH) + """,
+hh AS (SELECT *, (coalesce(lastsuccess, TIMESTAMP '1970-01-01') >= coalesce(lasterror, TIMESTAMP '1970-01-01'))
+                 OR coalesce(requestserr, 0) = 0 AS ok FROM health),
+m AS (SELECT count(*) AS errors, arg_max(message, (ts, event_id)) AS msg FROM log WHERE error)
+SELECT (SELECT count(*) FILTER (WHERE ok) FROM hh) + CASE WHEN errors = 0 THEN 1 ELSE 0 END AS enginesok,
+       (SELECT count(*) FILTER (WHERE NOT ok) FROM hh) + CASE WHEN errors > 0 THEN 1 ELSE 0 END AS engineserr,
+       'm (mother): ' || msg AS lastmessage
+FROM m"""
+
 QUERY_COUNTERS = with_(LOG) + """
 SELECT count(*) FILTER (WHERE NOT error) AS requestsok, count(*) FILTER (WHERE error) AS requestserr, min(ts) AS upsince
 FROM log"""
 
-UPTIME_REPORT = with_(HEALTH) + """,
+UPTIME_REPORT = with_(LOG) + """,
+l2 AS (SELECT rid, ts, error AND CAST(substr(rid, 2) AS BIGINT) % 3 <> 0 AS error,
+              CASE WHEN CAST(substr(rid, 2) AS BIGINT) % 3 = 0 THEN 1 ELSE hits END AS hits FROM log),
+h AS (SELECT rid, count(*) FILTER (WHERE NOT error AND hits >= 1) AS ok, count(*) FILTER (WHERE error) AS err,
+             max(ts) FILTER (WHERE NOT error AND hits >= 1) AS ls, max(ts) FILTER (WHERE error) AS le FROM l2 GROUP BY rid),
 r AS (SELECT 'u' || CAST(c_custkey AS VARCHAR) AS rid FROM customer)
 SELECT r.rid,
-       CASE WHEN h.requestsok IS NULL THEN 'No health'
-            WHEN strftime(h.lastsuccess, '%Y-%m-%d %H:%M:%S') > strftime(h.lasterror, '%Y-%m-%d %H:%M:%S') THEN 'Ok'
+       CASE WHEN h.ok IS NULL THEN 'No health'
+            WHEN h.ls IS NOT NULL AND (h.le IS NULL OR date_trunc('second', h.ls) > date_trunc('second', h.le)) THEN 'Ok'
             ELSE 'Error' END AS conclusion,
-       round(100.0 * h.requestsok / (h.requestsok + h.requestserr + 0.01), 6) AS uptime
-FROM r LEFT JOIN health h ON r.rid = h.rid"""
+       round(100.0 * h.ok / (h.ok + h.err + 0.01), 6) AS uptime
+FROM r LEFT JOIN h ON r.rid = h.rid"""
 
 SECONDS_SINCE_USE = with_(HEALTH) + f"""
 SELECT rid, CASE WHEN ago < 0 OR ago > 8640000 OR ago IS NULL THEN 8640000 ELSE ago END AS seconds_ago
@@ -248,7 +262,9 @@ old AS (
          '{API}s' || CAST(s_suppkey AS VARCHAR) || '?q={{searchTerms}}&page={{startPage?}}&key={{apikey}}' AS apitemplate,
          md5(s_name) AS apikey, false AS deleted,
          CAST(s_nationkey AS INTEGER) AS requestsok, 0 AS requestserr,
-         {UP_SINCE} AS lastupdated, {UP_SINCE} AS upsince, CAST(NULL AS VARCHAR) AS lastmessage
+         {UP_SINCE} AS lastupdated, {UP_SINCE} AS upsince, CAST(NULL AS VARCHAR) AS lastmessage,
+         {UP_SINCE} + to_hours(CAST(s_nationkey AS INTEGER)) AS lastsuccess,
+         CASE WHEN s_nationkey % 2 = 0 THEN {UP_SINCE} END AS lasterror
   FROM sn),
 upd AS (
   SELECT 's' || CAST(s_suppkey AS VARCHAR) AS id,
@@ -269,7 +285,7 @@ j AS (
   SELECT o.id AS o_id, u.id AS n_id, o.name AS o_name, u.name AS n_name, o.type AS o_type, u.type AS n_type,
          o.prior AS o_prior, u.prior AS n_prior, o.apitemplate AS o_api, u.apitemplate AS n_api,
          o.apikey AS o_key, u.apikey AS n_key, o.deleted AS o_del, u.deleted AS n_del,
-         o.requestsok, o.requestserr, o.lastupdated, o.upsince, o.lastmessage
+         o.requestsok, o.requestserr, o.lastupdated, o.upsince, o.lastmessage, o.lastsuccess, o.lasterror
   FROM old o FULL OUTER JOIN upd u ON o.id = u.id),
 k AS (
   SELECT *, n_id IS NOT NULL AND (o_id IS NULL OR
@@ -287,7 +303,7 @@ SELECT CASE WHEN take_new THEN n_id ELSE o_id END AS id,
        CASE WHEN take_new THEN 0 ELSE requestserr END AS requestserr,
        CASE WHEN n_id IS NULL THEN lastupdated ELSE {NOW} END AS lastupdated,
        CASE WHEN take_new THEN {NOW} ELSE upsince END AS upsince,
-       CASE WHEN take_new THEN NULL ELSE lastmessage END AS lastmessage
+       CASE WHEN take_new THEN NULL ELSE lastmessage END AS lastmessage, lastsuccess, lasterror
 FROM k"""
 
 
@@ -326,20 +342,21 @@ def fill_sql(t: str, q: str, page: str, key: str) -> str:
 
 
 PLAN_REQUESTS = "WITH RECURSIVE " + rate_limit_sql(
-    "SELECT event_id AS req_id, 's' || CAST(user_id AS VARCHAR) AS rid, ts FROM events", 2.0
+    "SELECT event_id AS req_id, 's' || CAST(user_id AS VARCHAR) AS rid, ts FROM events WHERE event_id % 10 <> 0", 2.0
 ) + f""",
 {CATALOG.strip()},
 cat AS (
   SELECT *, CASE WHEN s_acctbal > 5000 THEN 'q={{searchTerms}}&key={{apikey}}&page={{startPage?}}' END AS post,
          CASE WHEN s_acctbal > 8000 THEN 'application/json' END AS postencode,
-         CASE WHEN s_acctbal >= 0 AND s_acctbal <= 1000 THEN 'yes' END AS directaccess
+         s_acctbal >= 0 AND s_acctbal <= 1000 AS direct
   FROM old JOIN sn ON old.id = 's' || CAST(sn.s_suppkey AS VARCHAR)),
 req AS (
   SELECT e.event_id AS req_id, 's' || CAST(e.user_id AS VARCHAR) AS rid, e.event_type AS query,
          CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS page, w.accepted
   FROM events e LEFT JOIN walk w ON w.req_id = e.event_id),
 f AS (
-  SELECT req.*, cat.id IS NOT NULL AS known, cat.deleted, cat.directaccess, cat.post, cat.apitemplate, cat.apikey,
+  SELECT req.*, cat.id IS NOT NULL AS known, cat.deleted, coalesce(cat.direct, false) AS direct, req.req_id % 10 = 0 AS in_cache, cat.post, cat.apitemplate, cat.apikey,
+         {fill_sql('cat.apitemplate', ENC.format(x='req.query'), 'CAST(NULL AS INTEGER)', 'cat.apikey')} AS to0,
          {fill_sql('cat.apitemplate', ENC.format(x='req.query'), 'req.page', 'cat.apikey')} AS url0,
          {fill_sql('cat.post', "CASE WHEN cat.postencode IS NULL THEN " + ENC.format(x='req.query') + " WHEN cat.postencode = 'application/json' THEN replace(req.query, '\"', '\\\\\"') ELSE req.query END", 'req.page', 'cat.apikey')} AS body0
   FROM req LEFT JOIN cat ON req.rid = cat.id),
@@ -349,8 +366,9 @@ g AS (
 h AS (
   SELECT *, CASE WHEN NOT known THEN 'error'
                  WHEN coalesce(deleted, false) THEN 'gone'
-                 WHEN directaccess IS NOT NULL AND apitemplate IS NOT NULL AND NOT url_bad THEN 'redirect'
-                 WHEN directaccess IS NOT NULL THEN 'error'
+                 WHEN direct AND NOT regexp_matches(to0, '\\{{[0-9A-Za-z\\-_]+\\}}') THEN 'redirect'
+                 WHEN direct THEN 'error'
+                 WHEN in_cache THEN 'cached'
                  WHEN NOT coalesce(accepted, true) THEN 'error'
                  WHEN apitemplate IS NULL THEN 'error'
                  WHEN url_bad OR (has_post AND body_bad) THEN 'error'
@@ -358,12 +376,12 @@ h AS (
   FROM g)
 SELECT req_id, rid, action,
        CASE WHEN action = 'fetch' THEN CASE WHEN has_post THEN 'POST' ELSE 'GET' END END AS method,
-       CASE WHEN action IN ('fetch', 'redirect') THEN url0 END AS url,
+       CASE WHEN action = 'fetch' THEN url0 WHEN action = 'redirect' THEN to0 END AS url,
        CASE WHEN action = 'fetch' AND has_post THEN body0 END AS body,
        CASE WHEN NOT known THEN 'Unknown resource'
             WHEN coalesce(deleted, false) THEN 'Gone'
-            WHEN directaccess IS NOT NULL AND apitemplate IS NULL THEN 'No API Template'
-            WHEN directaccess IS NOT NULL THEN CASE WHEN url_bad THEN 'Missing url parameter ' || regexp_extract(url0, '(\\{{[^}}]*\\}})', 1) END
+            WHEN direct THEN CASE WHEN action = 'error' THEN 'Missing url parameter ' || regexp_extract(to0, '(\\{{[^}}]*\\}})', 1) END
+            WHEN in_cache THEN NULL
             WHEN NOT coalesce(accepted, true) THEN 'Too many queries'
             WHEN apitemplate IS NULL THEN 'No API Template'
             WHEN url_bad THEN 'Missing url parameter ' || regexp_extract(url0, '(\\{{[^}}]*\\}})', 1)
@@ -428,20 +446,42 @@ SELECT hit_id, arg_max(rid, seq) AS rid, arg_max(url, seq) AS url, arg_max(title
 FROM u GROUP BY hit_id"""
 
 VALID_RESOURCES = with_(CATALOG) + """
-SELECT id, CASE WHEN s_acctbal >= 0 AND s_acctbal <= 1000 THEN 'directaccess with private parameters' ELSE '' END AS violations
+SELECT id, CASE WHEN s_acctbal >= 0 AND s_acctbal <= 2000 THEN 'directaccess with private parameters' ELSE '' END AS violations
 FROM old JOIN sn ON old.id = 's' || CAST(sn.s_suppkey AS VARCHAR)"""
 
-EXPORT_HEALTH = with_(HEALTH) + """
-SELECT rid, requestsok, requestserr, CAST(NULL AS INTEGER) AS dayallowance,
-       strftime(lastsuccess, '%Y-%m-%d %H:%M:%S') AS lastsuccess, strftime(lasterror, '%Y-%m-%d %H:%M:%S') AS lasterror,
-       strftime(lastused, '%Y-%m-%d %H:%M:%S') AS lastupdated, lastmessage
-FROM health"""
-
-EXPORT_CATALOG_SHARED = with_(CATALOG) + """
-SELECT id, CASE WHEN NOT deleted THEN name END AS name, CASE WHEN NOT deleted THEN type END AS type,
-       CASE WHEN NOT deleted THEN apitemplate END AS apitemplate, CASE WHEN deleted THEN true END AS deleted,
-       round(CASE WHEN NOT deleted THEN prior END, 6) AS prior, CAST(NULL AS INTEGER) AS maxqueriesperday
-FROM upd"""
+EXPORT_HEALTH = "WITH RECURSIVE " + rate_limit_sql(
+    "SELECT event_id AS req_id, 's' || CAST(user_id AS VARCHAR) AS rid, ts FROM events", 2.0
+) + f""",
+{CATALOG.strip()},
+{HEALTH.strip()},
+last AS (SELECT rid, arg_max(allowance, (ts, req_id)) AS allowance, max(ts) AS ts FROM walk GROUP BY rid),
+x AS (SELECT old.id AS rid, old.upsince, old.lastupdated, h.requestsok, h.requestserr, h.lastsuccess, h.lasterror, h.lastmessage,
+             coalesce(last.allowance, 500.0)
+             + (CAST((epoch_us({NOW}) - epoch_us(coalesce(last.ts, old.upsince))) // 1000 AS DOUBLE) / CAST(86400000 AS DOUBLE)) * CAST(2 AS DOUBLE) AS c
+      FROM old LEFT JOIN health h ON h.rid = 'u' || substr(old.id, 2) LEFT JOIN last ON last.rid = old.id)
+SELECT rid, coalesce(requestsok, 0) AS requestsok, coalesce(requestserr, 0) AS requestserr,
+       CASE WHEN c > 2 THEN 2 ELSE CAST(trunc(c) AS INTEGER) END AS dayallowance,
+       strftime(coalesce(lastsuccess, upsince), '%Y-%m-%d %H:%M:%S') AS lastsuccess,
+       strftime(coalesce(lasterror, upsince), '%Y-%m-%d %H:%M:%S') AS lasterror,
+       strftime(lastupdated, '%Y-%m-%d %H:%M:%S') AS lastupdated, strftime(upsince, '%Y-%m-%d %H:%M:%S') AS upsince, lastmessage
+FROM x"""
+
+EXPORTED = CATALOG + """,
+ex AS (SELECT old.id, s_acctbal < 0 AS gone, old.name, old.type, old.apitemplate, old.prior,
+              CASE WHEN ntype LIKE 'i%' THEN 'text/html' END AS mimetype, CASE WHEN old.prior > 0.5 THEN 500 END AS rate,
+              'https://www.example.org/' || old.id || '?q={q}' AS urltemplate,
+              CASE WHEN s_acctbal > 5000 THEN 'q={searchTerms}&key={apikey}&page={startPage?}' END AS post,
+              CASE WHEN s_acctbal BETWEEN 0 AND 1000 THEN 'yes' WHEN s_acctbal > 1000 AND s_acctbal <= 2000 THEN 'no' END AS directaccess
+       FROM old JOIN sn ON old.id = 's' || CAST(sn.s_suppkey AS VARCHAR))"""
+
+EXPORT_CATALOG_SHARED = with_(EXPORTED) + f"""
+SELECT id, CASE WHEN gone THEN true END AS deleted, CASE WHEN NOT gone THEN name END AS name, CASE WHEN NOT gone THEN type END AS type,
+       CASE WHEN NOT gone THEN apitemplate END AS apitemplate, round(CASE WHEN NOT gone THEN prior END, 6) AS prior,
+       CASE WHEN NOT gone THEN rate END AS maxqueriesperday, CASE WHEN NOT gone THEN urltemplate END AS urltemplate,
+       CASE WHEN NOT gone THEN 'https://www.example.org/suggest' END AS suggesttemplate,
+       CASE WHEN NOT gone THEN coalesce(mimetype, '{DEFAULT_MIMETYPE}') END AS mimetype,
+       CASE WHEN NOT gone THEN post END AS post, CASE WHEN NOT gone THEN directaccess END AS directaccess
+FROM ex"""
 
 STRIP = "regexp_replace(regexp_replace(regexp_replace({x}, '(?i)</?span[^>]*>|</?b>|</?i>|</?em>|</?strong>', '', 'g'), '<[^>]+>|&#?[0-9a-zA-Z]{{1,9}};', '', 'g'), '[<>]', '', 'g')"
 
@@ -459,10 +499,15 @@ stop AS (SELECT min(page_id) AS stop FROM (SELECT DISTINCT page_id FROM links) p
          WHERE page_id NOT IN (SELECT page FROM firsts))
 SELECT rid, page, pos FROM firsts WHERE (SELECT stop FROM stop) IS NULL OR page < (SELECT stop FROM stop)""")
 
-RESULT_QUALITY = with_(HITS, POSTINGS, QUERY_TERMS, SCORED) + """
-SELECT rid, CAST(qid AS VARCHAR) AS query, count(hit_id) AS n_hits, CAST(NULL AS VARCHAR) AS error,
-       CASE WHEN count(hit_id) < 10 THEN 'less than 10 results' WHEN count(hit_id) > 49 THEN 'more than 49 results' END AS warning
-FROM res GROUP BY rid, qid"""
+RESULT_QUALITY = with_(HITS, POSTINGS, QUERY_TERMS, SCORED) + """,
+an AS (SELECT rid, qid, count(*) FILTER (WHERE type IN ('fr', 'de')) AS n_hits,
+              coalesce(bool_or(type = 'de' OR (type = 'fr' AND title = '')), false) AS bad FROM res GROUP BY rid, qid)
+SELECT rid, CAST(qid AS VARCHAR) AS query, n_hits,
+       CASE WHEN qid % 2 = 0 AND n_hits = 0 THEN 'No results for test query: ' || CAST(qid AS VARCHAR)
+                 || CASE WHEN qid % 4 = 0 THEN '; Try removing rerank.' ELSE '' END
+            WHEN qid % 2 = 0 AND bad THEN 'Search result must have a title or a rid.' END AS error,
+       CASE WHEN n_hits < 10 THEN 'less than 10 results' WHEN n_hits > 49 THEN 'more than 49 results' END AS warning
+FROM an"""
 
 BOOLEAN_SEARCH = with_(HITS, POSTINGS, QUERY_TERMS, SCORED) + """,
 req AS (
@@ -500,15 +545,16 @@ cand AS (SELECT * FROM st WHERE lastupdated IS NULL
          OR (CASE WHEN ago < 0 OR ago > 8640000 THEN 8640000 ELSE ago END) > 7200)
 SELECT batch_id, rid FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY rid) AS r FROM cand) WHERE r <= 11"""
 
-FAILED_COUNT = RESULT_QUALITY.replace("""
-SELECT rid, CAST(qid AS VARCHAR) AS query,""", """,
-rq AS (
-SELECT rid, CAST(qid AS VARCHAR) AS query,""").rstrip() + """),
+FAILED_COUNT = f"""
+WITH rq AS ({RESULT_QUALITY}),
 per AS (SELECT rid, bool_or(error IS NOT NULL) AS failed FROM rq GROUP BY rid)
 SELECT count(*) FILTER (WHERE failed) AS failed, count(*) AS tested FROM per"""
 
-EXPORT_CATALOG_UNSHARED = with_(CATALOG) + """
-SELECT id, name, type, CAST(NULL AS VARCHAR) AS mimetype FROM upd"""
+EXPORT_CATALOG_UNSHARED = with_(EXPORTED) + """
+SELECT id, CASE WHEN gone THEN true END AS deleted, CASE WHEN NOT gone THEN name END AS name, CASE WHEN NOT gone THEN urltemplate END AS urltemplate,
+       CASE WHEN NOT gone THEN type END AS type, CASE WHEN NOT gone THEN mimetype END AS mimetype,
+       CASE WHEN NOT gone THEN rate END AS maxqueriesperday, CASE WHEN NOT gone THEN directaccess END AS directaccess
+FROM ex"""
 
 DELETE_RESOURCES = with_(CATALOG) + """
 SELECT id, name FROM old WHERE id NOT IN (SELECT id FROM upd WHERE deleted)"""

@@ -106,13 +106,24 @@ def q_health_summary(spark, sf_dir):
     return HL.health_summary(HL.resource_counters(TB.request_log(spark, sf_dir)))
 
 
+def q_health_summary_mother(spark, sf_dir):
+    """A1 with a parent resource that only ever failed or found nothing."""
+    log = TB.request_log(spark, sf_dir)
+    mother = log.filter(F.col("error") | (F.col("hits") == 0)).withColumn("rid", F.lit("m"))
+    return HL.health_summary(HL.resource_counters(log), mother=HL.resource_counters(mother))
+
+
 def q_query_counters(spark, sf_dir):
     return HL.query_counters(TB.request_log(spark, sf_dir))
 
 
 def q_uptime_report(spark, sf_dir):
     res = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("id"))
-    rep = HL.uptime_report(res, HL.resource_counters(TB.request_log(spark, sf_dir)))
+    # every third user never fails: their failures count as answers
+    log = TB.request_log(spark, sf_dir)
+    never = F.substring("rid", 2, 20).cast("long") % 3 == 0
+    log = log.withColumn("hits", F.when(never, F.lit(1)).otherwise(F.col("hits"))).withColumn("error", F.col("error") & ~never)
+    rep = HL.uptime_report(res, HL.resource_counters(log))
     return rep.select("rid", "conclusion", F.when(~F.isnan("uptime"), F.round("uptime", 6)).alias("uptime"))
 
 
@@ -129,7 +140,7 @@ def q_merge_resources(spark, sf_dir):
     return m.select(
         "id", "name", "type", r6("prior"), "deleted", "apitemplate",
         F.col("privateparameters")["apikey"].alias("apikey"),
-        "requestsok", "requestserr", "lastupdated", "upsince", "lastmessage",
+        "requestsok", "requestserr", "lastupdated", "upsince", "lastmessage", "lastsuccess", "lasterror",
     )
 
 
@@ -141,8 +152,10 @@ def q_rate_limit(spark, sf_dir):
 
 def q_plan_requests(spark, sf_dir):
     reqs = TB.requests_from_events(spark, sf_dir)
-    verdicts = RL.rate_limit(reqs.select("req_id", "rid", "ts"), rate=2)
-    return RQ.plan_requests(reqs, TB.catalog_base(spark, sf_dir), verdicts)
+    # every tenth request is answered by the cache and asks for no allowance
+    cached = reqs.filter(F.col("req_id") % 10 == 0).select("req_id")
+    verdicts = RL.rate_limit(reqs.filter(F.col("req_id") % 10 != 0).select("req_id", "rid", "ts"), rate=2)
+    return RQ.plan_requests(reqs, TB.catalog_base(spark, sf_dir), verdicts, cached)
 
 
 def q_cache_lookup(spark, sf_dir):
@@ -222,12 +235,18 @@ def q_valid_resources(spark, sf_dir):
 
 
 def q_export_health(spark, sf_dir):
-    return EX.health_export(HL.resource_counters(TB.request_log(spark, sf_dir)))
+    """Suppliers as resources, the answers to events as their log."""
+    log = TB.request_log(spark, sf_dir).withColumn("rid", F.concat(F.lit("s"), F.substring("rid", 2, 20)))
+    out = RL.rate_limit(log.select(F.col("event_id").alias("req_id"), "rid", "ts"), rate=2)
+    last = out.groupBy("rid").agg(F.max_by(F.struct("allowance", "ts"), F.struct("ts", "req_id")).alias("s")).select("rid", "s.*")
+    cat = TB.catalog_base(spark, sf_dir).withColumn("maxqueriesperday", F.lit(2))
+    return EX.health_export(cat, HL.resource_counters(log), last, TB.now_col())
 
 
 def q_export_catalog_shared(spark, sf_dir):
-    s = EX.catalog_shared(TB.catalog_updates(spark, sf_dir))
-    return s.select("id", "name", "type", "apitemplate", "deleted", r6("prior"), "maxqueriesperday")
+    s = EX.catalog_shared(TB.export_catalog(spark, sf_dir))
+    return s.select("id", "name", "type", "apitemplate", "deleted", r6("prior"), "maxqueriesperday", "urltemplate",
+                    "suggesttemplate", "mimetype", "post", "directaccess")
 
 
 def q_result_page_roundtrip(spark, sf_dir):
@@ -262,8 +281,14 @@ def q_next_probe(spark, sf_dir):
 
 def q_result_quality(spark, sf_dir):
     res = S.search(_queries(spark, sf_dir), IX.build_index(TB.hits(spark, sf_dir)))
-    r = res.select("rid", F.col("qid").cast("string").alias("query"), "hit_id", "title",
-                   F.lit(None).cast("string").alias("rerank"), F.lit("searsia").alias("testquery"))
+    # the answer of a source to a query: its German and French hits among the
+    # best 80, German ones without a title; even queries are test queries
+    hit = F.col("type").isin("fr", "de")
+    q = F.col("qid").cast("string")
+    r = res.select(
+        "rid", q.alias("query"), F.when(F.col("qid") % 2 == 0, q).otherwise(F.lit("other")).alias("testquery"),
+        F.when(F.col("qid") % 4 == 0, F.lit("or")).alias("rerank"), F.when(hit, F.col("hit_id")).alias("hit_id"),
+        F.when(hit & (F.col("type") == "fr"), F.col("title")).alias("title"), F.lit(None).cast("string").alias("hit_rid"))
     return HL.result_quality(r)
 
 
@@ -325,7 +350,8 @@ def q_failed_count(spark, sf_dir):
 
 
 def q_export_catalog_unshared(spark, sf_dir):
-    return EX.catalog_unshared(TB.catalog_updates(spark, sf_dir)).select("id", "name", "type", "mimetype")
+    return EX.catalog_unshared(TB.export_catalog(spark, sf_dir)).select(
+        "id", "deleted", "name", "urltemplate", "type", "mimetype", "maxqueriesperday", "directaccess")
 
 
 def q_delete_resources(spark, sf_dir):
@@ -365,6 +391,7 @@ QUERIES: dict[str, Query] = {
     "rerank_random": _rerank("random"),
     "resource_health": q_resource_health,
     "health_summary": q_health_summary,
+    "health_summary_mother": q_health_summary_mother,
     "query_counters": q_query_counters,
     "uptime_report": q_uptime_report,
     "seconds_since_use": q_seconds_since_use,
@@ -409,6 +436,7 @@ ORACLE: dict[str, str] = {
     "rerank_anyresult": O.RERANK_ANYRESULT,
     "resource_health": O.RESOURCE_HEALTH,
     "health_summary": O.HEALTH_SUMMARY,
+    "health_summary_mother": O.HEALTH_SUMMARY_MOTHER,
     "query_counters": O.QUERY_COUNTERS,
     "uptime_report": O.UPTIME_REPORT,
     "seconds_since_use": O.SECONDS_SINCE_USE,

@@ -2,25 +2,27 @@
 catalogue and health, and the incremental catalogue save.
 
 Projections are ordinary columns first (so they can be checked and joined);
-``to_json`` turns a projection into text, dropping nulls like the reference.
+``to_json`` turns a projection into text, dropping nulls.
 Private parameters never appear in an export (they are only in the stored
 catalogue written by :func:`write_catalog`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferret.functions import health as H
 from ferret.functions import text as T
 from ferret.operators import catalog as CAT
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
+START_ALLOWANCE = 500.0
 SHARED_FIELDS = [
     "id", "name", "urltemplate", "favicon", "banner", "post", "postencode", "mimetype", "rerank", "signature",
     "testquery", "itempath", "type", "apitemplate", "suggesttemplate", "directaccess",
 ]
-UNSHARED_FIELDS = ["id", "name", "urltemplate", "favicon", "banner", "mimetype", "rerank", "type", "suggesttemplate", "directaccess"]
+UNSHARED_FIELDS = ["name", "urltemplate", "favicon", "banner", "directaccess", "rerank", "type"]
 
 
 def export_hits(hits: DataFrame, cols: list[str]) -> DataFrame:
@@ -66,10 +68,17 @@ def catalog_shared(catalog: DataFrame) -> DataFrame:
 
 
 def catalog_unshared(catalog: DataFrame) -> DataFrame:
-    """S8 (not shared): ten public members; mimetype only if not the default."""
+    """S8 (not shared): public members only; a tombstone is id + deleted; the
+    mimetype and the rate only if they are not the default."""
     c = CAT.conform(catalog)
-    cols = [F.col(f) if f != "mimetype" else _not_default("mimetype", CAT.DEFAULT_MIMETYPE).alias("mimetype") for f in UNSHARED_FIELDS]
-    return c.select(*cols)
+    live = ~F.col("deleted")
+    return c.select(
+        "id",
+        F.when(~live, F.lit(True)).alias("deleted"),
+        *[F.when(live, F.col(f)).alias(f) for f in UNSHARED_FIELDS],
+        F.when(live, _not_default("mimetype", CAT.DEFAULT_MIMETYPE)).alias("mimetype"),
+        F.when(live, _not_default("maxqueriesperday", CAT.DEFAULT_RATE)).alias("maxqueriesperday"),
+    )
 
 
 def to_json_lines(projection: DataFrame) -> DataFrame:
@@ -77,16 +86,28 @@ def to_json_lines(projection: DataFrame) -> DataFrame:
     return projection.select(F.to_json(F.struct(*projection.columns)).alias("value"))
 
 
-def health_export(health: DataFrame, allowance: Column | None = None) -> DataFrame:
-    """Per-resource health with times as ``yyyy-MM-dd HH:mm:ss``."""
-    return health.select(
+def health_export(catalog: DataFrame, health: DataFrame, limits: DataFrame, now: Column) -> DataFrame:
+    """Health of every catalogue resource, times as ``yyyy-MM-dd HH:mm:ss``.
+
+    ``health``: counters by rid (A3); ``limits``: (rid, allowance, ts), the state
+    of the rate limiter after its last request.  A resource without answers has
+    zero counters and its start as both times; one without limiter state has
+    its start allowance.  The allowance is what is left at ``now`` (F19).
+    """
+    c = CAT.conform(catalog).select(F.col("id").alias("rid"), "upsince", "lastupdated", "maxqueriesperday")
+    h = health.select("rid", "requestsok", "requestserr", "lastsuccess", "lasterror", "lastmessage")
+    x = c.join(h, "rid", "left").join(limits.select("rid", "allowance", "ts"), "rid", "left")
+    stamp = lambda col: F.date_format(F.coalesce(col, F.col("upsince")), TS_FORMAT)
+    return x.select(
         "rid",
-        "requestsok",
-        "requestserr",
-        (allowance if allowance is not None else F.lit(None).cast("int")).alias("dayallowance"),
-        F.date_format("lastsuccess", TS_FORMAT).alias("lastsuccess"),
-        F.date_format("lasterror", TS_FORMAT).alias("lasterror"),
-        F.date_format("lastused", TS_FORMAT).alias("lastupdated"),
+        F.coalesce("requestsok", F.lit(0)).alias("requestsok"),
+        F.coalesce("requestserr", F.lit(0)).alias("requestserr"),
+        H.allowance(F.coalesce("allowance", F.lit(START_ALLOWANCE)), F.coalesce("ts", "upsince"),
+                    F.col("maxqueriesperday"), now).alias("dayallowance"),
+        stamp(F.col("lastsuccess")).alias("lastsuccess"),
+        stamp(F.col("lasterror")).alias("lasterror"),
+        stamp(F.col("lastupdated")).alias("lastupdated"),
+        F.date_format("upsince", TS_FORMAT).alias("upsince"),
         "lastmessage",
     )
 
@@ -99,9 +120,23 @@ def local_projection(mother: DataFrame) -> DataFrame:
 
 
 def write_catalog(catalog: DataFrame, since: Column, path: str) -> DataFrame:
-    """Save resources updated at or after ``since`` (>=, so a same-second
-    update is never missed; the save is an idempotent overwrite of the changed
-    ids' rows); returns the new high-water mark as a one-row DataFrame."""
+    """Save the resources updated at or after ``since`` (a same-second update
+    is never missed); returns the new high-water mark as a one-row DataFrame.
+
+    A save is the partition of its mark: the same save made again replaces it.
+    Rows at the mark that an earlier save holds too are folded on reading
+    (:func:`ferret.sources.pages.read_catalog`); :func:`compact_catalog` folds
+    them on disk.
+    """
     changed = catalog.filter(F.col("lastupdated") >= since)
-    changed.write.mode("append").parquet(path)
+    (changed.withColumn("saved_since", F.date_format(since, "yyyyMMddHHmmss")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("saved_since").parquet(path))
     return changed.agg(F.max("lastupdated").alias("since"))
+
+
+def compact_catalog(spark: SparkSession, path: str, into: str) -> None:
+    """Write the folded catalogue of all saves under ``path`` as one save under ``into``."""
+    from ferret.sources.pages import read_catalog
+
+    catalog, _ = read_catalog(spark, path)
+    catalog.withColumn("saved_since", F.lit("0")).write.mode("overwrite").partitionBy("saved_since").parquet(into)

@@ -1,7 +1,7 @@
 """Readers for stored JSON result pages and resource definitions.
 
 A result page is ``{"hits": [{...}, ...], "resource": {...}, "query": ..,
-"searsia": version}``; a resource file holds one object under ``resource``.
+"version": version}``; a resource file holds one object under ``resource``.
 Files are read whole (``wholetext``), one page per file, and parsed with
 Spark's JSON functions; nothing is parsed on the driver.
 """
@@ -18,12 +18,13 @@ from ferret.operators import catalog as CAT
 SCALAR_KINDS = ("STRING", "BOOLEAN", "BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
 
 
-def parse_result_pages(df: DataFrame, col: str = "json", page_id: str = "page_id") -> DataFrame:
+def parse_result_pages(df: DataFrame, col: str = "json", page_id: str = "page_id", version: str = "version") -> DataFrame:
     """S1 on a column of page texts: (page_id, query, rid, version, pos, hit).
 
     ``hit`` is a VARIANT object; missing ``hits`` gives no rows, missing
-    ``resource`` / ``searsia`` give nulls.  Pages that do not parse are
-    dropped (``try_parse_json``).
+    ``resource`` / version give nulls.  Pages that do not parse are
+    dropped (``try_parse_json``).  ``version`` names the member that holds the
+    version of the page format.
     """
     v = df.select(page_id, F.try_parse_json(F.col(col)).alias("v")).filter(F.col("v").isNotNull())
     hits = F.try_variant_get("v", "$.hits", "array<variant>")
@@ -31,7 +32,7 @@ def parse_result_pages(df: DataFrame, col: str = "json", page_id: str = "page_id
         page_id,
         F.try_variant_get("v", "$.query", "string").alias("query"),
         F.try_variant_get("v", "$.resource.id", "string").alias("rid"),
-        F.try_variant_get("v", "$.searsia", "string").alias("version"),
+        F.try_variant_get("v", f"$.{version}", "string").alias("version"),
         F.posexplode(F.coalesce(hits, F.array().cast("array<variant>"))).alias("pos", "hit"),
     ).withColumn("pos", F.col("pos") + 1)
 
@@ -85,9 +86,6 @@ def read_resources(spark: SparkSession, path: str) -> DataFrame:
 def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Reload a stored catalogue (the saves of S5 folded by id, latest
     ``lastupdated`` wins); returns (catalogue, high-water mark row)."""
-    log = spark.read.parquet(path)
-    cols = [c for c in log.columns if c != "id"]
-    folded = log.groupBy("id").agg(F.max_by(F.struct(*cols), F.col("lastupdated")).alias("_v")).select("id", "_v.*")
-    cat = CAT.conform(folded)
-    mark = cat.agg(F.max("lastupdated").alias("since"))
-    return cat, mark
+    log = spark.read.parquet(path).drop("saved_since")
+    cat = CAT.conform(CAT.last_row(log, ["id"], ["lastupdated"]))
+    return cat, cat.agg(F.max("lastupdated").alias("since"))

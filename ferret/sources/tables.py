@@ -147,12 +147,13 @@ API = "https://api.example.org/search/"
 def _access_rules(balance, live=None):
     """post / postencode / directaccess by balance: above 5000 the resource
     takes POST requests (JSON-encoded above 8000); from 0 to 1000 it allows
-    direct access."""
+    direct access, from 1000 to 2000 it says so with another value than yes."""
     live = F.lit(True) if live is None else live
     return [
         F.when(live & (balance > 5000), F.lit("q={searchTerms}&key={apikey}&page={startPage?}")).alias("post"),
         F.when(live & (balance > 8000), F.lit("application/json")).alias("postencode"),
-        F.when(live & (balance >= 0) & (balance <= 1000), F.lit("yes")).alias("directaccess"),
+        F.when(live & (balance >= 0) & (balance <= 1000), F.lit("yes"))
+        .when(live & (balance > 1000) & (balance <= 2000), F.lit("no")).alias("directaccess"),
     ]
 
 
@@ -179,6 +180,8 @@ def catalog_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).alias("requestserr"),
         F.to_timestamp(F.lit(UP_SINCE)).alias("lastupdated"),
         F.to_timestamp(F.lit(UP_SINCE)).alias("upsince"),
+        F.timestamp_add("HOUR", F.col("s_nationkey"), F.to_timestamp(F.lit(UP_SINCE))).alias("lastsuccess"),
+        F.when(F.col("s_nationkey") % 2 == 0, F.to_timestamp(F.lit(UP_SINCE))).alias("lasterror"),
     )
 
 
@@ -186,8 +189,8 @@ def catalog_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of resource versions.
 
     Every supplier is announced again with its prior rounded to 2 places (a
-    change only when that moves it by more than 0.001) and a new private key
-    (never a change); suppliers with a negative balance are tombstoned; every
+    change only when that moves it by more than 0.001), a new private key and
+    empty headers (never a change); suppliers with a negative balance are tombstoned; every
     customer is a new resource (id 'c'||c_custkey, type = lower(segment)).
     """
     s = table(spark, sf_dir, "supplier")
@@ -202,6 +205,7 @@ def catalog_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~gone, F.concat(F.lit(API), sid, F.lit("?q={searchTerms}&page={startPage?}&key={apikey}"))).alias("apitemplate"),
         F.when(~gone, F.create_map(F.lit("apikey"), F.md5(F.concat("s_name", F.lit("/2"))))).alias("privateparameters"),
         *_access_rules(F.col("s_acctbal"), ~gone),
+        F.create_map().cast("map<string,string>").alias("headers"),
         gone.alias("deleted"),
     )
     c = table(spark, sf_dir, "customer")
@@ -214,11 +218,25 @@ def catalog_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(API), cid, F.lit("?q={searchTerms}")).alias("apitemplate"),
         F.lit(None).cast("map<string,string>").alias("privateparameters"),
         *_access_rules(F.lit(None).cast("double")),
+        F.lit(None).cast("map<string,string>").alias("headers"),
         F.lit(False).alias("deleted"),
     )
     return sup.unionByName(cus)
 
 
+def export_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored catalogue with members that reach every export rule:
+    tombstones that still have a name, other mimetypes and rates."""
+    return catalog_base(spark, sf_dir).select(
+        "*",
+        (F.col("prior") < 0).alias("deleted"),
+        F.when(F.col("type").like("i%"), F.lit("text/html")).alias("mimetype"),
+        F.when(F.col("prior") > 0.5, F.lit(500)).otherwise(F.lit(1000)).alias("maxqueriesperday"),
+        F.concat(F.lit("https://www.example.org/"), F.col("id"), F.lit("?q={q}")).alias("urltemplate"),
+        F.lit("https://www.example.org/suggest").alias("suggesttemplate"),
+    )
+
+
 def requests_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests: one per event; rid = 's'||user_id (ids beyond the supplier
     range are unknown resources), query = event_type, page = props.k."""

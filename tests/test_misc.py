@@ -87,7 +87,13 @@ def test_health_summary_and_uptime(spark):
     assert (s.enginesok, s.engineserr, s.lastmessage) == (1, 2, "c: bad")
     res = spark.createDataFrame([("a",), ("b",), ("z",)], "id string")
     rep = {r.rid: (r.conclusion, r.uptime) for r in HL.uptime_report(res, h).collect()}
-    assert rep["a"][0] == "Error" and rep["b"][0] == "Error" and rep["z"][0] == "No health"
+    # never failed and answered later: Ok
+    assert rep["a"][0] == "Ok" and rep["b"][0] == "Error" and rep["z"][0] == "No health"
+    bad = h.filter("rid = 'b'").withColumn("rid", F.lit("m"))
+    s = HL.health_summary(h, mother=bad).first()
+    assert (s.enginesok, s.engineserr, s.lastmessage) == (1, 3, "m (mother): boom")
+    s = HL.health_summary(h.filter("rid = 'a'"), mother=h.filter("rid = 'a'")).first()
+    assert (s.enginesok, s.engineserr, s.lastmessage) == (2, 0, None)
     assert abs(rep["a"][1] - 100 * 5 / 5.01) < 1e-9
 
 
@@ -95,3 +101,29 @@ def test_not_yet_seen(spark):
     seen = spark.createDataFrame([("a",), ("b",)], "rid string")
     done = spark.createDataFrame([("a",)], "rid string")
     assert [r.rid for r in SMP.not_yet_seen(seen, done).collect()] == ["b"]
+
+
+def test_result_quality_rules_hold_for_the_test_query_only(spark):
+    rows = [("a", "t", "t", None, None, None, None, None, None, None), ("a", "x", "t", None, None, None, None, None, None, None),
+            ("b", "t", "t", None, "h", "", None, None, None, None), ("b", "x", "t", None, "h", "", None, None, None, None),
+            ("c", "x", "t", "yes", "h", "T", "c", "tmpl", "tmpl", "yes"), ("d", "x", "t", "yes", "h", "T", "e", "tmpl", "tmpl", "yes"),
+            ("e", "x", "t", "no", "h", "T", "e", "tmpl", "other", "no"), ("f", "x", "t", "no", "h", "T", "f", "tmpl", "tmpl", None)]
+    df = spark.createDataFrame(rows, "rid string, query string, testquery string, directaccess string, hit_id string, title string, "
+                                     "page_id string, apitemplate string, page_apitemplate string, page_directaccess string")
+    df = df.withColumn("rerank", F.lit(None).cast("string")).withColumn("hit_rid", F.lit(None).cast("string"))
+    got = {(r.rid, r.query): r.error for r in HL.result_quality(df).collect()}
+    assert got[("a", "t")] == "No results for test query: t" and got[("a", "x")] is None
+    assert got[("b", "t")].startswith("Search result must") and got[("b", "x")] is None and got[("c", "x")] is None
+    assert [got[(k, "x")].split()[-1] for k in "def"] == ["Id.", "APItemplate.", "'directaccess'."]
+
+
+def test_plan_cached_redirect_and_signed(spark):
+    t = "https://h/{rid}?q={searchTerms}&p={startPage?}"
+    cat = spark.createDataFrame([("a", t, "yes", None), ("b", t, "no", None), ("c", t, None, "HMAC")],
+                                "id string, apitemplate string, directaccess string, signature string")
+    cat = cat.withColumn("apitemplate", F.replace("apitemplate", F.lit("{rid}"), F.col("id")))
+    req = spark.createDataFrame([(1, "a", "x", 3), (2, "b", "x", 3), (3, "b", "y", 3), (4, "c", "x", 3)], "req_id long, rid string, query string, page int")
+    no = spark.createDataFrame([(k, False) for k in (2,)], "req_id long, accepted boolean")
+    got = {r.req_id: (r.action, r.url, r.error) for r in RQ.plan_requests(req, cat, no, spark.createDataFrame([(2,)], "req_id long")).collect()}
+    assert got[1] == ("redirect", "https://h/a?q=x&p=", None) and got[2] == ("cached", None, None)
+    assert got[3][:2] == ("fetch", "https://h/b?q=y&p=3") and got[4][0] == "error"

@@ -5,8 +5,9 @@ each indexed field (``terms`` = every string value of the hit, ``title``).
 Document frequencies come from a grouped count with map-side partial
 aggregation, so a hot term costs one partial row per task before the shuffle.
 
-For repeated use, :func:`write_index` stores the postings bucketed and sorted
-by term, so the retrieval join reads them without a shuffle of the big side.
+For repeated use, :func:`write_index` stores the postings clustered by term, so
+a search reads only the row groups of its terms, and :func:`update_index` keeps
+the tables current without indexing the unchanged hits again.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferret.functions import text as T
-from ferret.session import spread
 
 FIELDS = ("terms", "title")
 
@@ -32,17 +32,18 @@ class Index:
         return self.docs.select(F.count(F.lit(1))).scalar()
 
 
-def build_index(hits: DataFrame, text_cols=("title", "description", "url", "rid", "type")) -> Index:
+def build_index(hits: DataFrame, text_cols=("title", "description", "url", "rid", "type"), tasks: int | None = None) -> Index:
     """R2: index every hit that has a title.
 
     Both fields are tokenized in one pass over the text: one ``explode`` of an
-    array of (field, term) structs.
+    array of (field, term) structs.  ``tasks`` deals the hits to that many tasks
+    first (a shuffle of the texts): of use only where a table is one row group.
     """
-    # One (spread) copy of the indexable hits feeds the postings, N and the
-    # stored columns, so the text is read once per plan.
-    # (hit_id is never null; saying so up front keeps the filter Spark would
-    # infer for a later join on hit_id out of the shared subplan)
-    indexable = spread(hits.filter(F.col("title").isNotNull() & F.col("hit_id").isNotNull()))
+    # hit_id is never null; saying so up front keeps the filter Spark would
+    # infer for a later join on hit_id out of the shared subplan
+    indexable = hits.filter(F.col("title").isNotNull() & F.col("hit_id").isNotNull())
+    if tasks:
+        indexable = indexable.repartition(tasks, F.xxhash64("hit_id"))
     tagged = F.concat(
         F.transform(T.analyze_distinct(T.hit_text(*text_cols)), lambda t: F.struct(F.lit("terms").alias("field"), t.alias("term"))),
         F.transform(T.analyze_distinct("title"), lambda t: F.struct(F.lit("title").alias("field"), t.alias("term"))),
@@ -81,24 +82,37 @@ class StoredIndex:
     docs: DataFrame
 
 
-def write_index(index: Index, path: str, files: int = 64) -> None:
+def write_index(index: Index, path: str) -> None:
     """Store an index as tables under ``path``.
 
-    Postings are range-partitioned on (field, term) and sorted inside each
-    file, so parquet min/max statistics let a scan for a few terms skip most
-    row groups; document frequencies are computed once here (partial
-    aggregation) and stored with N.
+    The texts are tokenized once, into postings clustered by (field, term): the
+    parquet min/max statistics let a scan for a few terms skip most row groups.
+    Document frequencies and N are then counted from what was written.  Spark
+    sizes the files from the measured shuffle (AQE advisory partition size).
     """
-    (
-        index.postings.repartitionByRange(files, "field", "term")
-        .sortWithinPartitions("field", "term")
-        .write.mode("overwrite")
-        .partitionBy("field")
-        .parquet(f"{path}/postings")
-    )
-    document_frequency(index.postings).write.mode("overwrite").parquet(f"{path}/stats")
-    index.docs.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/n")
+    spark = index.postings.sparkSession
+    index.postings.repartition("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    _write_stats(spark, path)
+
+
+def _write_stats(spark, path: str) -> None:
+    document_frequency(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/stats")
+    spark.read.parquet(f"{path}/docs").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/n")
+
+
+def update_index(stored: StoredIndex, hits: DataFrame, path: str, **how) -> StoredIndex:
+    """Write the index under ``path`` with ``hits`` added or replaced (by hit_id).
+
+    Only the new hits are tokenized; the postings of replaced hits go by an anti
+    join.  The old index stays readable until the new one is in use.
+    """
+    new = build_index(hits, **how)
+    ids = hits.select("hit_id").distinct()
+    postings = stored.postings.join(ids, "hit_id", "left_anti").unionByName(new.postings)
+    docs = stored.docs.join(ids, "hit_id", "left_anti").unionByName(new.docs, allowMissingColumns=True)
+    write_index(Index(postings=postings, docs=docs), path)
+    return read_index(hits.sparkSession, path)
 
 
 def read_index(spark, path: str) -> StoredIndex:
@@ -110,16 +124,13 @@ def read_index(spark, path: str) -> StoredIndex:
     )
 
 
-def with_default_hit(hits: DataFrame, enabled: bool = True) -> DataFrame:
-    """U4: the built-in hit that is always part of the index (optional).
+def with_default_hit(hits: DataFrame, hit: dict[str, str] | None) -> DataFrame:
+    """U4: one built-in hit that is always part of the index (none: no change).
 
-    Fixed values: the reference's built-in hit (title, description, url,
-    favicon, type)."""
-    if not enabled:
+    ``hit``: its string members, ``url`` (or ``title``) for its identity."""
+    if not hit:
         return hits
-    spark = hits.sparkSession
-    row = spark.createDataFrame(
-        [("Searsia", "Search for noobs", "http://searsia.org", "http://searsia.org/images/searsia.png", "blog")],
-        "title string, description string, url string, favicon string, type string",
-    ).withColumn("rid", F.lit(None).cast("string")).withColumn("hit_id", F.lit("@http://searsia.org"))
-    return hits.unionByName(row, allowMissingColumns=True)
+    row = hits.sparkSession.createDataFrame([tuple(hit.values())], ", ".join(f"{k} string" for k in hit))
+    missing = [F.lit(None).cast("string").alias(c) for c in ("rid", "url", "title") if c not in hit]
+    row = row.select("*", *missing)
+    return hits.unionByName(row.withColumn("hit_id", T.hit_id(F.col("rid"), F.col("url"), F.col("title"))), allowMissingColumns=True)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ferret.functions import text as T
 
-# Fixed values of the reference's re-ranking rule.
+# Fixed values of the re-ranking rule.
 TEXT_WEIGHT = 0.1
 TITLE_WEIGHT = 0.01
 RANDOM_BONUS = 0.01

@@ -5,8 +5,7 @@ Plan (every step a DataFrame operator):
 1. query terms: analyze each query (stop words out, repeats kept) and count
    repeats per (qid, term) -- the table is tiny next to the postings;
 2. the postings of query terms only (left-semi join against the distinct query
-   vocabulary, broadcast after a size check, so the postings are never
-   shuffled for it);
+   vocabulary; Spark broadcasts it when its measured size allows);
 3. df per (field, term) of those postings (partial aggregation per task, so a
    hot term ships one row per task), N as a scalar sub-query, idf;
 4. weight per (qid, field, term) = repeats x field boost x idf; joined back to
@@ -27,10 +26,8 @@ from pyspark.sql import functions as F
 
 from ferret.functions import text as T
 from ferret.operators.index import Index, StoredIndex, idf
-from ferret.session import BROADCAST_MAX_ROWS
 
-# Field boosts of the reference's multi-field query and the
-# number of hits returned per search.
+# Field boosts and the default number of hits per search.
 BOOSTS = {"terms": 1.0, "title": 0.02}
 TOP_K = 80
 
@@ -58,35 +55,25 @@ def _boost():
     return expr.otherwise(F.lit(0.0))
 
 
-def score_hits(queries: DataFrame, index: Index, qt: DataFrame | None = None, small: bool | None = None) -> DataFrame:
-    """(qid, hit_id, score) for every hit matching at least one query term.
+def _weights(qt: DataFrame, stats: DataFrame, n) -> DataFrame:
+    """(qid, field, term, w): repeats x field boost x idf."""
+    return qt.join(stats, "term").select("qid", "field", "term", (F.col("cnt") * _boost() * idf(F.col("df"), n)).alias("w"))
 
-    ``small`` says whether the query-term table is under the broadcast bound;
-    the weights table has at most two rows per query term, so one count of the
-    query terms proves the size of both broadcast sides.
-    """
+
+def _score(postings: DataFrame, weights: DataFrame) -> DataFrame:
+    return postings.join(weights, ["field", "term"]).groupBy("qid", "hit_id").agg(F.sum("w").alias("score"))
+
+
+def score_hits(queries: DataFrame, index: Index, qt: DataFrame | None = None) -> DataFrame:
+    """(qid, hit_id, score) for every hit matching at least one query term."""
     qt = query_terms(queries) if qt is None else qt
-    if small is None:
-        small = qt.count() * 2 <= BROADCAST_MAX_ROWS
-    vocab = qt.select("term").distinct()
     # Postings of query terms, hash-partitioned by hit once: the df count and
     # the scoring join both read this one exchange (Spark reuses it), and the
     # (qid, hit_id) sum below needs no further shuffle.  Hits are unique keys,
     # so the partitions are even however hot a term is.
-    postings = (
-        index.postings.join(F.broadcast(vocab) if small else vocab, "term", "left_semi")
-        .repartition("hit_id")
-    )
+    postings = index.postings.join(qt.select("term").distinct(), "term", "left_semi").repartition("hit_id")
     dfs = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    n = index.n_docs()
-    weights = qt.join(dfs, "term").select(
-        "qid", "field", "term", (F.col("cnt") * _boost() * idf(F.col("df"), n)).alias("w")
-    )
-    return (
-        postings.join(F.broadcast(weights) if small else weights, ["field", "term"])
-        .groupBy("qid", "hit_id")
-        .agg(F.sum("w").alias("score"))
-    )
+    return _score(postings, _weights(qt, dfs, index.n_docs()))
 
 
 def top_per_query(scored: DataFrame, k: int = TOP_K, score: str = "score", tie: str = "hit_id") -> DataFrame:
@@ -98,78 +85,58 @@ def top_per_query(scored: DataFrame, k: int = TOP_K, score: str = "score", tie:
 def search(queries: DataFrame, index: Index, k: int = TOP_K, hit_cols=("rid", "type", "title", "url")) -> DataFrame:
     """Top-k hits per query with their stored columns.
 
-    The ``query`` member of a stored hit is never returned (privacy rule).  The
-    top-k table has at most k rows per query term, so it is broadcast to the
-    stored hits when that bound is under the limit.
+    The ``query`` member of a stored hit is never returned (privacy rule).
     """
-    qt = query_terms(queries)
-    n_qt = qt.count()
-    top = top_per_query(score_hits(queries, index, qt, n_qt * 2 <= BROADCAST_MAX_ROWS), k)
+    top = top_per_query(score_hits(queries, index), k)
+    return _with_columns(top, index.docs, hit_cols)
+
+
+def _with_columns(top: DataFrame, docs: DataFrame, hit_cols) -> DataFrame:
     cols = [c for c in hit_cols if c != "query"]
-    docs = index.docs.select("hit_id", *cols)
-    top = F.broadcast(top) if n_qt * k <= BROADCAST_MAX_ROWS else top
-    return top.join(docs, "hit_id").select("qid", "rank", "hit_id", "score", *cols)
+    return top.join(docs.select("hit_id", *cols), "hit_id").select("qid", "rank", "hit_id", "score", *cols)
 
 
-def boolean_match(queries: DataFrame, index: Index, required: DataFrame, prohibited: DataFrame) -> DataFrame:
+def boolean_match(queries: DataFrame, index: Index | StoredIndex, required: DataFrame, prohibited: DataFrame) -> DataFrame:
     """P10: AND / NOT terms on top of the default OR scoring.
 
     ``required`` and ``prohibited`` are (qid, term) tables.  A hit stays iff it
     has every required term (in any field) and none of the prohibited ones.
+    Only the postings of terms that some query names are read; a query with
+    required terms scores only the hits that hold them all.
     """
-    scored = score_hits(queries, index)
-    hit_terms = index.postings.select("term", "hit_id").distinct()
-    need = required.groupBy("qid").agg(F.count_distinct("term").alias("n_req"))
+    qt = query_terms(queries)
+    named = qt.select("term").unionByName(required.select("term")).unionByName(prohibited.select("term")).distinct()
+    postings = index.postings.join(named, "term", "left_semi").repartition("hit_id")
+    if isinstance(index, StoredIndex):
+        stats, n = index.stats.join(qt.select("term").distinct(), "term", "left_semi"), index.n.select("n").scalar()
+    else:
+        stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+        n = index.n_docs()
+    weights = _weights(qt, stats, n)
+    req = required.distinct()
+    need = req.groupBy("qid").agg(F.count(F.lit(1)).alias("n_req"))
     have = (
-        required.join(hit_terms, "term")
-        .groupBy("qid", "hit_id")
-        .agg(F.count_distinct("term").alias("n_have"))
+        postings.join(req, "term").groupBy("qid", "hit_id").agg(F.count_distinct("term").alias("n_have"))
+        .join(need, "qid").filter(F.col("n_have") == F.col("n_req")).select("qid", "hit_id")
     )
-    ok = (
-        scored.join(need, "qid", "left")
-        .join(have, ["qid", "hit_id"], "left")
-        .filter(F.col("n_req").isNull() | (F.col("n_have") == F.col("n_req")))
-        .drop("n_req", "n_have")
-    )
-    bad = prohibited.join(hit_terms, "term").select("qid", "hit_id")
-    return ok.join(bad, ["qid", "hit_id"], "left_anti")
-
-
-# Up to this many distinct query terms are passed to the postings scan as a
-# literal IN list, which parquet row-group statistics can use to skip data in
-# term-sorted files; beyond it the scan is filtered by a semi-join.
-MAX_LITERAL_TERMS = 10_000
+    with_req = need.select("qid")
+    narrow = postings.join(have, "hit_id").join(weights, ["qid", "field", "term"])
+    wide = postings.join(weights.join(with_req, "qid", "left_anti"), ["field", "term"])
+    scored = (narrow.select("qid", "hit_id", "w").unionByName(wide.select("qid", "hit_id", "w"))
+              .groupBy("qid", "hit_id").agg(F.sum("w").alias("score")))
+    bad = postings.join(prohibited.distinct(), "term").select("qid", "hit_id").distinct()
+    return scored.join(bad, ["qid", "hit_id"], "left_anti")
 
 
 def search_stored(queries: DataFrame, index: StoredIndex, k: int = TOP_K, hit_cols=("rid", "type", "title", "url")) -> DataFrame:
     """R4 over a stored index: same answers as :func:`search`.
 
-    The stored statistics replace the df pass; postings are read for the query
-    terms only (pushed-down IN filter when the vocabulary is small, otherwise a
-    semi-join), and never shuffled for the scoring join.
+    The stored statistics replace the df pass, and the postings are read for
+    the query terms only: a semi-join whose broadcast vocabulary (if small by
+    its measured size) stays a filter on the scan of the term-clustered files.
     """
     qt = query_terms(queries)
-    n_qt = qt.count()
-    small = n_qt * 2 <= BROADCAST_MAX_ROWS
     vocab = qt.select("term").distinct()
-    n_terms = vocab.count()
-    if n_terms <= MAX_LITERAL_TERMS:
-        terms = [r.term for r in vocab.collect()]  # bounded by the check above
-        postings = index.postings.filter(F.col("term").isin(terms))
-        stats = index.stats.filter(F.col("term").isin(terms))
-    else:
-        postings = index.postings.join(vocab, "term", "left_semi")
-        stats = index.stats.join(vocab, "term", "left_semi")
-    n = index.n.select("n").scalar()
-    weights = qt.join(stats, "term").select(
-        "qid", "field", "term", (F.col("cnt") * _boost() * idf(F.col("df"), n)).alias("w")
-    )
-    scored = (
-        postings.join(F.broadcast(weights) if small else weights, ["field", "term"])
-        .groupBy("qid", "hit_id")
-        .agg(F.sum("w").alias("score"))
-    )
-    top = top_per_query(scored, k)
-    cols = [c for c in hit_cols if c != "query"]
-    top = F.broadcast(top) if n_qt * k <= BROADCAST_MAX_ROWS else top
-    return top.join(index.docs.select("hit_id", *cols), "hit_id").select("qid", "rank", "hit_id", "score", *cols)
+    stats = index.stats.join(vocab, "term", "left_semi")
+    scored = _score(index.postings.join(vocab, "term", "left_semi"), _weights(qt, stats, index.n.select("n").scalar()))
+    return _with_columns(top_per_query(scored, k), index.docs, hit_cols)

@@ -14,14 +14,10 @@ from pyspark.sql import functions as F
 
 from ferret.functions import health as H
 from ferret.functions import text as T
-from ferret.session import BROADCAST_MAX_ROWS
 
-# Fixed values of the reference's selection rule.
+# Fixed values of the selection rule.
 HIT_BOOST = 0.05
 PER_RESOURCE = 4
-# distinct wanted types up to which the type list is broadcast for the
-# "contains" match; beyond it an exact equi-join on type substrings is used
-MAX_BROADCAST_TYPES = 10_000
 
 
 def type_matches(text: Column, wanted: Column) -> Column:
@@ -42,22 +38,35 @@ def live(resources: DataFrame) -> DataFrame:
     return resources.filter(~F.coalesce(F.col("deleted"), F.lit(False)))
 
 
-def resource_name_score(queries: DataFrame, resources: DataFrame, small: bool = True) -> DataFrame:
+def resource_name_score(queries: DataFrame, resources: DataFrame) -> DataFrame:
     """(qid, id, name_score) for pairs with at least one shared token.
 
     Query tokens count with repeats; a resource's token set is its name's
-    tokens plus its lower-cased id.  Pairs without overlap score 0 and are not
-    produced (equi-join on the token, never a product of the two tables).
+    tokens plus its lower-cased id.  Repeats are counted before the join, so a
+    pair costs one row per shared token.  Pairs without overlap score 0 and are
+    not produced (equi-join on the token, never a product of the two tables).
     """
-    qtok = queries.filter(F.col("query").isNotNull()).select("qid", F.explode(T.tokenize("query")).alias("tok"))
+    qtok = (queries.filter(F.col("query").isNotNull()).select("qid", F.explode(T.tokenize("query")).alias("tok"))
+            .groupBy("qid", "tok").agg(F.count(F.lit(1)).alias("cnt")))
     rtok = resources.filter(F.col("name").isNotNull()).select(
-        "id", F.explode(F.array_union(T.tokenize("name"), F.array(F.lower("id")))).alias("tok")
+        "id", F.explode(F.array_distinct(F.concat(T.tokenize("name"), F.array(F.lower("id"))))).alias("tok")
     )
-    rtok = F.broadcast(rtok) if small else rtok
-    return qtok.join(rtok, "tok").groupBy("qid", "id").agg(F.count(F.lit(1)).cast("double").alias("name_score"))
+    return qtok.join(rtok, "tok").groupBy("qid", "id").agg(F.sum("cnt").cast("double").alias("name_score"))
 
 
-def top_resources(queries: DataFrame, resources: DataFrame, k: int, now: Column, small: bool = True) -> DataFrame:
+def types_matched(queries: DataFrame, resources: DataFrame) -> DataFrame:
+    """(wanted, type): which distinct resource type text satisfies which distinct
+    wanted text (P2).
+
+    A match is a substring test, so it is made between the two dictionaries of
+    distinct texts, once per pair of values; rows meet by equality on both.
+    """
+    wanted = queries.select(F.coalesce("qtype", F.lit("")).alias("wanted")).distinct()
+    types = resources.select("type").distinct()
+    return wanted.join(types, type_matches(F.col("type"), F.col("wanted")))
+
+
+def top_resources(queries: DataFrame, resources: DataFrame, k: int, now: Column) -> DataFrame:
     """Per query the best ``k`` live resources of the query's type.
 
     score = name score + effective prior; order score desc, id desc.
@@ -68,44 +77,22 @@ def top_resources(queries: DataFrame, resources: DataFrame, k: int, now: Column,
     the overlapping pairs plus that per-type list (one per distinct query type).
     """
     cat = with_prior(live(resources), now).select("id", "type", "eff_prior", "name")
-    qtypes = queries.select("qid", F.col("qtype"))
-    ns = resource_name_score(queries, cat, small)
+    qtypes = queries.select("qid", F.coalesce("qtype", F.lit("")).alias("wanted"))
+    # a resource without a type is matched by equality too (null-safe key)
+    key = F.coalesce(F.concat(F.lit("t"), F.col("type")), F.lit(""))
+    matched = types_matched(queries, cat).select("wanted", key.alias("tkey"))
+    cat = cat.withColumn("tkey", key)
     overlap = (
-        ns.join(F.broadcast(cat) if small else cat, "id")
-        .join(qtypes, "qid")
-        .filter(type_matches(F.col("type"), F.col("qtype")))
+        resource_name_score(queries, cat).join(cat, "id").join(qtypes, "qid").join(matched, ["wanted", "tkey"])
         .select("qid", "id", (F.col("name_score") + F.col("eff_prior")).alias("score"))
     )
-    types = queries.select("qtype").distinct()
-    by_prior = Window.partitionBy("qtype").orderBy(F.col("eff_prior").desc(), F.col("id").desc())
-    n_types = types.count()
-    few_types = n_types <= MAX_BROADCAST_TYPES
-    if few_types:
-        # few distinct wanted types (the usual case): a broadcast of the type list
-        matched = F.broadcast(types).join(cat, type_matches(cat["type"], types["qtype"]))
-    else:
-        # many: exact equi-join on the substrings of each resource's type
-        # (``contains`` is equality with one of them), plus the untyped queries
-        subs = cat.select("*", F.explode(F.array_distinct(F.flatten(F.expr(
-            "transform(sequence(1, greatest(length(type), 1)), i -> "
-            "transform(sequence(i, greatest(length(type), 1)), j -> substring(type, i, j - i + 1)))"
-        )))).alias("qtype")).filter(F.col("type").isNotNull())
-        typed = types.filter(F.col("qtype").isNotNull() & (F.col("qtype") != "")).join(subs, "qtype")
-        # no wanted type (null or empty) matches every resource: one copy of
-        # the catalogue per such value, no join needed
-        untyped = cat.select(F.lit(None).cast("string").alias("qtype"), *cat.columns).unionByName(
-            cat.select(F.lit("").alias("qtype"), *cat.columns))
-        matched = typed.unionByName(untyped)
+    by_prior = Window.partitionBy("wanted").orderBy(F.col("eff_prior").desc(), F.col("id").desc())
     per_type = (
-        matched.withColumn("r", F.row_number().over(by_prior))
+        cat.join(matched, "tkey").withColumn("r", F.row_number().over(by_prior))
         .filter(F.col("r") <= k)
-        .select("qtype", "id", F.col("eff_prior").alias("score"))
-    )
-    # per_type has at most k rows per distinct wanted type
-    per_type = F.broadcast(per_type) if k * n_types <= BROADCAST_MAX_ROWS else per_type
-    prior_only = qtypes.join(per_type, qtypes["qtype"].eqNullSafe(per_type["qtype"])).select(
-        "qid", "id", "score"
+        .select("wanted", "id", F.col("eff_prior").alias("score"))
     )
+    prior_only = qtypes.join(per_type, "wanted").select("qid", "id", "score")
     cand = overlap.unionByName(prior_only).groupBy("qid", "id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id").desc())
     return cand.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select(
@@ -149,6 +136,7 @@ def select_resources(
     max_: int = 10,
     start: int = 0,
     now: Column | None = None,
+    per_resource: int = PER_RESOURCE,
 ) -> DataFrame:
     """Resource selection over each query's ranked hits.
 
@@ -158,10 +146,8 @@ def select_resources(
     """
     now = now if now is not None else F.current_timestamp()
     k = max_ + start
-    small = resources.count() <= BROADCAST_MAX_ROWS
     cat = with_prior(resources, now).select(F.col("id").alias("rid"), "deleted", "eff_prior")
-    cat = F.broadcast(cat) if small else cat
-    tops = top_resources(queries, resources, k, now, small)
+    tops = top_resources(queries, resources, k, now)
 
     h = (
         results.join(queries.select("qid", "qtype"), "qid")
@@ -204,8 +190,8 @@ def select_resources(
     ).withColumn(
         "keep",
         F.when(~F.col("is_hit"), ~F.col("has_hit"))  # U1: only resources without any hit
-        # At most 4 per resource unless a strict new maximum
-        .otherwise(F.col("rid").isNull() | (F.col("rn") <= PER_RESOURCE) | prev_max.isNull() | (F.col("score") > prev_max)),
+        # At most ``per_resource`` unless a strict new maximum
+        .otherwise(F.col("rid").isNull() | (F.col("rn") <= per_resource) | prev_max.isNull() | (F.col("score") > prev_max)),
     )
     kept = u.filter("keep").select("qid", "pos", "hit_id", "rid", "score", "rscore")
     return page_of_resources(kept, max_, start).select("qid", "rank", "rid", "hit_id", "score", "rscore", "run")

@@ -166,8 +166,8 @@ def select_resources_sql(max_: int, start: int, qtype: str | None) -> str:
 
 
 def list_resources_sql(max_: int, start: int) -> str:
-    qq = "qq AS (SELECT row_number() OVER (ORDER BY lang) - 1 AS qid, CAST(NULL AS VARCHAR) AS query, lang AS qtype FROM (SELECT DISTINCT lang FROM documents))"
-    res_search = ("res_search AS (SELECT CAST(NULL AS BIGINT) AS qid, 0 AS rank, CAST(NULL AS VARCHAR) AS hit_id, "
+    qq = "qq AS (SELECT lang AS qid, CAST(NULL AS VARCHAR) AS query, lang AS qtype FROM (SELECT DISTINCT lang FROM documents))"
+    res_search = ("res_search AS (SELECT CAST(NULL AS VARCHAR) AS qid, 0 AS rank, CAST(NULL AS VARCHAR) AS hit_id, "
                   "CAST(NULL AS VARCHAR) AS rid, CAST(NULL AS VARCHAR) AS type, 0.0 AS score WHERE false)")
     return with_(RESOURCES, qq, res_search) + "," + selection_sql(max_, start)
 
@@ -389,6 +389,29 @@ SELECT req_id, rid, action,
        END AS error
 FROM h"""
 
+def local_search_sql(max_: int, start: int) -> str:
+    """An index of German documents, one of web pages, and the listing for blank queries."""
+    ask = QUERY_TERMS.replace("text AS query", "CASE WHEN item_id % 10 = 0 THEN ' ' ELSE text END AS query")
+    title = clean_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+    body = clean_sql("regexp_replace(html, '(?is)<title[^>]*>.*?</title>|<script.*?</script>|<style.*?</style>', ' ', 'g')")
+    host = "regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)"
+    web = f"""
+h AS (SELECT {host} || '@' || url AS hit_id, {host} AS rid, url, {title} AS title, {body} AS description,
+             CAST(NULL AS VARCHAR) AS type FROM pages)"""
+    own = HITS.replace("FROM documents)", "FROM documents WHERE lang = 'de')")
+    query = "SELECT item_id AS qid, CASE WHEN item_id % 10 = 0 THEN ' ' ELSE text END AS query, CAST(NULL AS VARCHAR) AS qtype FROM benchmark"
+    none = ("SELECT CAST(NULL AS BIGINT) AS qid, 0 AS rank, CAST(NULL AS VARCHAR) AS hit_id, "
+            "CAST(NULL AS VARCHAR) AS rid, CAST(NULL AS VARCHAR) AS type, 0.0 AS score WHERE false")
+    return with_(
+        RESOURCES,
+        "loc AS (" + with_(own, POSTINGS, ask, SCORED) + " SELECT * FROM res)",
+        "fb AS (" + with_(web, POSTINGS, ask, SCORED) + " SELECT * FROM res)",
+        f"a AS (WITH qq AS ({query} WHERE item_id % 10 <> 0), res_search AS (SELECT * FROM loc UNION ALL SELECT * FROM fb "
+        "WHERE qid NOT IN (SELECT qid FROM loc))," + selection_sql(max_, start) + ")",
+        f"b AS (WITH qq AS (SELECT * FROM ({query}) WHERE qid % 10 = 0), res_search AS ({none})," + selection_sql(max_, start) + ")",
+    ) + " SELECT * FROM a UNION ALL SELECT * FROM b"
+
+
 CACHE_LOOKUP = """
 WITH q AS (SELECT DISTINCT event_type AS query, 'u' || CAST(user_id AS VARCHAR) AS rid FROM events),
 first AS (SELECT event_type AS query, 'u' || CAST(user_id AS VARCHAR) AS rid, arg_min(event_id, (ts, event_id)) AS page_id
@@ -515,7 +538,10 @@ req AS (
     SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY length(term) DESC, term) AS r
     FROM (SELECT DISTINCT qid, term FROM qt)) WHERE r = 1),
 have AS (SELECT DISTINCT req.qid, p.hit_id FROM req JOIN p ON p.term = req.term),
-kept AS (SELECT s.* FROM scored s JOIN have ON s.qid = have.qid AND s.hit_id = have.hit_id),
+no AS (SELECT t.qid, t.term FROM (SELECT qid, max(term) AS term FROM qt GROUP BY qid) t JOIN req ON req.qid = t.qid AND req.term <> t.term AND t.qid % 2 = 1),
+bad AS (SELECT DISTINCT no.qid, p.hit_id FROM no JOIN p ON p.term = no.term),
+kept AS (SELECT s.* FROM scored s JOIN have ON s.qid = have.qid AND s.hit_id = have.hit_id
+         WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.qid = s.qid AND bad.hit_id = s.hit_id)),
 rk AS (SELECT qid, hit_id, score,
               CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, hit_id ASC) AS INTEGER) AS rank
        FROM kept)
@@ -561,3 +587,5 @@ SELECT id, name FROM old WHERE id NOT IN (SELECT id FROM upd WHERE deleted)"""
 
 VALID_HITS = EXTRACT_LINKS.replace("SELECT * FROM g WHERE title IS NOT NULL OR url IS NOT NULL",
                                    "SELECT page_id, pos, title FROM g WHERE title IS NOT NULL AND length(title) > 0")
+
+LOCAL_SEARCH = local_search_sql(10, 0)

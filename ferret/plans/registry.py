@@ -26,7 +26,7 @@ from ferret.streaming import ingest as SI
 from ferret.streaming import rate_limit as RL
 from ferret.operators import search as S
 from ferret.operators import selection as SEL
-from ferret.session import materialize_small, table
+from ferret.session import materialize_small, table, text_tasks
 from ferret.plans import local_search as LS
 from ferret.plans import oracle_sql as O
 from ferret.sources import tables as TB
@@ -46,13 +46,13 @@ def f6(c):
 
 
 def q_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idx = IX.build_index(TB.hits(spark, sf_dir))
+    idx = IX.build_index(TB.hits(spark, sf_dir), tasks=text_tasks(spark))
     res = S.search(TB.queries(spark, sf_dir), idx)
     return res.select("qid", "rank", "hit_id", r6("score"), "rid", "type", "title", "url")
 
 
 def q_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idx = IX.build_index(TB.hits(spark, sf_dir))
+    idx = IX.build_index(TB.hits(spark, sf_dir), tasks=text_tasks(spark))
     return IX.term_stats(idx).select("field", "term", "df", "n", r6("idf"))
 
 
@@ -62,9 +62,9 @@ def _queries(spark, sf_dir, qtype=None):
 
 def _selection(spark, sf_dir, max_, start, qtype):
     q = _queries(spark, sf_dir, qtype)
-    idx = IX.build_index(TB.hits(spark, sf_dir))
+    idx = IX.build_index(TB.hits(spark, sf_dir), tasks=text_tasks(spark))
     res = S.search(q, idx).select("qid", F.col("rank").alias("pos"), "hit_id", "rid", "type", "score")
-    cat = TB.resources(spark, sf_dir)
+    cat = materialize_small(TB.resources(spark, sf_dir))
     sel = SEL.select_resources(res, q, cat, max_, start, TB.now_col())
     return sel.select("qid", "rank", "rid", "hit_id", r6("score"), r6("rscore"), F.col("run").cast("long").alias("run"))
 
@@ -79,7 +79,7 @@ def q_select_resources_typed_page(spark, sf_dir):
 
 def q_list_resources(spark, sf_dir):
     langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("qtype")).distinct()
-    q = langs.select((F.dense_rank().over(Window.orderBy("qtype")) - 1).cast("long").alias("qid"), "qtype")
+    q = langs.select(F.col("qtype").alias("qid"), "qtype")
     sel = SEL.list_resources(q, materialize_small(TB.resources(spark, sf_dir)), 10, 0, TB.now_col())
     return sel.select("qid", "rank", "rid", "hit_id", r6("score"), r6("rscore"), F.col("run").cast("long").alias("run"))
 
@@ -252,7 +252,7 @@ def q_export_catalog_shared(spark, sf_dir):
 def q_result_page_roundtrip(spark, sf_dir):
     """S7 -> S1 -> S2: search answers written as JSON result pages (one per
     query and resource) and read back as hits."""
-    res = S.search(_queries(spark, sf_dir), IX.build_index(TB.hits(spark, sf_dir)))
+    res = S.search(_queries(spark, sf_dir), IX.build_index(TB.hits(spark, sf_dir), tasks=text_tasks(spark)))
     hits = res.select("qid", "rid", F.col("rank").alias("pos"), "title", "url")
     pages = EX.result_page(hits, ["qid", "rid"]).select(
         F.concat_ws("/", F.col("qid").cast("string"), "rid").alias("page_id"), "json"
@@ -280,7 +280,7 @@ def q_next_probe(spark, sf_dir):
 
 
 def q_result_quality(spark, sf_dir):
-    res = S.search(_queries(spark, sf_dir), IX.build_index(TB.hits(spark, sf_dir)))
+    res = S.search(_queries(spark, sf_dir), IX.build_index(TB.hits(spark, sf_dir), tasks=text_tasks(spark)))
     # the answer of a source to a query: its German and French hits among the
     # best 80, German ones without a title; even queries are test queries
     hit = F.col("type").isin("fr", "de")
@@ -293,25 +293,27 @@ def q_result_quality(spark, sf_dir):
 
 
 def q_local_search(spark, sf_dir):
-    """Documents are the local index; queries without a local hit fall back
-    to the index of web pages (titles and urls, rid = host)."""
-    q = _queries(spark, sf_dir)
-    web = TB.web_hits(spark, sf_dir).withColumn("type", F.lit(None).cast("string")).withColumn(
-        "description", F.lit(None).cast("string"))
-    out = LS.local_search(q, IX.build_index(TB.hits(spark, sf_dir)), materialize_small(TB.resources(spark, sf_dir)),
-                          IX.build_index(web), 10, 0, TB.now_col())
+    """The German documents are the local index; queries without a hit there
+    fall back to the index of web pages (title and body, rid = host); every
+    tenth query is blank and gets the listing."""
+    q = _queries(spark, sf_dir).withColumn("query", F.when(F.col("qid") % 10 == 0, F.lit(" ")).otherwise(F.col("query")))
+    web = TB.web_hits(spark, sf_dir).withColumn("type", F.lit(None).cast("string"))
+    own = TB.hits(spark, sf_dir).filter("type = 'de'")
+    out = LS.local_search(q, IX.build_index(own, tasks=text_tasks(spark)), materialize_small(TB.resources(spark, sf_dir)),
+                          IX.build_index(web, tasks=text_tasks(spark)), 10, 0, TB.now_col())
     return out.select("qid", "rank", "rid", "hit_id", r6("score"), r6("rscore"), F.col("run").cast("long").alias("run"))
 
 
 def q_boolean_search(spark, sf_dir):
-    """P10: OR scoring restricted to hits holding each query's most specific
-    (longest, then first in order) word; top 80 per query."""
+    """P10: OR scoring restricted to hits that hold each query's longest word (of
+    ties the first), and for odd queries not its last one in order; top 80."""
     q = TB.queries(spark, sf_dir)
-    idx = IX.build_index(TB.hits(spark, sf_dir))
+    idx = IX.build_index(TB.hits(spark, sf_dir), tasks=text_tasks(spark))
     toks = q.select("qid", F.explode(T.analyze("query")).alias("term")).distinct()
     w = Window.partitionBy("qid").orderBy(F.length("term").desc(), F.col("term"))
     required = toks.withColumn("r", F.row_number().over(w)).filter("r = 1").select("qid", "term")
-    prohibited = toks.filter(F.lit(False))
+    prohibited = toks.groupBy("qid").agg(F.max("term").alias("term")).join(required.withColumnRenamed("term", "req"), "qid")
+    prohibited = prohibited.filter("term <> req and qid % 2 = 1").select("qid", "term")
     scored = S.boolean_match(q, idx, required, prohibited)
     return S.top_per_query(scored).select("qid", "rank", "hit_id", r6("score"))
 
@@ -368,14 +370,32 @@ def q_valid_hits(spark, sf_dir):
     return CAT.valid_hit(items).select("page_id", F.col("pos").cast("int").alias("pos"), "title")
 
 
+def _stored_index(spark, sf_dir, hits):
+    from ferret.streaming.common import job_dir
+
+    path = job_dir(spark, "index")
+    IX.write_index(IX.build_index(hits, tasks=text_tasks(spark)), path)
+    return IX.read_index(spark, path)
+
+
 def q_search_stored(spark, sf_dir):
     """R2 written as tables (under the shared checkpoint folder), then R4 over
     the stored index: the same answers as ``search``."""
+    res = S.search_stored(TB.queries(spark, sf_dir), _stored_index(spark, sf_dir, TB.hits(spark, sf_dir)))
+    return res.select("qid", "rank", "hit_id", r6("score"), "rid", "type", "title", "url")
+
+
+def q_search_incremental(spark, sf_dir):
+    """R2 kept current: the index first holds the even documents whole and the
+    odd ones by title alone; an update then adds and replaces.  The answers
+    equal those of a full rebuild."""
     from ferret.streaming.common import job_dir
 
-    path = job_dir(spark, "index")
-    IX.write_index(IX.build_index(TB.hits(spark, sf_dir)), path, files=16)
-    res = S.search_stored(TB.queries(spark, sf_dir), IX.read_index(spark, path))
+    hits = TB.hits(spark, sf_dir)
+    early = hits.withColumn("description", F.when(F.col("doc_id") % 2 == 0, F.col("description"))).filter("doc_id % 4 <> 3")
+    stored = _stored_index(spark, sf_dir, early)
+    now = IX.update_index(stored, hits.filter("doc_id % 2 = 1"), job_dir(spark, "index"), tasks=text_tasks(spark))
+    res = S.search_stored(TB.queries(spark, sf_dir), now)
     return res.select("qid", "rank", "hit_id", r6("score"), "rid", "type", "title", "url")
 
 
@@ -424,11 +444,13 @@ QUERIES: dict[str, Query] = {
     "delete_resources": q_delete_resources,
     "valid_hits": q_valid_hits,
     "search_stored": q_search_stored,
+    "search_incremental": q_search_incremental,
 }
 
 ORACLE: dict[str, str] = {
     "search": O.SEARCH,
     "term_stats": O.TERM_STATS,
+    "local_search": O.LOCAL_SEARCH,
     "select_resources": O.select_resources_sql(10, 0, None),
     "select_resources_typed_page": O.select_resources_sql(5, 5, "fr"),
     "list_resources": O.list_resources_sql(10, 0),
@@ -466,5 +488,6 @@ ORACLE: dict[str, str] = {
     "delete_resources": O.DELETE_RESOURCES,
     "valid_hits": O.VALID_HITS,
     "search_stored": O.SEARCH,
+    "search_incremental": O.SEARCH,
 }
 FLAGSHIP = "select_resources"

@@ -1,4 +1,4 @@
-"""Session helpers: configuration, checkpoint folder, size-checked broadcast.
+"""Session helpers: configuration, checkpoint folder.
 
 Nothing in the library creates a session by itself except :func:`get_spark`,
 which tests, ``bench.py`` and scripts use.  Operators only take DataFrames.
@@ -7,15 +7,9 @@ which tests, ``bench.py`` and scripts use.  Operators only take DataFrames.
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows under which a side is small enough to ship to every task.  The check is
-# made on the actual row count, never on a guess; beyond it the join stays a
-# shuffle join and AQE may still switch it at run time from measured sizes.
-BROADCAST_MAX_ROWS = 2_000_000
-
 
 def get_spark(app: str = "ferret", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     builder = (
@@ -44,45 +38,31 @@ def get_spark(app: str = "ferret", cpus: int | str = "*", shuffle_partitions: in
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a folder every executor can reach; we only
-    fill it in when it is unset (local runs and tests).
+    On a cluster this setting names a folder every executor can reach, and it
+    must be set.  Only a local session (tests), where driver and executors are
+    one process, gets a temporary folder when it is empty.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="ferret-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only when its counted size is under the bound."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def text_tasks(spark: SparkSession) -> int | None:
+    """``ferret.text.tasks``: tasks to which the registered queries deal whole
+    texts before tokenizing.  Unset (the default), a scan's own splits are used."""
+    value = spark.conf.get("ferret.text.tasks", None)
+    return int(value) if value else None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give CPU-heavy row work (tokenizing, parsing) at least one task per core.
-
-    A large scan already has many more splits than cores and is left alone; a
-    small table stored as one row group is hash-partitioned on ``key`` (or
-    spread round-robin), which is cheap exactly when it is needed.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    # hash of the whole row: no sort before a round-robin split, and not a
-    # partitioning on any column, so later key shuffles are kept as planned
-    key_expr = F.xxhash64(F.col(key)) if key else F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.repartition(cores, key_expr)
-
-
 def materialize_small(df: DataFrame) -> DataFrame:
     """Compute a small derived table once and cut its lineage.
 

@@ -66,6 +66,7 @@ def web_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         host.alias("rid"),
         F.col("url"),
         title.alias("title"),
+        T.clean_extracted(F.regexp_replace("html", r"(?is)<title[^>]*>.*?</title>|<script.*?</script>|<style.*?</style>", " ")).alias("description"),
     )
 
 

@@ -11,10 +11,10 @@ from ferret.sources import pages as PG
 
 RESOURCE = {
     "resource": {
-        "id": "hiemstra", "name": "Djoerd", "mimetype": "text/html", "apitemplate": "http://x/?q={searchTerms}&k={apikey}",
-        "itempath": "//div[@class='post']", "extractors": {"title": "./h3", "url": "./h3/a/@href"},
-        "headers": {"User-Agent": "Test"}, "privateparameters": {"apikey": "SECRET"}, "prior": 0.3,
-        "maxqueriesperday": 133,
+        "id": "orchard", "name": "Orchard", "mimetype": "text/html", "apitemplate": "https://o.example.net/?q={searchTerms}&k={apikey}",
+        "itempath": "//li", "extractors": {"title": "./b", "url": "./a/@href"},
+        "headers": {"Accept": "text/html"}, "privateparameters": {"apikey": "SECRET"}, "prior": 0.7,
+        "maxqueriesperday": 42,
     }
 }
 
@@ -28,8 +28,8 @@ def test_read_resources_defaults_and_bad_text(spark, tmp_path):
     trailing.write_text('{"resource": {"id": "search", "directaccess": "yes",}}')
     df = PG.read_resources(spark, str(tmp_path))
     rows = {r.id: r for r in df.collect()}
-    assert rows["hiemstra"].maxqueriesperday == 133 and rows["hiemstra"].privateparameters == {"apikey": "SECRET"}
-    assert rows["index"].mimetype == CAT.DEFAULT_MIMETYPE and rows["index"].testquery == "searsia"
+    assert rows["orchard"].maxqueriesperday == 42 and rows["orchard"].privateparameters == {"apikey": "SECRET"}
+    assert rows["index"].mimetype == CAT.DEFAULT_MIMETYPE and rows["index"].testquery == CAT.DEFAULT_TESTQUERY
     assert rows["index"].maxqueriesperday == 1000 and rows["index"].deleted is False
     assert "search" not in rows  # strict JSON: the trailing comma makes the file unreadable
     raw = spark.read.text(str(tmp_path), wholetext=True).select(F.col("value").alias("json"))
@@ -40,7 +40,7 @@ def test_shared_export_hides_private_parameters(spark):
     df = spark.createDataFrame([(json.dumps(RESOURCE),)], "json string")
     cat = PG.parse_resources(df)
     text = EX.to_json_lines(EX.catalog_shared(cat)).first().value
-    assert "SECRET" not in text and '"maxqueriesperday":133' in text
+    assert "SECRET" not in text and '"maxqueriesperday":42' in text
     assert "privateparameters" not in text
     unshared = json.loads(EX.to_json_lines(EX.catalog_unshared(cat)).first().value)
     assert unshared["mimetype"] == "text/html" and "apitemplate" not in unshared

@@ -1,51 +1,55 @@
 """Extraction jobs: stored result pages -> hit rows.
 
-Rules come from the resource table: ``mimetype``, ``itempath`` and
-``extractors`` (field -> path).  At most 30 items are taken per page (T9);
-every field value is cleaned by F3 and ``url`` is resolved by F4 against the
-page address.
-
-* :func:`extract_links` -- native (Catalyst only) extraction for the common
-  "list of linked items" rule: items are ``<tag>`` elements, title is the link
-  text, url the link target.  Regex based, so it runs on any HTML, closed or not.
-* :func:`extract_html` (X1) -- general item/field paths on tolerant HTML.  A
-  ``mapInPandas`` helper rebuilds each page as an element tree with the
-  standard library's ``html.parser`` and evaluates the paths with
-  ``xml.etree``'s path engine; Spark partitions the pages.
-* :func:`extract_xml` (X2) -- well-formed XML with Spark's built-in ``xpath``.
-* :func:`extract_json` (X3) / :func:`extract_callback` (X4) -- JSON and
-  JSONP-like pages with ``from_json`` on the hits array.
-* :func:`extract_pages` (X7) -- dispatch on mimetype, union of the results.
+A rule is an argument of the call: ``itempath`` and ``extractors`` (field ->
+path) are constants, so every rule is a plan of its own.  Every field value is
+cleaned by F3 and ``url`` is resolved by F4.  At most ``limit`` items are taken
+per page (T9).  A page that cannot be read, or a path that is not supported,
+gives one row with ``error`` and position 0; no job fails and no page is lost
+without a word.
+
+* :func:`extract_links` -- the common "list of linked items" rule on any HTML,
+  closed or not, with regular expressions only.
+* :func:`extract_html` (X1) -- item and field paths on tolerant HTML: a small
+  per-page helper on the standard library's parser inside ``mapInPandas``.
+* :func:`extract_xml` (X2) -- Spark's ``xpath`` on each item of a page.
+* :func:`extract_json` (X3), :func:`extract_callback` (X4) -- VARIANT functions.
+* :func:`extract_json_of_html` (X5), :func:`extract_html_with_json` (X6) --
+  X3 and the HTML rules applied to each other's values.
+* :func:`extract_pages` (X7) -- each page by the rule and mimetype of its resource.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
+from functools import partial, reduce
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferret.functions import text as T
 from ferret.functions import urls as U
+from ferret.operators.catalog import DEFAULT_MIMETYPE
+from ferret.sources import pages as PG
 
-MAX_ITEMS = 30  # fixed value: items taken per page
+MAX_ITEMS = 30  # T9: default number of items taken per page
+OUT = ["page_id", "pos", "fields", "error"]
 
-HIT_FIELDS = ["title", "description", "url", "favicon", "image", "type", "rid", "score"]
 
-
-def extract_links(pages: DataFrame, item_tag: str = "li", rid=None) -> DataFrame:
+def extract_links(pages: DataFrame, item_tag: str = "li", rid=None, limit: int | None = None) -> DataFrame:
     """Native X1 for ``//<item_tag>`` items with title = ``./a`` and url = ``./a/@href``.
 
-    ``pages``: (page_id, url, html).  Returns (page_id, pos, title, url, rid).
+    ``pages``: (page_id, url, html).  ``limit`` (T9) keeps the first items of a
+    page only; none keeps all.  Returns (page_id, pos, title, url, rid).
     Items without a title and without a url are dropped (an empty field is an
     absent field, and a hit needs a title or a rid).
     """
-    items = F.slice(F.regexp_extract_all("html", F.lit(rf"(?is)<{item_tag}\b[^>]*>(.*?)</{item_tag}>"), 1), 1, MAX_ITEMS)
+    items = F.regexp_extract_all("html", F.lit(rf"(?is)<{item_tag}\b[^>]*>(.*?)</{item_tag}>"), 1)
+    if limit is not None:
+        items = F.slice(items, 1, limit)
     p = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(items).alias("pos", "item"))
     title = T.clean_extracted(F.regexp_extract("item", r"(?is)<a\b[^>]*>(.*?)</a>", 1))
     href = F.regexp_extract("item", r"(?is)<a\b[^>]*\bhref\s*=\s*\"([^\"]*)\"", 1)
@@ -60,7 +64,28 @@ def extract_links(pages: DataFrame, item_tag: str = "li", rid=None) -> DataFrame
     return out.filter(F.col("title").isNotNull() | F.col("url").isNotNull())
 
 
-# --- X1 general: tolerant HTML -> element tree (small per-page helper) -------
+def _finish(rows: DataFrame, base: Column) -> DataFrame:
+    """(page_id, pos, fields, error): empty values are absent, ``url`` is resolved, all are cleaned."""
+    value = lambda k, v: T.clean_extracted(F.when(k == F.lit("url"), U.absolute_url(base, v)).otherwise(v))
+    kept = F.map_filter("fields", lambda k, v: v.isNotNull() & (v != F.lit("")))
+    return rows.select("page_id", "pos", F.transform_values(kept, value).alias("fields"), "error")
+
+
+def _map(fields: dict[str, Column]) -> Column:
+    if not fields:
+        return F.create_map().cast("map<string,string>")
+    return F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))])
+
+
+NO_FIELDS = "map<string,string>"
+
+
+def _errors(pages: DataFrame, message) -> DataFrame:
+    message = F.lit(message) if isinstance(message, str) else message
+    return pages.select("page_id", F.lit(0).alias("pos"), F.create_map().cast(NO_FIELDS).alias("fields"), message.alias("error"))
+
+
+# --- X1: item and field paths on tolerant HTML (small per-page helper) -------
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 # an opening tag of the key closes an open element of these (implied end tags)
@@ -109,96 +134,6 @@ def html_tree(html: str) -> ET.Element:
     return b.root
 
 
-def _element_name(name: str) -> str:
-    """F21 in Python (the same fixed pattern as the column function)."""
-    return re.sub(r"[^A-Z0-9a-z\-_\.]|^([^A-Za-z_])", lambda m: "_" + (m.group(1) or ""), name)
-
-
-def _json_into(value, parent: ET.Element, name: str, parse_html: bool) -> None:
-    """JSON -> elements: an object is an element per member, an array repeats
-    its element name, scalars become text (strings parsed as HTML on request)."""
-    if isinstance(value, list):
-        for v in value:
-            if isinstance(v, list):
-                _json_into(v, ET.SubElement(parent, _element_name(name)), "list", parse_html)
-            else:
-                _json_into(v, parent, name, parse_html)
-    elif isinstance(value, dict):
-        el = ET.SubElement(parent, _element_name(name))
-        for k, v in value.items():
-            _json_into(v, el, k, parse_html)
-    elif value is not None:
-        el = ET.SubElement(parent, _element_name(name))
-        if isinstance(value, str) and parse_html:
-            el.append(html_tree(value))
-        elif isinstance(value, bool):
-            el.text = "true" if value else "false"
-        else:
-            el.text = str(value)
-
-
-def json_tree(text: str, parse_html: bool = False) -> ET.Element:
-    """A JSON page as an element tree (a top-level array is wrapped as ``list``)."""
-    obj = json.loads(text)
-    if isinstance(obj, list):
-        obj = {"list": obj}
-    root = ET.Element("document")
-    for k, v in obj.items():
-        _json_into(v, root, k, parse_html)
-    return root
-
-
-def callback_objects(text: str) -> list:
-    """Every balanced top-level ``{...}`` that parses (braces inside strings count too)."""
-    out, depth, first = [], 0, -1
-    for i, c in enumerate(text):
-        if c == "{":
-            if depth == 0:
-                first = i
-            depth += 1
-        elif c == "}" and depth > 0:
-            depth -= 1
-            if depth == 0:
-                try:
-                    out.append(json.loads(text[first: i + 1]))
-                except ValueError:
-                    pass
-    return out
-
-
-def _json_attributes(root: ET.Element) -> ET.Element:
-    """Attributes whose value is a JSON object become child elements."""
-    for el in list(root.iter()):
-        for k, v in list(el.attrib.items()):
-            if v.lstrip().startswith("{"):
-                try:
-                    obj = json.loads(v)
-                except ValueError:
-                    continue
-                if isinstance(obj, dict):
-                    _json_into(obj, el, k, False)
-    return root
-
-
-def page_tree(mimetype: str | None, text: str) -> ET.Element:
-    """Parse a page by its resource's mimetype."""
-    if mimetype == "text/html":
-        return html_tree(text)
-    if mimetype == "application/xml":
-        return ET.fromstring(text)
-    if mimetype == "application/json":
-        return json_tree(text)
-    if mimetype == "application/x-javascript":
-        root = ET.Element("document")
-        _json_into(callback_objects(text), root, "list", False)
-        return root
-    if mimetype == "application/html+json":
-        return json_tree(text, parse_html=True)
-    if mimetype == "application/json+html":
-        return _json_attributes(html_tree(text))
-    raise ValueError(f"MIME Type not supported: {mimetype}")
-
-
 def _select(node: ET.Element, path: str) -> list[str]:
     """Values of ``path`` below ``node``: element text, ``@attr`` or ``text()``."""
     path = path.strip()
@@ -222,146 +157,228 @@ def _select(node: ET.Element, path: str) -> list[str]:
     return ["".join(e.itertext()) for e in found]
 
 
-def _clean(s: str) -> str:
-    s = re.sub(T.SPAN_TAGS, "", s)
-    s = re.sub("<[^>]+>|\ufffd", " ", s)
-    return s.strip("".join(chr(i) for i in range(33)))
 
-
-def _extract_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _html_items(itempath: str, extractors: dict[str, str], limit: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    path = itempath if itempath.startswith(".") else "." + itempath
     for pdf in batches:
         rows = []
-        for page_id, base, html, mimetype, itempath, extractors in zip(
-            pdf["page_id"], pdf["base"], pdf["html"], pdf["mimetype"], pdf["itempath"], pdf["extractors"]
-        ):
-            try:
-                root = page_tree(mimetype, html)
-            except Exception as e:  # noqa: BLE001 - a bad page is an error row, not a failed task
-                rows.append((page_id, 0, None, None, None, {}, f"{type(e).__name__}: {e}"[:200]))
-                continue
-            ip = itempath if itempath.startswith(".") else "." + itempath
+        for page_id, base, html in zip(pdf["page_id"], pdf["base"], pdf["html"]):
             try:
-                items = root.findall(ip)[:MAX_ITEMS]
-            except SyntaxError as e:
-                rows.append((page_id, 0, None, None, None, {}, f"Bad item path: {e}"[:200]))
-                continue
-            for pos, item in enumerate(items, start=1):
-                hit = {}
-                pairs = extractors.items() if isinstance(extractors, dict) else (extractors if extractors is not None else [])
-                for field, path in pairs:
-                    value = " ".join(_select(item, path))
-                    if value != "":
-                        if field == "url":
-                            value = _absolute(base, value)
-                        hit[field] = _clean(value)
-                rows.append((page_id, pos, hit.get("title"), hit.get("description"), hit.get("url"),
-                             {k: v for k, v in hit.items() if k not in ("title", "description", "url")}, None))
-        yield pd.DataFrame(rows, columns=["page_id", "pos", "title", "description", "url", "extra", "error"])
-
-
-def _absolute(base: str | None, url: str) -> str:
-    """F4 for the Python path (same rule as :func:`ferret.functions.urls.absolute_url`)."""
-    if base is None or url.startswith("http://") or url.startswith("https://"):
-        return url
-    if url.startswith("/"):
-        idx = base.find(":") + 1 if url.startswith("//") else base.find("/", 10)
-        return (base[:idx] if idx != -1 else base) + url
-    idx = base.rfind("/")
-    return (base[: idx + 1] if idx != -1 and idx > 10 else base + "/") + url
-
-
-EXTRACT_SCHEMA = (
-    "page_id long, pos int, title string, description string, url string, extra map<string,string>, error string"
-)
-
-
-def extract_html(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(page_id, pos, title, description, url, extra) for HTML pages.
-
-    ``pages``: (page_id, url, html, rid); ``rules``: (rid, itempath, extractors
-    map<field, path>[, urltemplate]), joined on rid.  Paths: ``//tag``,
-    ``./a/b``, ``[@x='y']``, ``[tag]``, ``@attr``, ``text()``.
-    """
-    r = rules.withColumn("mimetype", F.lit("text/html"))
-    return extract_pages(pages, r).filter(F.col("error").isNull()).drop("error")
+                root = html_tree(html)
+                items = [root] if path == "." else root.findall(path)
+                for pos, item in enumerate(items[:limit], start=1):
+                    rows.append((page_id, base, pos, {f: " ".join(_select(item, p)) for f, p in extractors.items()}, None))
+            except Exception as e:  # noqa: BLE001 - a bad page or path is an error row, not a failed task
+                rows.append((page_id, base, 0, {}, f"{type(e).__name__}: {e}"))
+        yield pd.DataFrame(rows, columns=["page_id", "base", "pos", "fields", "error"])
 
 
-def extract_xml(pages: DataFrame, itempath: str, extractors: dict[str, str]) -> DataFrame:
-    """Well-formed XML pages with Spark's native ``xpath``.
+def extract_html(pages: DataFrame, itempath: str, extractors: dict[str, str], limit: int = MAX_ITEMS) -> DataFrame:
+    """(page_id, pos, fields, error) for HTML pages (page_id, url, html).
 
-    Paths must be constants, so a rule is applied as one ``select``; items are
-    numbered by position, at most 30.  Malformed pages are skipped first
-    (``try_parse`` via a well-formedness probe on ``from_xml`` would be an
-    alternative); rows whose XML does not parse return no items.
+    Paths: ``//tag``, ``./a/b``, ``[@x='y']``, ``[tag]``, ``@attr``, ``text()``.
     """
-    per_item = []
-    for i in range(1, MAX_ITEMS + 1):
-        fields = []
-        for field, path in extractors.items():
-            p = path[2:] if path.startswith("./") else path
-            fields.append(T.clean_extracted(F.expr(f"xpath_string(xml, '({itempath})[{i}]/{p}')")).alias(field))
-        exists = F.expr(f"xpath_boolean(xml, '({itempath})[{i}]')")
-        per_item.append(F.when(exists, F.struct(F.lit(i).alias("pos"), *fields)))
-    x = pages.select("page_id", F.col("url").alias("page_url"), F.col("xml"))
-    items = x.select("page_id", "page_url", F.explode(F.array_compact(F.array(*per_item))).alias("it")).select(
-        "page_id", "page_url", "it.*"
-    )
-    cols = [F.when(F.col(f) != F.lit(""), F.col(f)).alias(f) for f in extractors]
-    out = items.select("page_id", "pos", *cols, "page_url")
-    if "url" in extractors:
-        out = out.withColumn("url", U.absolute_url(F.col("page_url"), F.col("url")))
-    return out.drop("page_url")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    rows = pages.select("page_id", F.col("url").alias("base"), F.coalesce("html", F.lit("")).alias("html")).mapInPandas(
+        partial(_html_items, itempath, dict(extractors), limit),
+        f"page_id {kind}, base string, pos int, fields map<string,string>, error string")
+    return _finish(rows, F.col("base"))
+
 
+# --- X2: XML ----------------------------------------------------------------
 
-RESULT_PAGE_SCHEMA = (
-    "hits array<map<string,string>>, resource struct<id:string, name:string, urltemplate:string, favicon:string>, "
-    "query string, searsia string"
-)
+ITEM_STEP = re.compile(r"^(?:.*/)?(?:[\w.-]+:)?([\w.-]+)((?:\[[^\]]*\])*)$")
 
 
-def extract_json(pages: DataFrame, col: str = "json") -> DataFrame:
-    """JSON result pages -> (page_id, pos, hit map, query, rid, version).
+def extract_xml(pages: DataFrame, itempath: str, extractors: dict[str, str], limit: int = MAX_ITEMS) -> DataFrame:
+    """(page_id, pos, fields, error) for XML pages (page_id, url, html).
 
-    A page is ``{"hits": [...], "resource": {...}, "query": ..., "searsia": ...}``;
-    missing ``hits`` gives no rows.  Hit members are read as strings; nested
-    arrays and objects are dropped (see :func:`ferret.sources.pages.normalize_hits`).
+    A page is read whole once to see that it is well formed; its items are cut
+    out by the tag of the path's last step, tested against the step's
+    predicates, and read with ``xpath``: the texts of all matched nodes, joined
+    by a space.  If the path finds another number of items than the cut (nested
+    items, other places of the tag) the page is an error row.
     """
-    parsed = pages.select("page_id", F.from_json(F.col(col), RESULT_PAGE_SCHEMA).alias("p"))
-    return parsed.select(
-        "page_id",
-        F.posexplode(F.slice(F.col("p.hits"), 1, 1 << 30)).alias("pos", "hit"),
-        F.col("p.query").alias("query"),
-        F.col("p.resource.id").alias("rid"),
-        F.col("p.searsia").alias("version"),
-    ).withColumn("pos", F.col("pos") + 1)
-
-
-def extract_callback(pages: DataFrame, col: str = "body") -> DataFrame:
-    """JavaScript callback pages: each balanced top-level flat ``{...}``
-    object that parses becomes an item (objects that do not parse are skipped)."""
-    objs = F.regexp_extract_all(F.col(col), F.lit(r"(\{[^{}]*\})"), 1)
-    x = pages.select("page_id", F.posexplode(objs).alias("pos", "obj"))
-    parsed = x.select("page_id", (F.col("pos") + 1).alias("pos"), F.from_json("obj", "map<string,string>").alias("hit"))
-    return parsed.filter(F.col("hit").isNotNull())
-
-
-def extract_pages(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Extract every page by its resource's rule and mimetype.
-
-    ``pages``: (page_id, url, html, rid) with the page text in ``html``;
-    ``rules``: (rid, mimetype, itempath, extractors[, urltemplate]).  Links are
-    resolved against the rule's ``urltemplate`` when it has one, else against
-    the page address.  A page that cannot be parsed gives one row with ``error``
-    (pos 0) instead of failing the job.  The rule table is one row per resource
-    and joins on rid; Spark broadcasts it when its measured size allows.
+    step = ITEM_STEP.match(itempath)
+    if not step:
+        return _errors(pages, f"Item path not supported: {itempath}")
+    tag, tests = step.groups()
+    raw = F.regexp_replace(F.col("html"), r"^\s*<\?xml[^>]*\?>", "")
+    x = pages.select("page_id", "url", raw.alias("xml")).withColumn("bad", _malformed("xml"))
+    good = x.filter("not bad and xml is not null").withColumn(
+        "items", F.regexp_extract_all("xml", F.lit(rf"(?s)<(?:[\w.-]+:)?{tag}(?=[\s>/])[^>]*?(?:/>|>.*?</(?:[\w.-]+:)?{tag}\s*>)"), 0))
+    flat = good.select("page_id", "url", F.posexplode("items").alias("at", "item")).withColumn("bad", _malformed("item"))
+    cut = flat.filter("bad").select("page_id").distinct()
+    flat = flat.filter("not bad")
+    if tests:
+        flat = flat.filter(F.expr(f"xpath_boolean(item, '/*{_quoted(tests)}')"))
+    fields = {}
+    for f, p in extractors.items():
+        rel = p.strip()
+        rel = "" if rel in (".", "") else "/" + rel.removeprefix("./") if not rel.startswith(".//") else rel[1:]
+        at = _quoted("/*" + rel)
+        last = at.rsplit("/", 1)[-1]
+        leaf = at if last.startswith("@") or last == "text()" else f"{at}//text()"
+        fields[f] = F.expr(f"CASE WHEN xpath_int(item, 'count({at})') <= 1 THEN xpath_string(item, '{at}') "
+                           f"ELSE array_join(xpath(item, '{leaf}'), ' ') END")
+    rows = flat.select("page_id", "url", "at", _map(fields).alias("fields"))
+    counts = rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("got"))
+    wrong = (good.select("page_id", F.expr(f"xpath_int(xml, 'count({_quoted(itempath)})')").alias("want"))
+             .join(counts, "page_id", "left").filter(F.col("want") != F.coalesce("got", F.lit(0))).select("page_id"))
+    wrong = wrong.union(cut).distinct()
+    order = F.row_number().over(Window.partitionBy("page_id").orderBy("at")).alias("pos")
+    rows = rows.join(wrong, "page_id", "left_anti").select("page_id", "url", order, "fields", F.lit(None).cast("string").alias("error"))
+    out = _finish(rows.filter(F.col("pos") <= limit), F.col("url"))
+    return (out.unionByName(_errors(x.filter("bad or xml is null"), "Malformed XML"))
+            .unionByName(_errors(wrong, f"Item path not supported: {itempath}")))
+
+
+def _malformed(col: str) -> Column:
+    """Permissive ``from_xml``: a malformed text lands in the column for bad records."""
+    probe = F.from_xml(F.col(col), "_bad string, _any string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return F.coalesce(probe["_bad"].isNotNull(), F.lit(True))
+
+
+def _quoted(path: str) -> str:
+    return path.replace("\\", "\\\\").replace("'", "\\'")
+
+
+# --- X3, X4: JSON -----------------------------------------------------------
+
+MEMBERS = re.compile(r"^(?:\.?/{0,2})?([\w-]+(?:/[\w-]+)*)$")
+
+
+def _members(path: str) -> list[str] | None:
+    m = MEMBERS.match(path.strip())
+    return m.group(1).split("/") if m else None
+
+
+def _json_path(members: list[str]) -> str:
+    return "$" + "".join(f"['{m}']" for m in members)
+
+
+def _member_text(v: Column, members: list[str]) -> Column:
+    """A scalar as text, an array of scalars joined by a space; objects have no text."""
+    at = _json_path(members)
+    one = F.try_variant_get(v, at, "variant")
+    kind = F.schema_of_variant(one)
+    many = F.try_variant_get(v, at, "array<variant>")
+    plain = F.filter(many, lambda x: ~F.schema_of_variant(x).rlike("^(OBJECT|ARRAY|VOID)"))
+    texts = F.transform(plain, lambda x: x.cast("string"))
+    return F.when(kind.startswith("ARRAY"), F.array_join(texts, " ")).when(~kind.rlike("^(OBJECT|VOID)"), one.cast("string"))
+
+
+def _json_rows(items: DataFrame, extractors: dict[str, str], limit: int) -> DataFrame:
+    """(page_id, url, items array<variant>) -> rows of the first ``limit`` items."""
+    paths = {f: _members(p) for f, p in extractors.items()}
+    flat = items.select("page_id", "url", F.posexplode(F.slice("items", 1, limit)).alias("at", "v"))
+    return flat.select("page_id", "url", (F.col("at") + 1).alias("pos"), _map({f: _member_text(F.col("v"), p) for f, p in paths.items()}).alias("fields"),
+                       F.lit(None).cast("string").alias("error"))
+
+
+def _json_page_rows(pages: DataFrame, itempath: str, extractors: dict[str, str], limit: int) -> DataFrame:
+    """Rows of JSON pages with values as they stand (url as ``url``), error rows included."""
+    item = _members(itempath)
+    wrong = next((p for p in extractors.values() if _members(p) is None), None if item else itempath)
+    if wrong is not None:
+        return _errors(pages, f"Path not supported: {wrong}").withColumn("url", F.lit(None).cast("string"))
+    v = pages.select("page_id", "url", F.try_parse_json("html").alias("v"))
+    none = F.array().cast("array<variant>")
+    at = _json_path(item)
+    one = F.try_variant_get("v", at, "variant")
+    # an array of items, or one item; a top-level array is the member ``list``
+    top = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), none) if item == ["list"] else none
+    items = F.coalesce(F.try_variant_get("v", at, "array<variant>"), F.when(one.isNotNull(), F.array(one)), top)
+    good = v.filter("v is not null").select("page_id", "url", items.alias("items"))
+    return _json_rows(good, extractors, limit).unionByName(
+        _errors(v.filter("v is null"), "Malformed JSON").withColumn("url", F.lit(None).cast("string")))
+
+
+def extract_json(pages: DataFrame, itempath: str, extractors: dict[str, str], limit: int = MAX_ITEMS) -> DataFrame:
+    """(page_id, pos, fields, error) for JSON pages (page_id, url, html).
+
+    ``itempath`` names the member that holds the items, from the top of the page
+    (``//hits``, ``/a/b``); a top-level array is the member ``list``.  An object
+    is one item.  Field paths name members below an item (``./a/b``).
     """
-    cols = rules.columns
-    r = rules.select(
-        "rid", "itempath", "extractors",
-        (F.col("mimetype") if "mimetype" in cols else F.lit("text/html")).alias("mimetype"),
-        (F.col("urltemplate") if "urltemplate" in cols else F.lit(None).cast("string")).alias("urltemplate"),
-    )
-    j = pages.join(r, "rid")
-    return j.select(
-        "page_id", F.coalesce("urltemplate", "url").alias("base"), "html", "mimetype", "itempath", "extractors"
-    ).mapInPandas(_extract_batches, EXTRACT_SCHEMA)
+    return _finish(_json_page_rows(pages, itempath, extractors, limit), F.col("url"))
+
+
+def extract_callback(pages: DataFrame, extractors: dict[str, str], limit: int = MAX_ITEMS) -> DataFrame:
+    """JavaScript callback pages: every flat ``{...}`` that parses is an item,
+    others are skipped.  A page with an object inside an object is reported as
+    an error row: its items cannot be told apart by a pattern.
+    """
+    wrong = next((p for p in extractors.values() if _members(p) is None), None)
+    if wrong is not None:
+        return _errors(pages, f"Path not supported: {wrong}")
+    nested = F.coalesce(F.col("html"), F.lit("")).rlike(r"\{[^{}]*\{[^{}]*\}")
+    parsed = F.transform(F.regexp_extract_all("html", F.lit(r"\{[^{}]*\}"), 0), lambda x: F.try_parse_json(x))
+    items = pages.filter(~nested).select("page_id", "url", F.filter(parsed, lambda x: x.isNotNull()).alias("items"))
+    return _finish(_json_rows(items, extractors, limit), F.col("url")).unionByName(
+        _errors(pages.filter(nested), "Nested objects are not supported"))
+
+
+# --- X5, X6: one format inside the other ---------------------------------------
+
+def extract_json_of_html(pages: DataFrame, itempath: str, member: str, extractors: dict[str, str], limit: int = MAX_ITEMS) -> DataFrame:
+    """JSON pages whose items hold HTML in ``member``; field paths are HTML paths in it."""
+    got = _json_page_rows(pages, itempath, {"html": member}, limit)
+    inner = got.filter("error is null").select(F.struct("page_id", "pos").alias("id"), "url", F.try_element_at("fields", F.lit("html")).alias("html"))
+    rows = extract_html(inner.withColumn("page_id", F.to_json("id")), ".", extractors, 1)
+    back = inner.select(F.to_json("id").alias("page_id"), "id")
+    out = rows.join(back, "page_id").select(F.col("id.page_id").alias("page_id"), F.col("id.pos").alias("pos"), "fields", "error")
+    return out.unionByName(got.filter("error is not null").select(*OUT))
+
+
+def extract_html_with_json(pages: DataFrame, tag: str, attribute: str, extractors: dict[str, str], limit: int = MAX_ITEMS) -> DataFrame:
+    """HTML pages whose ``tag`` elements hold a JSON object in ``attribute``; field paths are its members."""
+    wrong = next((p for p in extractors.values() if _members(p) is None), None)
+    if wrong is not None:
+        return _errors(pages, f"Path not supported: {wrong}")
+    pattern = rf"(?is)<{tag}\b[^>]*?\b{attribute}\s*=\s*(?:'(\{{[^']*\}})'|\"(\{{[^\"]*\}})\")"
+    raw = [F.regexp_extract_all("html", F.lit(pattern), k) for k in (1, 2)]
+    text = F.zip_with(*raw, lambda a, b: F.regexp_replace(F.regexp_replace(F.concat(a, b), "&quot;|&#34;", "\""), "&amp;", "&"))
+    items = F.filter(F.transform(text, lambda x: F.try_parse_json(x)), lambda x: x.isNotNull())
+    return _finish(_json_rows(pages.select("page_id", "url", items.alias("items")), extractors, limit), F.col("url"))
+
+
+# --- X7 ---------------------------------------------------------------------
+
+def extract_pages(pages: DataFrame, rules: list[dict], limit: int = MAX_ITEMS, default_mimetype: str = DEFAULT_MIMETYPE) -> DataFrame:
+    """(page_id, pos, fields, error): every page by the rule of its resource.
+
+    ``pages``: (page_id, url, html, rid).  A rule: rid, mimetype, itempath,
+    extractors and, if given, urltemplate (the base of relative links), tag /
+    attribute (X6) and member (X5).  Without a mimetype, or with the default
+    one, a page is a result page (S1, S2).  Pages of a resource without a rule,
+    and rules of other mimetypes, give error rows.
+    """
+    out = []
+    for rule in rules:
+        own = pages.filter(F.col("rid") == F.lit(rule["rid"]))
+        if rule.get("urltemplate"):
+            own = own.withColumn("url", F.lit(rule["urltemplate"]))
+        kind, path, fields = rule.get("mimetype") or default_mimetype, rule.get("itempath") or "", rule.get("extractors") or {}
+        if kind == default_mimetype:
+            hits = PG.normalize_hits(PG.parse_result_pages(own, "html"))
+            broken = own.filter(F.try_parse_json("html").isNull())
+            out.append(hits.select("page_id", "pos", "fields", F.lit(None).cast("string").alias("error")))
+            out.append(_errors(broken, "Malformed JSON"))
+        elif kind == "text/html":
+            out.append(extract_html(own, path, fields, limit))
+        elif kind == "application/xml":
+            out.append(extract_xml(own, path, fields, limit))
+        elif kind == "application/json":
+            out.append(extract_json(own, path, fields, limit))
+        elif kind == "application/x-javascript":
+            out.append(extract_callback(own, fields, limit))
+        elif kind == "application/html+json":
+            out.append(extract_json_of_html(own, path, rule.get("member", "html"), fields, limit))
+        elif kind == "application/json+html":
+            out.append(extract_html_with_json(own, rule.get("tag", "div"), rule.get("attribute", "data"), fields, limit))
+        else:
+            out.append(_errors(own, f"MIME Type not supported: {kind}"))
+    known = [r["rid"] for r in rules]
+    out.append(_errors(pages.filter(F.col("rid").isNull() | ~F.col("rid").isin(known)) if known else pages, "No rule for this resource"))
+    return reduce(DataFrame.unionByName, [x.select(*OUT) for x in out])

@@ -441,7 +441,7 @@ EXTRACT_LINKS = f"""
 WITH it AS (
   SELECT page_id, page_url, unnest(items) AS item, generate_subscripts(items, 1) AS pos
   FROM (SELECT page_id, url AS page_url,
-               regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li>', 1)[1:30] AS items FROM pages)),
+               regexp_extract_all(repeat(html, 8), '(?is)<li\\b[^>]*>(.*?)</li>', 1)[1:30] AS items FROM pages)),
 f AS (
   SELECT page_id, pos, page_url,
          {clean_sql("regexp_extract(item, '(?is)<a\\b[^>]*>(.*?)</a>', 1)")} AS t,
@@ -514,7 +514,9 @@ SELECT CAST(qid AS VARCHAR) || '/' || rid AS page_id,
        {STRIP.format(x=STRIP.format(x='title'))} AS title, {STRIP.format(x=STRIP.format(x='url'))} AS url
 FROM res"""
 
-CATALOG_FROM_PAGES = EXTRACT_LINKS.replace("SELECT * FROM g WHERE title IS NOT NULL OR url IS NOT NULL", """,
+ALL_LINKS = EXTRACT_LINKS.replace("[1:30]", "")
+
+CATALOG_FROM_PAGES = ALL_LINKS.replace("repeat(html, 8)", "html").replace("SELECT * FROM g WHERE title IS NOT NULL OR url IS NOT NULL", """,
 links AS (SELECT * FROM g WHERE title IS NOT NULL OR url IS NOT NULL),
 firsts AS (SELECT url AS rid, arg_min(page_id, (page_id, pos)) AS page, arg_min(pos, (page_id, pos)) AS pos
            FROM links WHERE url IS NOT NULL GROUP BY url),
@@ -585,7 +587,30 @@ FROM ex"""
 DELETE_RESOURCES = with_(CATALOG) + """
 SELECT id, name FROM old WHERE id NOT IN (SELECT id FROM upd WHERE deleted)"""
 
-VALID_HITS = EXTRACT_LINKS.replace("SELECT * FROM g WHERE title IS NOT NULL OR url IS NOT NULL",
+VALID_HITS = ALL_LINKS.replace("SELECT * FROM g WHERE title IS NOT NULL OR url IS NOT NULL",
                                    "SELECT page_id, pos, title FROM g WHERE title IS NOT NULL AND length(title) > 0")
 
 LOCAL_SEARCH = local_search_sql(10, 0)
+
+
+def made_items_sql(where: str, note: str, error: str, broken: bool = True) -> str:
+    """The two items of every made page, and an error row for each broken one."""
+    ok = f"({where}) AND c_custkey % 10 <> 3" if broken else where
+    url = "'https://shop.example.org/c/' || CAST(c_custkey AS VARCHAR)"
+    return f"""
+SELECT c_custkey AS page_id, 1 AS pos, c_name AS title, {url} AS url, {note} AS note, CAST(NULL AS VARCHAR) AS error FROM customer WHERE {ok}
+UNION ALL SELECT c_custkey, 2, 'second of ' || CAST(c_custkey AS VARCHAR), NULL, NULL, NULL FROM customer WHERE {ok}
+UNION ALL SELECT c_custkey, 0, NULL, NULL, NULL, '{error}' FROM customer WHERE ({where}) AND c_custkey % 10 = 3 AND {broken}"""
+
+
+EXTRACT_XML = made_items_sql("true", "c_mktsegment || ' x'", "Malformed XML")
+EXTRACT_JSON = made_items_sql("true", "c_mktsegment || ' x'", "Malformed JSON")
+EXTRACT_CALLBACK = made_items_sql("true", "c_mktsegment || ' x'", "Nested objects are not supported")
+EXTRACT_RESULT_PAGES = f"""
+WITH a AS ({made_items_sql("c_custkey % 5 = 0", "NULL", "Malformed JSON")}),
+b AS ({made_items_sql("c_custkey % 5 = 1", "NULL", "Malformed XML")}),
+c AS ({made_items_sql("c_custkey % 5 = 2", "NULL", "Malformed JSON")})
+SELECT page_id, pos, title, CASE WHEN pos = 1 THEN '/c/' || CAST(page_id AS VARCHAR) END AS url, error FROM a
+UNION ALL SELECT page_id, pos, title, url, error FROM b UNION ALL SELECT page_id, pos, title, url, error FROM c
+UNION ALL SELECT c_custkey, 0, NULL, NULL, CASE c_custkey % 5 WHEN 3 THEN 'MIME Type not supported: image/png' ELSE 'No rule for this resource' END
+FROM customer WHERE c_custkey % 5 >= 3"""

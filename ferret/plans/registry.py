@@ -165,23 +165,55 @@ def q_cache_lookup(spark, sf_dir):
     return RQ.cache_lookup(reqs, queue).select("query", "rid", "page_id")
 
 
+def _long_pages(spark, sf_dir):
+    """The pages, each body eight times over, so that pages exceed the item limit."""
+    return table(spark, sf_dir, "pages").withColumn("html", F.repeat("html", F.lit(8)))
+
+
 def q_extract_page_links(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return X.extract_links(pages).select("page_id", F.col("pos").cast("int").alias("pos"), "title", "url", "rid")
+    out = X.extract_links(_long_pages(spark, sf_dir), limit=X.MAX_ITEMS)
+    return out.select("page_id", F.col("pos").cast("int").alias("pos"), "title", "url", "rid")
 
 
 def q_extract_html(spark, sf_dir):
     """X1 general path with the same rule (items //li, title ./a, url ./a/@href)."""
-    pages = table(spark, sf_dir, "pages").withColumn("rid", F.regexp_extract("url", TB.HOST, 1))
-    rules = pages.select("rid").distinct().select(
-        "rid",
-        F.lit("//li").alias("itempath"),
-        F.create_map(F.lit("title"), F.lit("./a"), F.lit("url"), F.lit("./a/@href")).alias("extractors"),
-    )
-    out = X.extract_html(pages, rules)
-    return out.join(pages.select("page_id", "rid"), "page_id").select("page_id", "pos", "title", "url", "rid").filter(
-        F.col("title").isNotNull() | F.col("url").isNotNull()
-    )
+    pages = _long_pages(spark, sf_dir)
+    out = X.extract_html(pages, "//li", {"title": "./a", "url": "./a/@href"})
+    rid = pages.select("page_id", F.regexp_extract("url", TB.HOST, 1).alias("rid"))
+    out = out.join(rid, "page_id").select(
+        "page_id", "pos", F.try_element_at("fields", F.lit("title")).alias("title"), F.try_element_at("fields", F.lit("url")).alias("url"), "rid", "error")
+    # items without a title and a url are no hits; an error row would show as one
+    return out.filter("title is not null or url is not null or error is not null").drop("error")
+
+
+def _extracted(df):
+    at = lambda k: F.try_element_at("fields", F.lit(k)).alias(k)
+    return df.select("page_id", F.col("pos").cast("int").alias("pos"), at("title"), at("url"), at("note"), "error")
+
+
+def q_extract_xml(spark, sf_dir):
+    return _extracted(X.extract_xml(TB.made_pages(spark, sf_dir, "xml"), "//item", {"title": "./title", "url": "./link", "note": "./tag"}))
+
+
+def q_extract_json(spark, sf_dir):
+    return _extracted(X.extract_json(TB.made_pages(spark, sf_dir, "json"), "//hits", {"title": "./title", "url": "./url", "note": "./tags"}))
+
+
+def q_extract_callback(spark, sf_dir):
+    return _extracted(X.extract_callback(TB.made_pages(spark, sf_dir, "callback"), {"title": "./title", "url": "./url", "note": "./tags"}))
+
+
+def q_extract_result_pages(spark, sf_dir):
+    """Pages of the default kind (S1, S2), of XML and JSON, of a kind not supported and of a resource without a rule."""
+    kinds = ("result", "xml", "json", "result", "result")
+    pages = [TB.made_pages(spark, sf_dir, k).filter(F.col("page_id") % len(kinds) == i).withColumn("rid", F.lit(f"r{i}")) for i, k in enumerate(kinds)]
+    rules = [{"rid": "r0"}, {"rid": "r1", "mimetype": "application/xml", "itempath": "//item", "extractors": {"title": "./title", "url": "./link"}},
+             {"rid": "r2", "mimetype": "application/json", "itempath": "//hits", "extractors": {"title": "./title", "url": "./url"}},
+             {"rid": "r3", "mimetype": "image/png"}]
+    allp = pages[0]
+    for x in pages[1:]:
+        allp = allp.unionByName(x)
+    return _extracted(X.extract_pages(allp, rules)).drop("note")
 
 
 def _schema(spark, sf_dir, name):
@@ -366,7 +398,7 @@ def q_delete_resources(spark, sf_dir):
 
 def q_valid_hits(spark, sf_dir):
     """P8 over extracted page items."""
-    items = X.extract_links(table(spark, sf_dir, "pages")).withColumn("rid", F.lit(None).cast("string"))
+    items = X.extract_links(_long_pages(spark, sf_dir)).withColumn("rid", F.lit(None).cast("string"))
     return CAT.valid_hit(items).select("page_id", F.col("pos").cast("int").alias("pos"), "title")
 
 
@@ -422,6 +454,10 @@ QUERIES: dict[str, Query] = {
     "cache_lookup": q_cache_lookup,
     "extract_page_links": q_extract_page_links,
     "extract_html": q_extract_html,
+    "extract_xml": q_extract_xml,
+    "extract_json": q_extract_json,
+    "extract_callback": q_extract_callback,
+    "extract_result_pages": q_extract_result_pages,
     "ingest_stream": q_ingest_stream,
     "health_stream": q_health_stream,
     "rate_limit_stream": q_rate_limit_stream,
@@ -469,6 +505,10 @@ ORACLE: dict[str, str] = {
     "cache_lookup": O.CACHE_LOOKUP,
     "extract_page_links": O.EXTRACT_LINKS,
     "extract_html": O.EXTRACT_LINKS,
+    "extract_xml": O.EXTRACT_XML,
+    "extract_json": O.EXTRACT_JSON,
+    "extract_callback": O.EXTRACT_CALLBACK,
+    "extract_result_pages": O.EXTRACT_RESULT_PAGES,
     "ingest_stream": O.INGEST,
     "health_stream": O.RESOURCE_HEALTH,
     "rate_limit_stream": O.RATE_LIMIT,

@@ -238,6 +238,25 @@ def export_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def made_pages(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Result pages (page_id, url, html, rid) written from ``customer``: two items
+    each (the name and a link; the segment as two tags, the second item without
+    one); every tenth page is broken off (for callbacks: nested)."""
+    c = table(spark, sf_dir, "customer")
+    key, name, seg = F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_mktsegment")
+    parts = {
+        "xml": ["<?xml version='1.0'?><feed><item><title>", name, "</title><link>/c/", key, "</link><tag>", seg, "</tag><tag>x</tag></item>",
+                "<item><title>second <b>of</b> ", key, "</title></item></feed>"],
+        "json": ['{"hits":[{"title":"', name, '","url":"/c/', key, '","tags":["', seg, '","x"],"o":{"k":1}},{"title":"second of ', key, '"}],"query":"q"}'],
+        "callback": ['cb({"title":"', name, '","url":"/c/', key, '","tags":["', seg, '","x"]},{"title":"second of ', key, '"},{broken})'],
+        "result": ['{"hits":[{"title":"<b>', name, '</b>","url":"/c/', key, '","tags":["x"]},{"title":"second of ', key, '"}],"resource":{"id":"z"}}'],
+    }[kind]
+    text = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    broken = F.concat(F.lit('cb({"a":{"b":1}},'), F.col("t"), F.lit(")")) if kind == "callback" else F.expr("substring(t, 1, length(t) - 8)")
+    return c.select(F.col("c_custkey").alias("page_id"), F.lit("https://shop.example.org/list/all").alias("url"), text.alias("t")).select(
+        "page_id", "url", F.when(F.col("page_id") % 10 == 3, broken).otherwise(F.col("t")).alias("html"), F.lit("r").alias("rid"))
+
+
 def requests_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests: one per event; rid = 's'||user_id (ids beyond the supplier
     range are unknown resources), query = event_type, page = props.k."""

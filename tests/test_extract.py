@@ -1,4 +1,6 @@
-"""Extraction: tolerant HTML paths, native links, XML, JSON pages, callbacks."""
+"""Extraction: tolerant HTML paths, native links, XML, JSON pages, callbacks; bad pages and paths are rows."""
+
+import json
 
 from pyspark.sql import functions as F
 
@@ -10,37 +12,46 @@ HTML = """<html><body><div class="result"><h3><a href="/one">First <b>hit</b></a
 <div class="ad"><a href="/ad">Ad</a></div></body></html>"""
 
 
+def page(spark, *texts, url="http://example.org/search/q"):
+    return spark.createDataFrame([(k, url, t, "r") for k, t in enumerate(texts, 1)], "page_id long, url string, html string, rid string")
+
+
+def rows(df):
+    return [(r.page_id, r.pos, dict(r.fields), r.error) for r in df.orderBy("page_id", "pos").collect()]
+
+
 def test_html_paths_with_unclosed_tags(spark):
-    pages = spark.createDataFrame([(1, "http://example.org/search/q", HTML, "r")], "page_id long, url string, html string, rid string")
-    rules = spark.createDataFrame(
-        [("r", "//div[@class='result']", {"title": ".//h3", "url": ".//a/@href", "description": "./p"})],
-        "rid string, itempath string, extractors map<string,string>",
-    )
-    out = X.extract_html(pages, rules).orderBy("pos").collect()
-    assert [(r.title, r.url) for r in out] == [
-        ("First hit", "http://example.org/one"),
-        ("Second", "http://example.org/search/two.html"),
-    ]
-    assert out[1].description == "About two"
-
-
-def test_native_links(spark):
-    pages = spark.createDataFrame([(1, "http://h.example.com/x/y", "<ul><li><a href='x'>no</a></li><li><a href=\"/a\">A</a></li></ul>")],
-                                  "page_id long, url string, html string")
-    out = X.extract_links(pages).orderBy("pos").collect()
-    assert [(r.pos, r.title, r.url, r.rid) for r in out] == [(1, "no", None, "h.example.com"), (2, "A", "http://h.example.com/a", "h.example.com")]
+    out = rows(X.extract_html(page(spark, HTML), "//div[@class='result']", {"title": ".//h3", "url": ".//a/@href", "description": "./p"}))
+    assert [(f["title"], f["url"]) for _, _, f, _ in out] == [
+        ("First hit", "http://example.org/one"), ("Second", "http://example.org/search/two.html")]
+    assert out[1][2]["description"] == "About two"
+    bad = rows(X.extract_html(page(spark, HTML), "//div[", {"title": "."}))
+    assert len(bad) == 1 and bad[0][1] == 0 and bad[0][3]
+
+
+def test_native_links_take_all_items(spark):
+    pages = page(spark, "<ul><li><a href='x'>no</a></li><li><a href=\"/a\">A</a></li></ul>", "".join(f'<li><a href="/{k}">T{k}</a></li>' for k in range(45)))
+    out = X.extract_links(pages).orderBy("page_id", "pos").collect()
+    assert [(r.pos, r.title, r.url, r.rid) for r in out[:2]] == [(1, "no", None, "example.org"), (2, "A", "http://example.org/a", "example.org")]
+    assert len(out) == 47 and X.extract_links(pages, limit=30).count() == 32
 
 
 def test_xml_items(spark):
-    xml = "<rss><channel><item><title>A</title><link>http://a/1</link></item><item><title>B</title><link>/2</link></item></channel></rss>"
-    pages = spark.createDataFrame([(1, "http://example.org/feed.xml", xml)], "page_id long, url string, xml string")
-    out = X.extract_xml(pages, "//item", {"title": "./title", "url": "./link"}).orderBy("pos").collect()
-    assert [(r.title, r.url) for r in out] == [("A", "http://a/1"), ("B", "http://example.org/2")]
+    xml = ('<?xml version="1.0"?><rss xmlns:dc="http://x/"><channel><item><title>A</title><link>http://a/1</link><c>x</c><c>y</c></item>'
+           "<item kind='n'><title>B <b>bold</b></title><dc:creator>me</dc:creator><link>/2</link></item></channel></rss>")
+    pages = page(spark, xml, "<rss><item><title>never closed", None, "<a><item><item><title>in</title></item></item></a>")
+    out = rows(X.extract_xml(pages, "//item", {"title": "./title", "url": "./link", "c": "./c", "kind": "./@kind"}))
+    assert out[0][2] == {"title": "A", "url": "http://a/1", "c": "x y"}
+    assert out[1][2] == {"title": "B bold", "url": "http://example.org/2", "kind": "n"}
+    assert [(r[0], r[1], bool(r[3])) for r in out[2:]] == [(2, 0, True), (3, 0, True), (4, 0, True)]
+    assert [r[2]["title"] for r in rows(X.extract_xml(page(spark, xml), "//item[./c]", {"title": "./title"}))] == ["A"]
+    many = "<r>" + "".join(f"<item><title>{k}</title></item>" for k in range(50)) + "</r>"
+    assert X.extract_xml(page(spark, many), "/r/item", {"title": "./title"}).count() == 30
 
 
 def test_json_pages_keep_scalars_only(spark):
-    page = '{"hits":[{"title":"<b>T</b>","score":1.5,"tags":["x"],"meta":{"a":1},"ok":true,"n":null}],"resource":{"id":"r1"},"query":"q"}'
-    df = spark.createDataFrame([(1, page), (2, '{"resource":{"id":"r2"}}'), (3, "not json")], "page_id long, json string")
+    text = '{"hits":[{"title":"<b>T</b>","score":1.5,"tags":["x"],"meta":{"a":1},"ok":true,"n":null}],"resource":{"id":"r1"},"query":"q"}'
+    df = spark.createDataFrame([(1, text), (2, '{"resource":{"id":"r2"}}'), (3, "not json")], "page_id long, json string")
     hits = PG.normalize_hits(PG.parse_result_pages(df)).collect()
     assert len(hits) == 1
     h = hits[0]
@@ -48,47 +59,35 @@ def test_json_pages_keep_scalars_only(spark):
     assert h.fields == {"title": "T", "score": "1.5", "ok": "true"}
 
 
-def test_callback_objects(spark):
-    body = 'cb([{"title":"a","url":"u1"},{"title":"b"},{broken}])'
-    df = spark.createDataFrame([(1, body)], "page_id long, body string")
-    out = X.extract_callback(df).orderBy("pos").collect()
-    assert [r.hit["title"] for r in out] == ["a", "b"]
-
-
-def _rule_run(spark, mimetype, text, itempath, extractors):
-    pages = spark.createDataFrame([(1, "http://example.org/search/q", text, "r")], "page_id long, url string, html string, rid string")
-    rules = spark.createDataFrame([("r", mimetype, itempath, extractors)], "rid string, mimetype string, itempath string, extractors map<string,string>")
-    return X.extract_pages(pages, rules).orderBy("pos").collect()
-
-
 def test_json_rule(spark):
-    page = '{"hits":[{"title":"A","url":"/a"},{"title":"B","link":{"href":"http://b"}}]}'
-    out = _rule_run(spark, "application/json", page, "//hits", {"title": "./title", "url": "./url"})
-    assert [(r.title, r.url) for r in out] == [("A", "http://example.org/a"), ("B", None)]
-
-
-def test_top_level_json_list(spark):
-    out = _rule_run(spark, "application/json", '[{"t":"x"},{"t":"y"}]', "//list", {"title": "./t"})
-    assert [r.title for r in out] == ["x", "y"]
-
-
-def test_javascript_callback_rule(spark):
-    out = _rule_run(spark, "application/x-javascript", 'cb({"t":"x"}, {"t":"y"}, {bad})', "//list", {"title": "./t"})
-    assert [r.title for r in out] == ["x", "y"]
-
-
-def test_html_inside_json(spark):
-    page = '{"items":[{"html":"<div><a href=\\"/z\\">Zed</a></div>"}]}'
-    out = _rule_run(spark, "application/html+json", page, "//items", {"title": ".//a", "url": ".//a/@href"})
-    assert [(r.title, r.url) for r in out] == [("Zed", "http://example.org/z")]
-
-
-def test_json_inside_html_attribute(spark):
-    page = "<div class='r' data-x='{\"title\": \"T1\"}'></div><div class='r' data-x='{\"title\": \"T2\"}'></div>"
-    out = _rule_run(spark, "application/json+html", page, "//div[@class='r']", {"title": "./data-x/title"})
-    assert [r.title for r in out] == ["T1", "T2"]
-
-
-def test_bad_page_is_an_error_row(spark):
-    out = _rule_run(spark, "application/xml", "<not closed", "//item", {"title": "./t"})
-    assert len(out) == 1 and out[0].error is not None and out[0].pos == 0
+    text = '{"hits":[{"title":"A","url":"/a","t":["x","y"],"o":{"k":1}},{"title":"B","link":{"href":"http://b"}}]}'
+    out = rows(X.extract_json(page(spark, text, "{bad"), "//hits", {"title": "./title", "url": "./url", "t": "t", "o": "./o", "l": "./link/href"}))
+    assert out[0][2] == {"title": "A", "url": "http://example.org/a", "t": "x y"} and out[1][2] == {"title": "B", "l": "http://b"}
+    assert out[2][:2] == (2, 0) and out[2][3] == "Malformed JSON"
+    assert [r[2]["title"] for r in rows(X.extract_json(page(spark, '[{"t":"x"},{"t":"y"}]'), "//list", {"title": "./t"}))] == ["x", "y"]
+    assert rows(X.extract_json(page(spark, text), "//hits[1]", {"title": "./title"}))[0][1] == 0
+    many = json.dumps({"a": {"b": [{"t": k} for k in range(40)]}})
+    assert X.extract_json(page(spark, many), "/a/b", {"title": "./t"}).count() == 30
+
+
+def test_callback_rule(spark):
+    out = rows(X.extract_callback(page(spark, 'cb([{"t":"a","url":"u1"},{"t":"b"},{broken}])', 'cb({"t":"outer","m":{"t":"inner"}})'), {"title": "./t", "url": "url"}))
+    assert [r[2].get("title") for r in out[:2]] == ["a", "b"] and out[0][2]["url"] == "http://example.org/search/u1"
+    assert out[2][0] == 2 and out[2][3]
+
+
+def test_one_format_in_the_other(spark):
+    text = '{"items":[{"html":"<div><a href=\\"/z\\">Zed</a></div>"},{"html":"<a>Y</a>"}]}'
+    out = rows(X.extract_json_of_html(page(spark, text), "//items", "html", {"title": ".//a", "url": ".//a/@href"}))
+    assert [r[2] for r in out] == [{"title": "Zed", "url": "http://example.org/z"}, {"title": "Y"}]
+    html = "<div class='r' data-x='{\"title\": \"T1\"}'></div><div class='r' data-x=\"{&quot;title&quot;: &quot;T2&quot;}\"></div>"
+    assert [r[2]["title"] for r in rows(X.extract_html_with_json(page(spark, html), "div", "data-x", {"title": "./title"}))] == ["T1", "T2"]
+
+
+def test_pages_by_rule(spark):
+    pages = page(spark, '{"hits":[{"title":"R"}]}', "<r><i><t>X</t></i></r>", "?", "?", "nope").withColumn("rid", F.concat(F.lit("r"), F.col("page_id").cast("string")))
+    rules = [{"rid": "r1"}, {"rid": "r2", "mimetype": "application/xml", "itempath": "//i", "extractors": {"title": "./t"}},
+             {"rid": "r3", "mimetype": "image/png"}, {"rid": "r5"}]
+    out = rows(X.extract_pages(pages, rules))
+    assert [r[2].get("title") for r in out[:2]] == ["R", "X"]
+    assert [(r[0], r[1]) for r in out[2:]] == [(3, 0), (4, 0), (5, 0)] and all(r[3] for r in out[2:])

@@ -307,23 +307,29 @@ SELECT CASE WHEN take_new THEN n_id ELSE o_id END AS id,
 FROM k"""
 
 
-def rate_limit_sql(src: str, rate: float) -> str:
+def rate_limit_sql(src: str, rate: float | str) -> str:
     """ST2 by a recursive walk over each resource's requests in time order.
 
-    ``src`` yields (req_id, rid, ts)."""
+    ``src`` yields (req_id, rid, ts); ``rate`` is a number or an expression over rid."""
     return f"""
-rq AS (SELECT req_id, rid, ts, epoch_us(ts) // 1000 AS ms,
+rq AS (SELECT req_id, rid, ts, epoch_us(ts) // 1000 AS ms, CAST({rate} AS DOUBLE) AS rate,
               row_number() OVER (PARTITION BY rid ORDER BY ts, req_id) AS n FROM ({src})),
 walk AS (
   SELECT rid, n, req_id, ts, ms, b > 1 AS accepted, CASE WHEN b > 1 THEN b - 1 ELSE b END AS allowance
-  FROM (SELECT *, least(CAST({rate} AS DOUBLE), CAST(500 AS DOUBLE)) AS b FROM rq WHERE n = 1)
+  FROM (SELECT *, least(rate, CAST(500 AS DOUBLE)) AS b FROM rq WHERE n = 1)
   UNION ALL
   SELECT rid, n, req_id, ts, ms, b > 1, CASE WHEN b > 1 THEN b - 1 ELSE b END
   FROM (SELECT r.rid, r.n, r.req_id, r.ts, r.ms,
-               least(CAST({rate} AS DOUBLE), w.allowance + (CAST(r.ms - w.ms AS DOUBLE) / CAST(86400000 AS DOUBLE)) * CAST({rate} AS DOUBLE)) AS b
+               least(r.rate, w.allowance + (CAST(r.ms - w.ms AS DOUBLE) / CAST(86400000 AS DOUBLE)) * r.rate) AS b
         FROM walk w JOIN rq r ON r.rid = w.rid AND r.n = w.n + 1))"""
 
 
+RATE_LIMIT_PER_RESOURCE = "WITH RECURSIVE " + rate_limit_sql(
+    "SELECT event_id AS req_id, 'u' || CAST(user_id AS VARCHAR) AS rid, ts FROM events",
+    "CASE WHEN CAST(substr(rid, 2) AS BIGINT) % 5 = 0 THEN 400 WHEN CAST(substr(rid, 2) AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END"
+) + """
+SELECT req_id, rid, ts, floor(allowance * CAST(1000000 AS DOUBLE)) / CAST(1000000 AS DOUBLE) AS allowance, accepted FROM walk"""
+
 RATE_LIMIT = "WITH RECURSIVE " + rate_limit_sql(
     "SELECT event_id AS req_id, 'u' || CAST(user_id AS VARCHAR) AS rid, ts FROM events", 2.0
 ) + """

@@ -248,6 +248,20 @@ def q_rate_limit_stream(spark, sf_dir):
     return spark.read.parquet(path).select("req_id", "rid", "ts", f6("allowance"), "accepted")
 
 
+def _per_resource(log):
+    """Rates by resource: 400 a day for every fifth user (the start allowance is
+    above it), 1 for the others but every third (2)."""
+    user = F.substring("rid", 2, 20).cast("long")
+    rate = F.when(user % 5 == 0, F.lit(400)).when(user % 3 == 0, F.lit(2)).otherwise(F.lit(1))
+    return log.withColumn("rate", rate)
+
+
+def q_rate_limit_per_resource(spark, sf_dir):
+    """ST2 with each resource's own rate."""
+    log = TB.request_log(spark, sf_dir).select(F.col("event_id").alias("req_id"), "rid", "ts")
+    return RL.rate_limit(_per_resource(log)).select("req_id", "rid", "ts", f6("allowance"), "accepted")
+
+
 def q_upsert_hits(spark, sf_dir):
     """M3 + M1: re-judged documents (those with labels) overwrite their hits."""
     base = TB.hits(spark, sf_dir).select("hit_id", "rid", "url", "title", "type", F.lit(0).alias("seq"))
@@ -461,6 +475,7 @@ QUERIES: dict[str, Query] = {
     "ingest_stream": q_ingest_stream,
     "health_stream": q_health_stream,
     "rate_limit_stream": q_rate_limit_stream,
+    "rate_limit_per_resource": q_rate_limit_per_resource,
     "upsert_hits": q_upsert_hits,
     "valid_resources": q_valid_resources,
     "export_health": q_export_health,
@@ -512,6 +527,7 @@ ORACLE: dict[str, str] = {
     "ingest_stream": O.INGEST,
     "health_stream": O.RESOURCE_HEALTH,
     "rate_limit_stream": O.RATE_LIMIT,
+    "rate_limit_per_resource": O.RATE_LIMIT_PER_RESOURCE,
     "upsert_hits": O.UPSERT_HITS,
     "valid_resources": O.VALID_RESOURCES,
     "export_health": O.EXPORT_HEALTH,

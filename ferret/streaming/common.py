@@ -2,13 +2,15 @@
 
 Every stream keeps its checkpoint and output under the shared folder named by
 ``spark.checkpoint.dir`` (a folder all executors reach on a cluster), one
-fresh sub-folder per job, so a restarted job resumes from its own checkpoint.
+sub-folder per job: a fresh one, or the ``base`` that an earlier run returned
+with :func:`job_dir`, from which a restarted job resumes.
 
 Tables written by streams are append-only logs of micro-batch outputs,
 partitioned by ``batch_id``; a batch rewritten after a failure replaces its
 own partition only (``partitionOverwriteMode=dynamic``), which makes every
-``foreachBatch`` idempotent.  Readers fold the log with a grouped ``max_by``
-on ``batch_id`` (last writer wins).
+``foreachBatch`` idempotent.  Readers take the last row per key in the order
+(batch, row hash), which Spark limits to one row per key and task before the
+shuffle; :func:`compact` writes that view as a log of one batch.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferret.operators.catalog import last_row
 from ferret.session import checkpoint_dir
 
 
@@ -37,14 +40,14 @@ def write_batch(df: DataFrame, batch_id: int, path: str) -> None:
 
 
 def latest(log: DataFrame, key: list[str]) -> DataFrame:
-    """Fold an append-only batch log: the last batch's row per key."""
-    cols = [c for c in log.columns if c not in key]
-    return log.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_v")).select(*key, "_v.*")
+    """Fold an append-only batch log: the last batch's row per key (see
+    :func:`ferret.operators.catalog.last_row` for two rows of one batch)."""
+    return last_row(log, key, ["batch_id"])
 
 
-def ensure_state_store(spark: SparkSession) -> None:
-    """Stateful processors need the RocksDB state store provider."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    want = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    if spark.conf.get(key, "") != want:
-        spark.conf.set(key, want)
+def compact(spark: SparkSession, path: str, key: list[str], into: str) -> None:
+    """Write the folded log as one batch (the last one) under ``into``."""
+    log = spark.read.parquet(path)
+    last = log.agg(F.max("batch_id")).first()[0]
+    if last is not None:
+        write_batch(latest(log, key).drop("batch_id"), last, into)

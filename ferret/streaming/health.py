@@ -22,9 +22,13 @@ def health_stream(
     schema,
     to_log: Callable[[DataFrame], DataFrame],
     files_per_trigger: int = 16,
+    base: str | None = None,
 ) -> str:
-    """Run until the source is drained; returns the path of the health log."""
-    base = job_dir(spark, "health")
+    """Run until the source is drained; returns the path of the health log.
+
+    Pass the ``base`` of an earlier run to resume it with its counters.
+    """
+    base = base or job_dir(spark, "health")
     out = f"{base}/health"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_path)
     q = (

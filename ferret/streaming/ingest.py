@@ -3,7 +3,8 @@
 ``ingest_stream`` reads new files of a page source with a size-bounded trigger
 (``maxFilesPerTrigger`` plays the role of the reference's queue flush point),
 turns them into hits (S2/M1 via ``to_hits``) and writes each micro-batch to
-the hit log (``foreachBatch``, idempotent per batch).  Nothing is ever dropped:
+the hit log (``foreachBatch``, idempotent per batch) and, if asked, into a
+stored index (R2).  Nothing is ever dropped:
 a full queue in the reference loses pages, a backlog here just waits.
 
 ``hits_view`` is the current hit table: the log folded by hit id with the last
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferret.operators import catalog as CAT
+from ferret.operators import index as IX
+from ferret.operators.catalog import last_row
 from ferret.streaming.common import job_dir, latest, write_batch
 
 
@@ -30,18 +33,32 @@ def ingest_stream(
     files_per_trigger: int = 16,
     name: str = "ingest",
     base: str | None = None,
+    index: str | None = None,
 ) -> str:
     """Run the ingest stream until the source is drained; returns the hit-log path.
 
     Pass the ``base`` of an earlier run to resume it: the checkpoint skips the
-    files already ingested, so only new pages are read.
+    files already ingested, so only new pages are read.  ``index``: a folder in
+    which batch n keeps the index of all batches up to n under ``v<n>``; a batch
+    that is run again rewrites its own version (see :func:`current_index`).
     """
     base = base or job_dir(spark, name)
     log_path = f"{base}/hits"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_path)
+
+    def take(df: DataFrame, bid: int) -> None:
+        write_batch(df, bid, log_path)
+        if index is not None:
+            hits = last_row(spark.read.parquet(log_path).filter(F.col("batch_id") == bid).drop("batch_id"), ["hit_id"], [])
+            before = current_index(spark, index, bid)
+            if before is None:
+                IX.write_index(IX.build_index(hits), f"{index}/v{bid}")
+            else:
+                IX.update_index(before, hits, f"{index}/v{bid}")
+
     q = (
         to_hits(stream)
-        .writeStream.foreachBatch(lambda df, bid: write_batch(df, bid, log_path))
+        .writeStream.foreachBatch(take)
         .option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True)
         .start()
@@ -50,6 +67,19 @@ def ingest_stream(
     return log_path
 
 
+def current_index(spark: SparkSession, index: str, before: int | None = None) -> IX.StoredIndex | None:
+    """The newest version of a stream's index (older than batch ``before``), or none."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(index)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    versions = [int(f.getPath().getName()[1:]) for f in fs.listStatus(path)
+                if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "n/_SUCCESS"))]
+    versions = [v for v in versions if before is None or v < before]
+    return IX.read_index(spark, f"{index}/v{max(versions)}") if versions else None
+
+
 def hits_view(spark: SparkSession, log_path: str) -> DataFrame:
     """ST4: one row per hit id, from the last batch that wrote it."""
     return latest(spark.read.parquet(log_path), ["hit_id"]).drop("batch_id")

@@ -5,13 +5,12 @@ request adds ``elapsed_ms / 86,400,000 * rate``, capped at ``rate``; above 1 it
 is accepted and costs 1, otherwise rejected.
 
 The rule is a strict sequence per resource, so it cannot be split into
-independent pieces.  Batch: requests are hash-partitioned by resource and
-sorted by time inside each partition; ``mapInPandas`` then walks each
-partition's Arrow batches in order and carries the state across batches.  A
-resource with a third of all requests is streamed through, never gathered
-into one in-memory group.  Stream: ``transformWithStateInPandas`` keeps the
-same two numbers in the state store, so the fold continues across
-micro-batches and survives restarts through the checkpoint.
+independent pieces.  Requests are hash-partitioned by resource and sorted by
+time inside each partition; ``mapInPandas`` walks each partition's Arrow
+batches in order and carries the state across batches.  A resource with a third
+of all requests is streamed through, never gathered into one group.  The stream
+runs the same fold on each micro-batch, starting from the state table that the
+batch before it wrote.
 """
 
 from __future__ import annotations
@@ -23,12 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the reference's limiter.
+# Fixed values of the limiter.
 DAY_MS = 86_400_000
 START_ALLOWANCE = 500.0
 DEFAULT_RATE = 1000
 
-OUT_SCHEMA = "req_id long, rid string, ts timestamp, allowance double, accepted boolean"
+OUT_SCHEMA = "req_id long, rid string, ts timestamp, ms long, allowance double, accepted boolean"
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,104 +39,88 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rid = pdf["rid"].to_numpy()
         ms = pdf["ms"].to_numpy(dtype=np.int64)
         rate = pdf["rate"].to_numpy(dtype=np.float64)
+        # state before the first request: nan for a resource not seen before
+        start = pdf["start"].to_numpy(dtype=np.float64)
+        since = pdf["since"].to_numpy(dtype=np.float64)
         out_a = np.empty(n, dtype=np.float64)
         out_ok = np.empty(n, dtype=bool)
         for i in range(n):
             if rid[i] != cur:
-                cur, allowance, last = rid[i], START_ALLOWANCE, ms[i]
+                cur = rid[i]
+                allowance, last = (START_ALLOWANCE, ms[i]) if np.isnan(start[i]) else (start[i], int(since[i]))
             allowance += ((ms[i] - last) / DAY_MS) * rate[i]
             last = ms[i]
             if allowance > rate[i]:
                 allowance = rate[i]
-            if allowance > 1:
+            out_ok[i] = allowance > 1
+            if out_ok[i]:
                 allowance -= 1
-                out_ok[i] = True
-            else:
-                out_ok[i] = False
             out_a[i] = allowance
         yield pd.DataFrame({
-            "req_id": pdf["req_id"], "rid": pdf["rid"], "ts": pdf["ts"], "allowance": out_a, "accepted": out_ok,
+            "req_id": pdf["req_id"], "rid": pdf["rid"], "ts": pdf["ts"], "ms": ms, "allowance": out_a, "accepted": out_ok,
         })
 
 
-def rate_limit(requests: DataFrame, rate=DEFAULT_RATE, partitions: int | None = None) -> DataFrame:
+def _requests(requests: DataFrame, rate) -> DataFrame:
+    r = requests if "rate" in requests.columns else requests.withColumn("rate", F.lit(rate))
+    return r.select("req_id", "rid", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("rate").cast("double").alias("rate"))
+
+
+def _run(requests: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Verdicts of requests (:func:`_requests`) from ``state`` (rid, allowance, last_ms)."""
+    if state is None:
+        r = requests.withColumn("start", F.lit(None).cast("double")).withColumn("since", F.lit(None).cast("double"))
+    else:
+        s = state.select("rid", F.col("allowance").alias("start"), F.col("last_ms").cast("double").alias("since"))
+        r = requests.join(s, "rid", "left")
+    return r.repartition("rid").sortWithinPartitions("rid", "ts", "req_id").mapInPandas(_fold, OUT_SCHEMA)
+
+
+def rate_limit(requests: DataFrame, rate=DEFAULT_RATE) -> DataFrame:
     """ST2 (batch): (req_id, rid, ts, allowance, accepted) for every request.
 
     ``requests``: (req_id, rid, ts[, rate]).  Time order within a resource is
     (ts, req_id).  Elapsed time is counted in whole milliseconds.
     """
-    r = requests
-    if "rate" not in r.columns:
-        r = r.withColumn("rate", F.lit(rate))
-    r = r.select("req_id", "rid", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("rate").cast("double").alias("rate"))
-    n = partitions or r.sparkSession.sparkContext.defaultParallelism
-    ordered = r.repartition(n, "rid").sortWithinPartitions("rid", "ts", "req_id")
-    return ordered.mapInPandas(_fold, OUT_SCHEMA)
+    return _run(_requests(requests, rate), None).drop("ms")
 
 
-# --- stream: the same fold with the state kept in the state store ----------
+def bucket_state(verdicts: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(rid, allowance, last_ms) after the last request of each resource in
+    ``verdicts``; resources without one keep their state ``before``."""
+    last = verdicts.groupBy("rid").agg(F.max(F.struct("ts", "req_id", "allowance", "ms")).alias("s"))
+    new = last.select("rid", F.col("s.allowance").alias("allowance"), F.col("s.ms").alias("last_ms"))
+    return new if before is None else new.unionByName(before.select("rid", "allowance", "last_ms").join(new, "rid", "left_anti"))
 
-try:
-    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-except ImportError:  # pragma: no cover - older Spark
-    StatefulProcessor = object  # type: ignore[misc,assignment]
-    StatefulProcessorHandle = object  # type: ignore[misc,assignment]
 
+def rate_limit_stream(spark, source_path: str, schema, to_requests, rate=DEFAULT_RATE, files_per_trigger: int = 16,
+                      base: str | None = None) -> str:
+    """ST2 (stream): run the token bucket over a request stream until drained;
+    returns the path of the verdict log.
 
-class TokenBucket(StatefulProcessor):
-    """ST2 per resource: state (allowance, last_ms); rows of a micro-batch are
-    taken in (ts, req_id) order, batches in arrival order."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "allowance double, last_ms long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "req_id"], kind="stable")
-        if self.state.exists():
-            allowance, last = self.state.get()
-        else:
-            allowance, last = START_ALLOWANCE, int(pdf["ms"].iloc[0])
-        ms = pdf["ms"].to_numpy(dtype=np.int64)
-        rate = pdf["rate"].to_numpy(dtype=np.float64)
-        out_a = np.empty(len(pdf))
-        out_ok = np.empty(len(pdf), dtype=bool)
-        for i in range(len(pdf)):
-            allowance += ((ms[i] - last) / DAY_MS) * rate[i]
-            last = int(ms[i])
-            if allowance > rate[i]:
-                allowance = rate[i]
-            out_ok[i] = allowance > 1
-            if out_ok[i]:
-                allowance -= 1
-            out_a[i] = allowance
-        self.state.update((float(allowance), int(last)))
-        yield pd.DataFrame({
-            "req_id": pdf["req_id"].to_numpy(), "rid": pdf["rid"].to_numpy(), "ts": pdf["ts"].to_numpy(),
-            "allowance": out_a, "accepted": out_ok,
-        })
+    Pass the ``base`` of an earlier run to resume it: every bucket goes on from
+    the state table of its last batch.  Micro-batches are taken in arrival
+    order, requests of one batch in (ts, req_id) order; a batch that is run
+    again reads the same state and rewrites its own verdicts and state.
+    """
+    from ferret.streaming.common import job_dir, write_batch
 
-    def close(self) -> None:
-        pass
+    base = base or job_dir(spark, "rate-limit")
+    out, state_path = f"{base}/verdicts", f"{base}/state"
 
+    def take(df: DataFrame, bid: int) -> None:
+        spark_ = df.sparkSession
+        before = None
+        if bid > 0:
+            state = spark_.read.schema("rid string, allowance double, last_ms long, batch_id long").parquet(state_path)
+            before = state.filter(F.col("batch_id") == bid - 1)
+        write_batch(_run(_requests(to_requests(df), rate), before), bid, out)
+        done = spark_.read.schema(OUT_SCHEMA + ", batch_id long").parquet(out).filter(F.col("batch_id") == bid)
+        write_batch(bucket_state(done, before), bid, state_path)
 
-def rate_limit_stream(spark, source_path: str, schema, to_requests, rate=DEFAULT_RATE, files_per_trigger: int = 16) -> str:
-    """ST2 (stream): run the token bucket over a request stream until drained;
-    returns the path of the verdict log."""
-    from ferret.streaming.common import ensure_state_store, job_dir, write_batch
-
-    ensure_state_store(spark)
-    base = job_dir(spark, "rate-limit")
-    out = f"{base}/verdicts"
-    s = to_requests(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_path))
-    if "rate" not in s.columns:
-        s = s.withColumn("rate", F.lit(rate))
-    s = s.select("req_id", "rid", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
-                 F.col("rate").cast("double").alias("rate"))
-    verdicts = s.groupBy("rid").transformWithStateInPandas(
-        statefulProcessor=TokenBucket(), outputStructType=OUT_SCHEMA, outputMode="Append", timeMode="None"
-    )
     q = (
-        verdicts.writeStream.foreachBatch(lambda df, bid: write_batch(df, bid, out))
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_path)
+        .writeStream.foreachBatch(take)
         .option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True)
         .start()

@@ -1,7 +1,14 @@
-"""Ingest stream: a restarted job resumes from its checkpoint and the hit view
-keeps the last writer per hit id."""
+"""Streams: restarted jobs resume from their checkpoints, the hit view keeps the
+last writer per hit id, and a stream's index equals one built at once."""
 
+import datetime as dt
 
+from pyspark.sql import functions as F
+
+from ferret.operators import index as IX
+from ferret.operators import search as S
+from ferret.streaming import common as C
+from ferret.streaming import health as SH
 from ferret.streaming import ingest as SI
 
 SCHEMA = "hit_id string, title string"
@@ -20,3 +27,39 @@ def test_ingest_resumes_and_upserts(spark, tmp_path):
     log = spark.read.parquet(path)
     assert log.select("batch_id").distinct().count() == 2  # the second run read only the new file
     assert {r.hit_id: r.title for r in SI.hits_view(spark, path).collect()} == {"a": "A2", "b": "B1", "c": "C1"}
+    C.compact(spark, path, ["hit_id"], f"{base}/compact")
+    assert {r.hit_id: r.title for r in SI.hits_view(spark, f"{base}/compact").collect()} == {"a": "A2", "b": "B1", "c": "C1"}
+
+
+def test_two_rows_of_one_key_in_a_batch_give_one_winner(spark, tmp_path):
+    rows = [("a", f"T{k}", 1) for k in range(20)]
+    views = set()
+    for n in (1, 5):
+        C.write_batch(spark.createDataFrame(rows, "hit_id string, title string, x int").repartition(n), 0, f"{tmp_path}/{n}")
+        views.add(SI.hits_view(spark, f"{tmp_path}/{n}").first().title)
+    assert len(views) == 1
+
+
+def test_ingest_keeps_an_index(spark, tmp_path):
+    cols = "hit_id string, rid string, url string, title string, description string, type string"
+    one = [("r@1", "r", "u1", "Red apples", "grow here", "web"), ("r@2", "r", "u2", "Pears", "green pears", "web")]
+    two = [("r@2", "r", "u2", "Plums", "blue plums", "web"), ("r@3", "r", "u3", "Apples", "more apples", "web")]
+    src, base, index = str(tmp_path / "src"), str(tmp_path / "job"), str(tmp_path / "index")
+    for k, part in enumerate((one, two)):
+        spark.createDataFrame(part, cols).coalesce(1).write.parquet(f"{src}/p{k}")
+        path = SI.ingest_stream(spark, f"{src}/*", spark.read.parquet(f"{src}/p{k}").schema, lambda df: df, base=base, index=index)
+    q = spark.createDataFrame([(1, "apples"), (2, "pears"), (3, "plums")], "qid long, query string")
+    cut = lambda df: sorted((r.qid, r.rank, r.hit_id, round(r.score, 9)) for r in df.collect())
+    got = cut(S.search_stored(q, SI.current_index(spark, index)))
+    assert got == cut(S.search(q, IX.build_index(SI.hits_view(spark, path)))) and {g[0] for g in got} == {1, 3}
+
+
+def test_health_stream_resumes_with_its_counters(spark, tmp_path):
+    src, base = str(tmp_path / "src"), str(tmp_path / "job")
+    cols = "event_id long, rid string, ts timestamp, error boolean, hits int, message string"
+    for k in range(3):
+        t = dt.datetime(2024, 1, 1 + k)
+        spark.createDataFrame([(k, "a", t, k == 1, 1, "m"), (10 + k, "b", t, False, k, None)], cols).coalesce(1).write.parquet(f"{src}/p{k}")
+        path = SH.health_stream(spark, f"{src}/*", spark.read.parquet(f"{src}/p0").schema, lambda df: df, base=base)
+    got = {r.rid: (r.requestsok, r.requestserr) for r in SH.health_view(spark, path).collect()}
+    assert got == {"a": (2, 1), "b": (2, 0)} and SH.health_view(spark, path).filter(F.col("rid") == "a").first().lasterror == dt.datetime(2024, 1, 2)

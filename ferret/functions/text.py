@@ -114,3 +114,12 @@ def json_element_name(c) -> Column:
 def text_overlap(text_tokens: Column, query_terms: Column, weight: float) -> Column:
     """``weight`` times the number of distinct query terms in the text."""
     return F.size(F.array_intersect(text_tokens, query_terms)) * F.lit(weight)
+
+
+def seeded_key(seed: int, *cols) -> Column:
+    """A uniform order key: md5 of the seed and the row's key columns.
+
+    It does not depend on how rows are partitioned, so a retried task and any
+    other engine give the same order.
+    """
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_c(c).cast("string") for c in cols]))

@@ -89,13 +89,17 @@ def fill_template(template, query, page, params) -> tuple[Column, Column]:
     return F.when(~bad, x), err
 
 
-def resource_url(apitemplate, own_id, rid) -> Column:
-    """replace the last occurrence of ``own_id`` by the encoded ``rid``."""
+def resource_url(apitemplate, own_id, rid) -> tuple[Column, Column]:
+    """(url, error) of another resource's description: the last occurrence
+    of ``own_id`` in the template becomes the encoded ``rid``, and the template
+    is filled with an empty query (F9); no occurrence is an error."""
     t, me, r = _c(apitemplate), _c(own_id), _c(rid)
     back = F.position(F.reverse(me), F.reverse(t))  # 1-based in the reversed text; 0 = absent
     pos = F.length(t) - back - F.length(me) + 2  # 1-based start of the last match
     out = F.concat(F.substring(t, F.lit(1), pos - 1), form_encode(r), F.substring(t, pos + F.length(me), F.lit(1 << 30)))
-    return F.when(back > 0, out)
+    none = F.lit(None).cast("map<string,string>")
+    url, error = fill_template(out, F.lit(""), F.lit(None).cast("int"), none)
+    return F.when(back > 0, url), F.when(F.coalesce(back, F.lit(0)) > 0, error).otherwise(F.lit("Own id is not in the template"))
 
 
 def redact(message, params) -> Column:

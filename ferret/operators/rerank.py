@@ -23,15 +23,6 @@ RANDOM_BONUS_COUNT = 10
 MIN_SCORE = 0.001
 
 
-def random_key(seed: int, *cols) -> Column:
-    """A reproducible uniform order (hash of seed and row key).
-
-    Unlike ``rand()``, the key does not depend on how rows are partitioned, so
-    a retried task produces the same order.
-    """
-    return F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])
-
-
 def _with_terms(results: DataFrame, queries: DataFrame) -> DataFrame:
     q = queries.select("qid", F.array_distinct(T.tokenize("query")).alias("qterms"))
     return results.join(q, "qid", "left").withColumn("qterms", F.coalesce("qterms", F.array().cast("array<string>")))
@@ -88,11 +79,11 @@ def rerank(results: DataFrame, queries: DataFrame, model: str | None, seed: int
     to be small.
     """
     if model == "random":
-        return results.withColumn("shuffle_key", random_key(seed, "qid", "pos"))
+        return results.withColumn("shuffle_key", T.seeded_key(seed, "qid", "pos"))
     if model == "anyresult":
         return any_match(results, queries).filter("any_match").drop("any_match")
     if model == "bestrandom":
-        results = results.withColumn("shuffle_key", random_key(seed, "qid", "pos"))
+        results = results.withColumn("shuffle_key", T.seeded_key(seed, "qid", "pos"))
         return _general(results, queries, [F.col("shuffle_key"), F.col("pos")])
     return _general(results, queries, None)
 

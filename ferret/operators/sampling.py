@@ -12,17 +12,13 @@ from pyspark.sql import functions as F
 from ferret.functions import text as T
 
 
-def _key(seed: int, *cols):
-    return F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])
-
-
 def sample_resource(resources: DataFrame, seed: int, mother: str | None = None) -> DataFrame:
     """One live resource chosen uniformly (mother when none is live).
 
     A global minimum of a hash key: partial per task, one row shuffled each.
     """
     live = resources.filter(~F.coalesce("deleted", F.lit(False)))
-    pick = live.agg(F.min_by("id", _key(seed, "id")).alias("id"))
+    pick = live.agg(F.min_by("id", T.seeded_key(seed, "id")).alias("id"))
     if mother is not None:
         pick = pick.select(F.coalesce("id", F.lit(mother)).alias("id"))
     return pick
@@ -37,12 +33,13 @@ def next_probe(hits: DataFrame, last_query: DataFrame, seed: int) -> DataFrame:
     null when there is none.
     """
     pick = hits.groupBy("rid").agg(
-        F.min_by(T.title_description("title", "description"), _key(seed, "hit_id")).alias("text")
+        F.min_by(T.title_description("title", "description"), T.seeded_key(seed, "hit_id")).alias("text")
     )
     j = pick.join(last_query.select("rid", F.col("query").alias("last")), "rid", "left")
     toks = F.filter(F.split(F.lower("text"), T.SIMPLE_SPLIT), lambda t: (t != F.lit("")) & (t != F.coalesce(F.col("last"), F.lit(""))))
     n = F.size(toks)
-    start = F.pmod(_key(seed, "rid"), F.greatest(n, F.lit(1)).cast("long"))
+    draw = F.conv(F.substring(T.seeded_key(seed, "rid"), 1, 8), 16, 10).cast("long")
+    start = F.pmod(draw, F.greatest(n, F.lit(1)).cast("long"))
     return j.select("rid", F.when(n > 0, F.element_at(toks, (start + 1).cast("int"))).alias("query"))
 
 

@@ -191,6 +191,22 @@ SELECT qid, pos, hit_id, round(score, 6) AS score FROM sc WHERE score > 0.001"""
 RERANK_ANYRESULT = with_(CONV) + """
 SELECT qid, pos, hit_id FROM sc WHERE qid IN (SELECT qid FROM sc WHERE hit)"""
 
+RERANK_RANDOM = with_(CONV) + """
+SELECT qid, pos, hit_id, md5('42|' || CAST(qid AS VARCHAR) || '|' || CAST(pos AS VARCHAR)) AS shuffle_key FROM conv"""
+
+RERANK_BESTRANDOM = with_(CONV) + """,
+k AS (SELECT *, md5('42|' || CAST(qid AS VARCHAR) || '|' || CAST(pos AS VARCHAR)) AS shuffle_key FROM sc),
+b AS (SELECT *, score + CASE WHEN row_number() OVER (PARTITION BY qid ORDER BY shuffle_key, pos) <= 10 THEN CAST(0.01 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS s FROM k)
+SELECT qid, pos, hit_id, round(s, 6) AS score, shuffle_key FROM b WHERE s > 0.001"""
+
+SAMPLE_RESOURCE = with_(RESOURCES) + """
+SELECT arg_min(id, md5('42|' || id)) AS id FROM cat WHERE NOT deleted"""
+
+NEXT_PROBE = with_(HITS) + f""",
+pick AS (SELECT rid, arg_min(title || ' ' || description, md5('42|' || hit_id)) AS t FROM h GROUP BY rid),
+k AS (SELECT rid, list_filter({f1_tokens('t')}, lambda x: x <> 'the') AS ws FROM pick)
+SELECT rid, ws[CAST('0x' || substr(md5('42|' || rid), 1, 8) AS BIGINT) % greatest(len(ws), 1) + 1] AS query FROM k"""
+
 LOG = """
 log AS (
   SELECT event_id, 'u' || CAST(user_id AS VARCHAR) AS rid, ts, event_type = 'error' AS error,
@@ -620,3 +636,17 @@ SELECT page_id, pos, title, CASE WHEN pos = 1 THEN '/c/' || CAST(page_id AS VARC
 UNION ALL SELECT page_id, pos, title, url, error FROM b UNION ALL SELECT page_id, pos, title, url, error FROM c
 UNION ALL SELECT c_custkey, 0, NULL, NULL, CASE c_custkey % 5 WHEN 3 THEN 'MIME Type not supported: image/png' ELSE 'No rule for this resource' END
 FROM customer WHERE c_custkey % 5 >= 3"""
+
+
+URL_FUNCTIONS = f"""
+WITH a AS (SELECT c_custkey, c_name || [' a&b', '$1', '"q"', 'é/ñ', '{{x}}', ''][c_custkey % 6 + 1] AS odd,
+                  'https://idx.example.org/' || ['idx/idx?q={{q}}', 's?r=idx&k={{key?}}', 'none'][c_custkey % 3 + 1] AS own, c_mktsegment AS seg, c_acctbal
+           FROM customer),
+e AS (SELECT *, {ENC.format(x='odd')} AS enc, regexp_replace(own, '[?].*', '') AS cut FROM a),
+f AS (SELECT *, CASE c_custkey % 3 WHEN 0 THEN 'https://idx.example.org/idx/' || enc || '?q=' WHEN 1 THEN 'https://idx.example.org/s?r=' || enc || '&k='
+                     ELSE 'https://' || enc || '.example.org/none' END AS u FROM e)
+SELECT c_custkey, trim(concat_ws(' ', odd, CASE WHEN c_custkey % 4 > 0 THEN seg END)) AS title_description,
+       CASE WHEN c_custkey % 5 > 0 THEN round(c_acctbal, 6) ELSE 0.0 END AS score, u AS url, CAST(NULL AS VARCHAR) AS error,
+       'No answer for {{key}} at end' AS redacted, cut AS template_key, cut || '?q={{searchTerms}}&page={{startPage?}}' AS normal,
+       md5(odd) AS hash, regexp_replace(odd, '[^A-Z0-9a-z\\-_\\.]', '_', 'g') AS element
+FROM f"""

@@ -262,6 +262,26 @@ def q_rate_limit_per_resource(spark, sf_dir):
     return RL.rate_limit(_per_resource(log)).select("req_id", "rid", "ts", f6("allowance"), "accepted")
 
 
+def q_url_functions(spark, sf_dir):
+    """F7, F8, F11-F15, F21 over the customers' names and segments, with the
+    characters that need care: blanks, quotes, braces, dollars, accents."""
+    from ferret.functions import text as T
+    from ferret.functions import urls as U
+
+    c = table(spark, sf_dir, "customer")
+    odd = F.concat(F.col("c_name"), F.element_at(F.array(*[F.lit(x) for x in (" a&b", "$1", '"q"', "é/ñ", "{x}", "")]), (F.col("c_custkey") % 6 + 1).cast("int")))
+    own = F.concat(F.lit("https://idx.example.org/"), F.element_at(F.array(F.lit("idx/idx?q={q}"), F.lit("s?r=idx&k={key?}"), F.lit("none")), (F.col("c_custkey") % 3 + 1).cast("int")))
+    x = c.select("c_custkey", odd.alias("odd"), own.alias("own"), F.lit("idx").alias("me"), F.col("c_mktsegment").alias("seg"), F.col("c_acctbal").cast("string").alias("bal"))
+    x = x.withColumn("secret", F.create_map(F.lit("key"), F.col("odd")))
+    url, error = U.resource_url("own", "me", "odd")
+    note = F.concat(F.lit("No answer for "), F.col("odd"), F.lit(" at: https://x.example.org/?k=1 end"))
+    return x.select(
+        "c_custkey", T.title_description("odd", F.when(F.col("c_custkey") % 4 > 0, F.col("seg"))).alias("title_description"),
+        F.round(T.score_cast(F.when(F.col("c_custkey") % 5 > 0, F.col("bal")).otherwise(F.col("seg"))), 6).alias("score"),
+        url.alias("url"), error.alias("error"), U.redact(note, F.col("secret")).alias("redacted"), U.template_key("own").alias("template_key"),
+        U.normalize_template(F.regexp_replace("own", "[?].*", ""), "me").alias("normal"), U.hash_key("odd").alias("hash"), T.json_element_name("odd").alias("element"))
+
+
 def q_upsert_hits(spark, sf_dir):
     """M3 + M1: re-judged documents (those with labels) overwrite their hits."""
     base = TB.hits(spark, sf_dir).select("hit_id", "rid", "url", "title", "type", F.lit(0).alias("seq"))
@@ -477,6 +497,7 @@ QUERIES: dict[str, Query] = {
     "rate_limit_stream": q_rate_limit_stream,
     "rate_limit_per_resource": q_rate_limit_per_resource,
     "upsert_hits": q_upsert_hits,
+    "url_functions": q_url_functions,
     "valid_resources": q_valid_resources,
     "export_health": q_export_health,
     "export_catalog_shared": q_export_catalog_shared,
@@ -507,6 +528,10 @@ ORACLE: dict[str, str] = {
     "list_resources": O.list_resources_sql(10, 0),
     "rerank_general": O.RERANK_GENERAL,
     "rerank_anyresult": O.RERANK_ANYRESULT,
+    "rerank_random": O.RERANK_RANDOM,
+    "rerank_bestrandom": O.RERANK_BESTRANDOM,
+    "sample_resource": O.SAMPLE_RESOURCE,
+    "next_probe": O.NEXT_PROBE,
     "resource_health": O.RESOURCE_HEALTH,
     "health_summary": O.HEALTH_SUMMARY,
     "health_summary_mother": O.HEALTH_SUMMARY_MOTHER,
@@ -529,6 +554,7 @@ ORACLE: dict[str, str] = {
     "rate_limit_stream": O.RATE_LIMIT,
     "rate_limit_per_resource": O.RATE_LIMIT_PER_RESOURCE,
     "upsert_hits": O.UPSERT_HITS,
+    "url_functions": O.URL_FUNCTIONS,
     "valid_resources": O.VALID_RESOURCES,
     "export_health": O.EXPORT_HEALTH,
     "export_catalog_shared": O.EXPORT_CATALOG_SHARED,

@@ -48,7 +48,7 @@ def test_redact_never_shows_secret(spark):
 
 def test_resource_url_replaces_last_occurrence_or_fails(spark):
     df = spark.createDataFrame([("http://x/me/search/me?q={searchTerms}", "me"), ("http://x/search", "randomid")], "t string, me string")
-    got = [r[0] for r in df.select(U.resource_url("t", "me", F.lit("new id"))).collect()]
+    got = [r[0] for r in df.select(U.resource_url("t", "me", F.lit("new id"))[0]).collect()]
     assert got == ["http://x/me/search/new+id?q={searchTerms}", None]
 
 

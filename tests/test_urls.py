@@ -48,8 +48,9 @@ def test_redact_never_shows_secret(spark):
 
 def test_resource_url_replaces_last_occurrence_or_fails(spark):
     df = spark.createDataFrame([("http://x/me/search/me?q={searchTerms}", "me"), ("http://x/search", "randomid")], "t string, me string")
-    got = [r[0] for r in df.select(U.resource_url("t", "me", F.lit("new id"))[0]).collect()]
-    assert got == ["http://x/me/search/new+id?q={searchTerms}", None]
+    got = [tuple(r) for r in df.select(*U.resource_url("t", "me", F.lit("new id"))).collect()]
+    # filled with an empty query; a template without the own id is an error
+    assert got[0] == ("http://x/me/search/new+id?q=", None) and got[1][0] is None and got[1][1]
 
 
 def test_encode_query_modes(spark):

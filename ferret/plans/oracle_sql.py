@@ -6,7 +6,7 @@ Shared pieces are composed as CTE text.  Patterns are RE2-compatible.
 from __future__ import annotations
 
 from ferret.functions.text import STOP_WORDS
-from ferret.operators.catalog import DEFAULT_MIMETYPE
+from ferret.operators.catalog import DEFAULT_MIMETYPE, DEFAULT_TESTQUERY
 
 WORD = r"[\p{L}\p{N}_]+(?:['.][\p{L}\p{N}_]+)*".replace("'", "''")
 STOP_LIST = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -650,3 +650,45 @@ SELECT c_custkey, trim(concat_ws(' ', odd, CASE WHEN c_custkey % 4 > 0 THEN seg
        'No answer for {{key}} at end' AS redacted, cut AS template_key, cut || '?q={{searchTerms}}&page={{startPage?}}' AS normal,
        md5(odd) AS hash, regexp_replace(odd, '[^A-Z0-9a-z\\-_\\.]', '_', 'g') AS element
 FROM f"""
+
+CONTAINS_ID = with_(CATALOG) + """,
+ids AS (SELECT DISTINCT 's' || CAST(user_id AS VARCHAR) AS id FROM events)
+SELECT ids.id, old.id IS NOT NULL AS known, old.name FROM ids LEFT JOIN old ON old.id = ids.id"""
+
+CHECK_IDS = with_(CATALOG) + """
+SELECT id, 'reserved id' AS problem FROM upd WHERE id IN ('c1', 's2')
+UNION ALL SELECT id, 'server id already exists' FROM old WHERE id = 's2'"""
+
+TOMBSTONES = with_(CATALOG) + """,
+x AS (SELECT old.*, old.id IN (SELECT id FROM upd WHERE deleted) AS gone FROM old)
+SELECT id, CASE WHEN gone THEN true END AS deleted, CASE WHEN NOT gone THEN name END AS name,
+       CASE WHEN NOT gone THEN apitemplate END AS apitemplate FROM x"""
+
+UPDATE_ALLOWANCE = with_(CATALOG) + """,
+u AS (SELECT 's' || CAST(user_id AS VARCHAR) AS id, CAST(count(*) AS INTEGER) AS n FROM events GROUP BY 1)
+SELECT old.id, name, coalesce(u.n, 7) AS dayallowance FROM old LEFT JOIN u ON u.id = old.id"""
+
+STRIP_PROVENANCE = with_(HITS) + """
+SELECT doc_id, CASE WHEN type = 'en' THEN rid ELSE 'me' END AS rid, CASE WHEN type = 'en' THEN type END AS query, '2024-02-01' AS foundBefore FROM h"""
+
+NOT_YET_SEEN = """
+SELECT 'u' || CAST(c_custkey AS VARCHAR) AS rid FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)"""
+
+CACHED_RESULTS = with_(LOG) + """,
+first AS (SELECT query, rid, arg_min(event_id, (ts, event_id)) AS page_id FROM log GROUP BY query, rid)
+SELECT log.event_id AS req_id, 1 AS pos,
+       '{' || CASE WHEN p.message IS NULL THEN '' ELSE '"title":' || CAST(to_json(p.message) AS VARCHAR) || ',' END || '"score":' || CAST(p.hits AS VARCHAR) || '}' AS hit
+FROM log JOIN first USING (query, rid) JOIN log p ON p.event_id = first.page_id"""
+
+LOCAL_PROJECTION = with_(CATALOG) + f"""
+SELECT id, name, CAST(NULL AS VARCHAR) AS banner, CAST(NULL AS VARCHAR) AS favicon, 'https://www.example.org/suggest' AS suggesttemplate,
+       '{DEFAULT_TESTQUERY}' AS testquery, '{DEFAULT_MIMETYPE}' AS mimetype FROM old"""
+
+WITH_DEFAULT_HIT = with_(HITS) + """
+SELECT hit_id, title, url, type FROM h
+UNION ALL SELECT '@https://start.example.org', 'Welcome', 'https://start.example.org', 'web'"""
+
+EXPORT_HITS = with_(HITS) + """
+SELECT '{"hit_id":' || CAST(to_json(hit_id) AS VARCHAR) || ',"rid":' || CAST(to_json(rid) AS VARCHAR) || ',"type":' || CAST(to_json(type) AS VARCHAR) || '}' AS value FROM h"""
+
+SAVED_CATALOG = f"SELECT id, name, type, prior, deleted, lastupdated FROM ({MERGE_RESOURCES})"

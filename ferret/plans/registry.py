@@ -282,6 +282,89 @@ def q_url_functions(spark, sf_dir):
         U.normalize_template(F.regexp_replace("own", "[?].*", ""), "me").alias("normal"), U.hash_key("odd").alias("hash"), T.json_element_name("odd").alias("element"))
 
 
+def q_contains_id(spark, sf_dir):
+    """Which requested ids the catalogue holds, and the names of those it does."""
+    ids = TB.requests_from_events(spark, sf_dir).select(F.col("rid").alias("id")).distinct()
+    cat = TB.catalog_base(spark, sf_dir)
+    found = CAT.get_by_id(cat, ids).select("id", "name")
+    return CAT.contains_id(ids, cat).join(found, "id", "left")
+
+
+def q_check_ids(spark, sf_dir):
+    """M6: the change batch against two reserved ids; the server's own is in the catalogue."""
+    return CAT.check_ids(TB.catalog_updates(spark, sf_dir), TB.catalog_base(spark, sf_dir), "c1", "s2")
+
+
+def q_tombstones(spark, sf_dir):
+    """M7 through M4 and S8: suppliers that the change batch drops become
+    tombstones; the shared export shows their id only."""
+    gone = TB.catalog_updates(spark, sf_dir).filter("deleted").select("id")
+    cat = CAT.merge_resources(TB.catalog_base(spark, sf_dir), CAT.tombstone(gone), TB.now_col())
+    return EX.catalog_shared(cat).select("id", "deleted", "name", "apitemplate")
+
+
+def q_update_allowance(spark, sf_dir):
+    """M9: allowances counted from the requests, copied into the catalogue."""
+    used = TB.requests_from_events(spark, sf_dir).groupBy(F.col("rid").alias("id")).agg(F.count("*").cast("int").alias("dayallowance"))
+    cat = TB.catalog_base(spark, sf_dir).withColumn("dayallowance", F.lit(7))
+    return CAT.update_allowance(cat, used).select("id", "name", "dayallowance")
+
+
+def q_strip_provenance(spark, sf_dir):
+    """M2 and M1: hits of untrusted languages lose their source, then all are stamped."""
+    h = TB.hits(spark, sf_dir).select("doc_id", "rid", F.col("type").alias("query"), "type")
+    h = CAT.strip_provenance(h, F.col("type") == "en")
+    return CAT.stamp(h, F.lit("me"), TB.now_col()).select("doc_id", "rid", "query", "foundBefore")
+
+
+def q_not_yet_seen(spark, sf_dir):
+    """Customers that never asked."""
+    seen = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("rid"))
+    return SMP.not_yet_seen(seen, TB.request_log(spark, sf_dir).select("rid").distinct())
+
+
+def q_cached_results(spark, sf_dir):
+    """The first queued answer to each (query, resource), without query and resource."""
+    log = TB.request_log(spark, sf_dir)
+    queue = log.select(F.col("event_id").alias("page_id"), "query", "rid", "ts")
+    pages = log.select(F.col("event_id").alias("page_id"), F.lit(1).alias("pos"),
+                       F.struct(F.col("message").alias("title"), F.col("rid"), F.col("query"), F.col("hits").alias("score")).alias("hit"))
+    reqs = log.select(F.col("event_id").alias("req_id"), "query", "rid")
+    out = RQ.cached_results(reqs, queue, pages)
+    return out.select("req_id", "pos", F.to_json("hit").alias("hit"))
+
+
+def q_local_projection(spark, sf_dir):
+    """S10 with every supplier in turn as the parent."""
+    return EX.local_projection(TB.export_catalog(spark, sf_dir))
+
+
+def q_with_default_hit(spark, sf_dir):
+    """U4: a built-in hit joins the hit table under its own identity."""
+    hit = {"title": "Welcome", "description": "The built-in hit", "url": "https://start.example.org", "type": "web"}
+    return IX.with_default_hit(TB.hits(spark, sf_dir), hit).select("hit_id", "title", "url", "type")
+
+
+def q_export_hits(spark, sf_dir):
+    """Every hit as one JSON line."""
+    return EX.export_hits(TB.hits(spark, sf_dir), ["hit_id", "rid", "type"])
+
+
+def q_saved_catalog(spark, sf_dir):
+    """Two saves, the second of what changed since the first (and of
+    rows at its mark), read back as one catalogue."""
+    from ferret.streaming.common import job_dir
+
+    path = job_dir(spark, "catalog")
+    base = CAT.conform(TB.catalog_base(spark, sf_dir))
+    mark = EX.write_catalog(base, F.to_timestamp(F.lit("1970-01-01 00:00:00")), path).first().since
+    merged = CAT.merge_resources(base, TB.catalog_updates(spark, sf_dir), TB.now_col())
+    for _ in range(2):  # a save made again replaces itself
+        EX.write_catalog(merged, F.lit(mark), path)
+    cat, _ = PG.read_catalog(spark, path)
+    return cat.select("id", "name", "type", r6("prior"), "deleted", "lastupdated")
+
+
 def q_upsert_hits(spark, sf_dir):
     """M3 + M1: re-judged documents (those with labels) overwrite their hits."""
     base = TB.hits(spark, sf_dir).select("hit_id", "rid", "url", "title", "type", F.lit(0).alias("seq"))
@@ -498,6 +581,17 @@ QUERIES: dict[str, Query] = {
     "rate_limit_per_resource": q_rate_limit_per_resource,
     "upsert_hits": q_upsert_hits,
     "url_functions": q_url_functions,
+    "contains_id": q_contains_id,
+    "check_ids": q_check_ids,
+    "tombstones": q_tombstones,
+    "update_allowance": q_update_allowance,
+    "strip_provenance": q_strip_provenance,
+    "not_yet_seen": q_not_yet_seen,
+    "cached_results": q_cached_results,
+    "local_projection": q_local_projection,
+    "with_default_hit": q_with_default_hit,
+    "export_hits": q_export_hits,
+    "saved_catalog": q_saved_catalog,
     "valid_resources": q_valid_resources,
     "export_health": q_export_health,
     "export_catalog_shared": q_export_catalog_shared,
@@ -555,6 +649,17 @@ ORACLE: dict[str, str] = {
     "rate_limit_per_resource": O.RATE_LIMIT_PER_RESOURCE,
     "upsert_hits": O.UPSERT_HITS,
     "url_functions": O.URL_FUNCTIONS,
+    "contains_id": O.CONTAINS_ID,
+    "check_ids": O.CHECK_IDS,
+    "tombstones": O.TOMBSTONES,
+    "update_allowance": O.UPDATE_ALLOWANCE,
+    "strip_provenance": O.STRIP_PROVENANCE,
+    "not_yet_seen": O.NOT_YET_SEEN,
+    "cached_results": O.CACHED_RESULTS,
+    "local_projection": O.LOCAL_PROJECTION,
+    "with_default_hit": O.WITH_DEFAULT_HIT,
+    "export_hits": O.EXPORT_HITS,
+    "saved_catalog": O.SAVED_CATALOG,
     "valid_resources": O.VALID_RESOURCES,
     "export_health": O.EXPORT_HEALTH,
     "export_catalog_shared": O.EXPORT_CATALOG_SHARED,

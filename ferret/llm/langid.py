@@ -214,10 +214,11 @@ def _predict(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     known: dict[str, int] = {}
     scores = np.zeros((0, n + 1))
     for batch in batches:
-        texts = [t.lower().split() for t in batch.column(1).to_pylist()]
+        # words are cut twice, so that only one text's words are held at a time
+        texts = [t.lower() for t in batch.column(1).to_pylist()]
         if len(known) > CACHE_WORDS:
             known, scores = {}, np.zeros((0, n + 1))
-        fresh = [w for t in texts for w in t if w not in known and known.setdefault(w, len(known)) >= 0]
+        fresh = [w for t in texts for w in t.split() if w not in known and known.setdefault(w, len(known)) >= 0]
         runs = [LETTERS.findall(w) for w in fresh]
         of = np.array([k for k, r in enumerate(runs) for _ in r], np.int64)
         new = np.zeros((len(fresh), n + 1))
@@ -228,7 +229,8 @@ def _predict(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         scores = np.concatenate([scores, new])
         langs, best = [], []
         for t in texts:
-            total = scores[[known[w] for w in t]].sum(axis=0) if t else np.zeros(n + 1)
+            at = [known[w] for w in t.split()]
+            total = scores[at].sum(axis=0) if at else np.zeros(n + 1)
             if total[n] == 0 or not n:
                 langs.append(UND)
                 best.append(0.0)

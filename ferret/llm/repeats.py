@@ -189,10 +189,14 @@ def repeated_spans(docs: DataFrame, seed: int, text_col: str = "text") -> DataFr
     texts = docs.select(text_id(text_col, seed).alias("uid"), text_or_empty(text_col).cast("binary").alias("text")).where(F.length("text") >= SIZE)
     # 1. runs: whole equal runs, and anchors that occur once
     runs = stored(texts.mapInArrow(_anchors, schema(uid=LONG, gram=LONG, whole=LONG, ord=INT)), "repeats-runs")
+    # (counts are written before they are joined back: a join of two plain tables
+    # lets Spark split the rows of a very common fingerprint over tasks)
     twice = (runs.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
              .where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")))
+    twice = stored(twice, "repeats-twice")
     some = stored(runs.join(twice, "gram"), "repeats-some")
     same = (some.where("mixed").groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("uid", "ord")).alias("lead")))
+    same = stored(same, "repeats-same")
     mixed = stored(some.where("mixed").join(same, ["gram", "whole"])
                    .select("uid", "ord", (F.col("n") > 1).alias("full"), (F.struct("uid", "ord") == F.col("lead")).alias("lead")).distinct(), "repeats-mixed")
     marks = some.where("not mixed").select("uid", "ord").unionByName(mixed.where("full").select("uid", "ord")).distinct()

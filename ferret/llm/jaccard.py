@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferret.llm.common import BIN, INT, LONG, byte_batches, components, mix64, schema, shipped, stored, table, text_or_empty
+from ferret.llm.common import BIN, DBL, INT, LONG, byte_batches, components, mix64, schema, shipped, stored, table, text_or_empty
 
 SHINGLE = 5
 # Similarity in hundredths: 100 * |A and B| >= SIMILAR * |A or B|.
@@ -32,8 +32,10 @@ SIMILAR = 80
 # Pivot keys per set (independent minima).
 PIVOTS = 3
 # Bits of a bitmap: the next power of two above BITS_PER * size, within bounds.
-BITS_PER, MIN_BITS, MAX_BITS = 8, 64, 8192
+BITS_PER, MIN_BITS, MAX_BITS = 4, 64, 8192
 FAN = 32
+# Groups of at most this many sets are compared pair by pair, without a tree.
+FEW = 16
 CACHE_WORDS = 1_000_000
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -53,10 +55,13 @@ class Shingler:
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([known[w] for w in words], np.uint64)
+        h = list(map(known.get, words))
+        if None in h:
+            for w in set(words):
+                if w not in known:
+                    known[w] = xxhash.xxh3_64_intdigest(w)
+            h = list(map(known.get, words))
+        h = np.array(h, np.uint64)
         if len(h) < self.k:
             # the number of words is part of the hash of a short text
             return mix64((h * self.weights[:len(h)]).sum(dtype=np.uint64, keepdims=True) ^ SEEDS[[0]] * np.uint64(len(h)))
@@ -190,6 +195,64 @@ def dual(x: Tree, y: Tree, similar: int) -> tuple[np.ndarray, np.ndarray, np.nda
             b = kids.ravel()[(kids < len(y.levels[ly][0])).ravel()]
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by key -> tables of whole groups and where their groups begin and end."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        if not len(t):
+            continue
+        key = np.asarray(t["key"].combine_chunks())
+        end = int(np.searchsorted(key, key[-1]))
+        rest = t.slice(end)
+        if end:
+            yield t.slice(0, end), np.concatenate([[0], np.flatnonzero(np.diff(key[:end])) + 1, [end]])
+    if rest is not None and len(rest):
+        yield rest, np.array([0, len(rest)])
+
+
+def _size_pairs(similar: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of small groups -> pairs of sets of different components whose sizes allow the threshold, once per batch."""
+    for t, cuts in _whole_groups(batches):
+        node, n, comp = (t[c].to_pylist() for c in ("node", "n", "comp"))
+        out = set()
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            for i in range(s + 1, e):
+                for j in range(s, i):
+                    low, high = (n[i], n[j]) if n[i] < n[j] else (n[j], n[i])
+                    if comp[i] != comp[j] and node[i] != node[j] and 100 * low >= similar * high:
+                        out.add((node[i], node[j], comp[i], comp[j], n[i], n[j]) if node[i] < node[j] else
+                                (node[j], node[i], comp[j], comp[i], n[j], n[i]))
+        cols = list(zip(*out)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["a", "b", "ca", "cb", "na", "nb"])
+
+
+def largest_overlap(n: int, m: int, x: bytes, y: bytes) -> int:
+    """Most shingles that sets of ``n`` and ``m`` with bitmaps ``x`` and ``y`` can share."""
+    p, q, size, other = int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(x) * 8, len(y) * 8
+    if size > other:
+        p, q, size, other = q, p, other, size
+        n, m = m, n
+    while other > size:
+        other //= 2
+        q = (q & ((1 << other) - 1)) | (q >> other)
+    return (p & q).bit_count() + min(n - p.bit_count(), m - q.bit_count())
+
+
+def _bounds(similar: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with both bitmaps -> those that the bitmaps do not exclude, with the bound on their similarity."""
+    for batch in batches:
+        keep, bound = [], []
+        for k, (na, nb, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")))):
+            most = largest_overlap(na, nb, x, y)
+            if (100 + similar) * most >= similar * (na + nb):
+                keep.append(k)
+                bound.append(most / (na + nb - most))
+        some = batch.select(["a", "b", "ca", "cb"]).take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*some.columns, pa.array(bound, pa.float64())], names=["a", "b", "ca", "cb", "bound"])
+
+
 def _match(node, n, comp, sigs, similar: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs of one group, and whether a pair is the likeliest of its sets towards the other component."""
     order = np.lexsort((comp, n))
@@ -220,33 +283,15 @@ def _match(node, n, comp, sigs, similar: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _groups(similar: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key -> candidate pairs; a group may run over several batches."""
-    rest = None
-    names = ["key", "node", "n", "comp", "sig"]
-
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, node, n, comp = (np.asarray(t[c].combine_chunks()) for c in names[:4])
-        n = n.astype(np.int64)
+    """Rows of large groups, sorted by key -> candidate pairs of the trees."""
+    for t, cuts in _whole_groups(batches):
+        node, n, comp = (np.asarray(t[c].combine_chunks()).astype(np.int64) for c in ("node", "n", "comp"))
         sigs = t["sig"].to_pylist()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
         found = [_match(node[s:e], n[s:e], comp[s:e], sigs[s:e], similar) for s, e in zip(cuts[:-1], cuts[1:]) if e - s > 1]
         if found:
             a, b, best = (np.concatenate(x) for x in zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(best)], names=["a", "b", "best"])
 
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = t if rest is None else pa.concat_tables([rest, t])
-        if not len(t):
-            continue
-        key = np.asarray(t["key"].combine_chunks())
-        end = int(np.searchsorted(key, key[-1]))
-        rest = t.slice(end)
-        if end:
-            yield from pairs(t.slice(0, end))
-    if rest is not None and len(rest):
-        yield from pairs(rest)
-
 
 def links(sets: DataFrame, texts: DataFrame, k: int, similar: int) -> DataFrame:
     """Edges (a, b) that join exactly the documents that any path of links joins."""
@@ -267,13 +312,28 @@ def links(sets: DataFrame, texts: DataFrame, k: int, similar: int) -> DataFrame:
     one = known.join(shipped(copies.select(F.col("a").alias("node"))), "node", "left_anti")
     rows = (one.join(shipped(comp), "node", "left")
             .select("node", F.coalesce("component", "node").alias("comp"), "n", F.explode("prefix").alias("key")))
+    # a set needs a neighbour by size within the threshold, and its key two components
     by = Window.partitionBy("key")
+    size = by.orderBy("n")
+    rows = rows.withColumn("next", F.lead("n").over(size)).withColumn("prev", F.lag("n").over(size))
+    rows = rows.where((100 * F.col("n") >= similar * F.col("next")) | (100 * F.col("prev") >= similar * F.col("n")))
     live = (rows.withColumn("lo", F.min("comp").over(by)).withColumn("hi", F.max("comp").over(by))
             .where("lo <> hi").select("key", "node", "n", "comp"))
-    live = stored(live, "jaccard-live").join(known.select("node", "sig"), "node").select("key", "node", "n", "comp", "sig")
-    pairs = (live.repartition("key").sortWithinPartitions("key")
-             .mapInArrow(partial(_groups, similar), T.StructType([*schema(a=LONG, b=LONG).fields, T.StructField("best", T.BooleanType())]))
-             .groupBy("a", "b").agg(F.max("best").alias("best")))
+    live = stored(live.withColumn("size", F.count("*").over(by)), "jaccard-live")
+    # small groups: pairs by size first, once for all keys they share, then by their bitmaps
+    sigs = known.select("node", "sig")
+    near = (live.where(F.col("size") <= FEW).select("key", "node", "n", "comp").repartition("key").sortWithinPartitions("key")
+            .mapInArrow(partial(_size_pairs, similar), schema(a=LONG, b=LONG, ca=LONG, cb=LONG, na=LONG, nb=LONG)).distinct())
+    near = (near.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("xa")), "a")
+            .join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("xb")), "b")
+            .mapInArrow(partial(_bounds, similar), schema(a=LONG, b=LONG, ca=LONG, cb=LONG, bound=DBL)))
+    first = lambda x, c, y: F.row_number().over(Window.partitionBy(x, c).orderBy(F.desc("bound"), y)) == 1
+    near = near.select("a", "b", (first("a", "cb", "b") & first("b", "ca", "a")).alias("best"))
+    # large groups: a signature tree each
+    wide = live.where(F.col("size") > FEW).join(sigs, "node").select("key", "node", "n", "comp", "sig")
+    wide = (wide.repartition("key").sortWithinPartitions("key")
+            .mapInArrow(partial(_groups, similar), T.StructType([*schema(a=LONG, b=LONG).fields, T.StructField("best", T.BooleanType())])))
+    pairs = near.unionByName(wide).groupBy("a", "b").agg(F.max("best").alias("best"))
     pairs = stored(pairs, "jaccard-pairs")
     # the likeliest pair between two components first: most others are then inside one component
     found = stored(found.unionByName(verify(pairs.where("best").select("a", "b"), texts, k, similar)), "jaccard-found")

@@ -97,3 +97,17 @@ def test_dual_traversal_loses_no_pair():
                 want.add((j, i))
     assert want and want <= got and len(got) < len(sets) ** 2 / 8
     assert best.any()
+    # the bound of a pair is the one of the trees, and never below the truth
+    for i, j in [(3, 6), (0, 9), (30, 100), (12, 140)]:
+        most = jaccard.largest_overlap(int(n[i]), int(n[j]), jaccard.bitmap(sets[i]), jaccard.bitmap(sets[j]))
+        assert most >= len(np.intersect1d(sets[i], sets[j]))
+        fits = 180 * most >= 80 * (n[i] + n[j]) and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j])
+        assert ((min(i, j), max(i, j)) in got) == fits
+
+
+def test_trees_alone_and_pairs_alone(spark, monkeypatch):
+    docs = [d for d in corpus(11) if d[0] is not None][:160]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for few in (1, 10_000):
+        monkeypatch.setattr(jaccard, "FEW", few)
+        assert sorted([tuple(r) for r in jaccard.similar_components(df).collect()], key=str) == brute(docs)

@@ -30,9 +30,9 @@ from tokenizers import Tokenizer
 from ferret.llm.common import BIN, INT, LONG, STR, byte_batches, schema, table, text_or_empty
 
 # Distinct words after which a block is closed: bounds a worker's dictionary.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 200_000
 # Characters after which a block is closed: bounds the texts of one group.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 10_000_000
 # Hash buckets of words: one task holds the distinct words of one bucket.
 BUCKETS = 1024
 

@@ -1,27 +1,39 @@
 """Cross-entropy difference of two matched n-gram models.
 
 A target model (texts wanted) and a background model (all texts) have the same
-vocabulary, order and smoothing.  The tokens are characters: the vocabulary is
-the corpus' most frequent ones and one symbol for all others, so the counts of
-every 4-gram of the whole corpus fit a table of fixed size.  A text's score is
-its mean loss under the target model minus that under the background model.
+vocabulary, order and smoothing.  The tokens are words (runs of letters, runs
+of digits, any other character alone), all words of the corpus, and the models
+count their 3-grams; the counts are Spark tables that grow with the corpus and
+never reach the driver.  Each order is interpolated with the next lower one;
+below single words stands the spelling of the word under a 4-gram model of
+characters, so that a word new to a model has a probability, too.  A text's
+score is its loss under the target model minus that under the background model,
+both over the text's length in characters.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferret.llm.common import DBL, INT, LONG, byte_batches, schema, shipped, stored, table, text_or_empty
+from ferret.llm.common import DBL, INT, LONG, byte_batches, mix64, schema, shipped, stored, table, text_or_empty
 
-# Symbols of the shared vocabulary: 0 is a blank, the last one any other character.
+# The model of spellings.  Symbols: 0 is a blank, the last one any character beyond the most frequent.
 SYMBOLS = 48
 ORDER = 4
+WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+# Number of the place before a text's first word; u of a row that holds a word's spelling.
+START, SPELLING = 0, 1
+# Words whose numbers a task remembers.
+REMEMBERED = 300_000
 # Mass of the lower order in each interpolation (in counts).
 BACKOFF = 5.0
 
@@ -104,49 +116,183 @@ def log_probs(counts: np.ndarray, size: int) -> np.ndarray:
     return np.log(p).ravel().astype(np.float32)
 
 
+class Codes(dict):
+    """Word -> 64-bit number."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = int.from_bytes(blake2b(word.encode("utf-8"), digest_size=8).digest(), "little", signed=True)
+        return code
+
+    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(u, v, w): one 3-gram for each word w of the text."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        words = WORD.findall(text.lower())
+        x = np.full(len(words) + 2, START, np.int64)
+        x[2:] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return x[:-2], x[1:-1], x[2:]
+
+
+def _number(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(mix64(mix64(u.view(np.uint64)) + v.view(np.uint64)) + w.view(np.uint64))
+
+
 @dataclass
-class Model:
+class Spelling:
     vocab: Vocabulary
     target: np.ndarray
     background: np.ndarray
 
+    def of(self, word: str) -> tuple[float, float]:
+        """log p of the word's characters and the blank behind it."""
+        g = self.vocab.grams(word + " ")
+        return float(self.target[g].sum(dtype=np.float64)), float(self.background[g].sum(dtype=np.float64))
+
+
+@dataclass
+class Model:
+    """Counts n (all texts) and t (target texts) of 3-grams, 2-grams, their contexts and words; N and T words in all."""
+
+    spelling: Spelling
+    grams: DataFrame
+    tri: DataFrame
+    bi: DataFrame
+    pairs: DataFrame
+    heads: DataFrame
+    words: DataFrame
+    N: int
+    T: int
+
+
+def word_grams(docs: DataFrame, spelling: Spelling, text_col: str, target_col: str) -> DataFrame:
+    """(u, v, w, n, t, lt, lb): counts of every 3-gram; with u = SPELLING the log probabilities of a word's spelling.
+
+    Every task counts a batch of texts before rows leave it.
+    """
+    spark = docs.sparkSession
+    byte_batches(spark)
+    shared = spark.sparkContext.broadcast(spelling)
+    names = ["u", "v", "w", "n", "t", "lt", "lb"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, spelt = Codes(), {}
+        for batch in batches:
+            parts, wanted = [], []
+            for text, yes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts.append(codes.grams(text))
+                wanted.append(np.full(len(parts[-1][2]), yes, np.int64))
+                if len(codes) > REMEMBERED:
+                    yield from fresh(codes, spelt)
+            yield from fresh(codes, spelt)
+            if parts:
+                u, v, w = (np.concatenate(x) for x in zip(*parts))
+                _, at, back, n = np.unique(_number(u, v, w), return_index=True, return_inverse=True, return_counts=True)
+                t = np.bincount(back, np.concatenate(wanted), len(at)).astype(np.int64)
+                none = pa.nulls(len(at), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[at], v[at], w[at], n, t)] + [none, none], names=names)
+
+    def fresh(codes: Codes, spelt: dict) -> Iterator[pa.RecordBatch]:
+        """Spellings of the words that the task has not sent yet (or has forgotten)."""
+        if len(spelt) > 4 * REMEMBERED:
+            spelt.clear()
+        new = [(word, code) for word, code in codes.items() if code not in spelt]
+        spelt.update((code, True) for _, code in new)
+        if new:
+            lt, lb = zip(*(shared.value.of(word) for word, _ in new))
+            k = len(new)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(k, SPELLING)), pa.array(np.zeros(k, np.int64)), pa.array([c for _, c in new], pa.int64()),
+                pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int64)), pa.array(lt, pa.float64()), pa.array(lb, pa.float64())], names=names)
+
+    return (docs.select(text_or_empty(text_col).alias("text"), F.coalesce(F.col(target_col), F.lit(False)).alias("wanted"))
+            .mapInArrow(count, schema(u=LONG, v=LONG, w=LONG, n=LONG, t=LONG, lt=DBL, lb=DBL))
+            .groupBy("u", "v", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.max("lt").alias("lt"), F.max("lb").alias("lb")))
+
 
 def fit(docs: DataFrame, target_col: str, text_col: str = "text") -> Model:
     """Both models from whole texts: the background from all rows, the target from those where ``target_col`` is true.
 
-    The counts that reach the driver are at most SYMBOLS ** 4, however large the corpus is.
+    Only the counts of the spelling model (at most SYMBOLS ** 4, of characters) reach the driver.
     """
     vocab = vocabulary(docs, text_col)
     got = gram_counts(docs, vocab, text_col, target_col).toPandas()
     counts = np.zeros((2, vocab.size ** ORDER), np.int64)
     counts[0, got["gram"]] = got["n"]
     counts[1, got["gram"]] = got["t"]
-    return Model(vocab, log_probs(counts[1], vocab.size), log_probs(counts[0], vocab.size))
+    spelling = Spelling(vocab, log_probs(counts[1], vocab.size), log_probs(counts[0], vocab.size))
+    grams = stored(word_grams(docs, spelling, text_col, target_col), "lm-grams")
+    tri = grams.where(F.col("u") != SPELLING).select("u", "v", "w", "n", "t")
+    both = [F.sum(c).alias(c) for c in ("n", "t")]
+    bi = stored(tri.groupBy("v", "w").agg(*both), "lm-pairs")
+    words = stored(bi.groupBy("w").agg(*both), "lm-words")
+    total = words.agg(*both).first()
+    return Model(spelling, grams, tri, bi, tri.groupBy("u", "v").agg(*both), stored(bi.groupBy("v").agg(*both), "lm-heads"),
+                 words, total.n or 0, total.t or 0)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _mixed(n: Column, context: Column, lower: Column) -> Column:
+    """log of (n + BACKOFF * p) / (context + BACKOFF), p = exp(lower); a p too small for a double keeps its logarithm."""
+    n, context = F.coalesce(n, F.lit(0)), F.coalesce(context, F.lit(0))
+    return F.when(n > 0, F.log(n + BACKOFF * F.exp(lower))).otherwise(lower + math.log(BACKOFF)) - F.log(context + BACKOFF)
+
+
+def probabilities(grams: DataFrame, model: Model) -> DataFrame:
+    """(u, v, w, lt, lb): log p(w | u v) under both models of every 3-gram of ``grams``, seen in the corpus or not."""
+
+    def level(rows: DataFrame, *keep: str) -> DataFrame:
+        return rows.select(*keep, _mixed(F.col("t"), F.col("ct"), F.col("lt")).alias("lt"), _mixed(F.col("n"), F.col("cn"), F.col("lb")).alias("lb"))
+
+    def context(rows: DataFrame, *key: str) -> DataFrame:
+        return rows.select(*key, F.col("n").alias("cn"), F.col("t").alias("ct"))
+
+    one = (grams.where(F.col("u") == SPELLING).select("w", "lt", "lb").join(model.words, "w", "left")
+           .withColumn("cn", F.lit(model.N)).withColumn("ct", F.lit(model.T)))
+    one = stored(level(one, "w"), "lm-p1")
+    keys = grams.where(F.col("u") != SPELLING).select("u", "v", "w")
+    mine = grams is model.grams
+    two = model.bi if mine else keys.select("v", "w").distinct().join(model.bi, ["v", "w"], "left")
+    two = stored(level(two.join(context(model.heads, "v"), "v", "left").join(one, "w"), "v", "w"), "lm-p2")
+    three = model.tri if mine else keys.join(model.tri, ["u", "v", "w"], "left")
+    return level(three.join(context(model.pairs, "u", "v"), ["u", "v"], "left").join(two, ["v", "w"]), "u", "v", "w")
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", fitted: bool = False) -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, ce_difference) of every row.
 
-    Losses are nats per character; a lower difference is nearer to the target.
-    Null and empty texts have no token and zeros.  Only the named columns are read.
+    ``n_tokens`` counts characters (a run of blanks is one); losses are nats per
+    character; a lower difference is nearer to the target.  Texts without a word
+    have zeros.  Only the named columns are read.  ``fitted``: the rows are those
+    the model was fitted on, so its table holds all their 3-grams.
     """
     spark = docs.sparkSession
     byte_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    text = text_or_empty(text_col)
+    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("h2"),
+                       F.length(F.regexp_replace(text, r"(?U)\s+", " ")).cast("long").alias("n_tokens"))
+    names = ["h", "h2", "u", "v", "w", "m"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        codes = Codes()
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                g = m.vocab.grams(text)
-                rows.append((len(g), *((-float(p[g].sum(dtype=np.float64)) / len(g) if len(g) else 0.0) for p in (m.target, m.background))))
-            n, t, b = (np.array(x) for x in zip(*rows)) if rows else (np.empty(0, np.int64), np.empty(0), np.empty(0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t), pa.array(b), pa.array(t - b)],
-                                             names=["doc_id", "n_tokens", "loss_target", "loss_background", "ce_difference"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
-        apply, schema(doc_id=LONG, n_tokens=LONG, loss_target=DBL, loss_background=DBL, ce_difference=DBL))
+            parts = []
+            for h, h2, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                u, v, w = codes.grams(t)
+                _, at, m = np.unique(_number(u, v, w), return_index=True, return_counts=True)
+                parts.append((np.full(len(at), h), np.full(len(at), h2), u[at], v[at], w[at], m))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)], names=names)
+
+    used = (docs.select(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("h2"), text.alias("text"))
+            .mapInArrow(apply, schema(h=LONG, h2=LONG, u=LONG, v=LONG, w=LONG, m=LONG)))
+    grams = model.grams if fitted else stored(word_grams(docs.withColumn("_no", F.lit(False)), model.spelling, text_col, "_no"), "lm-scored")
+    # a text has one 3-gram that begins at two STARTs, so their sum counts its copies
+    copies = F.sum(F.when((F.col("u") == START) & (F.col("v") == START), F.col("m")).otherwise(0))
+    sums = (used.join(probabilities(grams, model), ["u", "v", "w"]).groupBy("h", "h2")
+            .agg(*[(-F.sum(F.col("m") * F.col(c)) / copies).alias(c) for c in ("lt", "lb")]))
+    out = some.join(sums, ["h", "h2"], "left")
+    loss = {c: F.coalesce(F.col(c) / F.col("n_tokens"), F.lit(0.0)) for c in ("lt", "lb")}
+    return out.select("doc_id", "n_tokens", loss["lt"].alias("loss_target"), loss["lb"].alias("loss_background"),
+                      (loss["lt"] - loss["lb"]).alias("ce_difference"))
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,4 +302,4 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .agg((F.min("quality") == 1).alias("q"), (F.max("toxic") == 0).alias("c")).where("q and c")
                     .select("doc_id", F.lit(True).alias("wanted")), "lm-target")
     marked = docs.select("doc_id", "text").join(shipped(wanted), "doc_id", "left")
-    return score(docs, fit(marked, "wanted"))
+    return score(docs, fit(marked, "wanted"), fitted=True)

@@ -48,3 +48,35 @@ def test_edges(spark):
     got = lm.score(docs, m).collect()
     assert len(got) == 5 and {r.doc_id: r.n_tokens for r in got} == {1: 200_000, 2: 0, 3: 0, None: 3}
     assert lm.score(docs.limit(0), lm.fit(docs.limit(0).withColumn("w", F.lit(True)), "w")).count() == 0
+
+
+def test_word_models_by_brute_force(spark):
+    rows = [(1, "the red fox, the red hen", True), (2, "a blue fox 42", False), (3, "the blue hen", None), (3, "the blue hen", None), (4, "日本 the red", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, w boolean")
+    model = lm.fit(docs, "w")
+    fresh = [(9, "the red ox ran", False)]
+    got = {r.doc_id: r for r in lm.score(docs, model, fitted=True).collect()}
+    got |= {r.doc_id: r for r in lm.score(spark.createDataFrame(fresh, docs.schema), model).collect()}
+    grams = lambda t: list(zip(["", "", *(x := lm.WORD.findall(t.lower()))], ["", *x], x))
+    for column, spelt in (("loss_target", 0), ("loss_background", 1)):
+        seen = [g for _, t, w in rows if w or spelt for g in grams(t)]
+        c3, c2, c1 = Counter(seen), Counter(g[1:] for g in seen), Counter(g[2] for g in seen)
+        h3, h2 = Counter(g[:2] for g in seen), Counter(g[1] for g in seen)
+        for k, t, _ in rows + fresh:
+            loss = 0.0
+            for u, v, w in grams(t):
+                p = np.exp(model.spelling.of(w)[spelt])
+                for n, of in ((c1[w], len(seen)), (c2[v, w], h2[v]), (c3[u, v, w], h3[u, v])):
+                    p = (n + lm.BACKOFF * p) / (of + lm.BACKOFF)
+                loss -= np.log(p)
+            assert np.isclose(got[k][column], loss / len(t)), (k, column)
+
+
+def test_counts_grow_with_the_words(spark):
+    # two texts of the same characters in words of other order: only word counts tell them apart
+    docs = spark.createDataFrame([(k, "ab cd ef gh" if k % 2 else "gh ef cd ab", bool(k % 2)) for k in range(60)]
+                                 + [(100 + k, " ".join(f"w{k}x{j}" for j in range(50)), False) for k in range(20)], "doc_id long, text string, w boolean")
+    model = lm.fit(docs, "w")
+    assert model.tri.count() > 20 * 100
+    by = {r.doc_id: r.ce_difference for r in lm.score(docs, model, fitted=True).collect()}
+    assert by[1] < by[0]

@@ -4,7 +4,10 @@ Unit vectors are cut into two halves; each half has its own codebook, and the
 product of the two is a grid of cells.  A vector visits the grid's cells in
 multi-sequence order, nearest first, for as many cells as the target recall
 needs; that number is measured by brute force for a sample of queries against
-all vectors.  Candidates are verified by cosine in double precision.
+all vectors.  Every query that has links counts alike, however many it has, so
+a large group of near copies does not decide for the others; where too few
+queries have links, all cells are visited.  Candidates are verified by cosine
+in double precision.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,13 +25,18 @@ from ferret.llm.common import DBL, INT, LONG, components, schema, stored, table
 
 COSINE = 0.93
 # Codebooks are fitted on about this many vectors; recall is measured with
-# about this many queries against all vectors.
-SAMPLE, QUERIES = 20_000, 500
+# about this many queries against all vectors, and with more of the sample
+# until this many have links.
+SAMPLE, QUERIES, LINKED = 20_000, 500, 100
+# Mean recall of the queries with links, and the recall that all but a small share of them reach.
 TARGET_RECALL = 0.995
+LOW_RECALL, LOW_SHARE = 0.95, 0.01
 # Vectors per cell that the grid aims at, and the largest codebook.
 PER_CELL, MAX_CODES = 256, 256
 # Members and probes of a cell compared at once; larger cells are cut.
 BLOCK = 2048
+# Sums of distances held at once while cells are put in order.
+VISIT_SUMS = 4_000_000
 
 
 @dataclass
@@ -49,9 +57,13 @@ class Grid:
 
     def visit(self, unit: np.ndarray, cells: int) -> np.ndarray:
         """The ``cells`` nearest cells of each vector, nearest first (fewer in a smaller grid)."""
+        codes = [len(c) for c in self.books[unit.shape[1]]]
+        k = min(cells, codes[0] * codes[1])
+        step = max(1, VISIT_SUMS // (min(k, codes[0]) * min(k, codes[1])))
+        if len(unit) > step:
+            return np.concatenate([self.visit(unit[i:i + step], cells) for i in range(0, len(unit), step)])
         a, b = self.distances(unit)
         # only the nearest ``cells`` codes of a half can take part in the first ``cells`` cells
-        k = min(cells, a.shape[1] * b.shape[1])
         ia, ib = (np.argsort(d, axis=1, kind="stable")[:, :k] for d in (a, b))
         total = np.take_along_axis(a, ia, 1)[:, :, None] + np.take_along_axis(b, ib, 1)[:, None, :]
         cell = ia[:, :, None] * b.shape[1] + ib[:, None, :]
@@ -106,45 +118,80 @@ def fit(distinct: DataFrame, threshold: float) -> Grid:
     # a length the sample lacks gets the one-cell grid: all its vectors meet
     for r in distinct.select(F.size("v").alias("s")).distinct().collect():
         grid.books.setdefault(r.s, (np.zeros((1, (r.s + 1) // 2)), np.zeros((1, r.s // 2))))
-    queries = [r for r in sample if len(r.v) in grid.books][:: max(1, len(sample) // QUERIES)]
+    grid.cells = _cells(distinct, grid, sample, threshold)
+    return grid
+
+
+def _ranks(distinct: DataFrame, grid: Grid, queries: list, threshold: float) -> DataFrame:
+    """(q, rank, n): of query ``q``'s links to all vectors, how many stand in the ``rank``-th cell it would visit."""
     asked: dict[tuple[int, int], list] = {}
-    for r in queries:
-        asked.setdefault((r.label, len(r.v)), []).append((r.node, r.v))
-    shared = spark.sparkContext.broadcast((grid, {key: (np.array([a for a, _ in q]), np.array([v for _, v in q])) for key, q in asked.items()}))
+    for i, r in enumerate(queries):
+        asked.setdefault((r.label, len(r.v)), []).append((i, r.node, r.v))
+    wanted = {key: tuple(map(np.array, zip(*some))) for key, some in asked.items()}
+    shared = distinct.sparkSession.sparkContext.broadcast((grid, wanted))
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, wanted = shared.value
-        order = {}
-        for key, (nodes, q) in wanted.items():
+        known = {}
+        for key, (ids, nodes, q) in wanted.items():
             q = q / np.sqrt((q * q).sum(1))[:, None]
-            a, b = g.books[q.shape[1]]
-            seq = g.visit(q, len(a) * len(b))
-            place = np.empty_like(seq)
-            np.put_along_axis(place, seq, np.broadcast_to(np.arange(seq.shape[1]), seq.shape), 1)
-            order[key] = (nodes, q, place)
+            known[key] = ids, nodes, q, *g.distances(q)
+        place: dict[tuple[int, int], int] = {}
         for batch in batches:
             label, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            seen: list[np.ndarray] = []
+            seen: dict[tuple[int, int], int] = {}
             for at, unit in _units(batch.column(2)):
                 for lab in np.unique(label[at]):
-                    if (lab, unit.shape[1]) in order:
-                        nodes, q, place = order[lab, unit.shape[1]]
-                        mine = at[label[at] == lab]
-                        u = unit[label[at] == lab]
-                        i, j = np.nonzero((q @ u.T >= threshold) & (nodes[:, None] != node[mine]))
-                        seen.append(place[i, g.own(u)[j]])
-            rank, count = np.unique(np.concatenate([np.empty(0, np.int64), *seen]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(rank, pa.int32()), pa.array(count, pa.int64())], names=["rank", "n"])
-
-    found = sorted((r["rank"], r.n) for r in distinct.select("label", "node", "v")
-                   .mapInArrow(ranks, schema(rank=INT, n=LONG)).groupBy("rank").agg(F.sum("n").alias("n")).collect())
-    total, so_far, grid.cells = sum(c for _, c in found), 0, 4
-    for rank, c in found:
-        so_far += c
-        grid.cells = max(grid.cells, rank + 1)
-        if so_far >= TARGET_RECALL * total:
-            break
-    return grid
+                    if (lab, unit.shape[1]) not in known:
+                        continue
+                    ids, nodes, q, a, b = known[lab, unit.shape[1]]
+                    here, u = node[at[label[at] == lab]], unit[label[at] == lab]
+                    own = g.own(u)
+                    for s in range(0, len(q), QUERIES):
+                        i, j = np.nonzero((q[s:s + QUERIES] @ u.T >= threshold) & (nodes[s:s + QUERIES, None] != here))
+                        pairs, count = np.unique(np.stack([i + s, own[j]]), axis=1, return_counts=True)
+                        for x, cell, c in zip(*pairs.tolist(), count.tolist()):
+                            if (ids[x], cell) not in place:
+                                mine = a[x, cell // b.shape[1]] + b[x, cell % b.shape[1]]
+                                place[ids[x], cell] = int((a[x][:, None] + b[x] <= mine).sum()) - 1
+                            rank = place[ids[x], cell]
+                            seen[ids[x], rank] = seen.get((ids[x], rank), 0) + c
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()),
+                                              pa.array(list(seen.values()), pa.int64())], names=["q", "rank", "n"])
+
+    return (distinct.select("label", "node", "v").mapInArrow(ranks, schema(q=INT, rank=INT, n=LONG))
+            .groupBy("q", "rank").agg(F.sum("n").alias("n")))
+
+
+def _cells(distinct: DataFrame, grid: Grid, sample: list, threshold: float) -> int:
+    """Cells to visit, by the recall of each query that has links; all cells when too few have any."""
+    order = np.random.default_rng(3).permutation(len(sample))
+    whole = Window.partitionBy("q")
+    found: dict[int, float] = {}
+    content: dict[int, int] = {}
+    linked, at, size = 0, 0, QUERIES
+    while at < len(sample) and linked < LINKED:
+        queries = [sample[i] for i in order[at:at + size]]
+        at, size = at + size, size * 4
+        one = _ranks(distinct, grid, queries, threshold).withColumn("all", F.sum("n").over(whole))
+        one = stored(one.withColumn("upto", F.sum("n").over(whole.orderBy("rank"))), "vectors-ranks")
+        for r in one.groupBy("rank").agg(F.sum(F.col("n") / F.col("all")).alias("part")).collect():
+            found[r["rank"]] = found.get(r["rank"], 0.0) + r.part
+        enough = one.where(F.col("upto") >= LOW_RECALL * F.col("all")).groupBy("q").agg(F.min("rank").alias("rank"))
+        for r in enough.groupBy("rank").agg(F.count("*").alias("k")).collect():
+            content[r["rank"]] = content.get(r["rank"], 0) + r.k
+            linked += r.k
+    if linked < LINKED:
+        return max([1, *(len(a) * len(b) for a, b in grid.books.values())])
+    cells = 4
+    for reached, goal in ((found, TARGET_RECALL), (content, 1 - LOW_SHARE)):
+        so_far = 0.0
+        for rank in sorted(reached):
+            so_far += reached[rank]
+            cells = max(cells, rank + 1)
+            if so_far >= goal * linked - 1e-9:
+                break
+    return cells
 
 
 def _cell_links(threshold: float, key, members: pa.Table, probes: pa.Table) -> pa.Table:

@@ -55,3 +55,34 @@ def test_recall_on_the_table(spark):
     assert set(got) == set(want) and all(got[k][0] <= want[k][0] for k in want)
     assert sum(v[0] for v in got.values()) >= 0.95 * sum(v[0] for v in want.values())
     assert np.mean([got[k] == want[k] for k in want]) > 0.95
+
+
+def _made(rng, hot, pairs, alone, dims=64):
+    unit = lambda x: x / np.sqrt((x * x).sum(-1, keepdims=True))
+    group = unit(unit(rng.normal(size=dims)) + rng.normal(size=(hot, dims)) * 0.002)
+    a = unit(rng.normal(size=(pairs, dims)))
+    d = rng.normal(size=(pairs, dims))
+    d = unit(d - (d * a).sum(1, keepdims=True) * a)
+    c = rng.uniform(0.935, 0.97, size=(pairs, 1))
+    return np.concatenate([group, a, c * a + np.sqrt(1 - c * c) * d, unit(rng.normal(size=(alone, dims)))])
+
+
+def _distinct(spark, x):
+    return spark.createDataFrame([(0, i, 1, v.tolist(), hash(i)) for i, v in enumerate(x)], "label long, node long, c long, v array<double>, h2 long")
+
+
+def test_cells_are_not_decided_by_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_CELL", 16)
+    hot, pairs = 1000, 1000
+    x = _made(np.random.default_rng(5), hot, pairs, 0)
+    grid = vectors.fit(_distinct(spark, x), vectors.COSINE)
+    a, b = x[hot:hot + pairs], x[hot + pairs:]
+    assert len(grid.books[64][0]) * len(grid.books[64][1]) > 100 and grid.cells > 4
+    met = (grid.visit(a, grid.cells) == grid.own(b)[:, None]).any(1) | (grid.visit(b, grid.cells) == grid.own(a)[:, None]).any(1)
+    assert met.mean() >= 0.99
+
+
+def test_all_cells_without_links(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_CELL", 16)
+    grid = vectors.fit(_distinct(spark, _made(np.random.default_rng(6), 0, 0, 1500)), vectors.COSINE)
+    assert grid.cells == len(grid.books[64][0]) * len(grid.books[64][1]) > 4

@@ -1,8 +1,9 @@
 """Quality by compression: which of two zstandard dictionaries fits a text.
 
 One dictionary is filled with good, one with bad labelled text.  A text is
-compressed whole with each; the difference of the two sizes over the text's
-length is turned into a probability by a logistic curve that is fitted on
+compressed whole with each, in pieces far smaller than the compressor's window,
+so that every piece can refer to the dictionary; the difference of the two
+sizes, summed over the pieces, over the text's length is turned into a probability by a logistic curve that is fitted on
 labelled texts outside the dictionaries.
 """
 
@@ -26,6 +27,8 @@ SAMPLE_PER_CLASS = 3000
 SAMPLE_CHARS = 20_000
 DICT_BYTES = 1 << 20
 LEVEL = 3
+# Bytes compressed at once: past a window (2 MB) a dictionary is out of reach.
+PIECE = 64 << 10
 # Added to the length, so that a few bytes of a short text decide little.
 LENGTH_PRIOR = 64
 THRESHOLD = 0.3
@@ -52,7 +55,7 @@ class Sizes:
 
     def __call__(self, text: str | None) -> float:
         raw = (text or "").encode("utf-8")
-        good, bad = (len(c.compress(raw)) for c in self.by)
+        good, bad = (sum(len(c.compress(raw[i:i + PIECE])) for i in range(0, len(raw), PIECE)) for c in self.by)
         return (bad - good) / (len(raw) + LENGTH_PRIOR)
 
 

@@ -1,5 +1,7 @@
 """Compression classifier: held-out accuracy and edge cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from ferret.llm import quality
@@ -36,3 +38,17 @@ def test_edges(spark):
     none = quality.fit(docs, labels.limit(0))
     assert quality.scorer(spark, one) and none.offset == 0.0 and one.offset > 0
     assert docs.limit(0).select(score(F.col("text"))).count() == 0
+
+
+def test_every_part_of_a_long_text_counts():
+    rng = random.Random(3)
+    text = lambda words, n: "".join(rng.choice(words) + " " for _ in range(n))
+    good, bad, other = ([f"{p}{rng.getrandbits(40):x}" for _ in range(5000)] for p in "gbo")
+    sizes = quality.Sizes(text(good, 60_000).encode()[:1 << 20], text(bad, 60_000).encode()[:1 << 20])
+    passage, filler = text(bad, 25_000), text(other, 300_000)
+    assert len(filler) > 3 << 20
+    whole = lambda t: sizes(t) * (len(t) + quality.LENGTH_PRIOR)
+    alone = whole(passage)
+    assert alone < -1000
+    assert whole(filler + passage) - whole(filler) < 0.8 * alone
+    assert abs(sizes(passage * 20) / sizes(passage) - 1) < 0.1

@@ -124,8 +124,8 @@ def schema(**cols: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in cols.items()])
 
 
-def class_sample(rows: DataFrame, cls: str, key: str, per_class: int, seed: int = 7) -> DataFrame:
-    """About ``per_class`` rows of every class, chosen by a hash of ``key``.
+def class_sample(rows: DataFrame, cls: str, key: str | list[str], per_class: int, seed: int = 7) -> DataFrame:
+    """About ``per_class`` rows of every class, chosen by a hash of ``key``, which should tell the rows apart.
 
     The rows per class are counted first (one row per class reaches the
     driver); the same rows are taken on every run and at any partitioning.
@@ -134,5 +134,5 @@ def class_sample(rows: DataFrame, cls: str, key: str, per_class: int, seed: int
     if not counts:
         return rows.limit(0)
     share = F.create_map(*[F.lit(x) for c, n in sorted(counts.items()) for x in (c, min(1.0, per_class / n))])
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    draw = F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key), F.lit(seed)), F.lit(1 << 40)).cast("double") / float(1 << 40)
     return rows.where(draw < share[F.col(cls)])

@@ -114,11 +114,12 @@ def fit(labelled: DataFrame) -> Forest:
     before = stored(_odds(labelled, "word_before", "before_odds").coalesce(1), "secrets-before")
     after = stored(_odds(labelled, "word_after", "after_odds").coalesce(1), "secrets-after")
     forest = Forest(None, before, after, 0.0)
-    rows = stored(class_sample(forest._join(labelled).withColumn("y", F.col("label").cast("int")), "y", "start", SAMPLE_PER_CLASS), "secrets-train")
-    classes = [r.y for r in rows.select("y").distinct().collect()]
+    classes = [r.label for r in labelled.select("label").distinct().collect()]
     if len(classes) < 2:
-        forest.only = float(classes[0]) if classes else 0.0
+        forest.only = classes[0] if classes else 0.0
         return forest
+    rows = stored(class_sample(forest._join(labelled).withColumn("y", F.col("label").cast("int")), "y", ["doc_id", "h", "start"], SAMPLE_PER_CLASS),
+                  "secrets-train")
     forest.model = Pipeline(stages=[
         VectorAssembler(inputCols=FEATURES, outputCol="features"),
         RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="features")]).fit(rows)

@@ -44,3 +44,21 @@ def test_redact_and_edges(spark):
     assert secrets.redact(df.limit(0), secrets.scan(df.limit(0))).count() == 0
     plain = df.where("doc_id >= 100")
     assert secrets.redact(plain, secrets.scan(plain)).count() == 2
+
+
+def test_many_findings_at_one_offset(spark):
+    # offsets at which the hash of the offset alone would take every one, or none, of 20,000 findings
+    draw = F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    out, taken = ([r.id for r in spark.range(9, 60).where(c).orderBy("id").limit(1).collect()][0] for c in (draw >= 0.5, draw < 0.5))
+    for at in (out, taken):
+        yes = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(
+            F.lit("password=".rjust(at)), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 20), F.lit("7")).alias("text"))
+        no = spark.range(50_000, 50_400).select(F.col("id").alias("doc_id"), F.concat(
+            F.repeat(F.lit("x "), (F.col("id") % 40).cast("int")), F.lit("order "), (F.col("id") + F.lit(10 ** 15)).cast("string")).alias("text"))
+        found = secrets.scan(yes.unionByName(no))
+        row = found.groupBy().agg(F.count(F.when(F.col("doc_id") < 20_000, 1)).alias("n"),
+                                  F.avg(F.when(F.col("doc_id") < 20_000, F.col("is_secret").cast("int"))).alias("yes"),
+                                  F.avg(F.when(F.col("doc_id") >= 20_000, F.col("is_secret").cast("int"))).alias("no")).first()
+        assert row.n >= 19_990 and row.yes > 0.99 and row.no < 0.01, (at, row)
+    labelled = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").alias("h"), F.lit(taken).alias("start"), F.lit(1).alias("y"))
+    assert 9_000 < secrets.class_sample(labelled, "y", ["doc_id", "h", "start"], secrets.SAMPLE_PER_CLASS).count() < 11_000

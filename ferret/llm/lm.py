@@ -32,8 +32,8 @@ ORDER = 4
 WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 # Number of the place before a text's first word; u of a row that holds a word's spelling.
 START, SPELLING = 0, 1
-# Words whose numbers a task remembers.
-REMEMBERED = 300_000
+# Words whose numbers a task remembers, and 3-grams or characters of words that it handles at once.
+REMEMBERED, AT_ONCE = 150_000, 500_000
 # Mass of the lower order in each interpolation (in counts).
 BACKOFF = 5.0
 
@@ -55,13 +55,18 @@ class Vocabulary:
             if chr(c).isspace():
                 self.code[c] = 0
 
-    def grams(self, text: str) -> np.ndarray:
-        """Numbers of the text's 4-grams, one per character; runs of blanks are one blank."""
+    def symbols(self, text: str) -> np.ndarray:
+        """The symbol of each character."""
         raw = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
         x = self.code[np.minimum(raw, len(self.code) - 1)]
         for c, k in self.rest.items():
             x[raw == c] = k
         x[(raw >= len(self.code)) & ~np.isin(raw, list(self.rest))] = self.size - 1
+        return x
+
+    def grams(self, text: str) -> np.ndarray:
+        """Numbers of the text's 4-grams, one per character; runs of blanks are one blank."""
+        x = self.symbols(text)
         x = x[(x != 0) | np.concatenate([[True], x[:-1] != 0])[:len(x)]]
         padded = np.concatenate([np.zeros(ORDER - 1, np.int64), x])
         out = np.zeros(len(x), np.int64)
@@ -143,10 +148,20 @@ class Spelling:
     target: np.ndarray
     background: np.ndarray
 
-    def of(self, word: str) -> tuple[float, float]:
-        """log p of the word's characters and the blank behind it."""
-        g = self.vocab.grams(word + " ")
-        return float(self.target[g].sum(dtype=np.float64)), float(self.background[g].sum(dtype=np.float64))
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """log p of each word's characters and the blank behind it, under both models."""
+        words = [word.lower() for word in words]
+        pad = " " * (ORDER - 1)
+        x = self.vocab.symbols(pad + pad.join(words) + " ")
+        n = np.array([len(word) + 1 for word in words])
+        first = np.concatenate([[0], np.cumsum(n + ORDER - 2)[:-1]])
+        out = np.zeros(len(x) - ORDER + 1, np.int64)
+        for i in range(ORDER):
+            out = out * self.vocab.size + x[i:i + len(out)]
+        # the 4-grams that begin inside a word's own blanks or in the word; those of the next word's blanks are left out
+        mine = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        at = np.concatenate([[0], np.cumsum(n)[:-1]])
+        return tuple(np.add.reduceat(p[out[mine]].astype(np.float64), at) for p in (self.target, self.background))
 
 
 @dataclass
@@ -175,34 +190,47 @@ def word_grams(docs: DataFrame, spelling: Spelling, text_col: str, target_col: s
     names = ["u", "v", "w", "n", "t", "lt", "lb"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, spelt = Codes(), {}
+        codes, spelt, parts, held = Codes(), set(), [], 0
         for batch in batches:
-            parts, wanted = [], []
-            for text, yes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts.append(codes.grams(text))
-                wanted.append(np.full(len(parts[-1][2]), yes, np.int64))
-                if len(codes) > REMEMBERED:
+            for text, yes in zip(batch.column(0), batch.column(1)):
+                parts.append((*codes.grams(text.as_py()), yes.as_py()))
+                held += len(parts[-1][0])
+                if held >= AT_ONCE or len(codes) > REMEMBERED:
                     yield from fresh(codes, spelt)
-            yield from fresh(codes, spelt)
-            if parts:
-                u, v, w = (np.concatenate(x) for x in zip(*parts))
-                _, at, back, n = np.unique(_number(u, v, w), return_index=True, return_inverse=True, return_counts=True)
-                t = np.bincount(back, np.concatenate(wanted), len(at)).astype(np.int64)
-                none = pa.nulls(len(at), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[at], v[at], w[at], n, t)] + [none, none], names=names)
-
-    def fresh(codes: Codes, spelt: dict) -> Iterator[pa.RecordBatch]:
+                    yield from counted(parts)
+                    parts, held = [], 0
+        yield from fresh(codes, spelt)
+        yield from counted(parts)
+
+    def counted(parts: list) -> Iterator[pa.RecordBatch]:
+        if parts:
+            u, v, w = (np.concatenate(x) for x in list(zip(*parts))[:3])
+            wanted = np.repeat([p[3] for p in parts], [len(p[0]) for p in parts])
+            _, at, back, n = np.unique(_number(u, v, w), return_index=True, return_inverse=True, return_counts=True)
+            t = np.bincount(back[wanted], minlength=len(at))
+            none = pa.nulls(len(at), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (u[at], v[at], w[at], n, t)] + [none, none], names=names)
+
+    def fresh(codes: Codes, spelt: set) -> Iterator[pa.RecordBatch]:
         """Spellings of the words that the task has not sent yet (or has forgotten)."""
         if len(spelt) > 4 * REMEMBERED:
             spelt.clear()
-        new = [(word, code) for word, code in codes.items() if code not in spelt]
-        spelt.update((code, True) for _, code in new)
+        new, held = [], 0
+        for word, code in codes.items():
+            if code not in spelt:
+                spelt.add(code)
+                new.append((word, code))
+                held += len(word) + ORDER
+                if held >= AT_ONCE:
+                    yield spellings(new)
+                    new, held = [], 0
         if new:
-            lt, lb = zip(*(shared.value.of(word) for word, _ in new))
-            k = len(new)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(k, SPELLING)), pa.array(np.zeros(k, np.int64)), pa.array([c for _, c in new], pa.int64()),
-                pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int64)), pa.array(lt, pa.float64()), pa.array(lb, pa.float64())], names=names)
+            yield spellings(new)
+
+    def spellings(new: list) -> pa.RecordBatch:
+        lt, lb = shared.value.of([word for word, _ in new])
+        none = np.zeros(len(new), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (none + SPELLING, none, np.array([c for _, c in new], np.int64), none, none, lt, lb)], names=names)
 
     return (docs.select(text_or_empty(text_col).alias("text"), F.coalesce(F.col(target_col), F.lit(False)).alias("wanted"))
             .mapInArrow(count, schema(u=LONG, v=LONG, w=LONG, n=LONG, t=LONG, lt=DBL, lb=DBL))
@@ -272,15 +300,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = ["h", "h2", "u", "v", "w", "m"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
+        codes, parts, held = Codes(), [], 0
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)], names=names)
+
         for batch in batches:
-            parts = []
-            for h, h2, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                u, v, w = codes.grams(t)
+            for h, h2, text in zip(*(batch.column(i) for i in range(3))):
+                u, v, w = codes.grams(text.as_py())
                 _, at, m = np.unique(_number(u, v, w), return_index=True, return_counts=True)
-                parts.append((np.full(len(at), h), np.full(len(at), h2), u[at], v[at], w[at], m))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)], names=names)
+                parts.append((np.full(len(at), h.as_py()), np.full(len(at), h2.as_py()), u[at], v[at], w[at], m))
+                held += len(at)
+                if held >= AT_ONCE:
+                    yield packed()
+                    parts, held = [], 0
+        if parts:
+            yield packed()
 
     used = (docs.select(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("h2"), text.alias("text"))
             .mapInArrow(apply, schema(h=LONG, h2=LONG, u=LONG, v=LONG, w=LONG, m=LONG)))

@@ -65,7 +65,7 @@ def test_word_models_by_brute_force(spark):
         for k, t, _ in rows + fresh:
             loss = 0.0
             for u, v, w in grams(t):
-                p = np.exp(model.spelling.of(w)[spelt])
+                p = np.exp((model.spelling.target, model.spelling.background)[spelt][model.spelling.vocab.grams(w + " ")].sum())
                 for n, of in ((c1[w], len(seen)), (c2[v, w], h2[v]), (c3[u, v, w], h3[u, v])):
                     p = (n + lm.BACKOFF * p) / (of + lm.BACKOFF)
                 loss -= np.log(p)

@@ -12,6 +12,3 @@ def spark():
 
     s = get_spark("ferret-tests", cpus="*", shuffle_partitions=8)
     yield s
-
-
-SF001 = "/root/testdata/sf0.001"

@@ -1,7 +1,7 @@
 """Driver contract: entry() and every registered query of the library run on sf0.001."""
 
 import __spark_entry__ as E
-from conftest import SF001
+from paths import SF001
 from ferret.plans import registry
 
 

@@ -8,6 +8,7 @@ from ferret.llm.decontam import OP1_SQL, op1_decontam
 from ferret.llm.jaccard import OP5_SQL, op5_jaccard
 from ferret.llm.langid import op4_langid
 from ferret.llm.lm import op8_lm
+from ferret.llm.periods import op11_periods
 from ferret.llm.quality import op7_quality
 from ferret.llm.repeats import op10_repeats
 from ferret.llm.secrets import op2_secrets
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_chat": op9_chat,
     "op10_repeats": op10_repeats,
+    "op11_periods": op11_periods,
 }
 ORACLE: dict[str, str] = {
     "op1_decontam": OP1_SQL,

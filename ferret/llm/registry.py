@@ -12,7 +12,9 @@ from ferret.llm.periods import op11_periods
 from ferret.llm.quality import op7_quality
 from ferret.llm.repeats import op10_repeats
 from ferret.llm.secrets import op2_secrets
+from ferret.llm.turns import OP13_SQL, op13_turns
 from ferret.llm.vectors import op6_vectors
+from ferret.llm.windows import OP12_SQL, op12_windows
 
 QUERIES = {
     "op1_decontam": op1_decontam,
@@ -26,8 +28,12 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_repeats": op10_repeats,
     "op11_periods": op11_periods,
+    "op12_windows": op12_windows,
+    "op13_turns": op13_turns,
 }
 ORACLE: dict[str, str] = {
     "op1_decontam": OP1_SQL,
     "op5_jaccard": OP5_SQL,
+    "op12_windows": OP12_SQL,
+    "op13_turns": OP13_SQL,
 }

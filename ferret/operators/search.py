@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ferret.functions import text as T
 from ferret.operators.index import Index, StoredIndex, idf
+from ferret.session import materialize_small
 
 # Field boosts and the default number of hits per search.
 BOOSTS = {"terms": 1.0, "title": 0.02}
@@ -106,13 +107,13 @@ def boolean_match(queries: DataFrame, index: Index | StoredIndex, required: Data
     """
     qt = query_terms(queries)
     named = qt.select("term").unionByName(required.select("term")).unionByName(prohibited.select("term")).distinct()
-    postings = index.postings.join(named, "term", "left_semi").repartition("hit_id")
     if isinstance(index, StoredIndex):
-        stats, n = index.stats.join(qt.select("term").distinct(), "term", "left_semi"), index.n.select("n").scalar()
+        postings = index.postings_of(named).repartition("hit_id")
+        stats = index.df(qt.select("term").distinct())
     else:
+        postings = index.postings.join(named, "term", "left_semi").repartition("hit_id")
         stats = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-        n = index.n_docs()
-    weights = _weights(qt, stats, n)
+    weights = _weights(qt, stats, index.n_docs())
     req = required.distinct()
     need = req.groupBy("qid").agg(F.count(F.lit(1)).alias("n_req"))
     have = (
@@ -137,6 +138,93 @@ def search_stored(queries: DataFrame, index: StoredIndex, k: int = TOP_K, hit_co
     """
     qt = query_terms(queries)
     vocab = qt.select("term").distinct()
-    stats = index.stats.join(vocab, "term", "left_semi")
-    scored = _score(index.postings.join(vocab, "term", "left_semi"), _weights(qt, stats, index.n.select("n").scalar()))
-    return _with_columns(top_per_query(scored, k), index.docs, hit_cols)
+    scored = _score(index.postings_of(vocab), _weights(qt, index.df(vocab), index.n_docs()))
+    cols = [c for c in hit_cols if c != "query"]
+    return index.with_columns(top_per_query(scored, k), cols).select("qid", "rank", "hit_id", "score", *cols)
+
+
+# --- R4 with score bounds ------------------------------------------------------
+
+# Postings per wanted hit that the opening terms of a query may have together.
+OPENING = 10
+# Scores are sums of doubles: bounds this close to a threshold are not used.
+SLACK = 1e-6
+
+
+def _ordered_weights(qt: DataFrame, df: DataFrame, n) -> DataFrame:
+    """(qid, field, term, df, w, seen, rest): a query's terms from the heaviest to
+    the lightest, with the postings before each and the weight from each on."""
+    heavy = Window.partitionBy("qid").orderBy(F.col("w").desc(), "field", "term")
+    w = qt.join(df, "term").select("qid", "field", "term", "df", (F.col("cnt") * _boost() * idf(F.col("df"), n)).alias("w"))
+    seen = F.sum("df").over(heavy.rowsBetween(Window.unboundedPreceding, -1))
+    return w.withColumn("seen", F.coalesce(seen, F.lit(0))).withColumn("rest", F.sum("w").over(heavy.rowsBetween(0, Window.unboundedFollowing)))
+
+
+def _terms(weights: DataFrame) -> DataFrame:
+    return weights.select("term").distinct()
+
+
+def _probe(hits: DataFrame, weights: DataFrame, postings: DataFrame) -> DataFrame:
+    """Add the weights of given hits' terms to their scores: (qid, hit_id, score).
+
+    Every hit asks for each of its query's terms (an equi-join on term and hit),
+    so what is read grows with the hits, not with the postings of the terms.
+    """
+    asked = hits.join(weights.select("qid", "field", "term", "w"), "qid", "left")
+    found = asked.join(postings.withColumn("holds", F.lit(True)), ["field", "term", "hit_id"], "left")
+    return found.groupBy("qid", "hit_id").agg((F.max("score") + F.coalesce(F.sum(F.when(F.col("holds"), F.col("w"))), F.lit(0.0))).alias("score"))
+
+
+def bounded_terms(queries: DataFrame, index: StoredIndex, k: int = TOP_K) -> DataFrame:
+    """Each query's weighted terms, told apart by a score that its k-th hit is sure to reach.
+
+    A query's heaviest terms (up to ``OPENING * k`` postings) give k hits; the
+    least of their full scores is ``theta``.  A term is ``essential`` unless it
+    and all lighter ones together stay below ``theta``: a hit that has none but
+    such terms cannot be among the best k.  Queries with fewer than k hits there
+    keep all terms.  One row per query and term, so the table is stored once.
+    """
+    qt = query_terms(queries)
+    vocab = qt.select("term").distinct()
+    w = materialize_small(_ordered_weights(qt, index.df(vocab), index.n_docs()))
+    opening = w.filter(F.col("seen") < OPENING * k)
+    found = top_per_query(_score(index.postings_of(_terms(opening)), opening.select("qid", "field", "term", "w")), k)
+    full = _probe(found.select("qid", "hit_id", F.lit(0.0).alias("score")), w, index.postings_of(_terms(w)))
+    theta = full.groupBy("qid").agg(F.min("score").alias("theta"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).drop("n")
+    known = F.col("theta").isNotNull() & (F.col("rest") < F.col("theta") - SLACK)
+    return materialize_small(w.join(theta, "qid", "left").withColumn("essential", ~known))
+
+
+def search_bounded(queries: DataFrame, index: StoredIndex, k: int = TOP_K, hit_cols=("rid", "type", "title", "url")) -> DataFrame:
+    """R4 over a stored index with score bounds: same answers as :func:`search_stored`.
+
+    Hits come from the postings of essential terms alone; those that could not
+    reach their query's threshold with all other terms are dropped, and the
+    other terms are only looked up for the hits that are left.  Exact, as the
+    weight of a term is the same in every hit.
+    """
+    terms = bounded_terms(queries, index, k)
+    heavy, light = terms.filter("essential"), terms.filter("not essential")
+    part = _score(index.postings_of(_terms(heavy)), heavy.select("qid", "field", "term", "w"))
+    reach = terms.groupBy("qid").agg(F.max("theta").alias("theta"), F.sum(F.when(~F.col("essential"), F.col("w")).otherwise(0.0)).alias("light"))
+    left = part.join(reach, "qid").filter(F.col("theta").isNull() | (F.col("score") + F.col("light") >= F.col("theta") - SLACK))
+    scored = _probe(left.select("qid", "hit_id", "score"), light, index.postings_of(_terms(light)))
+    cols = [c for c in hit_cols if c != "query"]
+    return index.with_columns(top_per_query(scored, k), cols).select("qid", "rank", "hit_id", "score", *cols)
+
+
+def joined_postings(queries: DataFrame, index: StoredIndex, k: int = TOP_K) -> DataFrame:
+    """One row (plain, bounded): postings joined to query terms by :func:`search_stored`
+    and by :func:`search_bounded` (opening, threshold, essential terms and lookups)."""
+    terms = bounded_terms(queries, index, k)
+    opening = terms.filter(F.col("seen") < OPENING * k)
+    heavy, light = terms.filter("essential"), terms.filter("not essential")
+    found = top_per_query(_score(index.postings_of(_terms(opening)), opening.select("qid", "field", "term", "w")), k)
+    part = _score(index.postings_of(_terms(heavy)), heavy.select("qid", "field", "term", "w"))
+    reach = terms.groupBy("qid").agg(F.max("theta").alias("theta"), F.sum(F.when(~F.col("essential"), F.col("w")).otherwise(0.0)).alias("light"))
+    left = part.join(reach, "qid").filter(F.col("theta").isNull() | (F.col("score") + F.col("light") >= F.col("theta") - SLACK))
+    pairs = lambda hits, some: hits.select("qid", "hit_id").join(some, "qid").join(index.postings_of(_terms(some)), ["field", "term", "hit_id"])
+    sums = terms.agg(F.sum("df").alias("plain"), F.sum(F.when(F.col("seen") < OPENING * k, F.col("df")).otherwise(0)).alias("opening"),
+                     F.sum(F.when(F.col("essential"), F.col("df")).otherwise(0)).alias("essential"))
+    looked = pairs(found, terms).select("qid").unionAll(pairs(left, light).select("qid")).agg(F.count(F.lit(1)).alias("looked"))
+    return sums.crossJoin(looked).select("plain", (F.col("opening") + F.col("essential") + F.col("looked")).alias("bounded"), "opening", "essential", "looked")

@@ -519,32 +519,47 @@ def q_valid_hits(spark, sf_dir):
     return CAT.valid_hit(items).select("page_id", F.col("pos").cast("int").alias("pos"), "title")
 
 
-def _stored_index(spark, sf_dir, hits):
+def _stored_path(spark, hits):
     from ferret.streaming.common import job_dir
 
     path = job_dir(spark, "index")
     IX.write_index(IX.build_index(hits, tasks=text_tasks(spark)), path)
-    return IX.read_index(spark, path)
+    return path
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, sf_dir):
+    """The index of the table's hits, written once per session and folder (under the shared checkpoint folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = _stored_path(spark, TB.hits(spark, sf_dir))
+    return IX.read_index(spark, _STORED[key])
 
 
 def q_search_stored(spark, sf_dir):
-    """R2 written as tables (under the shared checkpoint folder), then R4 over
-    the stored index: the same answers as ``search``."""
-    res = S.search_stored(TB.queries(spark, sf_dir), _stored_index(spark, sf_dir, TB.hits(spark, sf_dir)))
+    """R4 over the stored index: the same answers as ``search``."""
+    res = S.search_stored(TB.queries(spark, sf_dir), stored_index(spark, sf_dir))
     return res.select("qid", "rank", "hit_id", r6("score"), "rid", "type", "title", "url")
 
 
-def q_search_incremental(spark, sf_dir):
-    """R2 kept current: the index first holds the even documents whole and the
-    odd ones by title alone; an update then adds and replaces.  The answers
-    equal those of a full rebuild."""
-    from ferret.streaming.common import job_dir
+def q_search_bounded(spark, sf_dir):
+    """R4 over the stored index with score bounds: the same answers as ``search``."""
+    res = S.search_bounded(TB.queries(spark, sf_dir), stored_index(spark, sf_dir))
+    return res.select("qid", "rank", "hit_id", r6("score"), "rid", "type", "title", "url")
 
+
+def q_search_incremental(spark, sf_dir):
+    """R2 kept current: the index first holds three quarters of the documents,
+    the odd ones by title alone.  Five batches of odd documents then add and
+    replace, each as a part of its own, and parts of one size are merged.  The
+    answers equal those of a full rebuild."""
     hits = TB.hits(spark, sf_dir)
-    early = hits.withColumn("description", F.when(F.col("doc_id") % 2 == 0, F.col("description"))).filter("doc_id % 4 <> 3")
-    stored = _stored_index(spark, sf_dir, early)
-    now = IX.update_index(stored, hits.filter("doc_id % 2 = 1"), job_dir(spark, "index"), tasks=text_tasks(spark))
-    res = S.search_stored(TB.queries(spark, sf_dir), now)
+    path = _stored_path(spark, hits.withColumn("description", F.when(F.col("doc_id") % 2 == 0, F.col("description"))).filter("doc_id % 4 <> 3"))
+    for k in range(5):
+        IX.update_index(hits.filter((F.col("doc_id") % 2 == 1) & (F.pmod("doc_id", F.lit(5)) == k)), path, tasks=text_tasks(spark))
+    res = S.search_stored(TB.queries(spark, sf_dir), IX.read_index(spark, path))
     return res.select("qid", "rank", "hit_id", r6("score"), "rid", "type", "title", "url")
 
 
@@ -610,6 +625,7 @@ QUERIES: dict[str, Query] = {
     "delete_resources": q_delete_resources,
     "valid_hits": q_valid_hits,
     "search_stored": q_search_stored,
+    "search_bounded": q_search_bounded,
     "search_incremental": q_search_incremental,
 }
 
@@ -675,6 +691,10 @@ ORACLE: dict[str, str] = {
     "delete_resources": O.DELETE_RESOURCES,
     "valid_hits": O.VALID_HITS,
     "search_stored": O.SEARCH,
+    "search_bounded": O.SEARCH,
     "search_incremental": O.SEARCH,
 }
+#: Work that a query finds done: name -> callable(spark, sf_dir).  The queries do
+#: it themselves where it was not; a bench times it apart from them.
+PREPARE = {"search_stored": stored_index, "search_bounded": stored_index}
 FLAGSHIP = "select_resources"

@@ -52,6 +52,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads; none if it is absent."""
+    fs, at = _folder(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that the library itself wrote; an absent one is no error."""
+    fs, at = _folder(spark, path)
+    fs.delete(at, True)
+
+
 def text_tasks(spark: SparkSession) -> int | None:
     """``ferret.text.tasks``: tasks to which the registered queries deal whole
     texts before tokenizing.  Unset (the default), a scan's own splits are used."""

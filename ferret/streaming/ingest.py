@@ -39,8 +39,9 @@ def ingest_stream(
 
     Pass the ``base`` of an earlier run to resume it: the checkpoint skips the
     files already ingested, so only new pages are read.  ``index``: a folder in
-    which batch n keeps the index of all batches up to n under ``v<n>``; a batch
-    that is run again rewrites its own version (see :func:`current_index`).
+    which every batch becomes a part of a stored index, written in proportion to
+    the batch (:func:`ferret.operators.index.update_index`); a batch that is run
+    again is found there and not added twice.
     """
     base = base or job_dir(spark, name)
     log_path = f"{base}/hits"
@@ -50,11 +51,10 @@ def ingest_stream(
         write_batch(df, bid, log_path)
         if index is not None:
             hits = last_row(spark.read.parquet(log_path).filter(F.col("batch_id") == bid).drop("batch_id"), ["hit_id"], [])
-            before = current_index(spark, index, bid)
-            if before is None:
-                IX.write_index(IX.build_index(hits), f"{index}/v{bid}")
+            if current_index(spark, index) is None:
+                IX.write_index(IX.build_index(hits), index, bid)
             else:
-                IX.update_index(before, hits, f"{index}/v{bid}")
+                IX.update_index(hits, index, bid)
 
     q = (
         to_hits(stream)
@@ -67,17 +67,9 @@ def ingest_stream(
     return log_path
 
 
-def current_index(spark: SparkSession, index: str, before: int | None = None) -> IX.StoredIndex | None:
-    """The newest version of a stream's index (older than batch ``before``), or none."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(index)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    versions = [int(f.getPath().getName()[1:]) for f in fs.listStatus(path)
-                if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "n/_SUCCESS"))]
-    versions = [v for v in versions if before is None or v < before]
-    return IX.read_index(spark, f"{index}/v{max(versions)}") if versions else None
+def current_index(spark: SparkSession, index: str) -> IX.StoredIndex | None:
+    """A stream's index as far as it has come, or none."""
+    return IX.read_index(spark, index) if IX.has_index(spark, index) else None
 
 
 def hits_view(spark: SparkSession, log_path: str) -> DataFrame:

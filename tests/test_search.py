@@ -2,6 +2,7 @@
 tests, plus a brute-force check against a plain-Python scorer."""
 
 import math
+import random
 from collections import Counter
 
 import regex
@@ -115,4 +116,86 @@ def test_stored_index_gives_the_same_answers(spark, tmp_path):
     assert "In(term" not in answer._jdf.queryExecution().executedPlan().toString()
     # both stored tables are read (by their files: Spark cuts long paths in a plan's text)
     read = answer.inputFiles()
-    assert any("/idx/postings/" in f for f in read) and any("/idx/stats/" in f for f in read)
+    assert any("/idx/part_0_0/postings/" in f for f in read) and any("/idx/part_0_0/stats/" in f for f in read)
+
+
+def _rows(spark, path, part):
+    at = f"{path}/part_{part}"
+    return {t: spark.read.parquet(f"{at}/{t}").count() for t in ("postings", "docs", "gone", "stats")}
+
+
+def test_an_update_writes_what_the_batch_holds(spark, tmp_path):
+    """Rows written by an update, over a small and a four times larger index."""
+    hits = TB.hits(spark, "/root/testdata/sf0.01")
+    written = []
+    for share in (8, 2):
+        path = str(tmp_path / f"idx{share}")
+        IX.write_index(IX.build_index(hits.filter(F.pmod("doc_id", F.lit(share)) == 0)), path)
+        batch = hits.filter("doc_id < 32 or doc_id % 16 = 1 and doc_id < 64").withColumn("title", F.concat("title", F.lit(" again")))
+        IX.update_index(batch, path)
+        written.append(_rows(spark, path, "1_1"))
+        n, replaced = batch.count(), 32 // share
+        assert written[-1]["docs"] == n and written[-1]["gone"] == replaced
+    a, b = written
+    assert a["postings"] == b["postings"] > 0
+    # the counts taken back grow with the hits replaced, not with the index
+    base = spark.read.parquet(f"{tmp_path}/idx2/part_0_0/postings").count()
+    assert b["stats"] < base / 4
+
+
+def test_updates_and_merges_equal_a_rebuild(spark, tmp_path):
+    """Hits added, replaced, replaced again, emptied of their title and left; then merged by tiers, and whole."""
+    words = "red green blue apple pear plum stone water wind fire".split()
+    rng = random.Random(5)
+    cols = "hit_id string, rid string, url string, title string, description string, type string"
+    text = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    now, path = {}, str(tmp_path / "idx")
+    q = spark.createDataFrame([(k, w) for k, w in enumerate(words)] + [(99, "red apple fire")], "qid long, query string")
+    cut = lambda df: sorted((r.qid, r.rank, r.hit_id, r.title, round(r.score, 9)) for r in df.collect())
+    for batch in range(9):
+        rows = [(f"h{i}", "r", f"u{i}", text(2) if rng.random() < 0.9 else None, text(4), "web") for i in rng.sample(range(40), 9 if batch else 30)]
+        now.update({r[0]: r for r in rows})
+        df = spark.createDataFrame(rows, cols)
+        if batch == 0:
+            IX.write_index(IX.build_index(df), path)
+        else:
+            IX.update_index(df, path, version=batch, fan=3)
+            IX.update_index(df, path, version=batch, fan=3)  # a batch run again
+        if batch in (1, 4, 8):
+            want = cut(S.search(q, IX.build_index(spark.createDataFrame(list(now.values()), cols))))
+            assert cut(S.search_stored(q, IX.read_index(spark, path))) == want
+    parts = IX._cover(IX._parts(spark, path))
+    assert parts[0][0] == 0 and parts[-1][1] == 8 and len(parts) < 5  # merged on the way
+    IX.merge_parts(spark, path)
+    assert IX._cover(IX._parts(spark, path)) == [(0, 8)]
+    one = IX.read_index(spark, path)
+    assert cut(S.search_stored(q, one)) == want and one.gone.isEmpty()
+    assert one.postings.count() == IX.build_index(spark.createDataFrame(list(now.values()), cols)).postings.count()
+    IX.merge_tiers(spark, path)
+    assert IX._parts(spark, path) == [(0, 8)]  # what the merge made needless is gone
+    assert one.df(q.select(F.lit("red").alias("term")).distinct()).count() == 2
+
+
+def test_tail_to_merge():
+    # size classes 6, 1, 1, 1 (, 1) and 6, 4, 4, 4 (, 4), 1, 1
+    assert IX.tail_to_merge([10_000, 5, 6, 7], 4) == 0 and IX.tail_to_merge([10_000, 5, 6, 7, 4], 4) == 4
+    assert IX.tail_to_merge([5000, 300, 260, 270, 5, 6], 4) == 0 and IX.tail_to_merge([5000, 300, 260, 270, 290, 5, 6], 4) == 6
+    assert IX.tail_to_merge([], 4) == 0
+
+
+def test_bounded_search_equals_search(spark, tmp_path):
+    """With one part and with replaced hits; any k; blank queries and queries of few hits."""
+    hits = TB.hits(spark, SF001)
+    path = str(tmp_path / "idx")
+    IX.write_index(IX.build_index(hits.withColumn("title", F.lit("old title"))), path)
+    now = IX.update_index(hits.filter("doc_id % 2 = 0"), path)
+    rows = hits.withColumn("title", F.when(F.col("doc_id") % 2 == 0, F.col("title")).otherwise(F.lit("old title")))
+    q = TB.queries(spark, SF001).unionByName(spark.createDataFrame([(900, " "), (901, "qqqq"), (902, "old"), (903, "old old title")], "qid long, query string"))
+    cut = lambda df: sorted((r.qid, r.rank, r.hit_id, r.title, round(r.score, 6)) for r in df.collect())
+    for k in (1, 7, 80):
+        want = cut(S.search(q, IX.build_index(rows), k))
+        assert cut(S.search_bounded(q, now, k)) == want and len(want) > 20
+    terms = S.bounded_terms(q, now, 7)
+    assert terms.filter("essential").count() > 0 and terms.filter("not essential").count() > 0
+    counts = S.joined_postings(q, now, 7).first()
+    assert counts.essential < counts.plain

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferret.llm.common import BIN, INT, LONG, STR, byte_batches, mix64, schema, shared_dir, stored, table, text_or_empty
+from ferret.session import delete
 
 SIZE = 13
 # Distinct words and bytes after which a block is closed: bounds a worker's arrays.
@@ -46,9 +47,9 @@ HALF = np.uint64(32)
 
 SPANS = T.ArrayType(schema(start=LONG, end=LONG, longest=LONG))
 BLOCKS = schema(block=LONG, ord=INT, doc_id=LONG, n=LONG, data=BIN)
-PAGES = schema(block=LONG, bucket=INT, key=BIN, check=BIN, low=BIN)
 FLAGS = schema(block=LONG, bucket=INT, data=BIN)
-STATE = schema(block=LONG, length=INT, n=LONG, repeated=BIN, earlier=BIN)
+# What a block says after a length: its windows that repeat (bucket -1), and its pages of the next length.
+STEPS = schema(block=LONG, bucket=INT, key=BIN, check=BIN, low=BIN, n=LONG, repeated=BIN, earlier=BIN)
 
 
 def lengths(size: int) -> Iterator[int]:
@@ -132,14 +133,21 @@ class Block:
 
     def entries(self, length: int, at: np.ndarray, exact: bool):
         """Distinct windows at the given places: (places in order, entry of each, key, check, least and largest document id)."""
-        some = np.zeros(len(self.sizes), bool)
-        some[self.doc[at]] = True
-        here = some[self.doc]
+        # fingerprints of the words that the windows cover, and of no others
+        edge = np.zeros(self.n + 1, np.int32)
+        edge[at] += 1
+        edge[at + length] -= 1
+        here = np.cumsum(edge[:-1]) > 0
         where = np.cumsum(here)[at] - 1
-        prints = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in self.words]), np.uint64).reshape(-1, 2)
+        place = self.place[here]
+        used = np.zeros(len(self.words), bool)
+        used[place] = True
+        used = np.flatnonzero(used)
+        prints = np.zeros((len(self.words), 2), np.uint64)
+        prints[used] = np.frombuffer(b"".join([xxhash.xxh3_128_digest(self.words[i]) for i in used.tolist()]), np.uint64).reshape(-1, 2)
         out = []
         for k in range(2 if exact else 1):
-            h, width = prints[:, k][self.place[here]], 1
+            h, width = prints[:, k][place], 1
             while width < length:
                 step = min(width, length - width)
                 h[:-step] = mix64(h[:-step] * C1 + h[step:])
@@ -156,21 +164,20 @@ class Block:
         return at, entry, key[first], check[first], low, high
 
 
-def _pages(length: int, before: int, exact: bool, buckets: int, docs: pa.Table, state: pa.Table | None) -> pa.Table:
-    b = Block(docs)
-    block = docs["block"][0].as_py()
-    if state is not None and not len(state):
-        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())], names=PAGES.names)
-    repeated = None if state is None else _unbits(state["repeated"][0].as_py(), b.n)
-    _, _, key, check, low, _ = b.entries(length, b.candidates(length, before, repeated), exact)
+def _page_rows(b: Block, block: int, at: np.ndarray, length: int, exact: bool, buckets: int) -> list[dict]:
+    """The distinct windows at the given places as sorted pages, one per bucket."""
+    _, _, key, check, low, _ = b.entries(length, at, exact)
     # the bucket is the place of the key among all keys, so a page is a slice
     bucket = ((key >> (HALF if exact else np.uint64(16))) * np.uint64(buckets) >> HALF).astype(np.int32)
     used, first = np.unique(bucket, return_index=True)
-    cut = list(zip(first, np.append(first[1:], len(key))))
-    return pa.table([
-        pa.array([block] * len(cut), pa.int64()), pa.array(used, pa.int32()), pa.array([pack(key[i:j].view(np.int64)) for i, j in cut], pa.binary()),
-        pa.array([zstandard.compress(check[i:j].astype(np.uint32).tobytes(), 1) if exact else None for i, j in cut], pa.binary()),
-        pa.array([pack(low[i:j]) if exact else None for i, j in cut], pa.binary())], names=PAGES.names)
+    return [{"block": block, "bucket": int(k), "key": pack(key[i:j].view(np.int64)),
+             "check": zstandard.compress(check[i:j].astype(np.uint32).tobytes(), 1) if exact else None, "low": pack(low[i:j]) if exact else None}
+            for k, i, j in zip(used, first, np.append(first[1:], len(key)))]
+
+
+def _steps(rows: list[dict]) -> pa.Table:
+    types = {"block": pa.int64(), "bucket": pa.int32(), "n": pa.int64()}
+    return pa.table([pa.array([r.get(c) for r in rows], types.get(c, pa.binary())) for c in STEPS.names], names=STEPS.names)
 
 
 def _meet(pages: pa.Table) -> pa.Table:
@@ -199,10 +206,10 @@ def _meet(pages: pa.Table) -> pa.Table:
     return pa.table([pages["block"], pages["bucket"], pa.array([zstandard.compress(x.tobytes(), 1) for x in parts], pa.binary())], names=FLAGS.names)
 
 
-def _judge(length: int, before: int, exact: bool, docs: pa.Table, told: pa.Table) -> pa.Table:
-    """The windows of a block that repeat, from the answers of the buckets (bucket -1: the last length's windows)."""
+def _judge(b: Block, told: pa.Table, length: int, before: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of a block that repeat, and those that an earlier document holds, from
+    the answers of the buckets (bucket -1: the windows of the last length)."""
     told = told.sort_by("bucket")
-    b = Block(docs)
     repeated = None
     if len(told) and told["bucket"][0].as_py() < 0:
         repeated, told = _unbits(told["data"][0].as_py(), b.n), told.slice(1)
@@ -213,16 +220,38 @@ def _judge(length: int, before: int, exact: bool, docs: pa.Table, told: pa.Table
         new[at] = ((flags & 1 > 0) | (low < high))[entry]
         if exact:
             earlier[at] = (flags & 2 > 0)[entry] | (b.id[b.doc[at]] > low[entry])
-    n = int(new.sum())
-    return pa.table([pa.array(x, t) for x, t in (
-        ([docs["block"][0].as_py()], pa.int64()), ([length], pa.int32()), ([n], pa.int64()), ([_bits(new)], pa.binary()), ([_bits(earlier)], pa.binary()))],
-        names=STATE.names).slice(0, 1 if n else 0)
+    return new, earlier
+
+
+def _first(length: int, exact: bool, buckets: int):
+    """Documents of a block -> their pages of the first length."""
+    def step(docs: pa.Table) -> pa.Table:
+        b = Block(docs)
+        return _steps(_page_rows(b, docs["block"][0].as_py(), b.candidates(length, 0, None), length, exact, buckets))
+
+    return step
+
+
+def _next(length: int, before: int, after: int, size: int, buckets: int):
+    """Documents of a block and the answers for ``length`` -> its windows that repeat, and its pages of the length ``after``."""
+    def step(docs: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(told):
+            return _steps([])
+        b, block = Block(docs), docs["block"][0].as_py()
+        new, earlier = _judge(b, told, length, before, length >= size)
+        n = int(new.sum())
+        if not n:
+            return _steps([])
+        state = {"block": block, "bucket": -1, "n": n, "repeated": _bits(new), "earlier": _bits(earlier)}
+        return _steps([state, *_page_rows(b, block, b.candidates(after, length, new), after, after >= size, buckets)])
+
+    return step
 
 
 def _remove(size: int, docs: pa.Table, state: pa.Table) -> pa.Table:
     b = Block(docs)
     longest, edge = np.zeros(b.n, np.int64), np.zeros(b.n + 1, np.int64)
-    for length, raw in sorted(zip(state["length"].to_pylist(), state["earlier"].to_pylist())):
+    for length, raw in sorted(zip(state["bucket"].to_pylist(), state["data"].to_pylist())):
         here = _unbits(raw, b.n)
         longest[here] = length
         if length == size:
@@ -270,37 +299,37 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _steps(length: int, before: int, exact: bool, buckets: int):
-    """The functions of one length over the groups of a block."""
-    return (lambda docs: _pages(length, before, exact, buckets, docs, None), lambda docs, state: _pages(length, before, exact, buckets, docs, state),
-            lambda docs, told: _judge(length, before, exact, docs, told))
-
-
 def _remove_earlier(spark: SparkSession, name: str, size: int) -> DataFrame:
     blocks = lambda: spark.table(name).groupBy("block")
     left = spark.table(name).agg(F.sum("n")).first()[0] or 0
-    before, state, found = 0, None, []
-    for length in lengths(size):
-        exact, buckets = length >= size, max(1, -(-left // BUCKET_WINDOWS))
-        first, page, judge = _steps(length, before, exact, buckets)
-        pages = blocks().applyInArrow(first, PAGES) if state is None else blocks().cogroup(state.groupBy("block")).applyInArrow(page, PAGES)
+    sizes, before = lengths(size), 0
+    length = next(sizes)
+    pages = blocks().applyInArrow(_first(length, length >= size, max(1, -(-left // BUCKET_WINDOWS))), STEPS)
+    state, found = None, spark.createDataFrame([], FLAGS)
+    while left:
         told = stored(pages.groupBy("bucket").applyInArrow(_meet, FLAGS), f"windows-told-{length}")
         if state is not None:
-            told = told.unionByName(state.select("block", F.lit(-1).alias("bucket"), F.col("repeated").alias("data")))
-        state = stored(blocks().cogroup(told.groupBy("block")).applyInArrow(judge, STATE), f"windows-state-{length}")
-        if exact:
-            found.append(state.select("block", "length", "earlier"))
-        before, left = length, state.agg(F.sum("n")).first()[0] or 0
-        if not left:
-            break
-    every = found[0] if found else state.select("block", "length", "earlier")
-    for x in found[1:]:
-        every = every.unionByName(x)
-    out = blocks().cogroup(every.groupBy("block")).applyInArrow(lambda d, s: _remove(size, d, s), T.StructType([
+            # the answers are stored: the pages that asked are of no more use
+            delete(spark, f"{path}/page=true")
+            told = told.unionByName(state.select("block", "bucket", F.col("repeated").alias("data")))
+        after = next(sizes)
+        step = blocks().cogroup(told.groupBy("block")).applyInArrow(_next(length, before, after, size, max(1, -(-left // BUCKET_WINDOWS))), STEPS)
+        path = f"{shared_dir(spark)}/windows-step-{length}-{uuid.uuid4().hex}"
+        step.withColumn("page", F.col("bucket") >= 0).write.option("compression", "zstd").partitionBy("page").parquet(path)
+        step = spark.read.schema(f"{STEPS.toDDL()}, page boolean").parquet(path)
+        pages, state = step.where("page"), step.where("not page")
+        if length >= size:
+            found = found.unionByName(state.select("block", F.lit(length).alias("bucket"), F.col("earlier").alias("data")))
+        before, length, left = length, after, state.agg(F.sum("n")).first()[0] or 0
+    out = blocks().cogroup(found.groupBy("block")).applyInArrow(_removed(size), T.StructType([
         T.StructField("doc_id", LONG), T.StructField("n_words", LONG), T.StructField("spans", SPANS), T.StructField("kept", STR)]))
     return stored(out, "windows-kept")
 
 
+def _removed(size: int):
+    return lambda docs, state: _remove(size, docs, state)
+
+
 def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_earlier(table(spark, sf_dir, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

@@ -51,25 +51,31 @@ class Lattice:
     """All pieces inside a list of words, as edges (word, start, end, piece)."""
 
     def __init__(self, pieces: list[str]):
-        self.id = {p: k for k, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces), default=1)
         self.none = len(pieces)
+        # every piece by number, and every beginning of one (-1), so that a start
+        # is followed only as far as some piece goes on
+        self.id = dict.fromkeys((p[:j] for p in pieces for j in range(1, len(p))), -1)
+        self.id.update((p, k) for k, p in enumerate(pieces))
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        ids, longest, none = self.id, self.longest, self.none
+        get, none = self.id.get, self.none
         word, start, end, piece = [], [], [], []
         for k, w in enumerate(words):
             w = "▁" + w
             n = len(w)
             for i in range(n):
-                p = ids.get(w[i], none)
+                p = get(w[i])
                 word.append(k)
                 start.append(i)
                 end.append(i + 1)
-                piece.append(p)
-                for j in range(i + 2, min(n, i + longest) + 1):
-                    p = ids.get(w[i:j])
-                    if p is not None:
+                piece.append(none if p is None or p < 0 else p)
+                if p is None:
+                    continue
+                for j in range(i + 2, n + 1):
+                    p = get(w[i:j])
+                    if p is None:
+                        break
+                    if p >= 0:
                         word.append(k)
                         start.append(i)
                         end.append(j)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferret.llm.common import BIN, INT, LONG, STR, byte_batches, mix64, schema, shared_dir, stored, table, text_or_empty
+from ferret.llm.common import BIN, INT, LONG, STR, byte_batches, schema, shared_dir, stored, table, text_or_empty
 from ferret.session import delete
 
 SIZE = 13
@@ -43,7 +43,7 @@ BLOCK_BYTES = 8_000_000
 # Windows of the whole table per bucket of fingerprints: bounds one task's pages.
 BUCKET_WINDOWS = 1_000_000
 C1 = np.uint64(0x9E3779B97F4A7C15)
-HALF = np.uint64(32)
+HALF, SHIFT = np.uint64(32), np.uint64(29)
 
 SPANS = T.ArrayType(schema(start=LONG, end=LONG, longest=LONG))
 BLOCKS = schema(block=LONG, ord=INT, doc_id=LONG, n=LONG, data=BIN)
@@ -105,6 +105,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
+def _groups(key: np.ndarray, check: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (key, check) and the first place of each distinct pair; equal pairs in any order."""
+    order = np.argsort(key)
+    k = key[order]
+    new = k[1:] != k[:-1]
+    if check is not None and (check[order][1:] != check[order][:-1])[~new].any():
+        # one key, two checks: all but never
+        order = np.lexsort((check, key))
+        new |= check[order][1:] != check[order][:-1]
+    return order, np.flatnonzero(np.concatenate([[True], new])[:len(key)])
+
+
 class Block:
     """The documents of one block; word positions count through the whole block."""
 
@@ -150,14 +162,16 @@ class Block:
             h, width = prints[:, k][place], 1
             while width < length:
                 step = min(width, length - width)
-                h[:-step] = mix64(h[:-step] * C1 + h[step:])
+                both = h[:-step] * C1
+                both += h[step:]
+                both ^= both >> SHIFT
+                h[:-step] = both
                 width += step
             out.append(h[where])
         key = out[0] if exact else out[0] >> np.uint64(16)
-        check = out[1] >> HALF if exact else np.zeros(len(key), np.uint64)
-        order = np.lexsort((check, key)) if exact else np.argsort(key, kind="stable")
-        key, check, at = key[order], check[order], at[order]
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])[:len(key)])
+        check = out[1] >> HALF if exact else None
+        order, first = _groups(key, check)
+        key, check, at = key[order], check[order] if exact else key, at[order]
         entry = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
         ids = self.id[self.doc[at]]
         low, high = (f.reduceat(ids, first) if len(first) else ids for f in (np.minimum, np.maximum))
@@ -169,10 +183,10 @@ def _page_rows(b: Block, block: int, at: np.ndarray, length: int, exact: bool, b
     _, _, key, check, low, _ = b.entries(length, at, exact)
     # the bucket is the place of the key among all keys, so a page is a slice
     bucket = ((key >> (HALF if exact else np.uint64(16))) * np.uint64(buckets) >> HALF).astype(np.int32)
-    used, first = np.unique(bucket, return_index=True)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
     return [{"block": block, "bucket": int(k), "key": pack(key[i:j].view(np.int64)),
              "check": zstandard.compress(check[i:j].astype(np.uint32).tobytes(), 1) if exact else None, "low": pack(low[i:j]) if exact else None}
-            for k, i, j in zip(used, first, np.append(first[1:], len(key)))]
+            for k, i, j in zip(bucket[first], first, np.append(first[1:], len(key)))]
 
 
 def _steps(rows: list[dict]) -> pa.Table:
@@ -189,12 +203,7 @@ def _meet(pages: pa.Table) -> pa.Table:
     if exact:
         check = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.uint32) for x in pages["check"]])
         low = np.concatenate([unpack(x.as_py()) for x in pages["low"]])
-        order = np.lexsort((check, key))
-        new = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
-    else:
-        order = np.argsort(key, kind="stable")
-        new = key[order][1:] != key[order][:-1]
-    first = np.flatnonzero(np.concatenate([[True], new]))
+    order, first = _groups(key, check if exact else None)
     many = np.diff(np.append(first, len(key)))
     flags = np.empty(len(key), np.uint8)
     flags[order] = np.repeat(many > 1, many)

@@ -78,11 +78,21 @@ def conform(df: DataFrame, mimetype: str = DEFAULT_MIMETYPE, testquery: str = DE
 
 def last_row(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row per key in a total order: ``order`` columns, then a hash of
-    the whole row, so equal sequence numbers give the same winner on every run."""
-    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in order], F.col("_tie").desc(), F.col("_row").desc())
-    row = F.to_json(F.struct(*[F.col(c) for c in df.columns]))
-    return (df.withColumn("_row", row).withColumn("_tie", F.xxhash64("_row"))
-            .withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_tie", "_row"))
+    128 bits of the whole row, so equal sequence numbers give the same winner on
+    every run.  Only the hash is sorted, never the row's text."""
+    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in order], F.col("_tie").desc(), F.col("_tie2").desc())
+    row = [_hashable(f) for f in df.schema.fields]
+    return (df.withColumns({"_tie": F.xxhash64(F.lit(0), *row), "_tie2": F.xxhash64(F.lit(1), *row)})
+            .withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_tie", "_tie2"))
+
+
+def _hashable(field: Ty.StructField) -> Column:
+    """A column as Spark hashes it: a map by its sorted entries, other types that hold one (or a VARIANT) as text."""
+    t = field.dataType
+    flat = t.simpleString()
+    if isinstance(t, Ty.MapType) and "map" not in t.valueType.simpleString() and "variant" not in flat:
+        return F.array_sort(F.map_entries(F.col(field.name)))
+    return F.to_json(F.struct(F.col(field.name))) if "map" in flat or "variant" in flat else F.col(field.name)
 
 
 def _changed_sql(a: str, b: str) -> str:

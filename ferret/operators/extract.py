@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ferret.functions import text as T
 from ferret.functions import urls as U
 from ferret.operators.catalog import DEFAULT_MIMETYPE
+from ferret.session import materialize_small
 from ferret.sources import pages as PG
 
 MAX_ITEMS = 30  # T9: default number of items taken per page
@@ -42,17 +43,22 @@ OUT = ["page_id", "pos", "fields", "error"]
 def extract_links(pages: DataFrame, item_tag: str = "li", rid=None, limit: int | None = None) -> DataFrame:
     """Native X1 for ``//<item_tag>`` items with title = ``./a`` and url = ``./a/@href``.
 
+    Items need not be closed, links may be quoted in either way or not at all,
+    and an item that holds a list keeps the link before it.
     ``pages``: (page_id, url, html).  ``limit`` (T9) keeps the first items of a
     page only; none keeps all.  Returns (page_id, pos, title, url, rid).
     Items without a title and without a url are dropped (an empty field is an
     absent field, and a hit needs a title or a rid).
     """
-    items = F.regexp_extract_all("html", F.lit(rf"(?is)<{item_tag}\b[^>]*>(.*?)</{item_tag}>"), 1)
+    # an item reaches from its opening tag to the next one, or to its own or its list's end
+    parts = F.split("html", rf"(?i)<{item_tag}(?:\s[^>]*|/)?>")
+    items = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda x: F.regexp_replace(x, rf"(?is)</(?:{item_tag}|ul|ol|menu)\s*>.*", ""))
     if limit is not None:
         items = F.slice(items, 1, limit)
     p = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(items).alias("pos", "item"))
-    title = T.clean_extracted(F.regexp_extract("item", r"(?is)<a\b[^>]*>(.*?)</a>", 1))
-    href = F.regexp_extract("item", r"(?is)<a\b[^>]*\bhref\s*=\s*\"([^\"]*)\"", 1)
+    title = T.clean_extracted(F.regexp_extract("item", r"(?is)<a(?:\s[^>]*)?>(.*?)(?:</a\s*>|\z)", 1))
+    quoted = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    href = F.concat(*[F.regexp_extract("item", quoted, k) for k in (1, 2, 3)])
     link = T.clean_extracted(U.absolute_url(F.col("page_url"), F.when(href != F.lit(""), href)))
     out = p.select(
         "page_id",
@@ -245,78 +251,168 @@ def _quoted(path: str) -> str:
 
 # --- X3, X4: JSON -----------------------------------------------------------
 
-MEMBERS = re.compile(r"^(?:\.?/{0,2})?([\w-]+(?:/[\w-]+)*)$")
+STEPS = re.compile(r"^(\.?//|\.?/|)([A-Za-z_][\w.-]*(?:/[A-Za-z_][\w.-]*)*)$")
+# Levels of a page that one pass walks before what is left is stored.
+WALK = 12
 
 
-def _members(path: str) -> list[str] | None:
-    m = MEMBERS.match(path.strip())
-    return m.group(1).split("/") if m else None
+def _steps(path: str) -> tuple[bool, list[str]] | None:
+    """A path as (at any depth?, names), or none if it is not supported."""
+    m = STEPS.match(path.strip())
+    return (m.group(1).endswith("//"), m.group(2).split("/")) if m else None
 
 
-def _json_path(members: list[str]) -> str:
-    return "$" + "".join(f"['{m}']" for m in members)
+def _members(v: Column) -> Column:
+    """The named values below a JSON value, as an array of (name, v).
+
+    A member that is an array gives one value per element, all of its name; the
+    elements of an array that has no name (at the top, or in an array) are named
+    ``list``.  Members come in the order of their names, elements as they stand.
+    """
+    def elements(name: Column, x: Column) -> Column:
+        return F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda o: F.struct(name.alias("name"), o.alias("v")))
+
+    def of(e: Column) -> Column:
+        name = T.json_element_name(e["key"])
+        return F.coalesce(elements(name, e["value"]), F.array(F.struct(name.alias("name"), e["value"].alias("v"))))
+
+    below = F.flatten(F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), of))
+    return F.coalesce(below, elements(F.lit("list"), v), F.array().cast("array<struct<name:string,v:variant>>"))
+
+
+def _child_values(v: Column, names: list[str]) -> Column:
+    """All values at the end of a chain of names below ``v``, as an array."""
+    def named(name: str):
+        return lambda x: F.transform(F.filter(_members(x), lambda m: m["name"] == F.lit(name)), lambda m: m["v"])
+
+    values = F.array(v)
+    for name in names:
+        values = F.flatten(F.transform(values, named(name)))
+    return values
+
+
+def _text(values: Column) -> Column:
+    """The scalars of an array of values as text, joined by a space; objects and arrays have no text."""
+    plain = F.filter(values, lambda x: ~F.schema_of_variant(x).rlike("^(OBJECT|ARRAY|VOID)"))
+    return F.array_join(F.transform(plain, lambda x: x.cast("string")), " ")
 
 
-def _member_text(v: Column, members: list[str]) -> Column:
-    """A scalar as text, an array of scalars joined by a space; objects have no text."""
-    at = _json_path(members)
-    one = F.try_variant_get(v, at, "variant")
-    kind = F.schema_of_variant(one)
-    many = F.try_variant_get(v, at, "array<variant>")
-    plain = F.filter(many, lambda x: ~F.schema_of_variant(x).rlike("^(OBJECT|ARRAY|VOID)"))
-    texts = F.transform(plain, lambda x: x.cast("string"))
-    return F.when(kind.startswith("ARRAY"), F.array_join(texts, " ")).when(~kind.rlike("^(OBJECT|VOID)"), one.cast("string"))
+def _descend(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Values below ``v`` whose chain of names ends with ``names``, at any depth.
+
+    ``rows``: some columns and ``v``; returns them with ``at`` (the places that
+    lead to a value) and ``v``, one row per value.  Every level is one explode of
+    the values that are left; ``WALK`` levels make one pass, after which the
+    values found and left are stored, until none is left: a page is walked to
+    its end, however deep.
+    """
+    keys = [c for c in rows.columns if c != "v"]
+    want = F.array(*[F.lit(n) for n in names])
+    found = lambda n: F.slice(n, F.greatest(F.size(n) - len(names) + 1, F.lit(1)), len(names)) == want
+    node = rows.select(*keys, F.struct(F.array().cast("array<string>").alias("names"), F.array().cast("array<int>").alias("at"), F.col("v").alias("v"),
+                                       F.lit(True).alias("open")).alias("n"))
+    none = F.array().cast("array<struct<names:array<string>,at:array<int>,v:variant,open:boolean>>")
+    while True:
+        for _ in range(WALK):
+            n = F.col("n")
+            below = F.transform(_members(n["v"]), lambda m, i: F.struct(
+                F.concat(F.col("n.names"), F.array(m["name"])).alias("names"), F.concat(F.col("n.at"), F.array(i)).alias("at"), m["v"].alias("v"),
+                F.lit(True).alias("open")))
+            itself = F.array(F.struct(n["names"].alias("names"), n["at"].alias("at"), n["v"].alias("v"), F.lit(False).alias("open")))
+            node = node.select(*keys, F.explode(F.concat(
+                F.when(~n["open"] | found(n["names"]), itself).otherwise(none), F.when(n["open"], below).otherwise(none))).alias("n"))
+        node = materialize_small(node)
+        if node.filter("n.open").isEmpty():
+            return node.select(*keys, "n.at", "n.v")
+
+
+def _below(rows: DataFrame, path: tuple[bool, list[str]]) -> DataFrame:
+    """Values of a path below ``v``, one row each, with their place ``at``."""
+    deep, names = path
+    if deep:
+        return _descend(rows, names)
+    keys = [c for c in rows.columns if c != "v"]
+    return rows.select(*keys, F.posexplode(_child_values(F.col("v"), names)).alias("i", "v")).select(*keys, F.array("i").alias("at"), "v")
 
 
 def _json_rows(items: DataFrame, extractors: dict[str, str], limit: int) -> DataFrame:
-    """(page_id, url, items array<variant>) -> rows of the first ``limit`` items."""
-    paths = {f: _members(p) for f, p in extractors.items()}
-    flat = items.select("page_id", "url", F.posexplode(F.slice("items", 1, limit)).alias("at", "v"))
-    return flat.select("page_id", "url", (F.col("at") + 1).alias("pos"), _map({f: _member_text(F.col("v"), p) for f, p in paths.items()}).alias("fields"),
-                       F.lit(None).cast("string").alias("error"))
+    """(page_id, url, at, v), one item each -> rows of the first ``limit`` items of a page."""
+    paths = {f: _steps(p) for f, p in extractors.items()}
+    order = Window.partitionBy("page_id").orderBy("at")
+    rows = items.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= limit)
+    deep = {f: p[1] for f, p in paths.items() if p[0]}
+    if deep:
+        rows = materialize_small(rows)
+    fields = _map({f: F.nullif(_text(_child_values(F.col("v"), p[1])), F.lit("")) for f, p in paths.items() if not p[0]})
+    out = rows.select("page_id", "url", "pos", fields.alias("fields"))
+    for f, names in deep.items():
+        texts = _descend(rows.select("page_id", "pos", "v"), names).groupBy("page_id", "pos").agg(
+            F.array_sort(F.collect_list(F.struct("at", _text(F.array("v")).alias("t")))).alias("t"))
+        text = F.array_join(F.filter(F.transform("t", lambda x: x["t"]), lambda x: x != ""), " ")
+        out = out.join(texts.select("page_id", "pos", text.alias("t")), ["page_id", "pos"], "left").select(
+            "page_id", "url", "pos", F.map_concat("fields", F.create_map(F.lit(f), F.col("t"))).alias("fields"))
+    return out.withColumn("error", F.lit(None).cast("string"))
+
+
+def _wrong_path(paths) -> str | None:
+    return next((p for p in paths if _steps(p) is None), None)
 
 
 def _json_page_rows(pages: DataFrame, itempath: str, extractors: dict[str, str], limit: int) -> DataFrame:
     """Rows of JSON pages with values as they stand (url as ``url``), error rows included."""
-    item = _members(itempath)
-    wrong = next((p for p in extractors.values() if _members(p) is None), None if item else itempath)
+    wrong = _wrong_path([itempath, *extractors.values()])
     if wrong is not None:
         return _errors(pages, f"Path not supported: {wrong}").withColumn("url", F.lit(None).cast("string"))
     v = pages.select("page_id", "url", F.try_parse_json("html").alias("v"))
-    none = F.array().cast("array<variant>")
-    at = _json_path(item)
-    one = F.try_variant_get("v", at, "variant")
-    # an array of items, or one item; a top-level array is the member ``list``
-    top = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), none) if item == ["list"] else none
-    items = F.coalesce(F.try_variant_get("v", at, "array<variant>"), F.when(one.isNotNull(), F.array(one)), top)
-    good = v.filter("v is not null").select("page_id", "url", items.alias("items"))
-    return _json_rows(good, extractors, limit).unionByName(
+    items = _below(v.filter("v is not null"), _steps(itempath))
+    return _json_rows(items, extractors, limit).unionByName(
         _errors(v.filter("v is null"), "Malformed JSON").withColumn("url", F.lit(None).cast("string")))
 
 
 def extract_json(pages: DataFrame, itempath: str, extractors: dict[str, str], limit: int = MAX_ITEMS) -> DataFrame:
     """(page_id, pos, fields, error) for JSON pages (page_id, url, html).
 
-    ``itempath`` names the member that holds the items, from the top of the page
-    (``//hits``, ``/a/b``); a top-level array is the member ``list``.  An object
-    is one item.  Field paths name members below an item (``./a/b``).
+    ``//a/b`` finds members b of members a at any depth, ``/a/b`` (or ``a/b``)
+    those from the top.  Every element of an array is a value of the array's
+    name, and of ``list`` where it has none.  Items come in the order of the
+    page, members of one object in the order of their names.  Field paths name
+    members below an item: ``./a/b``, or ``.//a`` at any depth.
     """
     return _finish(_json_page_rows(pages, itempath, extractors, limit), F.col("url"))
 
 
-def extract_callback(pages: DataFrame, extractors: dict[str, str], limit: int = MAX_ITEMS) -> DataFrame:
-    """JavaScript callback pages: every flat ``{...}`` that parses is an item,
-    others are skipped.  A page with an object inside an object is reported as
-    an error row: its items cannot be told apart by a pattern.
+# A text in quotes, a brace, or a stretch without either (a quote that is never closed stands alone).
+SCRIPT_TOKENS = r"(?s)\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|[{}]|[^\"{}]++|\""
+
+
+def _script_objects(pages: DataFrame) -> DataFrame:
+    """(page_id, url, at, text): every outermost ``{...}`` of a script whose braces balance.
+
+    The script is cut into tokens, so braces in quoted texts do not count; the
+    running sum of braces is an object's depth (a closing brace without an
+    opening one is passed over), and an object reaches to where it is 0 again.
     """
-    wrong = next((p for p in extractors.values() if _members(p) is None), None)
+    tok = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(SCRIPT_TOKENS), 0)).alias("i", "tok"))
+    w = Window.partitionBy("page_id").orderBy("i")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)
+    tok = tok.withColumn("sum", F.sum(step).over(upto))
+    tok = tok.withColumn("depth", F.col("sum") - F.least(F.min("sum").over(upto), F.lit(0)))
+    tok = tok.withColumn("before", F.coalesce(F.lag("depth").over(w), F.lit(0)))
+    tok = tok.withColumn("object", F.sum(((F.col("before") == 0) & (F.col("depth") == 1)).cast("int")).over(upto))
+    inside = tok.filter((F.col("depth") > 0) | (F.col("before") > 0))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "tok"))), lambda x: x["tok"]), "")
+    whole = inside.groupBy("page_id", "url", "object").agg(text.alias("text"), F.min("depth").alias("low"))
+    return whole.filter("low = 0").select("page_id", "url", F.array("object").alias("at"), "text")
+
+
+def extract_callback(pages: DataFrame, extractors: dict[str, str], limit: int = MAX_ITEMS) -> DataFrame:
+    """JavaScript callback pages: every outermost ``{...}`` that parses is an item, others are skipped."""
+    wrong = _wrong_path(extractors.values())
     if wrong is not None:
         return _errors(pages, f"Path not supported: {wrong}")
-    nested = F.coalesce(F.col("html"), F.lit("")).rlike(r"\{[^{}]*\{[^{}]*\}")
-    parsed = F.transform(F.regexp_extract_all("html", F.lit(r"\{[^{}]*\}"), 0), lambda x: F.try_parse_json(x))
-    items = pages.filter(~nested).select("page_id", "url", F.filter(parsed, lambda x: x.isNotNull()).alias("items"))
-    return _finish(_json_rows(items, extractors, limit), F.col("url")).unionByName(
-        _errors(pages.filter(nested), "Nested objects are not supported"))
+    items = _script_objects(pages).select("page_id", "url", "at", F.try_parse_json("text").alias("v")).filter("v is not null")
+    return _finish(_json_rows(items, extractors, limit), F.col("url"))
 
 
 # --- X5, X6: one format inside the other ---------------------------------------
@@ -333,14 +429,15 @@ def extract_json_of_html(pages: DataFrame, itempath: str, member: str, extractor
 
 def extract_html_with_json(pages: DataFrame, tag: str, attribute: str, extractors: dict[str, str], limit: int = MAX_ITEMS) -> DataFrame:
     """HTML pages whose ``tag`` elements hold a JSON object in ``attribute``; field paths are its members."""
-    wrong = next((p for p in extractors.values() if _members(p) is None), None)
+    wrong = _wrong_path(extractors.values())
     if wrong is not None:
         return _errors(pages, f"Path not supported: {wrong}")
     pattern = rf"(?is)<{tag}\b[^>]*?\b{attribute}\s*=\s*(?:'(\{{[^']*\}})'|\"(\{{[^\"]*\}})\")"
     raw = [F.regexp_extract_all("html", F.lit(pattern), k) for k in (1, 2)]
     text = F.zip_with(*raw, lambda a, b: F.regexp_replace(F.regexp_replace(F.concat(a, b), "&quot;|&#34;", "\""), "&amp;", "&"))
     items = F.filter(F.transform(text, lambda x: F.try_parse_json(x)), lambda x: x.isNotNull())
-    return _finish(_json_rows(pages.select("page_id", "url", items.alias("items")), extractors, limit), F.col("url"))
+    flat = pages.select("page_id", "url", F.posexplode(items).alias("i", "v")).select("page_id", "url", F.array("i").alias("at"), "v")
+    return _finish(_json_rows(flat, extractors, limit), F.col("url"))
 
 
 # --- X7 ---------------------------------------------------------------------

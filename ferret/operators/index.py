@@ -37,9 +37,12 @@ class Index:
         return self.docs.select(F.count(F.lit(1))).scalar()
 
 
-def build_index(hits: DataFrame, text_cols=("title", "description", "url", "rid", "type"), tasks: int | None = None) -> Index:
+def build_index(hits: DataFrame, text_cols=("title", "description", "url", "rid", "type"), tasks: int | None = None, members: str | None = None) -> Index:
     """R2: index every hit that has a title.
 
+    The indexed text (F6) is made of ``text_cols``, or of all values of the map
+    column ``members``, whatever their names.
+
     Both fields are tokenized in one pass over the text: one ``explode`` of an
     array of (field, term) structs.  ``tasks`` deals the hits to that many tasks
     first (a shuffle of the texts): of use only where a table is one row group.
@@ -50,7 +53,7 @@ def build_index(hits: DataFrame, text_cols=("title", "description", "url", "rid"
     if tasks:
         indexable = indexable.repartition(tasks, F.xxhash64("hit_id"))
     tagged = F.concat(
-        F.transform(T.analyze_distinct(T.hit_text(*text_cols)), lambda t: F.struct(F.lit("terms").alias("field"), t.alias("term"))),
+        F.transform(T.analyze_distinct(T.hit_text(*text_cols) if members is None else F.array_join(F.map_values(members), " ")), lambda t: F.struct(F.lit("terms").alias("field"), t.alias("term"))),
         F.transform(T.analyze_distinct("title"), lambda t: F.struct(F.lit("title").alias("field"), t.alias("term"))),
     )
     postings = indexable.select(F.inline(tagged), "hit_id")

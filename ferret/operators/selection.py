@@ -54,16 +54,54 @@ def resource_name_score(queries: DataFrame, resources: DataFrame) -> DataFrame:
     return qtok.join(rtok, "tok").groupBy("qid", "id").agg(F.sum("cnt").cast("double").alias("name_score"))
 
 
+# Characters of a gram in the substring join.
+GRAM = 3
+
+
+def _grams(text: str, sizes) -> Column:
+    """(gram, at) of every place of ``text`` for each gram size (an array of structs)."""
+    def of(n):
+        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.substring(F.col(text), i, F.lit(n)).alias("gram"), i.alias("at")))
+
+    return F.concat(*[of(n) for n in sizes])
+
+
+def containing(wanted: DataFrame, texts: DataFrame, w: str = "wanted", t: str = "text", gram: int = GRAM) -> DataFrame:
+    """(w, t): every pair of distinct values where the text contains the wanted one.
+
+    An equi-join instead of a test of every pair: a wanted text is represented by
+    one of its grams with its place in it -- the one that the fewest texts hold
+    -- and meets only the texts that hold this gram; there the rest is compared
+    at the place the gram tells.  Wanted texts shorter than ``gram`` are their
+    own gram.  An empty wanted text is in every text, null ones included; null
+    is nowhere.  What is joined grows with the texts that hold the rarest gram.
+    """
+    texts, wanted = texts.select(t).distinct(), wanted.select(w).filter(F.col(w).isNotNull()).distinct()
+    places = texts.filter(F.col(t).isNotNull()).select(t, F.inline(_grams(t, range(1, gram + 1))))
+    size = F.least(F.length(w), F.lit(gram))
+    asked = wanted.filter(F.col(w) != "").select(w, F.inline(_grams(w, range(1, gram + 1)))).filter(F.length("gram") == size)
+    # only grams that are asked for are counted and joined
+    places = places.join(asked.select("gram").distinct(), "gram", "left_semi")
+    held = places.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = Window.partitionBy(w).orderBy(F.coalesce("n", F.lit(0)), "at")
+    mark = (asked.join(held, "gram", "left").withColumn("r", F.row_number().over(rare)).filter("r = 1 and n is not null")
+            .select(w, "gram", F.col("at").alias("off")))
+    at = F.col("at") - F.col("off") + 1
+    pairs = mark.join(places, "gram").filter((at > 0) & (F.substring(F.col(t), at, F.length(w)) == F.col(w))).select(w, t).distinct()
+    every = texts.withColumn(w, F.lit("")).join(wanted.filter(F.col(w) == ""), w).select(w, t)
+    return pairs.unionByName(every)
+
+
 def types_matched(queries: DataFrame, resources: DataFrame) -> DataFrame:
     """(wanted, type): which distinct resource type text satisfies which distinct
     wanted text (P2).
 
-    A match is a substring test, so it is made between the two dictionaries of
-    distinct texts, once per pair of values; rows meet by equality on both.
+    A match is a substring test, made between the two dictionaries of distinct
+    texts (:func:`containing`); rows meet by equality on both.
     """
-    wanted = queries.select(F.coalesce("qtype", F.lit("")).alias("wanted")).distinct()
-    types = resources.select("type").distinct()
-    return wanted.join(types, type_matches(F.col("type"), F.col("wanted")))
+    wanted = queries.select(F.coalesce("qtype", F.lit("")).alias("wanted"))
+    return containing(wanted, resources.select("type"), "wanted", "type")
 
 
 def top_resources(queries: DataFrame, resources: DataFrame, k: int, now: Column) -> DataFrame:

@@ -459,15 +459,20 @@ def absolute_url_sql(base: str, url: str) -> str:
       ELSE (CASE WHEN {last0} > 10 THEN substr({base}, 1, {last0} + 1) ELSE {base} || '/' END) || {url} END)"""
 
 
+# the pages in other ways of markup (derived here as the query derives them)
+MARKED_UP = """(CASE WHEN page_id % 8 = 4 THEN replace(replace(html, '<nav><ul>', '<nav><ul><li><a href="/top">Top</a><ul>'), '</ul></nav>', '</ul></li></ul></nav>')
+ WHEN page_id % 4 = 1 THEN replace(html, '</li>', '') WHEN page_id % 4 = 2 THEN regexp_replace(html, 'href="([^"]*)"', concat('href=', chr(39), '\\1', chr(39)), 'g')
+ WHEN page_id % 4 = 3 THEN regexp_replace(html, 'href="([^"\\s]+)"', 'href=\\1', 'g') ELSE html END)"""
+HREF = """coalesce(nullif(regexp_extract(item, '(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*"([^"]*)"', 1), ''),
+  nullif(regexp_extract(item, '(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*\\x27([^\\x27]*)\\x27', 1), ''), nullif(regexp_extract(item, '(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*([^\\s"\\x27>]+)', 1), ''))"""
 EXTRACT_LINKS = f"""
 WITH it AS (
   SELECT page_id, page_url, unnest(items) AS item, generate_subscripts(items, 1) AS pos
-  FROM (SELECT page_id, url AS page_url,
-               regexp_extract_all(repeat(html, 8), '(?is)<li\\b[^>]*>(.*?)</li>', 1)[1:30] AS items FROM pages)),
+  FROM (SELECT page_id, url AS page_url, list_transform(string_split_regex(repeat({MARKED_UP}, 8), '(?i)<li(?:\\s[^>]*|/)?>')[2:],
+               lambda x: regexp_replace(x, '(?is)</(?:li|ul|ol|menu)\\s*>.*', ''))[1:30] AS items FROM pages)),
 f AS (
   SELECT page_id, pos, page_url,
-         {clean_sql("regexp_extract(item, '(?is)<a\\b[^>]*>(.*?)</a>', 1)")} AS t,
-         nullif(regexp_extract(item, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*"([^"]*)"', 1), '') AS href
+         {clean_sql("regexp_extract(item, '(?is)<a(?:\\s[^>]*)?>(.*?)(?:</a\\s*>|$)', 1)")} AS t, {HREF} AS href
   FROM it),
 g AS (
   SELECT page_id, CAST(pos AS INTEGER) AS pos, nullif(t, '') AS title,
@@ -538,7 +543,7 @@ FROM res"""
 
 ALL_LINKS = EXTRACT_LINKS.replace("[1:30]", "")
 
-CATALOG_FROM_PAGES = ALL_LINKS.replace("repeat(html, 8)", "html").replace("SELECT * FROM g WHERE title IS NOT NULL OR url IS NOT NULL", """,
+CATALOG_FROM_PAGES = ALL_LINKS.replace(f"repeat({MARKED_UP}, 8)", MARKED_UP).replace("SELECT * FROM g WHERE title IS NOT NULL OR url IS NOT NULL", """,
 links AS (SELECT * FROM g WHERE title IS NOT NULL OR url IS NOT NULL),
 firsts AS (SELECT url AS rid, arg_min(page_id, (page_id, pos)) AS page, arg_min(pos, (page_id, pos)) AS pos
            FROM links WHERE url IS NOT NULL GROUP BY url),
@@ -625,13 +630,39 @@ UNION ALL SELECT c_custkey, 2, 'second of ' || CAST(c_custkey AS VARCHAR), NULL,
 UNION ALL SELECT c_custkey, 0, NULL, NULL, NULL, '{error}' FROM customer WHERE ({where}) AND c_custkey % 10 = 3 AND {broken}"""
 
 
+def json_items_sql(where: str, note: str) -> str:
+    """The four items of every made JSON page; members of an object come in the order of their names."""
+    shift = made_items_sql(where, note, "Malformed JSON")
+    more = "".join(f"""
+UNION ALL SELECT c_custkey, {k}, '{t} of ' || CAST(c_custkey AS VARCHAR), NULL, NULL, NULL FROM customer WHERE ({where}) AND c_custkey % 10 <> 3"""
+                   for k, t in ((1, "third"), (2, "fourth")))
+    return f"SELECT page_id, CAST(CASE WHEN pos > 0 THEN pos + 2 ELSE 0 END AS INTEGER) AS pos, title, url, note, error FROM ({shift}) {more}"
+
+
 EXTRACT_XML = made_items_sql("true", "c_mktsegment || ' x'", "Malformed XML")
-EXTRACT_JSON = made_items_sql("true", "c_mktsegment || ' x'", "Malformed JSON")
-EXTRACT_CALLBACK = made_items_sql("true", "c_mktsegment || ' x'", "Nested objects are not supported")
+EXTRACT_JSON = json_items_sql("true", "c_mktsegment || ' x'")
+# every tenth page starts with an object of its own
+EXTRACT_CALLBACK = f"""
+SELECT page_id, CAST(pos + CASE WHEN page_id % 10 = 3 THEN 1 ELSE 0 END AS INTEGER) AS pos, title, url, note, error
+FROM ({made_items_sql("true", "c_mktsegment || ' x'", "", broken=False)})
+UNION ALL SELECT c_custkey, 1, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 10 = 3"""
+EXTRACT_JSON_OF_HTML = made_items_sql("true", "c_mktsegment || ' x'", "Malformed JSON")
+# a page that is broken off holds its first item still
+EXTRACT_HTML_WITH_JSON = f"""
+SELECT * FROM ({made_items_sql("true", "c_mktsegment || ' x'", "")}) WHERE pos > 0
+UNION ALL SELECT * FROM ({made_items_sql("c_custkey % 10 = 3", "c_mktsegment || ' x'", "", broken=False)}) WHERE pos = 1"""
+PARSE_RESOURCES = """
+WITH s AS (SELECT *, s_suppkey % 7 > 0 AS whole FROM supplier WHERE s_suppkey % 9 <> 4)
+SELECT 's' || CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, CASE WHEN whole THEN 'https://{host?}/q={searchTerms}' END AS apitemplate,
+  CASE WHEN whole THEN round(s_acctbal, 6) END AS prior, CAST(CASE WHEN whole THEN s_suppkey % 50 ELSE 1000 END AS INTEGER) AS maxqueriesperday,
+  s_suppkey % 5 = 0 AS deleted, 'application/result-page+json' AS mimetype, 'test' AS testquery, CASE WHEN s_suppkey % 3 = 0 THEN './a/@href' END AS url_path,
+  false AS bad
+FROM s
+UNION ALL SELECT NULL, s_name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true FROM supplier WHERE s_suppkey % 9 = 4"""
 EXTRACT_RESULT_PAGES = f"""
 WITH a AS ({made_items_sql("c_custkey % 5 = 0", "NULL", "Malformed JSON")}),
 b AS ({made_items_sql("c_custkey % 5 = 1", "NULL", "Malformed XML")}),
-c AS ({made_items_sql("c_custkey % 5 = 2", "NULL", "Malformed JSON")})
+c AS ({json_items_sql("c_custkey % 5 = 2", "NULL")})
 SELECT page_id, pos, title, CASE WHEN pos = 1 THEN '/c/' || CAST(page_id AS VARCHAR) END AS url, error FROM a
 UNION ALL SELECT page_id, pos, title, url, error FROM b UNION ALL SELECT page_id, pos, title, url, error FROM c
 UNION ALL SELECT c_custkey, 0, NULL, NULL, CASE c_custkey % 5 WHEN 3 THEN 'MIME Type not supported: image/png' ELSE 'No rule for this resource' END
@@ -692,3 +723,52 @@ EXPORT_HITS = with_(HITS) + """
 SELECT '{"hit_id":' || CAST(to_json(hit_id) AS VARCHAR) || ',"rid":' || CAST(to_json(rid) AS VARCHAR) || ',"type":' || CAST(to_json(type) AS VARCHAR) || '}' AS value FROM h"""
 
 SAVED_CATALOG = f"SELECT id, name, type, prior, deleted, lastupdated FROM ({MERGE_RESOURCES})"
+
+MATCHED_TEXTS = """
+WITH t AS (SELECT DISTINCT url AS text FROM pages WHERE url IS NOT NULL),
+w AS (SELECT DISTINCT unnest(string_split_regex(text, '[/.?=&:]+')) AS wanted FROM t)
+SELECT wanted, count(*) AS n_texts, min(text) AS "first" FROM w JOIN t ON contains(text, wanted) GROUP BY wanted"""
+
+RATE_LIMIT_STATEFUL = f"""
+SELECT *, CASE WHEN row_number() OVER (PARTITION BY rid ORDER BY ts DESC, req_id DESC) = 1 THEN allowance END AS "left" FROM ({RATE_LIMIT})"""
+
+FREE_HITS = """
+h AS (
+  SELECT *, rid || '@' || url AS hit_id FROM (
+    SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS rid, '/c/' || CAST(c_custkey AS VARCHAR) AS url,
+           c_name || CASE WHEN second THEN ' new' ELSE '' END AS title, c_mktsegment || ' b' || CAST(c_custkey % 50 AS VARCHAR) AS description,
+           CAST(NULL AS VARCHAR) AS type, second
+    FROM (SELECT *, c_custkey % 2 = 1 OR c_custkey % 3 = 0 AS second FROM customer)))"""
+SEARCH_INGESTED = with_(FREE_HITS, POSTINGS, QUERY_TERMS.replace(
+    "SELECT item_id AS qid, text AS query FROM benchmark", "SELECT DISTINCT description AS qid, description AS query FROM h"), SCORED) + """
+SELECT res.qid, res.rank, res.hit_id, round(res.score, 6) AS score, res.rid, res.title, res.url,
+       CASE WHEN NOT h.second THEN h.description END AS tag, CASE WHEN h.second THEN h.description END AS label
+FROM res JOIN h ON res.hit_id = h.hit_id"""
+
+
+def refresh_sql(slices: int, budget: int, days: int) -> str:
+    """The batches of the refresh job one after another; known(rid, at) holds when each resource was last updated."""
+    parts = [f"""
+WITH lim AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+e AS (SELECT 's' || CAST(user_id AS VARCHAR) AS rid, ts, CAST(least(floor((epoch_us(ts) - lo) * {slices} / greatest(1, hi - lo)), {slices - 1}) AS BIGINT) AS k FROM events, lim),
+known0 AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS rid, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN {UP_SINCE} ELSE TIMESTAMP '2020-01-01 00:00:00' END AS at FROM supplier)"""]
+    for k in range(slices):
+        parts.append(f"""
+now{k} AS (SELECT max(ts) AS now FROM e WHERE k = {k}),
+asked{k} AS (
+  SELECT s.rid, now, CAST(substr(s.rid, 2) AS BIGINT) % 7 <> 0 AS found FROM (SELECT DISTINCT rid FROM e WHERE k = {k}) s, now{k}
+  LEFT JOIN known{k} c ON c.rid = s.rid
+  WHERE c.at IS NULL OR floor(date_diff('millisecond', c.at, now) / 1000) > {days} * 86400
+  ORDER BY s.rid LIMIT {budget}),
+known{k + 1} AS (
+  SELECT c.* FROM known{k} c WHERE c.rid NOT IN (SELECT rid FROM asked{k} WHERE found)
+  UNION ALL SELECT rid, 'parent''s ' || rid, now FROM asked{k} WHERE found)""")
+    log = " UNION ALL ".join(f"SELECT {k} AS batch_id, rid, found, now AS asked FROM asked{k}" for k in range(slices))
+    return ",".join(parts) + f"""
+SELECT CAST(l.batch_id AS BIGINT) AS batch_id, l.rid, l.found, l.asked, c.name, c.at AS lastupdated FROM ({log}) l LEFT JOIN known{slices} c ON c.rid = l.rid"""
+
+
+REFRESH_STREAM = refresh_sql(4, 11, 10)
+
+HIT_LOG = with_(HITS) + """
+SELECT hit_id, rid, 'v' || CAST(greatest(doc_id % 4, CASE WHEN doc_id % 7 < 4 THEN doc_id % 7 ELSE 0 END) AS VARCHAR) || ' ' || title AS title FROM h"""

@@ -84,6 +84,14 @@ def q_list_resources(spark, sf_dir):
     return sel.select("qid", "rank", "rid", "hit_id", r6("score"), r6("rscore"), F.col("run").cast("long").alias("run"))
 
 
+def q_matched_texts(spark, sf_dir):
+    """P2's substring match between two dictionaries: in how many page addresses
+    each part of a page address occurs."""
+    urls = table(spark, sf_dir, "pages").select(F.col("url").alias("text"))
+    parts = urls.select(F.explode(F.split("text", "[/.?=&:]+")).alias("wanted"))
+    return SEL.containing(parts, urls).groupBy("wanted").agg(F.count(F.lit(1)).alias("n_texts"), F.min("text").alias("first"))
+
+
 def _rerank(model):
     def q(spark, sf_dir):
         hits, qs = TB.result_lists(spark, sf_dir)
@@ -166,8 +174,8 @@ def q_cache_lookup(spark, sf_dir):
 
 
 def _long_pages(spark, sf_dir):
-    """The pages, each body eight times over, so that pages exceed the item limit."""
-    return table(spark, sf_dir, "pages").withColumn("html", F.repeat("html", F.lit(8)))
+    """The pages in four ways of markup, each body eight times over, so that pages exceed the item limit."""
+    return TB.marked_up_pages(spark, sf_dir).withColumn("html", F.repeat("html", F.lit(8)))
 
 
 def q_extract_page_links(spark, sf_dir):
@@ -203,6 +211,26 @@ def q_extract_callback(spark, sf_dir):
     return _extracted(X.extract_callback(TB.made_pages(spark, sf_dir, "callback"), {"title": "./title", "url": "./url", "note": "./tags"}))
 
 
+def q_extract_json_of_html(spark, sf_dir):
+    """JSON pages whose items are HTML."""
+    return _extracted(X.extract_json_of_html(TB.made_pages(spark, sf_dir, "html+json"), "//items", "html", {"title": ".//a", "url": ".//a/@href", "note": ".//i"}))
+
+
+def q_extract_html_with_json(spark, sf_dir):
+    """HTML pages whose elements hold JSON, in either kind of quotes."""
+    return _extracted(X.extract_html_with_json(TB.made_pages(spark, sf_dir, "json+html"), "div", "data-x", {"title": "./title", "url": "./url", "note": "./tags"}))
+
+
+def q_parse_resources(spark, sf_dir):
+    """S3: resource definitions as catalogue rows with defaults; suppliers whose text gives none are told by name."""
+    raw = TB.resource_texts(spark, sf_dir)
+    good = PG.parse_resources(raw).select(
+        "id", "name", "apitemplate", r6("prior"), "maxqueriesperday", "deleted", "mimetype", "testquery", F.try_element_at("extractors", F.lit("url")).alias("url_path"),
+        F.lit(False).alias("bad"))
+    bad = raw.join(PG.bad_resources(raw).select(F.col("text").alias("json")).distinct(), "json").select(F.col("s_name").alias("name"), F.lit(True).alias("bad"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 def q_extract_result_pages(spark, sf_dir):
     """Pages of the default kind (S1, S2), of XML and JSON, of a kind not supported and of a resource without a rule."""
     kinds = ("result", "xml", "json", "result", "result")
@@ -227,6 +255,67 @@ def q_ingest_stream(spark, sf_dir):
     return SI.hits_view(spark, path).select("hit_id", "rid", "url", "title", "type")
 
 
+def q_hit_log(spark, sf_dir):
+    """ST4/M3: four batches of hits written into the bucketed log, each with hits of
+    earlier ones; the log is compacted after the third, the fourth comes twice."""
+    from ferret.streaming import common as C
+
+    hits = TB.hits(spark, sf_dir)
+    path = f"{C.job_dir(spark, 'hit-log')}/hits"
+    for k in (0, 1, 2, 3, 3):
+        part = hits.filter((F.col("doc_id") % 4 == k) | (F.col("doc_id") % 7 == k))
+        C.write_log(part.select("hit_id", "rid", F.concat(F.lit(f"v{k} "), "title").alias("title")), k, path, ["hit_id"])
+        if k == 2:
+            C.compact_log(spark, path, ["hit_id"], most=2)
+    return C.read_log(spark, path, ["hit_id"]).select("hit_id", "rid", "title")
+
+
+def q_search_ingested(spark, sf_dir):
+    """ST1, S1, S2, F6, R2, R4 in one job: raw result pages arrive in two batches with
+    members of other names, become hits and parts of an index, and are searched."""
+    from ferret.streaming.common import job_dir
+
+    base = job_dir(spark, "ingest-pages")
+    for k in range(2):
+        TB.free_pages(spark, sf_dir, k).write.text(f"{base}/pages/batch={k}")
+        SI.ingest_stream(
+            spark, f"{base}/pages/*", "value string", lambda p: PG.free_hits(PG.parse_result_pages(p.select(F.xxhash64("value").alias("page_id"), F.col("value").alias("json")))),
+            files_per_trigger=1000, base=base, index=f"{base}/index", index_how={"members": "strings"}, source_format="text")
+    words = table(spark, sf_dir, "customer").select(F.concat(F.col("c_mktsegment"), F.lit(" b"), (F.col("c_custkey") % 50).cast("string")).alias("query")).distinct()
+    res = S.search_stored(words.withColumn("qid", F.col("query")), IX.read_index(spark, f"{base}/index"), hit_cols=("rid", "title", "url", "fields"))
+    member = lambda m: F.try_element_at("fields", F.lit(m)).alias(m)
+    return res.select("qid", "rank", "hit_id", r6("score"), "rid", "title", "url", member("tag"), member("label"))
+
+
+def q_refresh_stream(spark, sf_dir):
+    """ST5 as a stream: four slices of the events arrive one after another, the job
+    is started again for each.  The parent knows all
+    ids but multiples of 7; a resource is stale after 10 days."""
+    from ferret.streaming.common import job_dir
+
+    src, write = _event_slices(spark, sf_dir, 4)
+    catalog = job_dir(spark, "refresh-catalog")
+    base_rows = CAT.conform(TB.catalog_base(spark, sf_dir).withColumn(
+        "lastupdated", F.when(F.substring("id", 2, 20).cast("long") % 2 == 0, F.col("lastupdated"))))
+    base_rows = base_rows.withColumn("lastupdated", F.coalesce("lastupdated", F.to_timestamp(F.lit("2020-01-01 00:00:00"))))
+    EX.write_catalog(base_rows, F.to_timestamp(F.lit("1970-01-01 00:00:00")), catalog)
+
+    def parent(ids):
+        # the parent knows every id but multiples of 7, and says a new name
+        k = F.substring("id", 2, 20).cast("long")
+        return ids.filter(k % 7 != 0).select("id", F.concat(F.lit("parent's "), "id").alias("name"))
+
+    base = None
+    for k in range(4):
+        write(k)
+        base = SI.refresh_stream(
+            spark, f"{src}/*", _schema(spark, sf_dir, "events"), lambda ev: ev.select(F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("rid"), "ts"),
+            catalog, parent, seconds=10 * 86400, files_per_trigger=1000, base=base)
+    log = spark.read.parquet(f"{base}/refreshed").select("batch_id", "rid", "found", "asked")
+    now = SI.refreshed_catalog(spark, catalog, base).select(F.col("id").alias("rid"), "name", "lastupdated")
+    return log.join(now, "rid", "left").select("batch_id", "rid", "found", "asked", "name", "lastupdated")
+
+
 def q_health_stream(spark, sf_dir):
     """ST3: resource health from the stream of answers (events)."""
     def to_log(ev):
@@ -248,6 +337,35 @@ def q_rate_limit_stream(spark, sf_dir):
     return spark.read.parquet(path).select("req_id", "rid", "ts", f6("allowance"), "accepted")
 
 
+def _event_slices(spark, sf_dir, n):
+    """``events`` in ``n`` folders of equal spans of time, in order: (base folder, writer of slice k)."""
+    from ferret.streaming.common import job_dir
+
+    e = table(spark, sf_dir, "events")
+    low, high = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    place = F.least(F.floor((F.unix_micros("ts") - F.lit(low)) * F.lit(n) / F.lit(max(1, high - low))), F.lit(n - 1))
+    base = job_dir(spark, "event-slices")
+    return base, lambda k: e.filter(place == k).write.parquet(f"{base}/slice={k}")
+
+
+def q_rate_limit_stateful(spark, sf_dir):
+    """ST2 as keyed state: three slices of the answers arrive one after another, and
+    the job is started again for each.  The buckets in the state store are those
+    after each resource's last verdict."""
+    src, write = _event_slices(spark, sf_dir, 3)
+    base = None
+    for k in range(3):
+        write(k)
+        base = RL.rate_limit_stateful(
+            spark, f"{src}/*", _schema(spark, sf_dir, "events"), lambda ev: ev.select(
+                F.col("event_id").alias("req_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("rid"), "ts"), rate=2, base=base)
+    out = spark.read.parquet(f"{base}/verdicts")
+    last = F.row_number().over(Window.partitionBy("rid").orderBy(F.col("ts").desc(), F.col("req_id").desc())) == 1
+    left = RL.stored_buckets(spark, base).select("rid", F.col("allowance").alias("left"))
+    out = out.withColumn("last", last).join(left, "rid")
+    return out.select("req_id", "rid", "ts", f6("allowance"), "accepted", F.when(F.col("last"), F.floor(F.col("left") * 1e6) / 1e6).alias("left"))
+
+
 def _per_resource(log):
     """Rates by resource: 400 a day for every fifth user (the start allowance is
     above it), 1 for the others but every third (2)."""
@@ -414,7 +532,7 @@ def q_result_page_roundtrip(spark, sf_dir):
 
 
 def q_catalog_from_pages(spark, sf_dir):
-    links = X.extract_links(table(spark, sf_dir, "pages"))
+    links = X.extract_links(TB.marked_up_pages(spark, sf_dir))
     listing = links.select(F.col("page_id").alias("page"), "pos", F.col("url").alias("rid"))
     return SMP.catalog_from_pages(listing).select("rid", "page", F.col("pos").cast("int").alias("pos"))
 
@@ -569,6 +687,7 @@ QUERIES: dict[str, Query] = {
     "select_resources": q_select_resources,
     "select_resources_typed_page": q_select_resources_typed_page,
     "list_resources": q_list_resources,
+    "matched_texts": q_matched_texts,
     "rerank_general": _rerank("or"),
     "rerank_anyresult": _rerank("anyresult"),
     "rerank_bestrandom": _rerank("bestrandom"),
@@ -589,10 +708,17 @@ QUERIES: dict[str, Query] = {
     "extract_xml": q_extract_xml,
     "extract_json": q_extract_json,
     "extract_callback": q_extract_callback,
+    "extract_json_of_html": q_extract_json_of_html,
+    "extract_html_with_json": q_extract_html_with_json,
+    "parse_resources": q_parse_resources,
     "extract_result_pages": q_extract_result_pages,
     "ingest_stream": q_ingest_stream,
+    "hit_log": q_hit_log,
+    "search_ingested": q_search_ingested,
+    "refresh_stream": q_refresh_stream,
     "health_stream": q_health_stream,
     "rate_limit_stream": q_rate_limit_stream,
+    "rate_limit_stateful": q_rate_limit_stateful,
     "rate_limit_per_resource": q_rate_limit_per_resource,
     "upsert_hits": q_upsert_hits,
     "url_functions": q_url_functions,
@@ -636,6 +762,7 @@ ORACLE: dict[str, str] = {
     "select_resources": O.select_resources_sql(10, 0, None),
     "select_resources_typed_page": O.select_resources_sql(5, 5, "fr"),
     "list_resources": O.list_resources_sql(10, 0),
+    "matched_texts": O.MATCHED_TEXTS,
     "rerank_general": O.RERANK_GENERAL,
     "rerank_anyresult": O.RERANK_ANYRESULT,
     "rerank_random": O.RERANK_RANDOM,
@@ -658,10 +785,17 @@ ORACLE: dict[str, str] = {
     "extract_xml": O.EXTRACT_XML,
     "extract_json": O.EXTRACT_JSON,
     "extract_callback": O.EXTRACT_CALLBACK,
+    "extract_json_of_html": O.EXTRACT_JSON_OF_HTML,
+    "extract_html_with_json": O.EXTRACT_HTML_WITH_JSON,
+    "parse_resources": O.PARSE_RESOURCES,
     "extract_result_pages": O.EXTRACT_RESULT_PAGES,
     "ingest_stream": O.INGEST,
+    "hit_log": O.HIT_LOG,
+    "search_ingested": O.SEARCH_INGESTED,
+    "refresh_stream": O.REFRESH_STREAM,
     "health_stream": O.RESOURCE_HEALTH,
     "rate_limit_stream": O.RATE_LIMIT,
+    "rate_limit_stateful": O.RATE_LIMIT_STATEFUL,
     "rate_limit_per_resource": O.RATE_LIMIT_PER_RESOURCE,
     "upsert_hits": O.UPSERT_HITS,
     "url_functions": O.URL_FUNCTIONS,

@@ -52,6 +52,27 @@ def normalize_hits(pages: DataFrame, hit_col: str = "hit") -> DataFrame:
     return pages.withColumn("fields", as_text).drop(hit_col)
 
 
+def free_hits(pages: DataFrame, hit_col: str = "hit") -> DataFrame:
+    """S1 rows as hits whose members are free.
+
+    Returns (page_id, pos, hit_id, rid, title, url, description, type, fields,
+    strings): ``fields`` holds every scalar member as text, ``strings`` the string
+    members alone, which are what an index of the hit covers (F6, see the
+    ``members`` of :func:`ferret.operators.index.build_index`).  A hit without a
+    rid takes its page's.  Members may differ from hit to hit and from batch to
+    batch: they are keys of a map, never columns.
+    """
+    m = F.col(hit_col).try_cast("map<string,variant>")
+    own = F.map_filter(m, lambda k, v: F.schema_of_variant(v) == "STRING")
+    strings = F.transform_values(own, lambda k, v: T.strip_html(v.cast("string")))
+    rid = F.create_map(F.lit("rid"), F.col("rid"))
+    strings = F.when(F.col("rid").isNotNull() & ~F.map_contains_key(strings, "rid"), F.map_concat(strings, rid)).otherwise(strings)
+    h = normalize_hits(pages.withColumn("strings", strings).withColumn("_hit", F.col(hit_col)), "_hit")
+    at = lambda k: F.try_element_at("strings", F.lit(k))
+    h = h.select("page_id", "pos", *[at(k).alias(k) for k in ("rid", "title", "url", "description", "type")], "fields", "strings")
+    return h.withColumn("hit_id", T.hit_id("rid", "url", "title"))
+
+
 RESOURCE_JSON_SCHEMA = (
     "resource struct<id:string, name:string, apitemplate:string, urltemplate:string, suggesttemplate:string, "
     "favicon:string, banner:string, post:string, postencode:string, signature:string, rerank:string, "

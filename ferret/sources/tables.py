@@ -239,24 +239,76 @@ def export_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def made_pages(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Result pages (page_id, url, html, rid) written from ``customer``: two items
-    each (the name and a link; the segment as two tags, the second item without
-    one); every tenth page is broken off (for callbacks: nested)."""
+    """Result pages (page_id, url, html, rid) written from ``customer``.
+
+    Every kind has an item with the customer's name and a link (and, but for
+    ``result``, the segment among its tags) and a second one with a title only;
+    ``json`` holds them one level down, after two more, one in the other.  Every
+    tenth page is broken off; for callbacks it starts with another object.  Texts
+    hold braces and quotes where a format lets them.
+    """
     c = table(spark, sf_dir, "customer")
     key, name, seg = F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_mktsegment")
     parts = {
         "xml": ["<?xml version='1.0'?><feed><item><title>", name, "</title><link>/c/", key, "</link><tag>", seg, "</tag><tag>x</tag></item>",
                 "<item><title>second <b>of</b> ", key, "</title></item></feed>"],
-        "json": ['{"hits":[{"title":"', name, '","url":"/c/', key, '","tags":["', seg, '","x"],"o":{"k":1}},{"title":"second of ', key, '"}],"query":"q"}'],
-        "callback": ['cb({"title":"', name, '","url":"/c/', key, '","tags":["', seg, '","x"]},{"title":"second of ', key, '"},{broken})'],
+        "json": ['{"response":{"hits":[{"title":"', name, '","url":"/c/', key, '","tags":["', seg, '","x"],"o":{"k":1}},{"title":"second of ', key,
+                 '"}],"also":[{"hits":{"title":"third of ', key, '","more":{"hits":[{"title":"fourth of ', key, '"}]}}}]},"query":"q"}'],
+        "callback": ['cb({"title":"', name, '","url":"/c/', key, '","tags":["', seg, '","x"],"m":{"b":{"c":"}\\"{"}}},{"title":"second of ', key, '"},{broken})'],
         "result": ['{"hits":[{"title":"<b>', name, '</b>","url":"/c/', key, '","tags":["x"]},{"title":"second of ', key, '"}],"resource":{"id":"z"}}'],
+        "html+json": ['{"items":[{"html":"<p><a href=\\"/c/', key, '\\">', name, '</a><i>', seg, '</i><i>x</i></p>"},{"html":"<a>second of ', key, '</a>"}]}'],
+        "json+html": ["<div data-x='{\"title\":\"", name, '","url":"/c/', key, '","tags":["', seg, "\",\"x\"]}'></div><p><div class='r' data-x=\"{&quot;title&quot;:&quot;second of ",
+                      key, '&quot;}"></div>'],
     }[kind]
     text = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
-    broken = F.concat(F.lit('cb({"a":{"b":1}},'), F.col("t"), F.lit(")")) if kind == "callback" else F.expr("substring(t, 1, length(t) - 8)")
+    broken = F.concat(F.lit('cb({"a":{"b":1}},'), F.col("t"), F.lit(")")) if kind == "callback" else F.expr("substring(t, 1, length(t) - 12)")
     return c.select(F.col("c_custkey").alias("page_id"), F.lit("https://shop.example.org/list/all").alias("url"), text.alias("t")).select(
         "page_id", "url", F.when(F.col("page_id") % 10 == 3, broken).otherwise(F.col("t")).alias("html"), F.lit("r").alias("rid"))
 
 
+def free_pages(spark: SparkSession, sf_dir: str, batch: int) -> DataFrame:
+    """Raw result pages (one JSON text each) written from ``customer`` in two batches.
+
+    A hit holds the segment and a number word under a member of its own name by
+    batch, and the balance as a number.  The second batch announces the odd
+    customers, and every third again under a new title.
+    """
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    words = F.concat(F.col("c_mktsegment"), F.lit(" b"), (k % 50).cast("string"))
+    if batch == 0:
+        own = c.filter(k % 2 == 0)
+        hit = F.struct(F.col("c_name").alias("title"), F.concat(F.lit("/c/"), k.cast("string")).alias("url"), words.alias("tag"), F.col("c_acctbal").alias("balance"))
+    else:
+        own = c.filter((k % 2 == 1) | (k % 3 == 0))
+        hit = F.struct(F.concat("c_name", F.lit(" <b>new</b>")).alias("title"), F.concat(F.lit("/c/"), k.cast("string")).alias("url"), words.alias("label"))
+    page = F.struct(F.array(hit).alias("hits"), F.struct(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("id")).alias("resource"))
+    return own.select(F.to_json(page).alias("value"))
+
+
+def marked_up_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The web pages in other ways of markup by page: list items never closed,
+    links in single quotes or in none, a list inside an item with a link."""
+    k, h = F.col("page_id"), F.col("html")
+    nested = F.replace(F.replace(h, F.lit("<nav><ul>"), F.lit('<nav><ul><li><a href="/top">Top</a><ul>')), F.lit("</ul></nav>"), F.lit("</ul></li></ul></nav>"))
+    html = (F.when(k % 8 == 4, nested).when(k % 4 == 1, F.replace(h, F.lit("</li>"), F.lit("")))
+            .when(k % 4 == 2, F.regexp_replace(h, 'href="([^"]*)"', "href='$1'")).when(k % 4 == 3, F.regexp_replace(h, r'href="([^"\s]+)"', "href=$1")).otherwise(h))
+    return table(spark, sf_dir, "pages").withColumn("html", html)
+
+
+def resource_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resource definitions as JSON texts, one per supplier; every ninth is cut short, every seventh names few members."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    whole = F.to_json(F.struct(F.struct(
+        F.concat(F.lit("s"), k.cast("string")).alias("id"), F.col("s_name").alias("name"),
+        F.when(k % 7 > 0, F.lit("https://{host?}/q={searchTerms}")).alias("apitemplate"),
+        F.when(k % 7 > 0, F.col("s_acctbal")).alias("prior"), F.when(k % 7 > 0, (k % 50).cast("int")).alias("maxqueriesperday"),
+        F.when(k % 5 == 0, F.lit(True)).alias("deleted"),
+        F.when(k % 3 == 0, F.create_map(F.lit("title"), F.lit("./a"), F.lit("url"), F.lit("./a/@href"))).alias("extractors")).alias("resource")))
+    return s.select("s_name", k, whole.alias("w")).select("s_name", F.when(k % 9 == 4, F.expr("left(w, 12)")).otherwise(F.col("w")).alias("json"))
+
+
 def requests_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests: one per event; rid = 's'||user_id (ids beyond the supplier
     range are unknown resources), query = event_type, page = props.k."""

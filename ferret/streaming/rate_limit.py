@@ -10,7 +10,8 @@ time inside each partition; ``mapInPandas`` walks each partition's Arrow
 batches in order and carries the state across batches.  A resource with a third
 of all requests is streamed through, never gathered into one group.  The stream
 runs the same fold on each micro-batch, starting from the state table that the
-batch before it wrote.
+batch before it wrote; :func:`rate_limit_stateful` keeps the buckets in Spark's
+state store instead.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 # Fixed values of the limiter.
 DAY_MS = 86_400_000
@@ -127,3 +129,65 @@ def rate_limit_stream(spark, source_path: str, schema, to_requests, rate=DEFAULT
     )
     q.awaitTermination()
     return out
+
+
+# --- the same rule as keyed state of the stream ---------------------------------
+
+STATEFUL_SCHEMA = "req_id long, rid string, ts timestamp, allowance double, accepted boolean"
+# Requests of one resource turned into rows at once.
+ROWS = 50_000
+
+
+class TokenBucket(StatefulProcessor):
+    """The bucket of one resource, kept in the state store between micro-batches.
+
+    The requests of a micro-batch arrive in no order, so their times and ids (a
+    few numbers a request, bounded by the trigger) are sorted before the fold.
+    """
+
+    def init(self, handle) -> None:
+        self.bucket = handle.getValueState("bucket", "allowance double, last_ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "req_id"], kind="stable", ignore_index=True)
+        start, since = self.bucket.get() if self.bucket.exists() else (np.nan, np.nan)
+        got["start"], got["since"] = start, since
+        for out in _fold(got[i:i + ROWS] for i in range(0, len(got), ROWS)):
+            last = (float(out["allowance"].iloc[-1]), int(out["ms"].iloc[-1]))
+            yield out[["req_id", "rid", "ts", "allowance", "accepted"]]
+        self.bucket.update(last)
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit_stateful(spark, source_path: str, schema, to_requests, rate=DEFAULT_RATE, files_per_trigger: int = 1000, base: str | None = None) -> str:
+    """ST2 (stream): the token bucket as keyed state; returns the folder of the job.
+
+    Verdicts (``STATEFUL_SCHEMA``) are appended under ``verdicts``, the buckets
+    live in the state store under ``checkpoint``: a micro-batch touches the
+    buckets of its own resources only, and state and verdicts are committed
+    together, so a batch that is run again gives nothing twice.  Pass the
+    ``base`` of an earlier run to resume it.  :func:`stored_buckets` reads the
+    buckets back.
+    """
+    from ferret.streaming.common import job_dir
+
+    base = base or job_dir(spark, "rate-limit-state")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_path)
+    q = (
+        _requests(to_requests(stream), rate).groupBy("rid")
+        .transformWithStateInPandas(TokenBucket(), outputStructType=STATEFUL_SCHEMA, outputMode="Append", timeMode="None")
+        .writeStream.format("parquet").outputMode("append").option("path", f"{base}/verdicts")
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return base
+
+
+def stored_buckets(spark, base: str) -> DataFrame:
+    """(rid, allowance, last_ms) of every resource, read from the state store of :func:`rate_limit_stateful`."""
+    state = spark.read.format("statestore").option("stateVarName", "bucket").load(f"{base}/checkpoint")
+    return state.select("key.rid", "value.allowance", "value.last_ms")

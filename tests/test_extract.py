@@ -32,10 +32,21 @@ def test_html_paths_with_unclosed_tags(spark):
 def test_native_links_take_all_items(spark):
     pages = page(spark, "<ul><li><a href='x'>no</a></li><li><a href=\"/a\">A</a></li></ul>", "".join(f'<li><a href="/{k}">T{k}</a></li>' for k in range(45)))
     out = X.extract_links(pages).orderBy("page_id", "pos").collect()
-    assert [(r.pos, r.title, r.url, r.rid) for r in out[:2]] == [(1, "no", None, "example.org"), (2, "A", "http://example.org/a", "example.org")]
+    assert [(r.pos, r.title, r.url, r.rid) for r in out[:2]] == [(1, "no", "http://example.org/search/x", "example.org"), (2, "A", "http://example.org/a", "example.org")]
     assert len(out) == 47 and X.extract_links(pages, limit=30).count() == 32
 
 
+def test_native_links_equal_the_tree(spark):
+    """Unclosed items, three ways of quoting, lists in items, text after a list."""
+    html = ['<ul><li><a href="/a">A</a><li><a href="/b">B</a></ul>', "<ul><li><a class=x href='/q'>Q</a><LI><A HREF=/u>U</A></ul>",
+            '<ul><li><a href="/top">Top</a><ul><li><a href="/in">In</a></li></ul></li><li><a href="/next">N</a></li></ul> <a href="/no">no</a>',
+            "<ol><li><a href=/open>never <b>closed</b></ol><p>x</p>", "<ul><li>no link</li></ul><link href='/z'><listing><a href='/l'>l</a></listing>"]
+    native = X.extract_links(page(spark, *html)).select("page_id", "pos", "title", "url").collect()
+    tree = X.extract_html(page(spark, *html), "//li", {"title": "./a", "url": "./a/@href"}).collect()
+    want = sorted((r.page_id, r.pos, r.fields.get("title"), r.fields.get("url")) for r in tree if r.fields)
+    assert sorted(map(tuple, native)) == want and len(want) == 8
+
+
 def test_xml_items(spark):
     xml = ('<?xml version="1.0"?><rss xmlns:dc="http://x/"><channel><item><title>A</title><link>http://a/1</link><c>x</c><c>y</c></item>'
            "<item kind='n'><title>B <b>bold</b></title><dc:creator>me</dc:creator><link>/2</link></item></channel></rss>")
@@ -73,7 +84,29 @@ def test_json_rule(spark):
 def test_callback_rule(spark):
     out = rows(X.extract_callback(page(spark, 'cb([{"t":"a","url":"u1"},{"t":"b"},{broken}])', 'cb({"t":"outer","m":{"t":"inner"}})'), {"title": "./t", "url": "url"}))
     assert [r[2].get("title") for r in out[:2]] == ["a", "b"] and out[0][2]["url"] == "http://example.org/search/u1"
-    assert out[2][0] == 2 and out[2][3]
+    assert out[2] == (2, 1, {"title": "outer"}, None)
+    odd = ['cb({"t":"a {b} c","m":{"x":{"t":1}}},{"t":"z}"},{broken},} {"t":"after"} {"open":1', None, 'f([{"t":"\\"}"}])', "", "no objects"]
+    out = rows(X.extract_callback(page(spark, *odd), {"title": "./t", "x": "./m/x/t"}))
+    assert out == [(1, 1, {"title": "a {b} c", "x": "1"}, None), (1, 2, {"title": "z}"}, None), (1, 3, {"title": "after"}, None), (3, 1, {"title": '"}'}, None)]
+    many = "cb(" + ",".join('{"t":{"u":%d}}' % k for k in range(50)) + ")"
+    assert [r[2]["title"] for r in rows(X.extract_callback(page(spark, many), {"title": "./t/u"}))] == [str(k) for k in range(30)]
+
+
+def test_json_at_any_depth(spark):
+    deep = {"title": "x"}
+    for k in range(40):  # deeper than one pass of the walk
+        deep = {"a": [deep, {"hits": {"title": f"d{k}"}}]}
+    pages = page(spark, '{"response":{"hits":[{"title":"A","more":{"hits":[{"title":"in","l":[{"h":"u1"},{"h":"u2"}]}]}},{"title":"B"}]},"z":{"hits":{"title":"C"}}}',
+                 json.dumps(deep), '[{"t":"x"},[{"t":"z"}]]', "{bad", '{"x":1}')
+    out = rows(X.extract_json(pages, "//hits", {"title": "./title", "l": "./l/h", "all": ".//title"}))
+    assert [r[:3] for r in out if r[0] == 1] == [(1, 1, {"title": "A", "all": "in A"}), (1, 2, {"title": "in", "l": "u1 u2", "all": "in"}),
+                                                 (1, 3, {"title": "B", "all": "B"}), (1, 4, {"title": "C", "all": "C"})]
+    assert [r[2]["title"] for r in out if r[0] == 2] == [f"d{k}" for k in range(30)]
+    assert [r[0] for r in out if r[0] > 2] == [4] and out[-1][3] == "Malformed JSON"
+    assert [r[2].get("t") for r in rows(X.extract_json(pages, "//list", {"t": "./t"})) if r[0] == 3] == ["x", None, "z"]
+    assert [r[2]["title"] for r in rows(X.extract_json(pages, "//more/hits", {"title": "title"})) if r[0] == 1] == ["in"]
+    assert [r[2]["title"] for r in rows(X.extract_json(pages, "/response/hits", {"title": "title"})) if r[0] == 1] == ["A", "B"]
+    assert X.extract_json(pages, "//hits", {"title": ".//title"}, limit=2).filter("page_id = 1").count() == 2
 
 
 def test_one_format_in_the_other(spark):

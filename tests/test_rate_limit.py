@@ -83,3 +83,31 @@ def test_start_allowance_and_own_rates(spark):
     got = RL.rate_limit(df).groupBy("rid").agg(F.count_if("accepted").alias("n")).collect()
     # 500 at the start (the last unit is never spent); a lower rate caps the start
     assert {r.rid: r.n for r in got} == {"big": 499, "small": 2}
+
+
+def test_state_store_equals_the_batch(spark, tmp_path):
+    """Keyed state over three micro-batches and as many starts; requests of a batch in no order; one hot resource."""
+    rng = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    rows = []
+    for k in range(900):
+        rid = "hot" if rng.random() < 0.4 else f"r{rng.randrange(12)}"
+        rows.append((k, rid, start + dt.timedelta(seconds=k * 700 + rng.randrange(600)), rng.choice([1, 2, 400])))
+    schema = "req_id long, rid string, ts timestamp, rate int"
+    src, base = str(tmp_path / "src"), None
+    for k in range(3):
+        part = rows[k * 300:(k + 1) * 300]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).repartition(4).write.parquet(f"{src}/p{k}")
+        base = RL.rate_limit_stateful(spark, f"{src}/*", spark.read.parquet(f"{src}/p{k}").schema, lambda df: df, base=base)
+        assert RL.stored_buckets(spark, base).count() == len({r[1] for r in rows[:(k + 1) * 300]})
+    key = lambda r: (r.req_id, r.rid, r.ts, round(r.allowance, 9), r.accepted)
+    want = RL.rate_limit(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(map(key, spark.read.parquet(f"{base}/verdicts").collect())) == sorted(map(key, want))
+    last = {}
+    for r in sorted(want, key=lambda r: (r.ts, r.req_id)):
+        last[r.rid] = round(r.allowance, 9)
+    assert {r.rid: round(r.allowance, 9) for r in RL.stored_buckets(spark, base).collect()} == last
+    # nothing new: nothing is written again
+    RL.rate_limit_stateful(spark, f"{src}/*", spark.read.parquet(f"{src}/p0").schema, lambda df: df, base=base)
+    assert spark.read.parquet(f"{base}/verdicts").count() == len(rows)

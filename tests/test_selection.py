@@ -1,9 +1,13 @@
 """Resource selection (R7/R8): golden counts in the style of the reference's
 web tests, the per-resource cap, and paging invariants."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from ferret.operators import selection as SEL
+from paths import SF001
+
 
 def now():
     return F.to_timestamp(F.lit("2024-02-01 00:00:00"))
@@ -69,3 +73,20 @@ def test_pages_are_disjoint_and_cover(spark):
         pages += [r.rid for r in SEL.list_resources(q, many, 3, start, now()).orderBy("rank").collect()]
     assert pages == full and len(set(pages)) == 9
     assert SEL.list_resources(q, many, 3, 12, now()).count() == 0
+
+
+def test_substring_join_equals_every_pair(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abé ") for _ in range(rng.randrange(9))) for _ in range(150)] + [None, "", "aaaa", "aaab"]
+    wanted = ["".join(rng.choice("abé ") for _ in range(rng.randrange(6))) for _ in range(120)] + [None, "aa", "zzz", "ab\U0001F600"]
+    got = SEL.containing(spark.createDataFrame([(w,) for w in wanted], "wanted string"), spark.createDataFrame([(t,) for t in texts], "text string"))
+    want = {(w, t) for w in wanted if w is not None for t in texts if w == "" or (t is not None and w in t)}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) > 1000
+
+
+def test_no_pairs_by_nested_loops(spark):
+    from ferret.plans import registry
+
+    for name in ("select_resources", "select_resources_typed_page", "list_resources", "matched_texts"):
+        plan = registry.QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name

@@ -80,3 +80,17 @@ def test_counts_grow_with_the_words(spark):
     assert model.tri.count() > 20 * 100
     by = {r.doc_id: r.ce_difference for r in lm.score(docs, model, fitted=True).collect()}
     assert by[1] < by[0]
+
+
+def test_blocks_and_buckets_do_not_matter(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 3 == 0).alias("w"))
+    got = []
+    for parts, words in ((1, 10 ** 9), (5, 20_000)):
+        monkeypatch.setattr(lm, "BUCKET_TOKENS", words)
+        model = lm.fit(docs.repartition(parts), "w")
+        assert (model.buckets > 1) == (parts > 1)
+        got.append({r.doc_id: (r.n_tokens, r.loss_target, r.loss_background) for r in lm.score(docs, model, fitted=True).collect()})
+        fresh = {r.doc_id: (r.n_tokens, r.loss_target, r.loss_background) for r in lm.score(docs.limit(20).repartition(2), model).collect()}
+        assert all(np.allclose(x, got[-1][k]) for k, x in fresh.items())
+        model.drop()
+    assert got[0].keys() == got[1].keys() and all(np.allclose(x, got[1][k]) for k, x in got[0].items())

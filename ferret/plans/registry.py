@@ -342,8 +342,10 @@ def _event_slices(spark, sf_dir, n):
     from ferret.streaming.common import job_dir
 
     e = table(spark, sf_dir, "events")
-    low, high = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
-    place = F.least(F.floor((F.unix_micros("ts") - F.lit(low)) * F.lit(n) / F.lit(max(1, high - low))), F.lit(n - 1))
+    # files without a time zone give timestamp_ntz, which unix_micros does not take
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = e.agg(F.min(at), F.max(at)).first()
+    place = F.least(F.floor((at - F.lit(low)) * F.lit(n) / F.lit(max(1, high - low))), F.lit(n - 1))
     base = job_dir(spark, "event-slices")
     return base, lambda k: e.filter(place == k).write.parquet(f"{base}/slice={k}")
 

@@ -112,7 +112,7 @@ def refresh_stream(
 
     def take(df: DataFrame, bid: int) -> None:
         session = df.sparkSession
-        seen = to_seen(df).filter("rid is not null").groupBy("rid").agg(F.max("ts").alias("ts"))
+        seen = to_seen(df).filter("rid is not null").groupBy("rid").agg(F.max(F.col("ts").cast("timestamp")).alias("ts"))
         now = F.lit(seen.agg(F.max("ts")).first()[0]).cast("timestamp")
         catalog = refreshed_catalog(session, catalog_path, base, bid)
         asked = CAT.refresh_budget(CAT.stale(seen.select("rid", F.lit(bid).alias("batch_id")), catalog, seconds, now), "batch_id", [F.col("rid")], budget)

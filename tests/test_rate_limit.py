@@ -111,3 +111,22 @@ def test_state_store_equals_the_batch(spark, tmp_path):
     # nothing new: nothing is written again
     RL.rate_limit_stateful(spark, f"{src}/*", spark.read.parquet(f"{src}/p0").schema, lambda df: df, base=base)
     assert spark.read.parquet(f"{base}/verdicts").count() == len(rows)
+
+
+def test_stateful_query_takes_times_without_a_zone(spark, tmp_path):
+    """Events whose times are timestamp_ntz: cut into equal spans, with the verdicts of the batch."""
+    from ferret.plans import registry
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, t0 + dt.timedelta(hours=k), k % 3) for k in range(30)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    src, write = registry._event_slices(spark, str(tmp_path), 3)
+    for k in range(3):
+        write(k)
+    assert {r["slice"]: r["count"] for r in spark.read.parquet(src).groupBy("slice").count().collect()} == {0: 10, 1: 10, 2: 10}
+    got = registry.q_rate_limit_stateful(spark, str(tmp_path))
+    want = RL.rate_limit(events.select(F.col("event_id").alias("req_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("rid"), "ts"), rate=2)
+    assert dict(got.dtypes)["ts"] == "timestamp"
+    key = lambda r: (r.req_id, r.rid, r.ts, round(r.allowance, 5), r.accepted)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.select("req_id", "rid", "ts", registry.f6("allowance"), "accepted").collect()))

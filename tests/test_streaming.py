@@ -105,6 +105,21 @@ def test_refresh_stream_sees_its_own_refreshes(spark, tmp_path):
     assert {r.id for r in SI.refreshed_catalog(spark, cat, base, 1).filter("lastupdated >= '2024-01-10'").collect()} == {"a", "c"}
 
 
+def test_refresh_query_takes_times_without_a_zone(spark, tmp_path):
+    """Events whose times are timestamp_ntz: every slice asks as of its last time."""
+    from ferret.plans import registry
+
+    rows = [(k, dt.datetime(2024, 1, 1 + 8 * (k // 2)), 2 + k % 2) for k in range(8)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(2, "S2", 0, 10.0)], "s_suppkey long, s_name string, s_nationkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, "NL")], "n_nationkey long, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    day = lambda d: dt.datetime(2024, 1, d)
+    # s3 is new in the first slice, stale again after 10 days; s2 is from the first of the month
+    got = registry.q_refresh_stream(spark, str(tmp_path))
+    assert sorted((r.batch_id, r.rid, r.found, r.asked, r.lastupdated) for r in got.collect()) == [
+        (0, "s3", True, day(1), day(17)), (2, "s2", True, day(17), day(17)), (2, "s3", True, day(17), day(17))]
+
+
 def test_log_touches_the_buckets_of_its_keys(spark, tmp_path):
     path, now = str(tmp_path / "log"), {}
     for k in range(6):

@@ -113,6 +113,10 @@ class StoredIndex:
     def n_docs(self) -> Column:
         return self.n.agg(F.sum("n")).scalar()
 
+    def count(self) -> int:
+        """The number of hits, from one row per part."""
+        return self.n.agg(F.sum("n")).first()[0] or 0
+
     def with_columns(self, top: DataFrame, cols: list[str]) -> DataFrame:
         """``top`` with stored columns of its hits."""
         return self.live(top.join(self.docs.select("hit_id", "ver", *cols), "hit_id")).drop("ver")

@@ -8,8 +8,9 @@ Plan (every step a DataFrame operator):
    vocabulary; Spark broadcasts it when its measured size allows);
 3. df per (field, term) of those postings (partial aggregation per task, so a
    hot term ships one row per task), N as a scalar sub-query, idf;
-4. weight per (qid, field, term) = repeats x field boost x idf; joined back to
-   the postings and summed per (qid, hit_id) (partial aggregation again);
+4. weight per (qid, field, term) = repeats x field boost x idf; broadcast to
+   the postings, which are dealt by hit (:func:`by_hit`), and summed per
+   (qid, hit_id) without another shuffle;
 5. top-k per query with ``row_number() <= k``: Spark inserts a partial
    window-group limit before the shuffle, so at most k rows per query and task
    cross the network even when one query matches a third of all hits.
@@ -21,6 +22,8 @@ where the term occurs.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +64,26 @@ def _weights(qt: DataFrame, stats: DataFrame, n) -> DataFrame:
     return qt.join(stats, "term").select("qid", "field", "term", (F.col("cnt") * _boost() * idf(F.col("df"), n)).alias("w"))
 
 
+# Pairs of a query and a hit that one task sums: they are its memory.
+PAIRS = 500_000
+
+
+def hit_tasks(queries: DataFrame, n_docs: int) -> int:
+    """Tasks to which the postings of a search are dealt: in proportion to queries x hits."""
+    return max(queries.sparkSession.sparkContext.defaultParallelism, math.ceil(queries.count() * n_docs / PAIRS))
+
+
+def by_hit(postings: DataFrame, tasks: int) -> DataFrame:
+    """Postings with all those of a hit in one of ``tasks`` tasks.  The number is
+    given, as Spark would merge tasks by their bytes, and a posting of a few bytes
+    becomes as many pairs as there are queries with its term."""
+    return postings.repartition(tasks, "hit_id")
+
+
 def _score(postings: DataFrame, weights: DataFrame) -> DataFrame:
-    return postings.join(weights, ["field", "term"]).groupBy("qid", "hit_id").agg(F.sum("w").alias("score"))
+    """(qid, hit_id, score) of postings dealt :func:`by_hit`.  The weights (one row
+    per term of a query) are broadcast, so the postings stay where they are."""
+    return postings.join(F.broadcast(weights), ["field", "term"]).groupBy("qid", "hit_id").agg(F.sum("w").alias("score"))
 
 
 def score_hits(queries: DataFrame, index: Index, qt: DataFrame | None = None) -> DataFrame:
@@ -72,7 +93,7 @@ def score_hits(queries: DataFrame, index: Index, qt: DataFrame | None = None) ->
     # the scoring join both read this one exchange (Spark reuses it), and the
     # (qid, hit_id) sum below needs no further shuffle.  Hits are unique keys,
     # so the partitions are even however hot a term is.
-    postings = index.postings.join(qt.select("term").distinct(), "term", "left_semi").repartition("hit_id")
+    postings = by_hit(index.postings.join(qt.select("term").distinct(), "term", "left_semi"), hit_tasks(queries, index.docs.count()))
     dfs = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     return _score(postings, _weights(qt, dfs, index.n_docs()))
 
@@ -135,10 +156,13 @@ def search_stored(queries: DataFrame, index: StoredIndex, k: int = TOP_K, hit_co
     The stored statistics replace the df pass, and the postings are read for
     the query terms only: a semi-join whose broadcast vocabulary (if small by
     its measured size) stays a filter on the scan of the term-clustered files.
+    They are dealt by hit before they meet the weights: files in the order of
+    the terms hold no two postings of a pair, so a sum over them would ship them all.
     """
     qt = query_terms(queries)
     vocab = qt.select("term").distinct()
-    scored = _score(index.postings_of(vocab), _weights(qt, index.df(vocab), index.n_docs()))
+    postings = by_hit(index.postings_of(vocab), hit_tasks(queries, index.count()))
+    scored = _score(postings, _weights(qt, index.df(vocab), index.n_docs()))
     cols = [c for c in hit_cols if c != "query"]
     return index.with_columns(top_per_query(scored, k), cols).select("qid", "rank", "hit_id", "score", *cols)
 
@@ -164,15 +188,20 @@ def _terms(weights: DataFrame) -> DataFrame:
     return weights.select("term").distinct()
 
 
-def _probe(hits: DataFrame, weights: DataFrame, postings: DataFrame) -> DataFrame:
-    """Add the weights of given hits' terms to their scores: (qid, hit_id, score).
+def _full_scores(hits: DataFrame, weights: DataFrame, postings: DataFrame) -> DataFrame:
+    """(qid, hit_id, score) of a few hits per query by all of the query's terms.
 
-    Every hit asks for each of its query's terms (an equi-join on term and hit),
-    so what is read grows with the hits, not with the postings of the terms.
-    """
-    asked = hits.join(weights.select("qid", "field", "term", "w"), "qid", "left")
-    found = asked.join(postings.withColumn("holds", F.lit(True)), ["field", "term", "hit_id"], "left")
-    return found.groupBy("qid", "hit_id").agg((F.max("score") + F.coalesce(F.sum(F.when(F.col("holds"), F.col("w"))), F.lit(0.0))).alias("score"))
+    The hits (at most k a query) and the weights are broadcast, so the postings
+    are read where they lie."""
+    held = postings.join(F.broadcast(hits.select("qid", "hit_id")), "hit_id").join(F.broadcast(weights.select("qid", "field", "term", "w")), ["qid", "field", "term"])
+    return held.groupBy("qid", "hit_id").agg(F.sum("w").alias("score"))
+
+
+def _look_up(left: DataFrame, light: DataFrame) -> DataFrame:
+    """Add the scores ``light`` of some terms to those of the hits ``left``: both
+    lie by hit in the same number of tasks, so neither moves."""
+    both = left.select("qid", "hit_id", "score", F.lit(True).alias("own")).unionByName(light.select("qid", "hit_id", "score", F.lit(False).alias("own")))
+    return both.groupBy("qid", "hit_id").agg(F.sum("score").alias("score"), F.max("own").alias("own")).filter("own").drop("own")
 
 
 def bounded_terms(queries: DataFrame, index: StoredIndex, k: int = TOP_K) -> DataFrame:
@@ -188,8 +217,9 @@ def bounded_terms(queries: DataFrame, index: StoredIndex, k: int = TOP_K) -> Dat
     vocab = qt.select("term").distinct()
     w = materialize_small(_ordered_weights(qt, index.df(vocab), index.n_docs()))
     opening = w.filter(F.col("seen") < OPENING * k)
-    found = top_per_query(_score(index.postings_of(_terms(opening)), opening.select("qid", "field", "term", "w")), k)
-    full = _probe(found.select("qid", "hit_id", F.lit(0.0).alias("score")), w, index.postings_of(_terms(w)))
+    postings = by_hit(index.postings_of(_terms(opening)), hit_tasks(queries, index.count()))
+    found = top_per_query(_score(postings, opening.select("qid", "field", "term", "w")), k)
+    full = _full_scores(found, w, index.postings_of(_terms(w)))
     theta = full.groupBy("qid").agg(F.min("score").alias("theta"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).drop("n")
     known = F.col("theta").isNotNull() & (F.col("rest") < F.col("theta") - SLACK)
     return materialize_small(w.join(theta, "qid", "left").withColumn("essential", ~known))
@@ -201,14 +231,17 @@ def search_bounded(queries: DataFrame, index: StoredIndex, k: int = TOP_K, hit_c
     Hits come from the postings of essential terms alone; those that could not
     reach their query's threshold with all other terms are dropped, and the
     other terms are only looked up for the hits that are left.  Exact, as the
-    weight of a term is the same in every hit.
+    weight of a term is the same in every hit.  What is shuffled are postings,
+    dealt by hit; pairs of a query and a hit are made and dropped inside a task.
     """
     terms = bounded_terms(queries, index, k)
     heavy, light = terms.filter("essential"), terms.filter("not essential")
-    part = _score(index.postings_of(_terms(heavy)), heavy.select("qid", "field", "term", "w"))
+    tasks = hit_tasks(queries, index.count())
+    score = lambda some: _score(by_hit(index.postings_of(_terms(some)), tasks), some.select("qid", "field", "term", "w"))
+    part = score(heavy)
     reach = terms.groupBy("qid").agg(F.max("theta").alias("theta"), F.sum(F.when(~F.col("essential"), F.col("w")).otherwise(0.0)).alias("light"))
-    left = part.join(reach, "qid").filter(F.col("theta").isNull() | (F.col("score") + F.col("light") >= F.col("theta") - SLACK))
-    scored = _probe(left.select("qid", "hit_id", "score"), light, index.postings_of(_terms(light)))
+    left = part.join(F.broadcast(reach), "qid").filter(F.col("theta").isNull() | (F.col("score") + F.col("light") >= F.col("theta") - SLACK))
+    scored = _look_up(left, score(light))
     cols = [c for c in hit_cols if c != "query"]
     return index.with_columns(top_per_query(scored, k), cols).select("qid", "rank", "hit_id", "score", *cols)
 

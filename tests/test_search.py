@@ -3,9 +3,11 @@ tests, plus a brute-force check against a plain-Python scorer."""
 
 import math
 import random
+import re
 from collections import Counter
 
 import regex
+
 from pyspark.sql import functions as F
 
 from paths import SF001
@@ -199,3 +201,18 @@ def test_bounded_search_equals_search(spark, tmp_path):
     assert terms.filter("essential").count() > 0 and terms.filter("not essential").count() > 0
     counts = S.joined_postings(q, now, 7).first()
     assert counts.essential < counts.plain
+
+
+def test_pairs_of_query_and_hit_stay_in_bounded_tasks(spark, tmp_path, monkeypatch):
+    """Postings are dealt by hit to a number of tasks that grows with queries x hits, and pairs are not shuffled."""
+    hits, q = TB.hits(spark, SF001), TB.queries(spark, SF001)
+    path = str(tmp_path / "idx")
+    IX.write_index(IX.build_index(hits), path)
+    now = IX.read_index(spark, path)
+    monkeypatch.setattr(S, "PAIRS", q.count() * now.count() // 40)
+    assert S.hit_tasks(q, now.count()) >= 40
+    for df in (S.search(q, IX.build_index(hits)), S.search_stored(q, now), S.search_bounded(q, now)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        dealt = [int(x) for x in re.findall(r"hashpartitioning\(hit_id#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
+        assert dealt and min(dealt) >= 40
+        assert not re.search(r"hashpartitioning\((qid#\d+L, hit_id|field#\d+, term#\d+, hit_id)", plan)

@@ -20,15 +20,18 @@ without a word.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import partial, reduce
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ferret.functions import text as T
 from ferret.functions import urls as U
@@ -83,6 +86,17 @@ def _map(fields: dict[str, Column]) -> Column:
     return F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))])
 
 
+# Pages or items that one task reads.
+PER_TASK = 10_000
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt by page to tasks of about ``PER_TASK`` rows.  The number is given,
+    as a scan or Spark's merging goes by bytes, and parsing a page costs far more."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / PER_TASK))
+    return rows.repartition(tasks, "page_id")
+
+
 NO_FIELDS = "map<string,string>"
 
 
@@ -164,19 +178,25 @@ def _select(node: ET.Element, path: str) -> list[str]:
 
 
 
-def _html_items(itempath: str, extractors: dict[str, str], limit: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+# Pages whose trees and items one worker holds at a time.
+AT_ONCE = 64
+
+
+def _html_items(itempath: str, extractors: dict[str, str], limit: int, schema: pa.Schema, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     path = itempath if itempath.startswith(".") else "." + itempath
-    for pdf in batches:
+    for start, batch in ((i, b) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
         rows = []
-        for page_id, base, html in zip(pdf["page_id"], pdf["base"], pdf["html"]):
+        pages = batch.slice(start, AT_ONCE).to_pydict()
+        for page_id, base, html in zip(pages["page_id"], pages["base"], pages["html"]):
             try:
                 root = html_tree(html)
                 items = [root] if path == "." else root.findall(path)
                 for pos, item in enumerate(items[:limit], start=1):
-                    rows.append((page_id, base, pos, {f: " ".join(_select(item, p)) for f, p in extractors.items()}, None))
+                    rows.append((page_id, base, pos, [(f, " ".join(_select(item, p))) for f, p in extractors.items()], None))
             except Exception as e:  # noqa: BLE001 - a bad page or path is an error row, not a failed task
-                rows.append((page_id, base, 0, {}, f"{type(e).__name__}: {e}"))
-        yield pd.DataFrame(rows, columns=["page_id", "base", "pos", "fields", "error"])
+                rows.append((page_id, base, 0, [], f"{type(e).__name__}: {e}"))
+        columns = zip(*rows) if rows else [[]] * len(schema)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def extract_html(pages: DataFrame, itempath: str, extractors: dict[str, str], limit: int = MAX_ITEMS) -> DataFrame:
@@ -185,9 +205,9 @@ def extract_html(pages: DataFrame, itempath: str, extractors: dict[str, str], li
     Paths: ``//tag``, ``./a/b``, ``[@x='y']``, ``[tag]``, ``@attr``, ``text()``.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
-    rows = pages.select("page_id", F.col("url").alias("base"), F.coalesce("html", F.lit("")).alias("html")).mapInPandas(
-        partial(_html_items, itempath, dict(extractors), limit),
-        f"page_id {kind}, base string, pos int, fields map<string,string>, error string")
+    out = Ty.StructType.fromDDL(f"page_id {kind}, base string, pos int, fields map<string,string>, error string")
+    rows = pages.select("page_id", F.col("url").alias("base"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(
+        partial(_html_items, itempath, dict(extractors), limit, to_arrow_schema(out)), out)
     return _finish(rows, F.col("base"))
 
 
@@ -210,14 +230,17 @@ def extract_xml(pages: DataFrame, itempath: str, extractors: dict[str, str], lim
         return _errors(pages, f"Item path not supported: {itempath}")
     tag, tests = step.groups()
     raw = F.regexp_replace(F.col("html"), r"^\s*<\?xml[^>]*\?>", "")
-    x = pages.select("page_id", "url", raw.alias("xml")).withColumn("bad", _malformed("xml"))
-    good = x.filter("not bad and xml is not null").withColumn(
-        "items", F.regexp_extract_all("xml", F.lit(rf"(?s)<(?:[\w.-]+:)?{tag}(?=[\s>/])[^>]*?(?:/>|>.*?</(?:[\w.-]+:)?{tag}\s*>)"), 0))
-    flat = good.select("page_id", "url", F.posexplode("items").alias("at", "item")).withColumn("bad", _malformed("item"))
-    cut = flat.filter("bad").select("page_id").distinct()
-    flat = flat.filter("not bad")
+    x = _dealt(pages.select("page_id", "url", raw.alias("xml"))).withColumn("bad", _malformed("xml") | F.col("xml").isNull())
+    items = F.regexp_extract_all("xml", F.lit(rf"(?s)<(?:[\w.-]+:)?{tag}(?=[\s>/])[^>]*?(?:/>|>.*?</(?:[\w.-]+:)?{tag}\s*>)"), 0)
+    want = F.expr(f"xpath_int(xml, 'count({_quoted(itempath)})')")
+    good = x.select("page_id", "url", "bad", F.when(~F.col("bad"), want).alias("want"), F.when(~F.col("bad"), items).alias("items"))
+    # a row per item, and one for a page without any
+    flat = good.select("page_id", "url", "bad", "want", F.posexplode_outer("items").alias("at", "item"))
+    flat = flat.withColumn("cut", F.col("item").isNotNull() & _malformed("item"))
+    found = F.col("item").isNotNull() & ~F.col("cut")
     if tests:
-        flat = flat.filter(F.expr(f"xpath_boolean(item, '/*{_quoted(tests)}')"))
+        found = F.when(found, F.coalesce(F.expr(f"xpath_boolean(item, '/*{_quoted(tests)}')"), F.lit(False))).otherwise(F.lit(False))
+    flat = flat.withColumn("found", found)
     fields = {}
     for f, p in extractors.items():
         rel = p.strip()
@@ -227,15 +250,17 @@ def extract_xml(pages: DataFrame, itempath: str, extractors: dict[str, str], lim
         leaf = at if last.startswith("@") or last == "text()" else f"{at}//text()"
         fields[f] = F.expr(f"CASE WHEN xpath_int(item, 'count({at})') <= 1 THEN xpath_string(item, '{at}') "
                            f"ELSE array_join(xpath(item, '{leaf}'), ' ') END")
-    rows = flat.select("page_id", "url", "at", _map(fields).alias("fields"))
-    counts = rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("got"))
-    wrong = (good.select("page_id", F.expr(f"xpath_int(xml, 'count({_quoted(itempath)})')").alias("want"))
+    # every text is parsed in this one pass; what follows reads the fields
+    read = materialize_small(flat.select("page_id", "url", "bad", "want", "at", "cut", "found", F.when(F.col("found"), _map(fields)).alias("fields")))
+    rows = _dealt(read.filter("found").select("page_id", "url", "at", "fields"))
+    counts = read.filter("found").groupBy("page_id").agg(F.count(F.lit(1)).alias("got"))
+    wrong = (read.filter("not bad and coalesce(at, 0) = 0").select("page_id", "want")
              .join(counts, "page_id", "left").filter(F.col("want") != F.coalesce("got", F.lit(0))).select("page_id"))
-    wrong = wrong.union(cut).distinct()
+    wrong = wrong.union(read.filter("cut").select("page_id")).distinct()
     order = F.row_number().over(Window.partitionBy("page_id").orderBy("at")).alias("pos")
     rows = rows.join(wrong, "page_id", "left_anti").select("page_id", "url", order, "fields", F.lit(None).cast("string").alias("error"))
     out = _finish(rows.filter(F.col("pos") <= limit), F.col("url"))
-    return (out.unionByName(_errors(x.filter("bad or xml is null"), "Malformed XML"))
+    return (out.unionByName(_errors(read.filter("bad"), "Malformed XML"))
             .unionByName(_errors(wrong, f"Item path not supported: {itempath}")))
 
 
@@ -363,8 +388,10 @@ def _json_page_rows(pages: DataFrame, itempath: str, extractors: dict[str, str],
     wrong = _wrong_path([itempath, *extractors.values()])
     if wrong is not None:
         return _errors(pages, f"Path not supported: {wrong}").withColumn("url", F.lit(None).cast("string"))
-    v = pages.select("page_id", "url", F.try_parse_json("html").alias("v"))
+    v = _dealt(pages.select("page_id", "url", "html")).select("page_id", "url", F.try_parse_json("html").alias("v"))
     items = _below(v.filter("v is not null"), _steps(itempath))
+    if _steps(itempath)[0]:  # what was stored on the way lies no more by page
+        items = _dealt(items)
     return _json_rows(items, extractors, limit).unionByName(
         _errors(v.filter("v is null"), "Malformed JSON").withColumn("url", F.lit(None).cast("string")))
 

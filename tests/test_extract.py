@@ -124,3 +124,25 @@ def test_pages_by_rule(spark):
     out = rows(X.extract_pages(pages, rules))
     assert [r[2].get("title") for r in out[:2]] == ["R", "X"]
     assert [(r[0], r[1]) for r in out[2:]] == [(3, 0), (4, 0), (5, 0)] and all(r[3] for r in out[2:])
+
+
+def test_pages_are_dealt_and_read_in_small_lots(spark, monkeypatch):
+    """Pages of one small file go to several tasks; one worker holds few parsed pages; rows as before."""
+    monkeypatch.setattr(X, "PER_TASK", 5)
+    page = "<f><i><t>a {k}</t></i><i><t>b</t></i></f>"
+    pages = spark.createDataFrame([(k, "http://h/", page.replace("{k}", str(k)) if k % 10 else "<f><i>") for k in range(100)] + [(100, "http://h/", None), (101, "http://h/", "<f></f>")],
+                                  "page_id long, url string, html string").coalesce(1)
+    dealt = X._dealt(pages)
+    assert dealt.rdd.getNumPartitions() >= 20 and dealt.count() == 102
+    got = sorted((r.page_id, r.pos, r.fields.get("t"), r.error) for r in X.extract_xml(pages, "//i", {"t": "./t"}).collect())
+    want = [(k, p, v, None) for k in range(100) if k % 10 for p, v in ((1, f"a {k}"), (2, "b"))] + [(k, 0, None, "Malformed XML") for k in (*range(0, 100, 10), 100)]
+    assert got == sorted(want)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+    import pyarrow as pa
+
+    schema = to_arrow_schema(StructType.fromDDL("page_id long, base string, pos int, fields map<string,string>, error string"))
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(200)), "base": ["http://h/"] * 200, "html": ["<li><a href=x>y</a>" * 3] * 199 + [""]})
+    out = list(X._html_items("//li", {"title": "./a"}, 2, schema, iter([batch])))
+    assert len(out) > 3 and max(b.num_rows for b in out) <= 2 * X.AT_ONCE and sum(b.num_rows for b in out) == 398

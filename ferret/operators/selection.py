@@ -88,8 +88,11 @@ def containing(wanted: DataFrame, texts: DataFrame, w: str = "wanted", t: str =
     mark = (asked.join(held, "gram", "left").withColumn("r", F.row_number().over(rare)).filter("r = 1 and n is not null")
             .select(w, "gram", F.col("at").alias("off")))
     at = F.col("at") - F.col("off") + 1
-    pairs = mark.join(places, "gram").filter((at > 0) & (F.substring(F.col(t), at, F.length(w)) == F.col(w))).select(w, t).distinct()
-    every = texts.withColumn(w, F.lit("")).join(wanted.filter(F.col(w) == ""), w).select(w, t)
+    # both grow with the input, and exploded tables are underestimated: never sent whole to every task
+    pairs = mark.join(places.hint("merge"), "gram").filter((at > 0) & (F.substring(F.col(t), at, F.length(w)) == F.col(w))).select(w, t).distinct()
+    # the empty text, at most one row; a constant key would make this a product of both tables
+    empty = F.broadcast(wanted.filter(F.col(w) == ""))
+    every = texts.withColumn(w, F.coalesce(F.substring(t, 1, 0), F.lit(""))).join(empty, w).select(w, t)
     return pairs.unionByName(every)
 
 

@@ -90,3 +90,15 @@ def test_no_pairs_by_nested_loops(spark):
     for name in ("select_resources", "select_resources_typed_page", "list_resources", "matched_texts"):
         plan = registry.QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_substring_join_sends_no_growing_table(spark):
+    # of what grows with the input nothing is broadcast: the one empty text, and tables with a row per gram
+    texts = spark.createDataFrame([("abc/d",), ("x/abc",), (None,), ("",)], "text string")
+    pairs = SEL.containing(texts.select(F.explode(F.split("text", "/")).alias("wanted")), texts)
+    got = {tuple(r) for r in pairs.collect()}
+    assert got == {("abc", "abc/d"), ("abc", "x/abc"), ("d", "abc/d"), ("x", "x/abc"), ("", "abc/d"), ("", "x/abc"), ("", ""), ("", None)}
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    tops = [line for line in plan.splitlines() if "Join [gram" in line and "Inner" in line]
+    assert tops and all("SortMergeJoin" in line for line in tops)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 # Bytes of one Arrow batch handed to a Python worker.  Texts have no bounded
 # length, so batches are limited by bytes and not only by rows.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

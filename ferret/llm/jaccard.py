@@ -36,7 +36,6 @@ BITS_PER, MIN_BITS, MAX_BITS = 4, 64, 8192
 FAN = 32
 # Groups of at most this many sets are compared pair by pair, without a tree.
 FEW = 16
-CACHE_WORDS = 1_000_000
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -44,7 +43,7 @@ class Shingler:
     """Whole text -> sorted distinct 64-bit hashes of its word shingles."""
 
     def __init__(self, k: int = SHINGLE):
-        self.k, self.known = k, {}
+        self.k = k
         self.weights = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(k)], np.uint64)
 
     def __call__(self, text: str) -> np.ndarray:
@@ -52,16 +51,8 @@ class Shingler:
         words = text.encode("utf-8").lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        h = list(map(known.get, words))
-        if None in h:
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            h = list(map(known.get, words))
-        h = np.array(h, np.uint64)
+        # every word is hashed anew: a table of known words is no faster and fills a worker
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
         if len(h) < self.k:
             # the number of words is part of the hash of a short text
             return mix64((h * self.weights[:len(h)]).sum(dtype=np.uint64, keepdims=True) ^ SEEDS[[0]] * np.uint64(len(h)))

@@ -1,8 +1,10 @@
 """Jaccard join against brute force: sets, components, tree bounds."""
 
+import pickle
 import random
 
 import numpy as np
+import xxhash
 
 from ferret.llm import jaccard
 
@@ -111,3 +113,17 @@ def test_trees_alone_and_pairs_alone(spark, monkeypatch):
     for few in (1, 10_000):
         monkeypatch.setattr(jaccard, "FEW", few)
         assert sorted([tuple(r) for r in jaccard.similar_components(df).collect()], key=str) == brute(docs)
+
+
+def test_a_worker_keeps_no_words():
+    # pipeline: a table of a million known words in every worker filled the executors
+    shingles = jaccard.Shingler()
+    held = lambda: len(pickle.dumps(vars(shingles)))
+    before = held()
+    for k in range(50):
+        shingles(" ".join(f"w{k}x{j}" for j in range(200)))
+    assert held() == before
+    few = shingles("Ab c")
+    want = jaccard.mix64((np.array([xxhash.xxh3_64_intdigest(w) for w in (b"ab", b"c")], np.uint64) * shingles.weights[:2])
+                         .sum(dtype=np.uint64, keepdims=True) ^ jaccard.SEEDS[[0]] * np.uint64(2))
+    assert few.tolist() == want.tolist()

@@ -178,15 +178,19 @@ def _unplanes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"u{raw[0]}").ravel()
 
 
-def _packed(uses: np.ndarray, contexts: np.ndarray) -> bytes:
-    """Counts of a page's entries (2 rows), and counts as a context of those that can be one (2 rows)."""
-    both = _planes(uses.ravel())
-    return len(both).to_bytes(4, "little") + both + _planes(contexts.ravel())
+def _packed(uses: np.ndarray, contexts: np.ndarray, head: np.ndarray) -> bytes:
+    """Counts of a page's entries (2 rows), and counts as a context of those that can be one (``head``; 2 rows).
+
+    Only the last word and pair of a text are no context, so contexts travel as what they differ by, nearly all zeros.
+    """
+    both, apart = _planes(uses.ravel()), (uses[:, head].astype(np.int64) - contexts).ravel()
+    return len(both).to_bytes(4, "little") + both + _planes(apart << 1 ^ apart >> 63)
 
 
-def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(raw: bytes, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     end = 4 + int.from_bytes(raw[:4], "little")
-    return _unplanes(raw[4:end]).reshape(2, -1), _unplanes(raw[end:]).reshape(2, -1)
+    uses, apart = _unplanes(raw[4:end]).reshape(2, -1).astype(np.int64), _unplanes(raw[end:]).reshape(2, -1).astype(np.int64)
+    return uses, uses[:, head[:uses.shape[1]]] - (apart >> 1 ^ -(apart & 1))
 
 
 class Places(dict):
@@ -304,7 +308,8 @@ def _pages(buckets: int, bits: int, asks: bool, batches: Iterator[pa.RecordBatch
             key, uses = key[order], uses[:, order] * (not asks)
             # words and pairs come first among the keys
             heads = order[order < contexts.shape[1]]
-            contexts, head = contexts[:, heads] * (not asks), np.append(0, np.cumsum(key & ORDERS < ORDERS))
+            contexts, can = contexts[:, heads] * (not asks), key & ORDERS < ORDERS
+            head = np.append(0, np.cumsum(can))
             # the bucket is the place of the key among all keys, so a page is a slice
             bucket = ((key >> np.uint64(bits - 30)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -312,13 +317,14 @@ def _pages(buckets: int, bits: int, asks: bool, batches: Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([
                 pa.array([~row["block"] if asks else row["block"]] * len(first), pa.int64()), pa.array(bucket[first]),
                 pa.array([pack(key[i:j].view(np.int64)) for i, j in zip(first, ends)], pa.binary()),
-                pa.array([_packed(uses[:, i:j], contexts[:, head[i]:head[j]]) for i, j in zip(first, ends)], pa.binary())], names=PAGES.names)
+                pa.array([_packed(uses[:, i:j], contexts[:, head[i]:head[j]], can[i:j]) for i, j in zip(first, ends)], pa.binary())], names=PAGES.names)
 
 
 def _added(pages: pa.Table) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The pages of one bucket -> (counts of each page, distinct keys, total uses, total uses as a context, the key of each entry)."""
-    counts = [_unpacked(x.as_py()) for x in pages["counts"]]
-    every = np.concatenate([unpack(x.as_py()) for x in pages["key"]])
+    keys = [unpack(x.as_py()) for x in pages["key"]]
+    counts = [_unpacked(x.as_py(), k & 3 < 3) for x, k in zip(pages["counts"], keys)]
+    every = np.concatenate(keys)
     key, at = np.unique(every, return_inverse=True)
     # sums of counts below 2^53 are exact in a double
     sums = lambda at, rows: np.array([np.bincount(at, r, len(key)) for r in np.concatenate(rows, axis=1)]).astype(np.int64)
@@ -329,11 +335,11 @@ def _added(pages: pa.Table) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.nda
 def _totals(pages: pa.Table) -> pa.Table:
     """For every entry what other blocks count."""
     counts, key, uses, contexts, at = _added(pages)
-    head = at[key[at] & 3 < 3]
-    out, i, j = [], 0, 0
+    can = key[at] & 3 < 3
+    head, out, i, j = at[can], [], 0, 0
     for u, c in counts:
         here, heads = at[i:i + u.shape[1]], head[j:j + c.shape[1]]
-        out.append(_packed(uses[:, here] - u, contexts[:, heads] - c))
+        out.append(_packed(uses[:, here] - u, contexts[:, heads] - c, can[i:i + len(here)]))
         i, j = i + len(here), j + len(heads)
     return pa.table([pages["block"], pages["bucket"], pa.array(out, pa.binary())], names=TOTALS.names)
 
@@ -442,9 +448,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         b = Block(rows.to_pylist()[0])
         order = np.argsort(b.keys(bits))
         uses, contexts = (x.astype(np.int64) * fitted for x in b.counts())
-        parts = [_unpacked(x.as_py()) for x in told.sort_by("bucket")["data"]]
-        uses[:, order] += np.concatenate([u for u, _ in parts], axis=1).astype(np.int64)
-        contexts[:, order[order < contexts.shape[1]]] += np.concatenate([c for _, c in parts], axis=1).astype(np.int64)
+        can, parts, i = order < contexts.shape[1], [], 0
+        for x in told.sort_by("bucket")["data"]:
+            parts.append(_unpacked(x.as_py(), can[i:]))
+            i += parts[-1][0].shape[1]
+        uses[:, order] += np.concatenate([u for u, _ in parts], axis=1)
+        contexts[:, order[can]] += np.concatenate([c for _, c in parts], axis=1)
         lt, lb = b.losses(uses, contexts, spelling.value.of(b.words), words)
         return pa.table([pa.array(b.ids, pa.int64()), pa.array(b.chars, pa.int64()), pa.array(lt), pa.array(lb)], names=SCORES.names)
 

@@ -94,3 +94,26 @@ def test_blocks_and_buckets_do_not_matter(spark, monkeypatch):
         assert all(np.allclose(x, got[-1][k]) for k, x in fresh.items())
         model.drop()
     assert got[0].keys() == got[1].keys() and all(np.allclose(x, got[1][k]) for k, x in got[0].items())
+
+
+def test_contexts_cost_next_to_nothing(spark):
+    # what a page says of its words and pairs as contexts is little beside their uses (F: op8_lm, disk)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 3 == 0).alias("w"))
+    model = lm.fit(docs, "w")
+    sent = told = 0
+    for r in model.pages().collect():
+        sent += len(r["counts"])
+        told += 4 + int.from_bytes(r["counts"][:4], "little")
+    model.drop()
+    assert told < sent < 1.1 * told
+
+
+def test_counts_come_back_from_a_page():
+    rng = np.random.default_rng(5)
+    head = rng.random(500) < 0.4
+    uses = rng.integers(0, 400, (2, 500))
+    # more or fewer uses as a context than uses: the empty word, the last words of texts
+    contexts = rng.integers(0, 70_000, (2, head.sum()))
+    for u, c, h in ((uses, contexts, head), (uses.astype(np.int32), contexts.astype(np.int32), head), (uses[:, :0], contexts[:, :0], head[:0])):
+        got = lm._unpacked(lm._packed(u, c, h), np.append(h, [True, False]))
+        assert (got[0] == u).all() and (got[1] == c).all()

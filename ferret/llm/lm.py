@@ -183,14 +183,14 @@ def _packed(uses: np.ndarray, contexts: np.ndarray, head: np.ndarray) -> bytes:
 
     Only the last word and pair of a text are no context, so contexts travel as what they differ by, nearly all zeros.
     """
-    both, apart = _planes(uses.ravel()), (uses[:, head].astype(np.int64) - contexts).ravel()
+    both, apart = _planes(uses.ravel()), (uses.compress(head, axis=1).astype(np.int64) - contexts).ravel()
     return len(both).to_bytes(4, "little") + both + _planes(apart << 1 ^ apart >> 63)
 
 
 def _unpacked(raw: bytes, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     end = 4 + int.from_bytes(raw[:4], "little")
     uses, apart = _unplanes(raw[4:end]).reshape(2, -1).astype(np.int64), _unplanes(raw[end:]).reshape(2, -1).astype(np.int64)
-    return uses, uses[:, head[:uses.shape[1]]] - (apart >> 1 ^ -(apart & 1))
+    return uses, uses.compress(head[:uses.shape[1]], axis=1) - (apart >> 1 ^ -(apart & 1))
 
 
 class Places(dict):
@@ -305,10 +305,10 @@ def _pages(buckets: int, bits: int, asks: bool, batches: Iterator[pa.RecordBatch
             b = Block(row)
             key, (uses, contexts) = b.keys(bits), b.counts()
             order = np.argsort(key)
-            key, uses = key[order], uses[:, order] * (not asks)
+            key, uses = key[order], uses.take(order, axis=1) * (not asks)
             # words and pairs come first among the keys
             heads = order[order < contexts.shape[1]]
-            contexts, can = contexts[:, heads] * (not asks), key & ORDERS < ORDERS
+            contexts, can = contexts.take(heads, axis=1) * (not asks), key & ORDERS < ORDERS
             head = np.append(0, np.cumsum(can))
             # the bucket is the place of the key among all keys, so a page is a slice
             bucket = ((key >> np.uint64(bits - 30)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
@@ -339,7 +339,7 @@ def _totals(pages: pa.Table) -> pa.Table:
     head, out, i, j = at[can], [], 0, 0
     for u, c in counts:
         here, heads = at[i:i + u.shape[1]], head[j:j + c.shape[1]]
-        out.append(_packed(uses[:, here] - u, contexts[:, heads] - c, can[i:i + len(here)]))
+        out.append(_packed(uses.take(here, axis=1) - u, contexts.take(heads, axis=1) - c, can[i:i + len(here)]))
         i, j = i + len(here), j + len(heads)
     return pa.table([pages["block"], pages["bucket"], pa.array(out, pa.binary())], names=TOTALS.names)
 
@@ -452,8 +452,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for x in told.sort_by("bucket")["data"]:
             parts.append(_unpacked(x.as_py(), can[i:]))
             i += parts[-1][0].shape[1]
-        uses[:, order] += np.concatenate([u for u, _ in parts], axis=1)
-        contexts[:, order[can]] += np.concatenate([c for _, c in parts], axis=1)
+        for k in (0, 1):
+            uses[k][order] += np.concatenate([u[k] for u, _ in parts])
+            contexts[k][order[can]] += np.concatenate([c[k] for _, c in parts])
         lt, lb = b.losses(uses, contexts, spelling.value.of(b.words), words)
         return pa.table([pa.array(b.ids, pa.int64()), pa.array(b.chars, pa.int64()), pa.array(lt), pa.array(lb)], names=SCORES.names)
 

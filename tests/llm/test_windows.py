@@ -6,6 +6,8 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import SparkSession
 
 from ferret.llm import windows
 
@@ -78,6 +80,46 @@ def test_pages_keep_their_numbers():
         assert (windows.unpack(windows.pack(x)) == x).all()
 
 
+def test_blocks_keep_every_word(monkeypatch):
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)  # noqa: N815
+
+    monkeypatch.setattr(windows, "TaskContext", Task)
+    texts = made(random.Random(5), 40) + ["", " \x0b ", " a\x0c\r\nb\x1fé\x85 ", "x", ""]
+    ids = [k if k % 9 else None for k in range(len(texts))]
+    rows = pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    for most_words, most_bytes in ((10**6, 10**6), (10**6, 3000), (30, 10**6), (1, 1)):
+        monkeypatch.setattr(windows, "BLOCK_WORDS", most_words)
+        monkeypatch.setattr(windows, "BLOCK_BYTES", most_bytes)
+        got, blocks = [], {}
+        for r in pa.Table.from_batches(windows._blocks(iter([rows.slice(0, 7), rows.slice(7, 0), rows.slice(7)]))).to_pylist():
+            blocks.setdefault(r["block"], []).append(r)
+        for block, docs in blocks.items():
+            raw = next(r["data"] for r in docs if r["ord"] == -1)
+            vocab = raw.decode().split("\n") if raw else []
+            docs = sorted((r for r in docs if r["ord"] >= 0), key=lambda r: r["ord"])
+            last = set(words(texts[len(got) + len(docs) - 1]))
+            # a block is closed by the document that brings it to its words, or before it goes over its bytes
+            assert len(set(vocab)) == len(vocab) < most_words + max(1, len(last))
+            sizes = [len(t.encode()) for t in texts[len(got):len(got) + len(docs)] if t]
+            assert len(sizes) <= 1 or sum(sizes) <= most_bytes
+            for r in docs:
+                got.append((r["doc_id"], r["n"], [vocab[i] for i in np.frombuffer(r["data"], np.int32)]))
+        assert got == [(i, len(words(t)), words(t)) for i, t in zip(ids, texts)]
+        assert len(blocks) > (0 if (most_words, most_bytes) == (10**6, 10**6) else 2)
+
+
+def test_texts_are_not_read_at_every_length(spark, monkeypatch):
+    """However long the repeats are, the table of whole blocks is read for its size, the first length, the cut and the end."""
+    body = [str(i % 701) + "x" * (i % 3) for i in range(400)]
+    rows = [(k, " ".join([f"only {k}", *body, f"end {k}"])) for k in range(3)]
+    read, table = [], SparkSession.table
+    monkeypatch.setattr(SparkSession, "table", lambda self, name: read.append(name) or table(self, name))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert sum(not name.endswith("_cut") for name in read) <= 4
+
+
 def test_made_documents(spark, monkeypatch):
     rng = random.Random(3)
     texts = made(rng) + [None, "", " \x0b ", "a " * 50, "a " * 12, "a " * 13]

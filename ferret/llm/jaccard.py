@@ -1,8 +1,12 @@
 """Exact n-gram Jaccard join with signature trees.
 
 Texts become sets of hashed word shingles; equal sets are one node.  Sets that
-can reach the threshold must share one of their first shingles in hash order
-(prefix), so only sets that meet in such a shingle are compared.  Each meeting
+can reach the threshold must share one of their first shingles in one order of
+all shingles (prefix), so only sets that meet in such a shingle are compared.
+The order is that of hashes, but shingles found common by a count over all
+texts come last, the most common at the end: a line that a tenth of all texts
+hold makes no meeting of them.  Any order gives the same links, so the count
+need not be exact.  Each meeting
 is a signature tree: leaves and inner nodes hold OR-combined bitmaps and size
 ranges, and a dual traversal drops node pairs whose largest possible overlap
 is too small.  What is left is verified on whole texts.
@@ -36,6 +40,11 @@ BITS_PER, MIN_BITS, MAX_BITS = 4, 64, 8192
 FAN = 32
 # Groups of at most this many sets are compared pair by pair, without a tree.
 FEW = 16
+# Shingles that a batch of texts holds less often are not counted, of the others
+# those counted so often in all texts, the first so many of them, are common.
+COUNTED, COMMON, COMMONS = 3, 256, 50_000
+# Pairs of nodes of two trees looked at together.
+STEP = 1 << 13
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -46,20 +55,27 @@ class Shingler:
         self.k = k
         self.weights = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(k)], np.uint64)
 
-    def __call__(self, text: str) -> np.ndarray:
+    def words(self, text: str) -> np.ndarray:
         # on bytes, lower() changes A-Z only and split() cuts at blanks 09-0D and 20
-        words = text.encode("utf-8").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
         # every word is hashed anew: a table of known words is no faster and fills a worker
-        h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
-        if len(h) < self.k:
-            # the number of words is part of the hash of a short text
-            return mix64((h * self.weights[:len(h)]).sum(dtype=np.uint64, keepdims=True) ^ SEEDS[[0]] * np.uint64(len(h)))
+        return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, text.encode("utf-8").lower().split())), ">u8").astype(np.uint64)
+
+    def runs(self, h: np.ndarray) -> np.ndarray:
+        """Sorted hashes of the shingles of ``k`` or more hashed words, repeats included."""
         out = np.zeros(len(h) - self.k + 1, np.uint64)
         for i in range(self.k):
             out += h[i:len(h) - self.k + 1 + i] * self.weights[i]
-        return np.unique(mix64(out))
+        return np.sort(mix64(out))
+
+    def __call__(self, text: str) -> np.ndarray:
+        h = self.words(text)
+        if not len(h):
+            return h
+        if len(h) < self.k:
+            # the number of words is part of the hash of a short text
+            return mix64((h * self.weights[:len(h)]).sum(dtype=np.uint64, keepdims=True) ^ SEEDS[[0]] * np.uint64(len(h)))
+        out = self.runs(h)
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 def prefix_size(n: int, similar: int = SIMILAR) -> int:
@@ -77,15 +93,50 @@ def bitmap(h: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _sets(k: int, similar: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that a batch of texts, taken as one text, holds ``COUNTED`` times or more, and how often."""
     shingles = Shingler(k)
+    for batch in batches:
+        h = [shingles.words(text) for text in batch.column(0).to_pylist()]
+        if sum(map(len, h)) >= k:
+            h = shingles.runs(np.concatenate(h))
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            n = np.diff(np.append(at, len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(h[at][n >= COUNTED].view(np.int64)), pa.array(n[n >= COUNTED])], names=["key", "c"])
+
+
+def common_shingles(docs: DataFrame, k: int, text_col: str) -> np.ndarray:
+    """Hashes of the common shingles of all texts, the most common last; at most ``COMMONS`` reach the driver."""
+    byte_batches(docs.sparkSession)
+    counts = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(partial(_counts, k), schema(key=LONG, c=LONG))
+    most = counts.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON).orderBy(F.desc("c"), "key").limit(COMMONS)
+    return np.array([r.key for r in most.collect()][::-1], np.int64).view(np.uint64)
+
+
+class Order:
+    """Puts the sorted hashes of a set into the order of all shingles: those of ``common`` last, as they stand there."""
+
+    def __init__(self, common: np.ndarray):
+        self.place = np.argsort(common)
+        self.keys = common[self.place]
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return h
+        at = np.searchsorted(self.keys, h).clip(max=len(self.keys) - 1)
+        known = self.keys[at] == h
+        return h[np.argsort(np.where(known, self.place[at] + 1, 0), kind="stable")] if known.any() else h
+
+
+def _sets(k: int, similar: int, common: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingles, order = Shingler(k), Order(common)
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             h = shingles(text)
             raw = h.tobytes()
             rows.append((doc_id, len(h), xxhash.xxh3_128_digest(raw) if len(h) else None,
-                         h[:prefix_size(len(h), similar)].view(np.int64),
+                         order(h)[:prefix_size(len(h), similar)].view(np.int64),
                          [int(mix64(h ^ s).min().astype(np.int64)) for s in SEEDS[:PIVOTS]] if len(h) else [],
                          bitmap(h) if len(h) else None))
         cols = list(zip(*rows)) or [()] * 6
@@ -96,9 +147,9 @@ def _sets(k: int, similar: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 def shingle_sets(docs: DataFrame, k: int, similar: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, print, prefix, pivots, sig) of every row; ``print`` is a 128-bit fingerprint of the set."""
-    byte_batches(docs.sparkSession)
+    common = common_shingles(docs, k, text_col)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(
-        partial(_sets, k, similar), T.StructType([
+        partial(_sets, k, similar, common), T.StructType([
             *schema(doc_id=LONG, n=INT, print=BIN).fields,
             T.StructField("prefix", T.ArrayType(LONG)), T.StructField("pivots", T.ArrayType(LONG)), T.StructField("sig", BIN)]))
 
@@ -150,30 +201,26 @@ def fold(sig: np.ndarray, words: int) -> np.ndarray:
 
 def dual(x: Tree, y: Tree, similar: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of sets (i of x, j of y) that no bound excludes, with their bound; sets of one component are no pair."""
-    lx, ly = len(x.levels) - 1, len(y.levels) - 1
-    a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    bound = np.zeros(1)
-    while True:
-        keep_a, keep_b, keep_v = [], [], []
+    # node pairs are followed down a few at a time, so what is held does not grow with their number
+    zero = np.zeros(1, np.int64)
+    todo, found = [(len(x.levels) - 1, len(y.levels) - 1, zero, zero)], [(zero[:0], zero[:0], np.zeros(0))]
+    while todo:
+        lx, ly, i, j = todo.pop()
         sx, nx, hx, cx, px, qx = x.levels[lx]
         sy, ny, hy, cy, py, qy = y.levels[ly]
-        for at in range(0, len(a), 1 << 16):
-            i, j = a[at:at + (1 << 16)], b[at:at + (1 << 16)]
-            # sizes within the threshold, and not one and the same component on both sides
-            ok = (100 * hx[i] >= similar * ny[j]) & (100 * hy[j] >= similar * nx[i])
-            ok &= ~((px[i] == qx[i]) & (py[j] == qy[j]) & (px[i] == py[j]))
-            if x is y and lx == ly:
-                ok &= i <= j
-            i, j = i[ok], j[ok]
-            # common bits, and common shingles that share a bit with another one
-            most = np.bitwise_count(sx[i] & sy[j]).sum(axis=1).astype(np.int64) + np.minimum(cx[i], cy[j])
-            ok = (100 + similar) * most >= similar * (nx[i] + ny[j])
-            keep_a.append(i[ok])
-            keep_b.append(j[ok])
-            keep_v.append(most[ok] / (nx[i] + ny[j] - most)[ok].clip(1))
-        a, b, bound = np.concatenate(keep_a), np.concatenate(keep_b), np.concatenate(keep_v)
-        if not (lx or ly) or not len(a):
-            return a, b, bound
+        # sizes within the threshold, and not one and the same component on both sides
+        ok = (100 * hx[i] >= similar * ny[j]) & (100 * hy[j] >= similar * nx[i])
+        ok &= ~((px[i] == qx[i]) & (py[j] == qy[j]) & (px[i] == py[j]))
+        if x is y and lx == ly:
+            ok &= i <= j
+        i, j = i[ok], j[ok]
+        # common bits, and common shingles that share a bit with another one
+        most = np.bitwise_count(sx[i] & sy[j]).sum(axis=1).astype(np.int64) + np.minimum(cx[i], cy[j])
+        ok = (100 + similar) * most >= similar * (nx[i] + ny[j])
+        if not (lx or ly):
+            found.append((i[ok], j[ok], most[ok] / (nx[i] + ny[j] - most)[ok].clip(1)))
+            continue
+        a, b = i[ok], j[ok]
         if lx >= ly:
             lx -= 1
             kids = a[:, None] * FAN + np.arange(FAN)
@@ -184,6 +231,8 @@ def dual(x: Tree, y: Tree, similar: int) -> tuple[np.ndarray, np.ndarray, np.nda
             kids = b[:, None] * FAN + np.arange(FAN)
             a = np.repeat(a, FAN)[(kids < len(y.levels[ly][0])).ravel()]
             b = kids.ravel()[(kids < len(y.levels[ly][0])).ravel()]
+        todo.extend((lx, ly, a[at:at + STEP], b[at:at + STEP]) for at in range(0, len(a), STEP))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -127,3 +127,54 @@ def test_a_worker_keeps_no_words():
     want = jaccard.mix64((np.array([xxhash.xxh3_64_intdigest(w) for w in (b"ab", b"c")], np.uint64) * shingles.weights[:2])
                          .sum(dtype=np.uint64, keepdims=True) ^ jaccard.SEEDS[[0]] * np.uint64(2))
     assert few.tolist() == want.tolist()
+
+
+def test_common_shingles_come_last(spark):
+    # pipeline and op5 on 6 GB: a line of a tenth of all texts made one group of them, 10 GB of node pairs in one worker
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    line = " ".join(rng.choice(vocab) for _ in range(14))
+    docs = []
+    for d in range(0, 1200, 2):
+        own = [rng.choice(vocab) for _ in range(20 + d % 31)]
+        docs.append((d, " ".join(own) + " . " + line))
+        if d % 40 == 0:  # a near copy
+            docs.append((d + 1, " ".join(own[:-1]) + " . " + line))
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    common = jaccard.common_shingles(df, 5, "text")
+    h = jaccard.Shingler()(". " + line)
+    assert set(common.tolist()) == set(h.tolist())
+    sets = jaccard.shingle_sets(df, 5, 80, "doc_id", "text").collect()
+    held = [len(set(r.prefix) & set(h.view(np.int64).tolist())) for r in sets]
+    assert not any(held) and all(len(r.prefix) == jaccard.prefix_size(r.n) for r in sets)
+    assert sorted([tuple(r) for r in jaccard.similar_components(df).collect()], key=str) == brute(docs)
+
+
+def test_common_shingles_hold_whole_texts(spark, monkeypatch):
+    # where all shingles of a text are common, the order among them keeps every link
+    monkeypatch.setattr(jaccard, "COUNTED", 1)
+    for common, most in ((1, 50_000), (3, 40)):
+        monkeypatch.setattr(jaccard, "COMMON", common)
+        monkeypatch.setattr(jaccard, "COMMONS", most)
+        docs = [d for d in corpus(5) if d[0] is not None][:150]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        assert sorted([tuple(r) for r in jaccard.similar_components(df).collect()], key=str) == brute(docs)
+
+
+def test_dual_traversal_holds_few_pairs_at_once():
+    import tracemalloc
+
+    # no pair of upper nodes can be excluded, few pairs of sets are one
+    rng = np.random.default_rng(1)
+    sig = np.zeros((6000, 1), np.uint64)
+    for _ in range(16):
+        sig[:, 0] |= np.uint64(1) << rng.integers(0, 64, len(sig)).astype(np.uint64)
+    sig[-5:] = sig[:5]
+    tree = jaccard.Tree(sig, np.bitwise_count(sig).sum(axis=1).astype(np.int64), np.arange(len(sig)))
+    tracemalloc.start()
+    a, b, _ = jaccard.dual(tree, tree, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(k, 5995 + k) for k in range(5)} <= set(zip(a.tolist(), b.tolist())) and len(a) < 100 and (a < b).all()
+    assert peak < 30e6

@@ -136,6 +136,8 @@ def rate_limit_stream(spark, source_path: str, schema, to_requests, rate=DEFAULT
 STATEFUL_SCHEMA = "req_id long, rid string, ts timestamp, allowance double, accepted boolean"
 # Requests of one resource turned into rows at once.
 ROWS = 50_000
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class TokenBucket(StatefulProcessor):
@@ -169,21 +171,28 @@ def rate_limit_stateful(spark, source_path: str, schema, to_requests, rate=DEFAU
     buckets of its own resources only, and state and verdicts are committed
     together, so a batch that is run again gives nothing twice.  Pass the
     ``base`` of an earlier run to resume it.  :func:`stored_buckets` reads the
-    buckets back.
+    buckets back.  Spark's default state store has no place for such state, so
+    where a session has that one the job runs with RocksDB.
     """
     from ferret.streaming.common import job_dir
 
     base = base or job_dir(spark, "rate-limit-state")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_path)
-    q = (
-        _requests(to_requests(stream), rate).groupBy("rid")
-        .transformWithStateInPandas(TokenBucket(), outputStructType=STATEFUL_SCHEMA, outputMode="Append", timeMode="None")
-        .writeStream.format("parquet").outputMode("append").option("path", f"{base}/verdicts")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    provider = spark.conf.get(PROVIDER, None)
+    if provider is None or provider.endswith(".HDFSBackedStateStoreProvider"):
+        spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        q = (
+            _requests(to_requests(stream), rate).groupBy("rid")
+            .transformWithStateInPandas(TokenBucket(), outputStructType=STATEFUL_SCHEMA, outputMode="Append", timeMode="None")
+            .writeStream.format("parquet").outputMode("append").option("path", f"{base}/verdicts")
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(PROVIDER) if provider is None else spark.conf.set(PROVIDER, provider)
     return base
 
 

@@ -130,3 +130,22 @@ def test_stateful_query_takes_times_without_a_zone(spark, tmp_path):
     assert dict(got.dtypes)["ts"] == "timestamp"
     key = lambda r: (r.req_id, r.rid, r.ts, round(r.allowance, 5), r.accepted)
     assert sorted(map(key, got.collect())) == sorted(map(key, want.select("req_id", "rid", "ts", registry.f6("allowance"), "accepted").collect()))
+
+
+def test_stateful_query_in_a_session_with_the_default_state_store(spark, tmp_path):
+    """A session that nobody prepared: the query runs, its buckets are read back, the session is left as it was."""
+    from ferret.plans import registry
+
+    t0 = dt.datetime(2024, 1, 1)
+    events = spark.createDataFrame([(k, t0 + dt.timedelta(hours=k), k % 2) for k in range(12)], "event_id long, ts timestamp, user_id long")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    want = RL.rate_limit(events.select(F.col("event_id").alias("req_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("rid"), "ts"), rate=2)
+    before, default = spark.conf.get(RL.PROVIDER), RL.ROCKSDB.replace("RocksDB", "HDFSBacked")
+    try:
+        spark.conf.set(RL.PROVIDER, default)
+        got = registry.q_rate_limit_stateful(spark, str(tmp_path)).collect()
+        assert spark.conf.get(RL.PROVIDER) == default
+    finally:
+        spark.conf.set(RL.PROVIDER, before)
+    assert {r.req_id: (r.rid, r.accepted) for r in got} == {r.req_id: (r.rid, r.accepted) for r in want.collect()}
+    assert {r.req_id: r.left for r in got if r.left is not None} == {r.req_id: r.allowance for r in got if r.req_id >= 10}
